@@ -6,18 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pressloom.llm import decontamination, mixing, sharding
 from pressloom.llm.ngram_join import ngram_jaccard_join
+from pressloom.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def query(name: str, oracle: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if oracle:
+            ORACLES[name] = oracle
+        return function
 
+    return register
 
-def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_documents(spark, sf_dir), width=5, threshold=0.8)
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
+
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=5, threshold=0.8)
+
+
+@query("op2_sharding", sharding.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
+@query("op7_mixing", mixing.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic")
+
+
+@query("op10_decontamination", decontamination.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13, share=20)
