@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -13,21 +14,28 @@ ROUNDS = 4
 LONGEST_WALK = 256
 
 
-def keyed(key: str, step: int, value: Column, digits: int = 8) -> Column:
+def keyed(key: str, step: Column, value: Column, digits: int = 8) -> Column:
     """A pseudorandom long of ``digits`` hexadecimal digits."""
-    whole = F.md5(F.concat(F.lit(f"{key}:{step}:"), value.cast("string")).cast("binary"))
+    whole = F.md5(F.concat(F.lit(f"{key}:"), step.cast("string"), F.lit(":"), value.cast("string")).cast("binary"))
     return F.conv(F.substring(whole, 1, digits), 16, 10).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _half(n: int) -> int:
     root = isqrt(max(0, n - 1)) + 1 if n else 1
     return max(1, root)
 
 
-def _rounds(left: Column, right: Column, half: int, key: str) -> tuple[Column, Column]:
-    for step in range(1, ROUNDS + 1):
-        left, right = right, F.pmod(left + keyed(key, step, right), F.lit(half))
-    return left, right
+def _once(x: Column, n: int, key: str) -> Column:
+    half = _half(n)
+    start = F.struct(F.floor(x / half).alias("l"), F.pmod(x, F.lit(half).cast("long")).alias("r"))
+    rounds = F.array(*[F.lit(i) for i in range(1, ROUNDS + 1)])
+    step = lambda s, i: F.struct(s["r"].alias("l"), F.pmod(s["l"] + keyed(key, i, s["r"]), F.lit(half).cast("long")).alias("r"))
+    return F.aggregate(rounds, start, step, lambda s: s["l"] * half + s["r"])
 
 
 def permuted(value: Column, n: int, key: str) -> Column:
@@ -38,15 +46,21 @@ def permuted(value: Column, n: int, key: str) -> Column:
     along their cycle until they are back. Null gives null.
     """
     half = _half(n)
+    return permuted_among(value, half * half, key, lambda x: x < n, half * half - n + 1)
+
+
+def permuted_among(value: Column, square: int, key: str, accept: Callable[[Column], Column], longest: int = LONGEST_WALK) -> Column:
+    """A keyed permutation of the numbers below ``square`` that ``accept`` accepts, by walking on from others."""
+    steps = F.sequence(F.lit(1), F.lit(min(LONGEST_WALK, longest)))
+
+    def back(first: Column) -> Column:
+        walk = F.aggregate(steps, first, lambda x, _: F.when(accept(x), x).otherwise(_once(x, square, key)))
+        return F.when(accept(first), first).otherwise(walk)
 
-    def once(x: Column) -> Column:
-        left, right = _rounds((x / half).cast("long") if n < 1 << 52 else F.floor(x / half), F.pmod(x, F.lit(half)), half, key)
-        return left * half + right
+    def checked(place: Column) -> Column:
+        return F.when(accept(place), place).when(place.isNotNull(), F.raise_error(F.lit("the cycle is longer than the walk")).cast("long"))
 
-    first = once(value)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(min(LONGEST_WALK, half * half - n + 1))), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    place = F.when(first < n, first).otherwise(walk)
-    return F.when(place < n, place).when(place.isNotNull(), F.raise_error(F.lit("the cycle is longer than the walk")).cast("long"))
+    return let(let(_once(value, square, key), back), checked)
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "row_number") -> tuple[DataFrame, int]:

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressloom.llm import decontamination, mixing, sharding
+from pressloom.llm import decontamination, mixing, sharding, token_counts, url_filters, warc
+from pressloom.llm.fingerprints import fingerprint_edits
 from pressloom.llm.ngram_join import ngram_jaccard_join
+from pressloom.llm.pii import pseudonymise
+from pressloom.llm.storage import new_folder
 from pressloom.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +41,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+@query("op3_url_filters", url_filters.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.filter_urls(url_filters.page_captures(pages), url_filters.page_list(pages))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a cache that is new for each call, so that every distinct text is encoded once."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "token-cache"))
+
+
+@query("op5_warc", warc.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), new_folder(spark, "archive"))
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", mixing.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
@@ -48,6 +75,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic")
 
 
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op10_decontamination", decontamination.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13, share=20)
