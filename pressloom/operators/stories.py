@@ -156,7 +156,8 @@ def river_clusters(scored, members, articles, sources, as_of: Column, latest: bo
         raise ValueError("window must be 1 to 720 hours")
     if not 0 <= limit <= 100:
         raise ValueError("limit must be 0 to 100")
-    a = articles.where(scores.visible_language(F.col("language_code"))).join(sources, "source_id", "left")
+    known = sources.withColumn("_known", F.lit(True))
+    a = articles.where(scores.visible_language(F.col("language_code"))).join(known, "source_id", "left")
     lead = a.select(
         F.col("article_id").alias("lead_article_id"),
         "published_at",
@@ -192,7 +193,7 @@ def river_clusters(scored, members, articles, sources, as_of: Column, latest: bo
     order_key = -F.coalesce(F.unix_micros("published_at"), F.lit((1 << 63) - 1))
     entry = F.struct(order_key.alias("k"), F.col("article_id"), F.col("shown_title").alias("title"), F.col("canonical_url").alias("url"), F.col("source_name").alias("source"), "author", "published_at")
     rolled = member.groupBy("cluster_id").agg(
-        F.count_distinct("source_id").alias("sources_count"),
+        F.count_distinct(F.when(F.col("_known"), F.col("source_id"))).alias("sources_count"),
         F.sort_array(F.collect_list(F.when(sub, entry))).alias("subs"),
         F.count_if(sub).alias("subs_total"),
     )

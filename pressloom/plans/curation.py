@@ -217,7 +217,10 @@ def measurement_support(m):
     return ops.unsupported_measurements(draft, source).select("doc_id", "dv", "du")
 
 
-@query("sanitize_headline", r"SELECT doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(h, '^[""''\s]+|[""''\s]+$', '', 'g'), '\s+', ' ', 'g')), '[-.|•–—]+$', '')) AS headline FROM (SELECT doc_id, '""  ' || substr(text, 1, 70) || '.--' AS h FROM documents)".replace('""', '"'), model=False)
+_QUOTED = r"""SELECT doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(h, '^["''\s]+|["''\s]+$', '', 'g'), '\s+', ' ', 'g')), '[-.|•–—]+$', '')) AS headline FROM (SELECT doc_id, '"  ' || substr(text, 1, 70) || '.--' AS h FROM documents)"""
+
+
+@query("sanitize_headline", _QUOTED, model=False)
 def sanitize_headline(m):
     return m.raw("documents").select("doc_id", texts.sanitized_headline(F.concat(F.lit('"  '), F.substring("text", 1, 70), F.lit(".--"))).alias("headline"))
 
