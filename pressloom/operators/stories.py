@@ -184,6 +184,7 @@ def river_clusters(scored, members, articles, sources, as_of: Column, latest: bo
     order = [F.col("activity_at").desc_nulls_first() if latest else F.col("score").desc_nulls_first(), F.col("activity_at").desc_nulls_first(), F.col("cluster_id")]
     ranked = rows.orderBy(*order).limit(limit or 10)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    ranked = articles.sparkSession.createDataFrame(ranked.collect(), ranked.schema)  # 100 rows at most, used three times below
     member = members.join(F.broadcast(ranked.select("cluster_id", "lead_article_id")), "cluster_id").join(a, "article_id")
     member = member.withColumns(
         {"shown_title": F.coalesce("rewritten_title", "title"), "source_name": F.coalesce("publisher_name", "name"), "host": urls.publisher_host(F.coalesce("publisher_homepage", "canonical_url"))}
@@ -253,23 +254,22 @@ def cluster_centroids(members: DataFrame, articles: DataFrame) -> DataFrame:
     return counted.join(vectors, "cluster_id", "left")
 
 
-def nearest_centroids(articles: DataFrame, centroids: DataFrame, k: int = 8, most_broadcast: int = 50_000) -> DataFrame:
+def nearest_centroids(articles: DataFrame, centroids: DataFrame, k: int = 8, most_broadcast: int = 20_000) -> DataFrame:
     """The ``k`` nearest centroids of every embedded article.
 
-    Queries are the given articles; centroids are the recent clusters, at most
-    ``most_broadcast`` of which are broadcast at a time, in slices by id hash, and the
-    best of the slices are merged.
+    Centroids are those of the recent clusters. They are broadcast in slices by
+    id hash, of about ``most_broadcast`` each, as one row with an array, so that every article finds its best ones in
+    place, without a shuffle; with several slices, their ``k`` best each are merged.
     """
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
     known = centroids.where("centroid is not null")
     slices = max(1, -(-known.count() // most_broadcast))
     asked = articles.where("embedding is not null").select("article_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     best = None
     for i in range(slices):
         part = known.where(F.pmod(F.xxhash64("cluster_id"), F.lit(slices)) == i) if slices > 1 else known
-        pairs = asked.join(F.broadcast(part.select("cluster_id", "centroid")))
-        near = pairs.select("article_id", F.struct((-scores.cosine(F.col("v"), F.col("centroid"))).alias("d"), "cluster_id").alias("n"))
-        near = near.groupBy("article_id").agg(F.slice(F.sort_array(F.collect_list("n")), 1, k).alias("near"))
+        table = part.agg(F.collect_list(F.struct("cluster_id", "centroid")).alias("cs"))
+        found = F.transform("cs", lambda c: F.struct((-scores.cosine(F.col("v"), c["centroid"])).alias("d"), c["cluster_id"].alias("cluster_id")))
+        near = asked.join(F.broadcast(table)).select("article_id", F.slice(F.sort_array(found), 1, k).alias("near"))
         best = near if best is None else best.unionByName(near)
     best = best.groupBy("article_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")) if slices > 1 else best
     return best.select("article_id", F.posexplode("near").alias("place", "n")).select("article_id", "place", "n.cluster_id", (-F.col("n.d")).alias("similarity"))

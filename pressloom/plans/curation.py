@@ -176,17 +176,16 @@ def decode_entities(m):
     return m.raw("pages").select("page_id", texts.decoded_entities(F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("&#65;"))).alias("title"))
 
 
-@query("best_dek", r"SELECT doc_id, CASE WHEN length(c) > 300 THEN rtrim(substr(c, 1, 299)) || '…' ELSE c END AS dek FROM (SELECT doc_id, CASE WHEN s <> '' THEN s ELSE p END AS c FROM (SELECT doc_id, p, regexp_extract(p, '(.{40,}?[.!?])\s', 1) AS s FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 2000), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM documents)))", model=False)
+@query("best_dek", r"SELECT doc_id, CASE WHEN length(c) > 300 THEN rtrim(substr(c, 1, 299)) || '…' ELSE c END AS dek FROM (SELECT doc_id, CASE WHEN s <> '' THEN s ELSE p END AS c FROM (SELECT doc_id, p, regexp_extract(p, '(.{40,}?[.!?])\s', 1) AS s FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM documents)))", model=False)
 def best_dek(m):
-    return m.raw("documents").select("doc_id", texts.best_dek(F.lit(None).cast("string"), F.lit(" "), F.substring("text", 1, 2000)).alias("dek"))
+    return m.raw("documents").select("doc_id", texts.best_dek(F.lit(None).cast("string"), F.lit(" "), F.col("text")).alias("dek"))
 
 
-@query("clean_summary", r"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g')) END AS summary FROM documents WHERE length(trim(substr(text, 1, 200))) > 0", model=False)
+@query("clean_summary", r"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') END AS summary FROM documents", model=False)
 def clean_summary(m):
     k = F.col("doc_id")
     lead = F.when(k % 5 == 0, "Current conditions: ").when(k % 5 == 1, "Welcome to Daily briefing. ").when(k % 5 == 2, "This story is co-published with Others. ").otherwise("")
-    docs = m.raw("documents").where(F.length(F.trim(F.substring("text", 1, 200))) > 0)
-    return docs.select("doc_id", texts.clean_summary(F.concat(lead, F.substring("text", 1, 200))).alias("summary"))
+    return m.raw("documents").select("doc_id", texts.clean_summary(F.concat(lead, F.col("text"))).alias("summary"))
 
 
 _FIGURED = "text || ' ' || (doc_id % 90) || ' percent of $' || (doc_id % 7 + 1) || ' billion and 1,' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' GW'"
@@ -538,15 +537,22 @@ def feed_item_projection(m):
 
 # ---- categories
 
-_RULES = [("government", "keyword", "that", r"(?i)(?<![a-z0-9_])that(?![a-z0-9_])"), ("government", "pattern", "th.*er", r"(?i)th[a-z]*er"), ("tech", "keyword", "and", r"(?i)(?<![a-z0-9_])and(?![a-z0-9_])"), ("impacts", "keyword", "the", r"(?i)(?<![a-z0-9_])the(?![a-z0-9_])"), ("impacts", "pattern", "ing", r"(?i)ing\b"), ("research", "pattern", "tion", r"tion"), ("research", "pattern", "ion", r"ion\.")]
-_LEAD = "substr(text, 1, 160)"
-_HITS = f""", rules AS (SELECT * FROM (VALUES ('government', 'keyword', 'that', '(?i)\\bthat\\b'), ('government', 'pattern', 'th.*er', '(?i)th[a-z]*er'), ('tech', 'keyword', 'and', '(?i)\\band\\b'), ('impacts', 'keyword', 'the', '(?i)\\bthe\\b'), ('impacts', 'pattern', 'ing', '(?i)ing\\b'), ('research', 'pattern', 'tion', 'tion'), ('research', 'pattern', 'ion', 'ion\\.')) v(slug, kind, rule, pattern)),
- rule_scores AS (SELECT doc_id AS article_id, slug, least(least(count(*) FILTER (WHERE kind = 'keyword') * 0.3::DOUBLE, 0.9) + least(count(*) FILTER (WHERE kind = 'pattern') * 0.4::DOUBLE, 1.2), 1.0) AS confidence, string_agg(kind || ': ' || rule, ';' ORDER BY kind || ': ' || rule) AS reasons FROM (SELECT doc_id, {_LEAD} AS x FROM documents WHERE lang = 'en'), rules WHERE regexp_matches(x, pattern) GROUP BY ALL)
+_RULES = [
+    ("government", "keyword", "clown", r"(?i)(?<![a-z0-9_])clown(?![a-z0-9_])"),
+    ("government", "pattern", "scum.*", r"(?i)scum|trash"),
+    ("tech", "keyword", "heed", r"(?i)(?<![a-z0-9_])heed(?![a-z0-9_])"),
+    ("impacts", "keyword", "thing", r"(?i)(?<![a-z0-9_])thing(?![a-z0-9_])"),
+    ("impacts", "pattern", "token", r"(?i)token|password"),
+    ("research", "pattern", "percent", r"%%%"),
+    ("research", "pattern", "blend", r"blend\."),
+]
+_HITS = f""", rules AS (SELECT * FROM (VALUES ('government', 'keyword', 'clown', '(?i)\\bclown\\b'), ('government', 'pattern', 'scum.*', '(?i)scum|trash'), ('tech', 'keyword', 'heed', '(?i)\\bheed\\b'), ('impacts', 'keyword', 'thing', '(?i)\\bthing\\b'), ('impacts', 'pattern', 'token', '(?i)token|password'), ('research', 'pattern', 'percent', '%%%'), ('research', 'pattern', 'blend', 'blend\\.')) v(slug, kind, rule, pattern)),
+ rule_scores AS (SELECT doc_id AS article_id, slug, least(least(count(*) FILTER (WHERE kind = 'keyword') * 0.3::DOUBLE, 0.9) + least(count(*) FILTER (WHERE kind = 'pattern') * 0.4::DOUBLE, 1.2), 1.0) AS confidence, string_agg(kind || ': ' || rule, ';' ORDER BY kind || ': ' || rule) AS reasons FROM (SELECT doc_id, text AS x FROM documents), rules WHERE regexp_matches(x, pattern) GROUP BY ALL)
 """
 
 
 def rule_scores(m):
-    rows = m.raw("documents").where("lang = 'en'").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 160).alias("text"))
+    rows = m.raw("documents").select(F.col("doc_id").alias("article_id"), "text")
     return ops.rule_categorise(rows, m.spark.createDataFrame(_RULES, "slug string, kind string, rule string, pattern string"))
 
 
@@ -602,9 +608,9 @@ def store_categories(m):
 _TIERS = {"strong": r"(?i)\bthereon\b|tionthe", "domain": r"(?i)\bthat\b", "idiom": r"(?i)that (is|of)\b", "signal": r"(?i)\bnot\b", "cue": r"(?i)\bto\b", "ambiguous": r"(?i)\bby\b", "context": r"(?i)\bwith\b"}
 
 
-@query("topic_relevance", f"SELECT doc_id, regexp_matches(x, '(?i)\\bthereon\\b|tionthe') OR (regexp_matches(x, '(?i)\\bthat\\b') AND NOT regexp_matches(x, '(?i)that (is|of)\\b')) OR (regexp_matches(x, '(?i)\\bnot\\b') AND regexp_matches(x, '(?i)\\bto\\b')) OR (regexp_matches(x, '(?i)\\bby\\b') AND regexp_matches(x, '(?i)\\bwith\\b')) AS relevant FROM (SELECT doc_id, regexp_replace({_LEAD}, '[^ -~]', ' ', 'g') AS x FROM documents)", model=False)
+@query("topic_relevance", f"SELECT doc_id, regexp_matches(x, '(?i)\\bthereon\\b|tionthe') OR (regexp_matches(x, '(?i)\\bthat\\b') AND NOT regexp_matches(x, '(?i)that (is|of)\\b')) OR (regexp_matches(x, '(?i)\\bnot\\b') AND regexp_matches(x, '(?i)\\bto\\b')) OR (regexp_matches(x, '(?i)\\bby\\b') AND regexp_matches(x, '(?i)\\bwith\\b')) AS relevant FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS x FROM documents)", model=False)
 def topic_relevance(m):
-    return m.raw("documents").select("doc_id", ops.relevance(F.regexp_replace(F.substring("text", 1, 160), "[^ -~]", " "), _TIERS).alias("relevant"))
+    return m.raw("documents").select("doc_id", ops.relevance(F.regexp_replace("text", "[^ -~]", " "), _TIERS).alias("relevant"))
 
 
 _GATES = [("invalid_title", "length(trim(title)) < 20"), ("aggregator_url", "regexp_matches(canonical_url, 'news\\.google\\.')"), ("low_value_host", "regexp_matches(canonical_url, 'fool\\.com')"), ("missing_date", "published_at IS NULL"), ("stale", "published_at < t - INTERVAL 168 HOUR"), ("non_english", "language_code <> 'en'"), ("duplicate_title", "dup > 1")]
@@ -762,7 +768,7 @@ def headline_qa(m):
     k = F.col("doc_id")
     text = F.regexp_replace("text", r"[^A-Za-z ]", " ")
     draft = F.when(k % 7 == 0, "").when(k % 7 == 1, F.substring(text, 1, 20)).when(k % 7 == 2, F.substring(text, 1, 80)).when(k % 7 == 3, F.concat(F.substring(text, 100, 70), F.lit(" 40 percent"))).when(k % 7 == 4, F.concat(F.substring(text, 100, 70), F.lit(" might do"))).otherwise(F.substring(text, 100, 90))
-    pairs = m.raw("documents").where(F.length("text") > 400).select("doc_id", F.substring(text, 1, 80).alias("original"), draft.alias("draft"), F.substring(text, 1, 2000).alias("source"), (k % 2 == 0).alias("has_content"))
+    pairs = m.raw("documents").select("doc_id", F.substring(text, 1, 80).alias("original"), draft.alias("draft"), F.substring(text, 1, 2000).alias("source"), (k % 2 == 0).alias("has_content"))
     return ops.headline_qa(pairs)
 
 

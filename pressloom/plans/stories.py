@@ -333,24 +333,20 @@ def cosine(m):
 
 
 _KNN = _CENTROIDS + f""", near AS (
-  SELECT article_id, cluster_id, {_COS.format(a="embedding::DOUBLE[]", b="centroid")} AS similarity, member_count, last_member_at FROM articles, centroids WHERE embedding IS NOT NULL AND centroid IS NOT NULL AND article_id % 2 = 1
+  SELECT article_id, cluster_id, {_COS.format(a="embedding::DOUBLE[]", b="centroid")} AS similarity, member_count, last_member_at FROM articles, centroids WHERE embedding IS NOT NULL AND centroid IS NOT NULL
 ), top AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY similarity DESC, cluster_id) - 1 AS place FROM near QUALIFY place < 8)
 """
 
 
-def _odd(m):
-    return m.articles().where("article_id % 2 = 1")
-
-
 @query("nearest_centroid_knn", _KNN + "SELECT article_id, place, cluster_id, round(similarity, 6) AS similarity FROM top")
 def nearest_centroid_knn(m):
-    return ops.nearest_centroids(_odd(m), centroids(m)).select("article_id", F.col("place").cast("long").alias("place"), "cluster_id", "similarity")
+    return ops.nearest_centroids(m.articles(), centroids(m)).select("article_id", F.col("place").cast("long").alias("place"), "cluster_id", "similarity")
 
 
 @query("best_cluster", _KNN + "SELECT article_id, arg_min(cluster_id, place) AS cluster_id FROM top, now WHERE similarity > 0.25 AND member_count < 25 AND last_member_at >= t - INTERVAL 120 HOUR GROUP BY 1")
 def best_cluster(m):
     c = centroids(m)
-    return ops.best_cluster(ops.nearest_centroids(_odd(m), c), c, as_of(), similarity=0.25).select("article_id", "cluster_id")
+    return ops.best_cluster(ops.nearest_centroids(m.articles(), c), c, as_of(), similarity=0.25).select("article_id", "cluster_id")
 
 
 _PAIRS = _CENTROIDS + f""", pairs AS (
@@ -377,8 +373,9 @@ def novelty_min_distance(m):
 
 @query("assign_clusters")
 def assign_clusters(m):
-    members = m.article_clusters()
-    return ops.assign_clusters(m.articles(), members.where("article_id % 2 = 0"), as_of(), similarity=0.25)
+    """Memberships are known up to two days ago; the articles fetched since are to be assigned."""
+    old = m.articles().where(F.col("fetched_at") < hours_before(as_of(), 48)).select("article_id")
+    return ops.assign_clusters(m.articles(), m.article_clusters().join(old, "article_id", "left_semi"), as_of(), similarity=0.25)
 
 
 @query("split_clusters")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pressloom.plans.registry import query
+from pressloom.sources.model import as_of, hours_before
 from pressloom.streaming import jobs
 
 
@@ -34,9 +35,10 @@ def stream_recent_dedupe(m):
 
 @query("stream_assign")
 def stream_assign(m):
-    """One batch of the assignment sink over the unclustered articles."""
+    """One batch of the assignment sink over the articles of the last two days."""
     root = _folder(m, "assigned")
-    members = m.article_clusters()
+    old = m.articles().where(F.col("fetched_at") < hours_before(as_of(), 48)).select("article_id")
+    members = m.article_clusters().join(old, "article_id", "left_semi")
     sink = jobs.assignment_sink(m.articles, lambda: members, lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/batch={n}"), similarity=0.25)
     sink(m.articles().join(members, "article_id", "left_anti").select("article_id"), 0)
     return m.spark.read.parquet(f"{root}/batch=0")
