@@ -268,6 +268,7 @@ def detect_language(rows: DataFrame, profiles: DataFrame, least: float = 0.1, ma
     return best.withColumn("confident", (F.col("score") >= least) & (F.col("margin") >= margin))
 
 
+# Wordings that headlines are rejected for.
 CLICKBAIT = r"(?i)\bmajor\b.*\bbreakthrough\b|\bgame.?chang|\brevolutionary\b|\bunprecedented\b|\bslam|\bblast|\brips?\b|\bwhat to know\b|\beverything you need to know\b|\bhere'?s\b|\bwatch\b|\?$"
 HEDGING = r"(?i)\b(might|possibly|likely|expected to|set to|poised to)\b"
 REFUSAL = r"(?i)\bnot applicable\b|\bno (climate|energy|relevant)\b.*\b(found|detected|action)\b|\b(cannot|can'?t|unable to) (rewrite|generate|produce)\b|\bheadline (not|cannot)\b|\bno (valid )?headline\b|\binsufficient (information|content|context)\b|\bas an ai\b"
@@ -276,6 +277,7 @@ NEEDS_ATTRIBUTION = r"(?i)\b(study|report|survey|analysis|paper|researchers?|say
 ATTRIBUTED = r"(?i)\b(says|said|according to|estimates?|projects?|expects?|forecasts?|guidance)\b|\b(study|report|survey|analysis|paper) (finds|found|shows|says)\b|\b(researchers?|analysts?) (say|said|find|found)\b"
 TRIGGERS = r"(?i)\b(will|may|could|expects?|projects?|estimates?|forecasts?|finds?)\b"
 WEAK_FOCUS = r"(?i)\b(topic|issue|challenge|trend|market stability|consumer preferences|industry dynamics|transition plans)\b"
+# End of fixed values.
 
 
 def headline_qa(pairs: DataFrame) -> DataFrame:

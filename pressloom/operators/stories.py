@@ -208,6 +208,16 @@ def river_clusters(scored, members, articles, sources, as_of: Column, latest: bo
     ).orderBy("rank")
 
 
+def feed_parameter_problem(window_h: Column, limit: Column, view: Column, category: Column, views=tuple(VIEWS), categories=()) -> Column:
+    """What is wrong with the parameters of a feed, null if nothing is; for columns what `river_clusters` raises for values."""
+    return (
+        F.when(~window_h.between(1, 720), "window")
+        .when(~limit.between(1, 100), "limit")
+        .when(~view.isin(*views), "view")
+        .when(category.isNotNull() & ~category.isin(*categories), "category")
+    )
+
+
 def leaderboard(scored, members, articles, sources, as_of: Column, start_h: int = 168, end_h: int = 0) -> DataFrame:
     """Publishers that led a story within the window, with the sizes they led and the clusters they are in."""
     a = articles.where(scores.visible_language(F.col("language_code"))).join(sources, "source_id", "left")
@@ -282,13 +292,23 @@ def best_cluster(nearest: DataFrame, centroids: DataFrame, as_of: Column, simila
     return fit.groupBy("article_id").agg(F.min_by(F.struct("cluster_id", "similarity"), F.col("place")).alias("b")).select("article_id", "b.cluster_id", "b.similarity")
 
 
-def merge_pairs(centroids: DataFrame, as_of: Column, similarity: float = rules.MERGE_SIMILARITY, most: int = rules.MAX_CLUSTER, days: int = rules.LOOKBACK_DAYS, top: int = 10) -> DataFrame:
-    """Pairs of recent clusters of two members or more that are similar and small enough together."""
+def merge_pairs(centroids: DataFrame, as_of: Column, similarity: float = rules.MERGE_SIMILARITY, most: int = rules.MAX_CLUSTER, days: int = rules.LOOKBACK_DAYS, top: int = 10, most_broadcast: int = 20_000) -> DataFrame:
+    """Pairs of recent clusters of two members or more that are similar and small enough together.
+
+    Every cluster is compared in place with broadcast slices of the others; only similar pairs become rows.
+    """
     recent = centroids.where((F.col("member_count") >= 2) & (F.col("last_member_at") >= hours_before(as_of, 24 * days)) & F.col("centroid").isNotNull())
-    one = recent.select(F.col("cluster_id").alias("c1"), F.col("centroid").alias("v1"), F.col("member_count").alias("n1"))
-    two = recent.select(F.col("cluster_id").alias("c2"), F.col("centroid").alias("v2"), F.col("member_count").alias("n2"))
-    pairs = one.join(two, (F.col("c1") < F.col("c2")) & (F.col("n1") + F.col("n2") <= most)).withColumn("similarity", scores.cosine(F.col("v1"), F.col("v2")))
-    return pairs.where(F.col("similarity") > similarity).orderBy(F.col("similarity").desc(), "c1", "c2").limit(top).select("c1", "c2", "n1", "n2", "similarity")
+    own = recent.select(F.col("cluster_id").alias("c1"), F.col("centroid").alias("v1"), F.col("member_count").alias("n1"))
+    slices, found = max(1, -(-recent.count() // most_broadcast)), None
+    for i in range(slices):
+        part = recent.where(F.pmod(F.xxhash64("cluster_id"), F.lit(slices)) == i) if slices > 1 else recent
+        table = F.broadcast(part.agg(F.collect_list(F.struct("cluster_id", "member_count", "centroid")).alias("cs")))
+        later = F.filter("cs", lambda c: (c["cluster_id"] > F.col("c1")) & (F.col("n1") + c["member_count"] <= most))
+        near = F.transform(later, lambda c: F.struct(c["cluster_id"].alias("c2"), c["member_count"].alias("n2"), scores.cosine(F.col("v1"), c["centroid"]).alias("similarity")))
+        pairs = own.join(table).select("c1", "n1", F.explode(F.filter(near, lambda p: p["similarity"] > similarity)).alias("p"))
+        found = pairs if found is None else found.unionByName(pairs)
+    rows = found.select("c1", "p.c2", "n1", "p.n2", "p.similarity")
+    return rows.orderBy(F.col("similarity").desc(), "c1", "c2").limit(top)
 
 
 def merge_clusters(members: DataFrame, pairs: DataFrame, most: int = rules.MAX_CLUSTER) -> DataFrame:

@@ -503,3 +503,10 @@ def hybrid_search(m):
 @query("search_card", "SELECT article_id AS cluster_id, coalesce(rewritten_title, title) AS lead_title, canonical_url AS lead_url, 1 AS size, 0 AS subs_total, published_at FROM articles")
 def search_card(m):
     return m.articles().select(F.col("article_id").alias("cluster_id"), F.coalesce("rewritten_title", "title").alias("lead_title"), F.col("canonical_url").alias("lead_url"), F.lit(1).alias("size"), F.lit(0).alias("subs_total"), "published_at")
+
+
+@query("river_param_check", "SELECT event_id, CASE WHEN NOT event_id % 800 BETWEEN 1 AND 720 THEN 'window' WHEN NOT user_id BETWEEN 1 AND 100 THEN 'limit' WHEN event_type NOT IN ('view', 'click') THEN 'view' END AS problem FROM events", model=False)
+def river_param_check(m):
+    """Requests for feeds as events: window and limit from ids, the view from the type."""
+    problem = ops.feed_parameter_problem(F.col("event_id") % 800, F.col("user_id"), F.col("event_type"), F.lit(None).cast("string"), views=("view", "click"))
+    return m.raw("events").select("event_id", problem.alias("problem"))
