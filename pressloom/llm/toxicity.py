@@ -20,7 +20,7 @@ from pressloom.llm.storage import checkpointed
 from pressloom.llm.words import constants, hash_words, mix, positions, row_slices, text_buffers
 
 _U = np.uint64
-#: Labelled rows that are fitted at most, the first by hash of the id.
+#: Labelled rows that are fitted at most, up to the spread of a hash; their ids are broadcast, about 1 MB.
 MAX_TRAINING_ROWS = 40_000
 SHARD_ROWS = 8_000
 BITS = 20
@@ -56,7 +56,7 @@ def _featurise(bits: int):
     return run
 
 
-def _ftrl(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float):
+def _ftrl(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, positive_weight: float):
     """Weights of one shard by FTRL-proximal; the last coordinate is the bias, which has no L1 term."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -65,13 +65,13 @@ def _ftrl(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: floa
         z, n = np.zeros(size + 1), np.zeros(size + 1)
         penalty = np.full(size + 1, l1)
         penalty[size] = 0.0
-        examples = [(np.append(np.asarray(f, np.int64), size), float(y)) for f, y in zip(rows["features"], rows["label"], strict=True)]
+        examples = [(np.append(np.asarray(f, np.int32), np.int32(size)), float(y)) for f, y in zip(rows["features"], rows["label"], strict=True)]
         for _ in range(epochs):
             for at, y in examples:
                 zi, ni, pi = z[at], n[at], penalty[at]
                 root = np.sqrt(ni)
                 w = np.where(np.abs(zi) <= pi, 0.0, -(zi - np.sign(zi) * pi) / ((beta + root) / alpha + l2))
-                g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+                g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * (positive_weight if y else 1.0)
                 z[at] = zi + g - (np.sqrt(ni + g * g) - root) / alpha * w
                 n[at] = ni + g * g
         kept = np.flatnonzero(np.abs(z) > penalty)
@@ -87,27 +87,29 @@ def fit_toxicity(
     max_rows: int = MAX_TRAINING_ROWS,
     shard_rows: int = SHARD_ROWS,
     bits: int = BITS,
-    epochs: int = 4,
-    alpha: float = 0.1,
+    epochs: int = 12,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 3.0,
-    l2: float = 1.0,
+    l1: float = 20.0,
+    l2: float = 0.01,
+    positive_weight: float = 2.0,
 ) -> dict[int, float]:
     """Sparse weights from ``documents(doc_id, text)`` and ``labels(doc_id, label)``.
 
-    Rows of a null id or label are left out. At most ``max_rows`` labelled rows,
-    the first by hash of the id, are fitted, in shards of about ``shard_rows``;
-    without any, the model is empty and every score is 0.5. Memory for the
-    result is bounded by ``2**bits`` weights.
+    Rows of a null id or label are left out. About ``max_rows`` labelled rows at
+    most, those of the smallest id hashes, are fitted, in shards of about ``shard_rows``;
+    without any, the model is empty and every score is 0.5. Rows of label 1,
+    which are rare, count ``positive_weight`` times. Memory for the result is bounded by ``2**bits`` weights.
     """
     spark = documents.sparkSession
-    order = F.xxhash64(F.col("doc_id"), F.lit(17))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 40))
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
-    chosen = known.withColumn("place", order).orderBy("place", "doc_id").limit(max_rows)
-    shards = max(1, -(-min(max_rows, known.count()) // shard_rows))
+    n = known.count()
+    chosen = known.withColumn("place", place).where(F.col("place") < int((1 << 40) * min(1.0, max_rows / max(1, n))))
+    shards = max(1, -(-min(max_rows, n) // shard_rows))
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(shards)))
     rows = rows.select("text", "doc_id", "label", "place", "shard").mapInArrow(_featurise(bits), "doc_id long, label int, place long, shard long, features array<int>")
-    parts = rows.groupBy("shard").applyInPandas(_ftrl(bits, epochs, alpha, beta, l1, l2), "feature long, weight double, examples long")
+    parts = rows.groupBy("shard").applyInPandas(_ftrl(bits, epochs, alpha, beta, l1, l2, positive_weight), "feature long, weight double, examples long")
     parts = checkpointed(parts)
     whole = parts.where(F.col("feature") == 1 << bits).agg(F.sum("examples")).first()[0] or 0
     merged = parts.groupBy("feature").agg((F.sum(F.col("weight") * F.col("examples")) / F.lit(float(max(1, whole)))).alias("weight"))
