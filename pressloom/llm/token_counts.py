@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom.llm.storage import checkpointed
 from pressloom.llm.words import row_slices, text_buffers
 
 CACHE_SCHEMA = "content_digest string, n_tokens long, tokenizer string"
@@ -85,5 +86,6 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, cache_path: str, lim
     counted = missing.select("content_digest", "text").mapInArrow(_encode(shared, version), "content_digest string, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     facts = keyed.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    done = facts.join(read_cache(spark, cache_path, version), "content_digest")
+    # written apart from the join, so that a digest of very many documents can be split in it
+    done = facts.join(checkpointed(read_cache(spark, cache_path, version)), "content_digest")
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
