@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pressloom.llm.words import SLICE_BYTES, constants, hash_words, mix, positions, shingles, text_buffers
 
 _U = np.uint64
-SAMPLES = 64
+SAMPLES = 128
 BLOCK_ROWS = 500
 MOST_BLOCKS = 20_000
 _draws: dict[int, tuple] = {}
