@@ -30,7 +30,7 @@ from pressloom.llm.storage import checkpointed
 from pressloom.llm.words import constants, hash_words, mix, row_slices, shingles, text_buffers
 
 _U = np.uint64
-BLOCK_CLASSES = 256
+BLOCK_CLASSES = 128
 BLOCK_SHINGLES = 400_000
 SMALL_GROUP = 48
 
