@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom.llm.storage import checkpointed
+
 #: Smaller payloads are always stored as responses.
 LEAST_SHARED = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -38,7 +40,8 @@ def archive_records(pages: DataFrame, least_shared: int = LEAST_SHARED, date: st
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     facts = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
     first = facts.where(F.col("bytes") >= least_shared).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    facts = facts.join(first, "digest", "left")
+    # written apart from the join, so that a digest of very many pages can be split in it
+    facts = facts.join(checkpointed(first), "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     length = F.length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))
