@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct hashes of its words, word pairs and pairs
-with one word between. FTRL keeps a learning rate per coordinate; its L1 term
+with one word between, and of the first bytes of its longer words, by which
+inflected forms that the labels lack are known. FTRL keeps a learning rate per coordinate; its L1 term
 leaves few weights, at most ``2**bits``, so that the model is a small broadcast.
 Shards of the labelled rows learn side by side and their weights are averaged.
 """
@@ -24,21 +25,26 @@ _U = np.uint64
 MAX_TRAINING_ROWS = 40_000
 SHARD_ROWS = 8_000
 BITS = 20
+BEGINNING = 5
 
 
-def _features(words: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all rows and the row of each."""
+    words, counts = hash_words(data, offsets)
+    begun, _ = hash_words(data, offsets, BEGINNING)
     owner, within = positions(counts)
     left = counts[owner] - within
-    c = constants(5, 41)
+    c = constants(6, 41)
     shift = _U(64 - bits)
     one = mix(words * c[0]) >> shift
     two = mix(words[:-1] * c[1] + words[1:] * c[2]) >> shift
     skip = mix(words[:-2] * c[3] + words[2:] * c[4]) >> shift
+    longer = begun != words
+    start = mix(begun[longer] * c[5]) >> shift
     has_two, has_skip = left[: len(two)] > 1, left[: len(skip)] > 2
     return (
-        np.concatenate([one, two[has_two], skip[has_skip]]).astype(np.int64),
-        np.concatenate([owner, owner[: len(two)][has_two], owner[: len(skip)][has_skip]]),
+        np.concatenate([one, two[has_two], skip[has_skip], start]).astype(np.int64),
+        np.concatenate([owner, owner[: len(two)][has_two], owner[: len(skip)][has_skip], owner[longer]]),
     )
 
 
@@ -47,7 +53,7 @@ def _featurise(bits: int):
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             for low, high in row_slices(offsets):
-                feature, owner = _features(*hash_words(data, offsets[low : high + 1]), bits)
+                feature, owner = _features(data, offsets[low : high + 1], bits)
                 both = np.unique((owner << bits) | feature)
                 ends = np.append(0, np.cumsum(np.bincount(both >> bits, minlength=high - low))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((both & ((1 << bits) - 1)).astype(np.int32)))
@@ -124,7 +130,7 @@ def _scores(model, bits: int):
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             for low, high in row_slices(offsets):
-                feature, owner = _features(*hash_words(data, offsets[low : high + 1]), bits)
+                feature, owner = _features(data, offsets[low : high + 1], bits)
                 hit = table[feature] != 0
                 both = np.unique((owner[hit] << bits) | feature[hit])
                 margin = np.bincount(both >> bits, table[both & ((1 << bits) - 1)].astype(np.float64), minlength=high - low) + table[-1]

@@ -53,8 +53,11 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         low = high
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the rows between ``offsets``, in order, and the number of words per row."""
+def hash_words(data: np.ndarray, offsets: np.ndarray, beginning: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the rows between ``offsets``, in order, and the number of words per row.
+
+    With ``beginning``, only so many first bytes of each word count; shorter words hash as ever.
+    """
     rows = len(offsets) - 1
     data, starts = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     inside = _IS_WORD[data]
@@ -69,7 +72,10 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     within = np.arange(len(place)) - np.repeat(first, lengths)
     top = int(within.max()) + 1
     factors = _PLACE if top <= len(_PLACE) else constants(top, 11)
-    hashes = mix(np.add.reduceat(_BYTE_HASH[data[place]] * factors[within], first))
+    values = _BYTE_HASH[data[place]] * factors[within]
+    if beginning is not None:
+        values[within >= beginning] = 0
+    hashes = mix(np.add.reduceat(values, first))
     owner = np.searchsorted(starts, place[first], side="right") - 1
     return hashes, np.bincount(owner, minlength=rows).astype(np.int64)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pressloom.llm import decontamination, fingerprints, pii, token_counts, toxicity, url_filters, warc
 from pressloom.llm.storage import new_folder
+from pressloom.llm.words import hash_words, text_buffers
 
 
 def words(text):
@@ -74,6 +75,14 @@ def test_toxicity_learns_words_and_keeps_held_out_labels(spark):
     assert toxicity.toxicity(docs.limit(0), known).count() == 0
 
 
+def test_beginnings_of_words_join_inflected_forms():
+    whole, counts = hash_words(*text_buffers(pa.array(["Nastily nasty nastier", "no", None, "nast"])))
+    begun, same = hash_words(*text_buffers(pa.array(["Nastily nasty nastier", "no", None, "nast"])), 5)
+    assert counts.tolist() == same.tolist() == [3, 1, 0, 1]
+    assert len(set(whole.tolist())) == 5 and begun[0] == begun[2] != begun[1] == whole[1]
+    assert begun[3:].tolist() == whole[3:].tolist()
+
+
 def test_token_cache_is_filled_once(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
