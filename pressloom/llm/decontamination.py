@@ -6,8 +6,8 @@ meet that token's windows, the token's place bounds where the window would
 start and end, and the words of just that range are compared. Windows are
 equal in all documents, so the comparison is exact containment.
 
-Only DataFrame functions are used. The windows are broadcast while their number
-is within a bound; beyond it, positions and windows meet in a shuffled join.
+Only DataFrame functions are used. The windows are broadcast while the bytes of
+their words and item ids are within a bound; beyond it, positions and windows meet in a shuffled join.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from pressloom.llm.storage import checkpointed
 
-#: Windows that may be broadcast, at about 300 bytes each.
-BROADCAST_WINDOWS = 100_000
+#: Bytes of windows, with the ids of their items, that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,12 +39,18 @@ def benchmark_windows(items: DataFrame, width: int = 13) -> DataFrame:
     return checkpointed(distinct.select(F.monotonically_increasing_id().alias("window_id"), "words", F.size("words").alias("n"), "items"))
 
 
+def _bytes(windows: DataFrame) -> int:
+    """What ``windows`` hold in rows: their strings, 16 bytes around each, 64 around each row."""
+    size = lambda strings: F.aggregate(strings, F.lit(0).cast("long"), lambda total, x: total + F.octet_length(x) + 16)
+    return windows.agg(F.sum(size("words") + size("items") + 64)).first()[0] or 0
+
+
 def decontaminate(
     documents: DataFrame,
     items: DataFrame,
     width: int = 13,
     share: int = 20,
-    broadcast_windows: int = BROADCAST_WINDOWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document row.
 
@@ -55,7 +61,7 @@ def decontaminate(
     a table without rows gives none. Other columns are ignored.
     """
     windows = benchmark_windows(items, width)
-    small = windows.count() <= broadcast_windows
+    small = _bytes(windows) <= broadcast_bytes
     hint = F.broadcast if small else (lambda frame: frame)
     texts = documents.select(F.col("doc_id"), F.monotonically_increasing_id().alias("row"), contest_words(F.col("text")).alias("w"))
     if not small:

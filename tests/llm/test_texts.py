@@ -31,7 +31,7 @@ def contamination(doc, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("limit", [decontamination.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_BYTES, 0])
 def test_decontamination_against_brute_force(spark, limit):
     rng = random.Random(11)
     vocabulary = ["The", "of", "Étude", "été", "x1", "and"]
@@ -41,11 +41,11 @@ def test_decontamination_against_brute_force(spark, limit):
     docs += [(100, None), (101, ""), (102, items[1][1]), (102, items[1][1]), (103, text(20_000)), (None, "the of")]
     frame = spark.createDataFrame([(i, t, "n", 1) for i, t in docs], "doc_id long, text string, n string, row int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((tuple(r) for r in decontamination.decontaminate(frame, bench, broadcast_windows=limit).collect()), key=str)
+    got = sorted((tuple(r) for r in decontamination.decontaminate(frame, bench, broadcast_bytes=limit).collect()), key=str)
     assert got == sorted(((i, *contamination(t, items)) for i, t in docs), key=str)
-    clean = decontamination.decontaminate(frame, bench.limit(0), broadcast_windows=limit)
+    clean = decontamination.decontaminate(frame, bench.limit(0), broadcast_bytes=limit)
     assert clean.count() == len(docs) and clean.where("contaminated or n_hit > 0").count() == 0
-    assert decontamination.decontaminate(frame.limit(0), bench, broadcast_windows=limit).count() == 0
+    assert decontamination.decontaminate(frame.limit(0), bench, broadcast_bytes=limit).count() == 0
 
 
 def test_toxicity_learns_words_and_keeps_held_out_labels(spark):
