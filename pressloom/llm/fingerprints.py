@@ -4,9 +4,13 @@ The terms of a text are its word pairs, weighted by how often they occur. For
 each of ``samples`` and each term, gamma variates r, c and a uniform b, all
 functions of the term, give the level t = floor(ln w / r + b), and the term of
 the smallest a = c exp(-r (t - b)) / e^r is drawn with its level. Two texts draw
-the same with probability equal to their generalised Jaccard similarity. The
-variates come from one fixed table of 65,536 gamma draws, met at a different
-place for every sample and term.
+the same with probability equal to their generalised Jaccard similarity.
+
+The variates of each sample and term come from hashes of 53 bits and more. At
+weight 1 the level is 0 and a = c exp(-r (1 - b)) is exponential; it is drawn
+first, as the hash itself, whose order is that of a. Terms of larger weight draw
+two exponentials more, from which r, c and b follow with their exact joint
+distribution and the same a at weight 1.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ _U = np.uint64
 SAMPLES = 128
 BLOCK_ROWS = 500
 MOST_BLOCKS = 20_000
-_draws: dict[int, tuple] = {}
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
@@ -35,12 +38,19 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(_U) << _U(32)
 
 
-def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    if 0 not in _draws:
-        random = np.random.Generator(np.random.Philox(20240131))
-        r, c, b = random.gamma(2.0, size=1 << 16), np.log(random.gamma(2.0, size=1 << 16)), random.random(1 << 16)
-        _draws[0] = r, c, b, _ordered(c + r * b - r)  # the last: for weight 1, whose level is 0
-    return _draws[0]
+def _exponential(x: np.ndarray) -> np.ndarray:
+    """Exponential variates that grow with the 64-bit hashes ``x``."""
+    return -np.log1p(-np.minimum((x.astype(np.float64) + 0.5) * 2.0**-64, 1 - 2.0**-53))
+
+
+def _heavy_keys(x: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Order of ln a in the upper half and name of term and level in the lower, of terms whose weights have ``logs``."""
+    one, rest, back = _exponential(x), _exponential(mix(x)), _exponential(mix(~x))
+    c, forth = one + rest, np.log1p(rest / one)  # c and the uniform one / c are independent, and forth = r (1 - b)
+    r = forth + back
+    level = np.floor((logs + back) / r)
+    name = x + level.astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15)
+    return _ordered(np.log(c) + back - r * (level + 1)) | (name & _U(0xFFFFFFFF))
 
 
 def signatures(column: pa.Array, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +73,33 @@ def signatures(column: pa.Array, samples: int = SAMPLES) -> tuple[np.ndarray, np
     first = np.flatnonzero(fresh)
     weight = np.diff(np.append(first, len(items)))
     items, owner = items[first], owner[first]
+    light, heavy = weight == 1, weight > 1
+    single, several, logs = items[light], items[heavy], np.log(weight[heavy])
+    factors, masks = constants(samples, 53), constants(samples, 59)
+
+    def groups(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.diff(owners, prepend=-1))
+        return starts, owners[starts]
+
+    (starts, alone), (heavy_starts, repeated) = groups(owner[light]), groups(owner[heavy])
+    for k in range(samples):
+        key = np.full(len(column), np.iinfo(_U).max, _U)
+        if len(single):
+            least = np.minimum.reduceat((single ^ masks[k]) * factors[k], starts)
+            key[alone] = _ordered(np.log(_exponential(least))) | (least & _U(0xFFFFFFFF))
+        if len(several):
+            least = np.minimum.reduceat(_heavy_keys((several ^ masks[k]) * factors[k], logs), heavy_starts)
+            key[repeated] = np.minimum(key[repeated], least)
+        out[full, k] = mix(key[full] & _U(0xFFFFFFFF)) & _U(0xFFFF)
+    return out, full
+    owner, _ = positions(sizes)
+    order = np.lexsort((items, owner))
+    items, owner = items[order], owner[order]
+    fresh = np.ones(len(items), bool)
+    fresh[1:] = (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(fresh)
+    weight = np.diff(np.append(first, len(items)))
+    items, owner = items[first], owner[first]
     starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     heavy = np.flatnonzero(weight > 1)
     logs = np.log(weight[heavy])

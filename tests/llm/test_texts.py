@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +155,19 @@ def test_fingerprints_estimate_generalised_jaccard():
         assert abs(got - true) < 0.12
 
 
+def test_fingerprints_of_long_texts_do_not_favour_repeated_pairs():
+    """Hundreds of thousands of distinct pairs, of which the repeated ones alone are shared, or half of the others alone."""
+    common = " ".join(f"p{i} q{i} " * 10 for i in range(2500))
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    pairs = [(common + own("a", 250_000), common + own("b", 250_000)), (own("s", 150_000) + common, own("s", 150_000) + own("t", 150_000))]
+    for texts in pairs:
+        a, b = (Counter(zip(w, w[1:])) for w in map(str.split, texts))
+        true = (a & b).total() / (a | b).total()
+        drawn, has = fingerprints.signatures(pa.array(texts), 512)
+        got = fingerprints.likeness(drawn[:1], has[:1], drawn[1:], has[1:])[0]
+        assert abs(got - true) < 0.08, (got, true)
+
+
 @pytest.mark.parametrize("block", [2, 500])
 def test_edits_follow_the_next_document(spark, block):
     rows = [(10, "abcdefghi"), (7, "x y z x y z"), (3, None), (2, "héé wörld and so on"), (40, "x y z x y z"), (-5, "q" * 5000), (None, "no id"), (8, "")]
