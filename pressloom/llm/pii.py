@@ -4,7 +4,11 @@ Card numbers that pass the Luhn check, North American telephone numbers, IPv4
 addresses, social security numbers and calendar dates are found, validated and
 permuted under a key within their own format: the pseudonym of a card is a
 number of the same length and spacing that passes the check, that of a date is a
-date. The permutations are Feistel networks, so equal values become equal
+date. Cards are looked for in what the other kinds leave, printed groups before
+others and the longest first, at every border of a run of digits that spaces and hyphens divide, so that other
+numbers beside a card do not hide it. Dates are year-month-day with hyphens,
+slashes or dots, day.month.year, and month/day/year, or day/month/year where the
+first number is above 12. The permutations are Feistel networks, so equal values become equal
 pseudonyms in all documents, unequal ones stay apart, and nothing else changes.
 
 Only DataFrame functions are used; texts without a match pass untouched.
@@ -17,13 +21,32 @@ from pyspark.sql import functions as F
 
 from pressloom.llm.permutation import keyed, let, permuted, permuted_among
 
-_EDGE, _END = r"(?<![0-9A-Za-z_.+-])", r"(?![0-9A-Za-z_]|[.-][0-9])"
-PHONE = r"\+?1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
+_EDGE, _END = r"(?<![0-9A-Za-z_+-])(?<![0-9]\.)", r"(?![0-9A-Za-z_]|[.-][0-9])"
+PHONE = r"\+?1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2}[ -][0-9]{4}"
 ADDRESS = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-FOUND = f"{_EDGE}(?:{DATE}|{SOCIAL}|{ADDRESS}|{PHONE}|{CARD}){_END}"
+DATES = {
+    "yyyy-MM-dd": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "yyyy/MM/dd": r"[0-9]{4}/[0-9]{2}/[0-9]{2}",
+    "yyyy.MM.dd": r"[0-9]{4}\.[0-9]{2}\.[0-9]{2}",
+    "dd.MM.yyyy": r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}",
+    "MM/dd/yyyy": r"(?:0[0-9]|1[0-2])/[0-9]{2}/[0-9]{4}",
+    "dd/MM/yyyy": r"(?:1[3-9]|[2-9][0-9])/[0-9]{2}/[0-9]{4}",
+}
+DATE = "|".join(DATES.values())
+FOUND = f"{_EDGE}(?:{DATE}|{SOCIAL}|{ADDRESS}|{PHONE}){_END}"
+
+
+def _written(n: int) -> str:
+    """``n`` digits in one piece or in the groups of printed cards, with one separator."""
+    groups = [[4, 4, 4, 4] + [n - 16] * (n > 16)] if n > 15 else [[4, 4, 4, n - 12], [4, 6, n - 10]]
+    return "|".join([f"[0-9]{{{n}}}", *[sign.join(f"[0-9]{{{k}}}" for k in g) for g in groups for sign in " -"]])
+
+
+#: Cards as they are printed come before digits in any groups, as one in ten of these passes the check by chance.
+CARD_SHAPES = [f"(?:{_written(n)})" for n in range(19, 12, -1)] + [f"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1)]
+_CARD_EDGE, _CARD_END = r"(?<![0-9A-Za-z_+])(?<![0-9]\.)", r"(?![0-9A-Za-z_]|\.[0-9])"
+CARD = f"{_CARD_EDGE}[0-9](?:[ -]?[0-9]){{12}}"
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
 ROUNDS = 8
 
@@ -91,22 +114,34 @@ def _address(value: Column, key: str) -> Column:
     return let(permuted(number, 1 << 32, key + ":address"), lambda x: F.concat_ws(".", *[(F.shiftright(x, s) % 256).cast("string") for s in (24, 16, 8, 0)]))
 
 
+def _day(value: Column, form: str) -> Column:
+    return F.datediff(F.try_to_date(value, form), F.lit(FIRST_DAY).cast("date")).cast("long")
+
+
 def _date(value: Column, key: str) -> Column:
-    day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), permuted(day.cast("long"), DAYS, key + ":date").cast("int")), "yyyy-MM-dd")
+    """The same day becomes the same day in all formats but day/month/year, whose days stay above 12."""
+    written = lambda number: F.date_add(F.lit(FIRST_DAY).cast("date"), number.cast("int"))
+    late = lambda number: (number < DAYS) & (F.dayofmonth(written(number)) > 12)
+    out = F.when(F.lit(False), value)
+    for form, pattern in DATES.items():
+        day = _day(value, form)
+        new = permuted_among(day, DAYS, key + ":late", late) if form == "dd/MM/yyyy" else permuted(day, DAYS, key + ":date")
+        out = out.when(value.rlike(f"^{pattern}$"), F.date_format(written(new), form))
+    return out
 
 
 def _kind(value: Column) -> Column:
-    """The validated kind of a match, null if it is none."""
-    digits = _digits(value)
+    """The validated kind of a match other than cards, null if it is none."""
     octets = F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
-    day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
+    date = F.lit(False)
+    for form, pattern in DATES.items():
+        date = date | (value.rlike(f"^{pattern}$") & F.coalesce(_day(value, form).between(0, DAYS - 1), F.lit(False)))
     return (
-        F.when(value.rlike(f"^{DATE}$"), F.when(day.between(0, DAYS - 1), "date"))
+        F.when(date, "date")
+        .when(value.rlike(f"^(?:{DATE})$"), None)
         .when(value.rlike(f"^{SOCIAL}$"), F.when(~value.rlike("^(?:000|666|9)|-00-|-0000$"), "social"))
         .when(value.rlike(f"^{ADDRESS}$"), F.when(octets, "address"))
         .when(value.rlike(f"^(?:{PHONE})$"), "phone")
-        .when(luhn_sum(digits, 0) % 10 == 0, "card")
     )
 
 
@@ -132,6 +167,27 @@ def _pseudonym(value: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def _pieces(text: Column) -> Column:
+    """``value, card``: the text cut at its card numbers, the longest first, each at borders of its run of digits."""
+
+    def cut(piece: Column, shape: Column) -> Column:
+        starts = F.concat(F.lit(f"{_CARD_EDGE}(?=("), shape, F.lit(f"){_CARD_END})"))
+        passing = F.array_distinct(F.filter(F.regexp_extract_all(piece, starts, F.lit(1)), lambda x: luhn_sum(_digits(x), 0) % 10 == 0))
+
+        def divided(cards: Column) -> Column:
+            any_of = F.concat(F.lit(f"{_CARD_EDGE}(?:"), F.array_join(cards, "|"), F.lit(f"){_CARD_END}"))
+            pair = lambda rest, card: F.array(F.struct(rest.alias("value"), F.lit(False).alias("card")), F.struct(card.alias("value"), F.lit(True).alias("card")))
+            found = F.flatten(F.zip_with(F.split(piece, any_of, -1), F.regexp_extract_all(piece, any_of, F.lit(0)), pair))
+            return F.when(F.size(cards) > 0, F.filter(found, lambda x: x["value"].isNotNull())).otherwise(whole(piece))
+
+        return let(passing, divided)
+
+    whole = lambda value: F.array(F.struct(value.alias("value"), F.lit(False).alias("card")))
+    shapes = F.array(*[F.lit(x) for x in CARD_SHAPES])
+    step = lambda pieces, x: F.flatten(F.transform(pieces, lambda p: F.when(p["card"], F.array(p)).otherwise(cut(p["value"], x))))
+    return F.when(text.rlike(CARD), F.aggregate(shapes, whole(text), step)).otherwise(whole(text))
+
+
 def pseudonymise(documents: DataFrame, key: str = "pseudonyms-1", text_col: str = "text") -> DataFrame:
     """``documents`` with ``text_col`` rewritten, and ``n_numbers`` and ``n_dates`` replaced in it.
 
@@ -140,15 +196,16 @@ def pseudonymise(documents: DataFrame, key: str = "pseudonyms-1", text_col: str
     length are handled whole. Existing columns of the two names are replaced.
     """
     text = F.col(text_col)
-    hit = F.coalesce(text.rlike("[0-9]") & text.rlike(FOUND), F.lit(False))
-    found = F.when(hit, F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: F.struct(m.alias("value"), _kind(m).alias("kind"))))
+    hit = F.coalesce(text.rlike("[0-9]") & (text.rlike(FOUND) | text.rlike(CARD)), F.lit(False))
+    match = lambda m: F.array(F.struct(m.alias("value"), _kind(m).alias("kind")))
+    between = lambda p: F.transform(_pieces(p), lambda x: F.struct(x["value"].alias("value"), F.when(x["card"], "card").alias("kind")))
+    parts = F.zip_with(F.split(text, FOUND, -1), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda p, m: F.concat(between(p), F.when(m.isNotNull(), match(m)).otherwise(F.array().cast("array<struct<value:string,kind:string>>"))))
 
-    def rewritten(matches: Column) -> Column:
-        new = F.transform(matches, lambda m: _pseudonym(m["value"], m["kind"], key))
-        whole = F.array_join(F.zip_with(F.split(text, FOUND, -1), new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-        count = lambda f: F.size(F.filter(matches, f))
-        return F.struct(whole.alias("text"), count(lambda m: m["kind"] != "date").alias("numbers"), count(lambda m: m["kind"] == "date").alias("dates"))
+    def rewritten(pieces: Column) -> Column:
+        whole = F.array_join(F.transform(pieces, lambda m: _pseudonym(m["value"], m["kind"], key)), "")
+        count = lambda f: F.size(F.filter(pieces, f))
+        return F.struct(whole.alias("text"), count(lambda m: m["kind"].isNotNull() & (m["kind"] != "date")).alias("numbers"), count(lambda m: m["kind"] == "date").alias("dates"))
 
     kept = F.struct(text.alias("text"), F.lit(0).alias("numbers"), F.lit(0).alias("dates"))
-    done = documents.withColumn("_done", F.when(hit, let(found, rewritten)).otherwise(kept))
+    done = documents.withColumn("_done", F.when(hit, let(F.flatten(parts), rewritten)).otherwise(kept))
     return done.withColumns({text_col: F.col("_done.text"), "n_numbers": F.col("_done.numbers"), "n_dates": F.col("_done.dates")}).drop("_done")

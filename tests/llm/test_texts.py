@@ -217,6 +217,38 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pii.pseudonymise(frame.limit(0)).count() == 0
 
 
+def test_numbers_beside_a_card_do_not_hide_it(spark):
+    card, other = "4111 1111 1111 1111", "4012 8888 8888 1881"
+    texts = [
+        f"{card} 12/27",
+        f"{card} 123",
+        f"{card.replace(' ', '')} 12 apples",
+        f"7 {card.replace(' ', '')}",
+        f"no.{card}",
+        f"{card.replace(' ', '-')}-123 12-{card}",
+        f"{card} {other} 2024-02-29 {card}",
+        f"1234 2024-02-29 {card}",
+        f"212-555-0123 {card}",
+        "call.212-555-0123, 212.555.0124 or 212 555 0125",
+        "2024/02/29 29.02.2024 02/29/2024 29/02/2024",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.text, r.n_numbers, r.n_dates) for r in pii.pseudonymise(rows).orderBy("doc_id").collect()]
+    assert [g[1:] for g in got] == [(1, 0)] * 5 + [(2, 0), (3, 1), (1, 1), (2, 0), (3, 0), (0, 4)]
+    new = got[0][0].removesuffix(" 12/27")
+    plain = new.replace(" ", "")
+    assert re.fullmatch(r"\d{4}( \d{4}){3}", new) and new != card
+    assert [g[0] for g in got[1:6]] == [f"{new} 123", f"{plain} 12 apples", f"7 {plain}", f"no.{new}", f"{new.replace(' ', '-')}-123 12-{new}"]
+    assert got[6][0].startswith(new) and got[6][0].endswith(new) and other not in got[6][0] and got[8][0].endswith(new)
+    for (text, _, _), old in zip(got, texts, strict=True):
+        assert re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", old)
+    for n in ("212-555-0123", "212.555.0124", "212 555 0125"):
+        assert n not in got[9][0] and n not in got[8][0]
+    iso, dotted, american, late = re.split(" ", got[10][0])
+    assert iso.split("/") == dotted.split(".")[::-1] and american.split("/") == [iso.split("/")[i] for i in (1, 2, 0)]
+    assert 13 <= int(late[:2]) <= 31 and late != "29/02/2024"
+
+
 @pytest.mark.parametrize("digits", [2, 3, 4])
 def test_digit_permutations_are_one_to_one(spark, digits):
     frame = spark.range(10**digits).select(F.lpad(F.col("id").cast("string"), digits, "0").alias("d"))
