@@ -353,11 +353,39 @@ def assign_clusters(articles: DataFrame, members: DataFrame, as_of: Column, roun
     return found.withColumn("is_new", F.lit(False)).unionByName(single)
 
 
-def split_clusters(members: DataFrame, articles: DataFrame, least: int = 20, similarity: float = rules.SPLIT_SIMILARITY, most: int = rules.MAX_CLUSTER) -> DataFrame:
+SPLIT_ROWS, SEEDS, SEED_TURNS = 500, 16, 4
+
+
+def fitting_pieces(rows: DataFrame, most_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``rows`` with ``piece``: the cluster, or a part of it of about ``most_rows`` members at most.
+
+    Members of larger pieces go to the nearest of a few of their own as seeds, again
+    and again; pieces of equal seeds, and those that stay too large, are dealt out by hash.
+    """
+    rows = rows.withColumn("piece", F.col("cluster_id").cast("string"))
+    vector = lambda c: F.transform(c, lambda x: x.cast("double"))
+    for turn in range(SEED_TURNS + 1):
+        rows = rows.persist()
+        large = rows.groupBy("piece").agg(F.count("*").alias("_n")).where(F.col("_n") > most_rows)
+        if large.isEmpty():
+            break
+        mark = F.xxhash64("article_id", F.lit(turn))
+        some = rows.join(large, "piece").where(F.pmod(mark, F.ceil(F.col("_n") / (4 * SEEDS))) == 0)
+        few = F.slice(F.sort_array(F.collect_list(F.struct(mark.alias("m"), "article_id", vector("embedding").alias("v")))), 1, SEEDS)
+        seeds = large.join(some.groupBy("piece").agg(few["v"].alias("_v")), "piece", "left")
+        by_hash = F.lit(turn == SEED_TURNS) | (F.size(F.array_distinct("_v")) == 1)
+        near = F.array_max(F.transform("_v", lambda v, i: F.struct(scores.cosine(vector("embedding"), v).alias("c"), (-i).alias("i"))))
+        placed = rows.join(seeds, "piece", "left").withColumn("_to", F.when(by_hash, F.pmod(mark, F.ceil(F.col("_n") * 1.25 / most_rows))).otherwise(-near["i"]))
+        rows = placed.withColumn("piece", F.concat_ws("/", "piece", F.col("_to").cast("string"))).select(*rows.columns)
+    return rows
+
+
+def split_clusters(members: DataFrame, articles: DataFrame, least: int = 20, similarity: float = rules.SPLIT_SIMILARITY, most: int = rules.MAX_CLUSTER, most_rows: int = SPLIT_ROWS) -> DataFrame:
     """Memberships of the large clusters after centroid-linkage agglomeration; the largest group keeps the id.
 
     A group of the Pandas function is one cluster, which the cap keeps small;
-    larger ones than 500 members are left as they are.
+    those of more than ``most_rows`` members are cut into pieces first, and no
+    group then reaches over two pieces.
     """
     import pandas as pd
 
@@ -381,12 +409,15 @@ def split_clusters(members: DataFrame, articles: DataFrame, least: int = 20, sim
             means.pop(b)
             means[a] = np.mean([vectors[i] for i in groups[a]], axis=0)
         ids, cluster = rows["article_id"].to_numpy(), int(rows["cluster_id"].iloc[0])
-        groups.sort(key=lambda g: (-len(g), ids[g].min()))
-        return pd.DataFrame([(int(ids[i]), cluster, "same" if n == 0 else f"split-{cluster}-{ids[g].min()}") for n, g in enumerate(groups) for i in g], columns=["article_id", "cluster_id", "part"])
-
-    rows = members.join(articles.where("embedding is not null").select("article_id", "embedding"), "article_id")
-    sizes = rows.groupBy("cluster_id").count().where((F.col("count") >= least) & (F.col("count") <= 500)).select("cluster_id")
-    return rows.join(sizes, "cluster_id").groupBy("cluster_id").applyInPandas(split, "article_id long, cluster_id long, part string")
+        return pd.DataFrame([(int(ids[i]), cluster, int(ids[g].min()), len(g)) for g in groups for i in g], columns=["article_id", "cluster_id", "first", "n"])
+
+    rows = members.join(articles.where("embedding is not null").select("article_id", "embedding"), "article_id").select("article_id", "cluster_id", "embedding")
+    sizes = rows.groupBy("cluster_id").count().where(F.col("count") >= least).select("cluster_id")
+    pieces = fitting_pieces(rows.join(sizes, "cluster_id"), most_rows)
+    found = pieces.groupBy("piece").applyInPandas(split, "article_id long, cluster_id long, first long, n long").persist()
+    kept = found.groupBy("cluster_id").agg((-F.max(F.struct("n", (-F.col("first")).alias("f")))["f"]).alias("kept"))
+    part = F.when(F.col("first") == F.col("kept"), "same").otherwise(F.concat_ws("-", F.lit("split"), "cluster_id", "first"))
+    return found.join(kept, "cluster_id").select("article_id", "cluster_id", part.alias("part"))
 
 
 def weighted_terms(articles: DataFrame) -> DataFrame:

@@ -143,6 +143,22 @@ def test_split_keeps_members_and_cap(spark):
     assert max(map(len, parts.values())) <= 4 and all(len({i >= 100 for i in p}) == 1 for p in parts.values())
 
 
+def test_split_returns_members_of_clusters_beyond_one_task(spark):
+    axis = lambda k: [1.0 if j == k else 0.0 for j in range(4)]
+    rows = [(i, 1, axis(i % 4)) for i in range(1200)] + [(5000 + i, 2, axis(0)) for i in range(700)] + [(9000 + i, 3, axis(i % 2)) for i in range(30)]
+    articles = spark.createDataFrame([(i, v) for i, _, v in rows], "article_id long, embedding array<double>")
+    members = spark.createDataFrame([(i, c) for i, c, _ in rows], "article_id long, cluster_id long")
+    got = stories.split_clusters(members, articles, least=20, similarity=0.9, most=25, most_rows=100).collect()
+    assert sorted((r.article_id, r.cluster_id) for r in got) == sorted((i, c) for i, c, _ in rows)
+    parts, of = {}, {i: v for i, _, v in rows}
+    for r in got:
+        parts.setdefault((r.cluster_id, r.part), []).append(r.article_id)
+    assert all(len(p) <= 25 and len({tuple(of[i]) for i in p}) == 1 for p in parts.values())
+    for cluster in (1, 2, 3):
+        sizes = [len(p) for (c, _), p in parts.items() if c == cluster]
+        assert len(parts[cluster, "same"]) == max(sizes)
+
+
 def test_fusion_is_symmetric(spark):
     a = spark.createDataFrame([(1, 3.0), (2, 2.0)], "article_id long, rank double")
     b = spark.createDataFrame([(2, 0.9), (3, 0.8)], "article_id long, similarity double")
