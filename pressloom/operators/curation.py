@@ -277,10 +277,15 @@ NEEDS_ATTRIBUTION = r"(?i)\b(study|report|survey|analysis|paper|researchers?|say
 ATTRIBUTED = r"(?i)\b(says|said|according to|estimates?|projects?|expects?|forecasts?|guidance)\b|\b(study|report|survey|analysis|paper) (finds|found|shows|says)\b|\b(researchers?|analysts?) (say|said|find|found)\b"
 TRIGGERS = r"(?i)\b(will|may|could|expects?|projects?|estimates?|forecasts?|finds?)\b"
 WEAK_FOCUS = r"(?i)\b(topic|issue|challenge|trend|market stability|consumer preferences|industry dynamics|transition plans)\b"
+POLITICAL_FIGURES = (
+    "biden", "trump", "obama", "harris", "pence", "clinton", "desantis", "newsom", "vance", "zeldin", "granholm", "john kerry",
+    "al gore", "modi", "xi jinping", "putin", "macron", "scholz", "merz", "starmer", "sunak", "meloni", "von der leyen", "lula",
+    "milei", "sheinbaum", "trudeau", "carney", "albanese", "erdogan", "netanyahu", "zelensky", "zelenskyy", "guterres", "thunberg",
+)
 # End of fixed values.
 
 
-def headline_qa(pairs: DataFrame) -> DataFrame:
+def headline_qa(pairs: DataFrame, figures_of_politics: Sequence[str] = POLITICAL_FIGURES) -> DataFrame:
     """First failing check of ``(doc_id, original, draft, source, has_content)``; null for good drafts.
 
     Figures are checked by a join of drafts' and sources' measurements; all other
@@ -298,6 +303,10 @@ def headline_qa(pairs: DataFrame) -> DataFrame:
     figures_in = lambda c: F.size(texts.measurements(c)) > 0
     names = F.regexp_extract_all(t, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)+)"), F.lit(1))
     absent = F.exists(names, lambda name: ~F.exists(F.split(F.lower(name), " "), lambda w: F.contains(F.lower("source"), w)))
+    told = F.lower(F.concat_ws(" ", "original", "source"))
+    brought_in = F.lit(False)
+    for name in figures_of_politics:
+        brought_in = brought_in | (F.lower(t).rlike(rf"\b{name}\b") & ~told.rlike(rf"\b{name}\b"))
     steps = [
         ("empty", F.coalesce(F.col("draft"), F.lit("")) == ""),
         ("length", (F.length(t) < F.when(has, 60).otherwise(50)) | (F.length(t) > 220)),
@@ -308,6 +317,7 @@ def headline_qa(pairs: DataFrame) -> DataFrame:
         ("too_short_no_content", (m <= 30) & ~has & (n < 6)),
         ("numeric_missing_in_source", figures_in(t) & ~figures_in(F.concat_ws(" ", "original", "source"))),
         ("numeric_mismatch", F.col("_bad")),
+        ("hallucinated_political_figure", brought_in),
         ("hallucinated_entity", has & absent),
         ("clickbait", t.rlike(CLICKBAIT)),
         ("weak_hedging", t.rlike(HEDGING)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import rules, scores, texts, urls
 from pressloom.operators import curation, stories, telemetry
+from pressloom.plans import catalogue
 from pressloom.streaming import jobs
 
 
@@ -118,6 +119,22 @@ def test_headline_checks(spark, original, draft, source, content, reason):
     assert curation.headline_qa(rows).first()["reason"] == reason
 
 
+@pytest.mark.parametrize("source, reason", [("the council voted", "hallucinated_political_figure"), ("the council and Macron voted", None), ("Macronesia voted", "hallucinated_political_figure")])
+def test_headlines_bring_in_no_political_figure(spark, source, reason):
+    draft = "Council backs the new plan for the grid after Macron asked for a second vote"
+    rows = spark.createDataFrame([(1, "Grid", draft, source, False)], "doc_id long, original string, draft string, source string, has_content boolean")
+    assert curation.headline_qa(rows).first()["reason"] == reason
+
+
+def test_headline_query_reads_the_whole_source(spark, tmp_path):
+    filler = "Wind farms grew along the coast and people may like them in every small town near it. " * 40
+    texts_ = {5: filler + "A report came out.", 6: filler, 3: filler + "The share was 40 percent.", 10: filler}
+    spark.createDataFrame(list(texts_.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.reason for r in catalogue.QUERIES["headline_qa"](spark, str(tmp_path)).collect()}
+    assert (got[5], got[6]) == ("missing_attribution", None)
+    assert got[10] == "numeric_missing_in_source" and got[3] not in ("numeric_missing_in_source", "numeric_mismatch")
+
+
 def test_reserved_hosts(spark):
     hosts = ["127.0.0.1", "10.9.9.9", "8.8.8.8", "169.254.169.254", "255.255.255.255", "localhost", "db.internal", "example.com", "::1", "1.2.3"]
     got = {r.host: r.reserved for r in curation.reserved_hosts(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
