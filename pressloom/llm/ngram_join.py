@@ -3,53 +3,59 @@
 1. Every text becomes shingles of five words and a signature of ``trees`` x
    ``max_depth`` minimum hashes; each tree's hashes are its label in a prefix
    trie. Texts of the same word sequence form one class.
-2. The matched prefix starts at the full label and is shortened until a pair at
-   the threshold shares a prefix in some tree with the target recall
-   (`prefix_depth`). Classes under one trie node are compared by their whole
-   signatures, along the sorted labels first, and the likely pairs leave only a
-   spanning forest, whose components hold every likely pair.
-3. Within a component, blocks of classes meet block by block; exact Jaccard
-   similarities of the shingle sets decide every pair. Tasks return sums and
-   spanning edges, never pairs.
-
-Trie nodes and components of any size are cut into blocks of bounded size, so
-a group of copies never lands in one task.
+2. Classes that share a node of a trie are sorted by their labels. The search
+   begins with whole labels as the matched prefix: the classes of each run of
+   equal prefixes are compared by their whole signatures, and likely pairs leave
+   a spanning forest. The least alike pair found says how short prefixes must be
+   for the target recall (`prefix_depth`); they are shortened to that, which
+   brings further pairs and perhaps a less alike one, until they are short
+   enough for all that was found.
+3. Within a component of likely pairs, blocks of classes meet block by block;
+   exact Jaccard similarities of the shingle sets decide every pair. Tasks return
+   sums and spanning edges, never pairs.
+
+Nodes and components of any size are cut into blocks of bounded size, whose
+pairs are dealt to the tasks in turn. A group of G distinct near copies takes
+G * G comparisons, as each member's links are counted, and sends each member to
+every block of its group: to 16 at most up to 16,384 classes, to G / 1024 beyond.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.components import connected_components
-from pressloom.llm.storage import checkpointed
+from pressloom.llm.storage import checkpointed, looked_up
 from pressloom.llm.words import constants, hash_words, mix, row_slices, shingles, text_buffers
 
 _U = np.uint64
-BLOCK_CLASSES = 128
-BLOCK_SHINGLES = 400_000
-SMALL_GROUP = 48
+#: Classes of a block, at least and at most, where signatures or shingle sets are compared; a group is cut into ``MODERATE_BLOCKS`` in between.
+SIGNATURE_BLOCK, SET_BLOCK, MODERATE_BLOCKS = (512, 2048), (128, 1024), 16
+BLOCK_SHINGLES = 1_000_000
+SMALL_RUN = 48
+LEVEL_BYTES = 2
 
 
-def prefix_depth(threshold: float, trees: int, max_depth: int, target_recall: float) -> int:
-    """Longest prefix at which a pair at ``threshold`` meets in one of ``trees`` with ``target_recall``."""
+def prefix_depth(similarity: float, trees: int, max_depth: int, target_recall: float) -> int:
+    """Longest prefix at which a pair of ``similarity`` meets in one of ``trees`` with ``target_recall``."""
     depth = max_depth
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target_recall:
+    while depth > 1 and 1 - (1 - similarity**depth) ** trees < target_recall:
         depth -= 1
     return depth
 
 
-def _signatures(width: int, trees: int, max_depth: int, depth: int):
-    size = trees * max_depth
+def _signatures(width: int, size: int):
+    """Word sequence hashes, number of shingles and label of each text; further columns pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, masks = constants(size, 31), constants(size, 37)
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(0))
             for low, high in row_slices(offsets):
                 words, counts = hash_words(data, offsets[low : high + 1])
                 items, sizes = shingles(words, counts, width)
@@ -66,48 +72,40 @@ def _signatures(width: int, trees: int, max_depth: int, depth: int):
                     within = (np.arange(len(words)) - np.repeat(word_starts, filled)).astype(_U)
                     for k, seed in enumerate((101, 211)):
                         sequence[full, k] = np.add.reduceat(words * mix(within + _U(seed << 20)), word_starts)
-                prefix = np.zeros((rows, trees), _U)
-                for k in range(depth):
-                    prefix = mix(prefix + signature[:, k::max_depth])
-                sketch = np.ascontiguousarray((mix(signature) & _U(255)).astype(np.uint8))
+                label = np.ascontiguousarray((mix(signature) & _U(0xFFFF)).astype(np.uint16))
+                ends = np.arange(rows + 1, dtype=np.int32) * (size * LEVEL_BYTES)
+                rest = batch.slice(low, rows)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(low, rows),
+                        *rest.columns[1:],
                         pa.array(sequence[:, 0].view(np.int64)),
                         pa.array(sequence[:, 1].view(np.int64)),
                         pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * trees), pa.array(prefix.ravel().view(np.int64))),
-                        pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(rows + 1, dtype=np.int32) * size), pa.py_buffer(sketch)]),
+                        pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(label)]),
                     ],
-                    names=["doc_id", "h1", "h2", "n_shingles", "prefixes", "sketch"],
+                    names=[*batch.schema.names[1:], "h1", "h2", "n_shingles", "label"],
                 )
 
     return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, and where their groups start and end, from rows sorted by ``keys`` and ``rep_id``.
+    """Tables of whole groups, and where their groups start and end, from rows sorted by ``keys``.
 
-    Only one group at a time waits for its end; repeated rows of a representative are left out.
+    Only one group at a time waits for its end.
     """
     waiting: list[pa.RecordBatch] = []
 
     def cut(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-        columns = [table[k].to_numpy() for k in keys]
         fresh = np.ones(table.num_rows, bool)
-        fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-        rep = table["rep_id"].to_numpy()
-        keep = fresh.copy()
-        keep[1:] |= rep[1:] != rep[:-1]
-        if not keep.all():
-            table, fresh = table.filter(pa.array(keep)), fresh[keep]
+        fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (table[k].to_numpy() for k in keys)])
         return table.combine_chunks(), np.append(np.flatnonzero(fresh), table.num_rows)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         waiting.append(batch)
-        if waiting[0].num_rows and all(waiting[0].column(k)[0].equals(batch.column(k)[batch.num_rows - 1]) for k in keys):
+        if all(waiting[0].column(k)[0].equals(batch.column(k)[batch.num_rows - 1]) for k in keys):
             continue  # still the same group
         table, bounds = cut(pa.Table.from_batches(waiting))
         if len(bounds) > 2:
@@ -142,41 +140,60 @@ def _pairs_of_small(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.
             yield (own[k : k + step, None] + i).ravel(), (own[k : k + step, None] + j).ravel()
 
 
-def _likely(size: int, least: int, max_depth: int):
-    """Spanning edges of the classes under one trie node whose signatures agree in ``least`` places."""
+def _labels(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """One row of ``size`` hashes for each label."""
+    chunks = [np.frombuffer(c.buffers()[2], np.uint16)[c.offset * size : (c.offset + len(c)) * size] for c in column.chunks if len(c)]
+    return np.concatenate([np.zeros(0, np.uint16), *chunks]).reshape(-1, size)
+
+
+def _likely(size: int, max_depth: int, depth: int, least: int):
+    """Spanning edges of the classes with equal prefixes of ``depth`` whose signatures agree in ``least`` places.
+
+    One row without an edge gives the fewest agreeing places among the likely pairs compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fewest = size
         for table, bounds in _groups(batches, ["tree", "prefix", "low", "high"]):
-            rep = table["rep_id"].to_numpy()
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, size)
-            tree = table["tree"].to_numpy()
-            labels = np.arange(len(rep))
-            starts, sizes = bounds[:-1], np.diff(bounds)
-            small = sizes <= SMALL_GROUP
+            cid, tree = table["cid"].to_numpy(), table["tree"].to_numpy()
+            sketch = _labels(table["label"], size)
+            trie = np.take_along_axis(sketch, tree[:, None] * max_depth + np.arange(depth), 1)
+            fresh = np.zeros(len(cid), bool)
+            fresh[bounds[:-1]] = True
+            fresh[1:] |= (trie[1:] != trie[:-1]).any(1)
+            starts = np.flatnonzero(fresh)
+            sizes = np.diff(np.append(starts, len(cid)))
+            labels = np.arange(len(cid))
+
+            def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                nonlocal fewest
+                agree = (sketch[i] == sketch[j]).sum(1)  # noqa: B023
+                hit = agree >= least
+                fewest = min(fewest, int(agree[hit].min(initial=size)))
+                return hit
+
+            small = sizes <= SMALL_RUN
             for i, j in _pairs_of_small(starts[small], sizes[small]):
-                hit = (sketch[i] == sketch[j]).sum(1) >= least
+                hit = near(i, j)
                 labels = _propagate(labels, i[hit], j[hit])
             for start, n in zip(starts[~small], sizes[~small], strict=True):
-                own = sketch[start : start + n]
-                trie = own[:, tree[start] * max_depth : (tree[start] + 1) * max_depth]
-                order = np.lexsort(trie.T[::-1])
-                hit = (own[order[1:]] == own[order[:-1]]).sum(1) >= least
-                found = _propagate(np.arange(n), order[:-1][hit], order[1:][hit])
-                # members of different parts along the trie are compared one by one
-                while True:
+                at = np.arange(start, start + n)
+                hit = near(at[:-1], at[1:])  # neighbours in the order of labels first
+                found = _propagate(np.arange(n), np.flatnonzero(hit), np.flatnonzero(hit) + 1)
+                while True:  # then members of different parts, one by one
                     before = found
                     for i in range(0, n, 64):
-                        apart = found[i : i + 64, None] != found[None, :]
-                        left, right = np.nonzero(apart)
+                        left, right = np.nonzero(found[i : i + 64, None] != found[None, :])
                         for k in range(0, len(left), 100_000):
                             a, b = left[k : k + 100_000] + i, right[k : k + 100_000]
-                            hit = (own[a] == own[b]).sum(1) >= least
+                            hit = near(a + start, b + start)
                             found = _propagate(found, a[hit], b[hit])
                     if found is before or (found == before).all():
                         break
                 labels[start : start + n] = start + found
-            joined = np.flatnonzero(labels != np.arange(len(rep)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[joined]), pa.array(rep[labels[joined]])], names=["u", "v"])
+            joined = np.flatnonzero(labels != np.arange(len(cid)))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[joined]), pa.array(cid[labels[joined]]), pa.nulls(len(joined), pa.int32())], names=["u", "v", "agree"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([fewest], pa.int32())], names=["u", "v", "agree"])
 
     return run
 
@@ -222,14 +239,18 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _exact(threshold: float):
-    """Links per class and spanning edges of one pair of blocks."""
+    """Links per class and spanning edges of one pair of blocks.
+
+    Blocks that meet another give only edges between their own parts, as a
+    block's inner edges come from its meeting with itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _groups(batches, ["component", "low", "high"]):
-            rep, copies, block = (table[c].to_numpy() for c in ("rep_id", "copies", "block"))
+            cid, copies, block = (table[c].to_numpy() for c in ("cid", "copies", "block"))
             crossing = table["low"].to_numpy() != table["high"].to_numpy()
             sets = [np.frombuffer(x, _U) for x in table["shingles"].to_pylist()]
-            label, links = np.arange(len(rep)), np.zeros(len(rep), np.int64)
+            label, links = np.arange(len(cid)), np.zeros(len(cid), np.int64)
             for start, end in zip(bounds[:-1], bounds[1:], strict=True):
                 if end - start < 2:
                     continue
@@ -237,15 +258,66 @@ def _exact(threshold: float):
                 sizes = np.array([len(x) for x in sets[start:end]], np.float64)
                 near = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
                 np.fill_diagonal(near, False)
+                own = block[start:end, None] == block[None, start:end]
+                inner = _propagate(np.arange(end - start), *np.nonzero(np.triu(near & own)))
                 if crossing[start]:
-                    near &= block[start:end, None] != block[None, start:end]
+                    near &= ~own
+                    i, j = np.nonzero(np.triu(near))
+                    parts = np.unique(inner)
+                    i, j = np.searchsorted(parts, inner[i]), np.searchsorted(parts, inner[j])
+                    inner = np.arange(end - start)
+                    inner[parts] = parts[_propagate(np.arange(len(parts)), i, j)]
                 links[start:end] = near @ copies[start:end]
-                label[start:end] = start + _propagate(np.arange(end - start), *np.nonzero(np.triu(near)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(rep[label]), pa.array(links)], names=["rep_id", "label", "links"])
+                label[start:end] = start + inner
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(cid[label]), pa.array(links)], names=["cid", "label", "links"])
 
     return run
 
 
+def _parts(classes: Column, block: tuple[int, int]) -> Column:
+    """Number of blocks of a group of so many classes."""
+    size = F.least(F.greatest(F.ceil(classes / MODERATE_BLOCKS), F.lit(block[0])), F.lit(block[1]))
+    return F.ceil(classes / size)
+
+
+def _meeting(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One copy of each row for every block that its own meets, with the blocks' pairs dealt to the tasks in turn."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low, high, parts = F.col("low"), F.col("high"), F.col("parts").cast("long")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    pair = low * parts - F.floor(low * (low - 1) / 2) + high - low
+    return rows.repartitionById(tasks, F.pmod(F.xxhash64(*keys) + pair, F.lit(tasks)).cast("int"))
+
+
+def _trie_nodes(classes: DataFrame, trees: int, max_depth: int, depth: int) -> DataFrame:
+    """``tree, prefix, low, high, cid, label`` of the classes that share a node at ``depth``, in the order of their labels."""
+    width = LEVEL_BYTES * max_depth
+    prefixes = F.array(*[F.xxhash64(F.substring("label", t * width + 1, LEVEL_BYTES * depth)) for t in range(trees)])
+    nodes = classes.select("cid", F.posexplode(prefixes).alias("tree", "prefix"))
+    shared = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    met = nodes.join(shared, ["tree", "prefix"]).withColumn("parts", _parts(F.col("n"), SIGNATURE_BLOCK)).join(classes.select("cid", "label"), "cid")
+    met = _meeting(met, ["tree", "prefix"]).withColumn("trie", F.substring(F.col("label"), F.col("tree") * width + 1, F.lit(width)))
+    return checkpointed(met.sortWithinPartitions("tree", "prefix", "low", "high", "trie", "cid").select("tree", "prefix", "low", "high", "cid", "label"))
+
+
+def _likely_edges(classes: DataFrame, threshold: float, trees: int, max_depth: int, target_recall: float) -> DataFrame:
+    """``u, v``: spanning edges of the likely pairs, from the forest's prefixes, shortened until the recall is reached."""
+    size = trees * max_depth
+    spread = (threshold * (1 - threshold) / size) ** 0.5
+    least = int(size * max(0.0, threshold - 5 * spread))
+    nodes = _trie_nodes(classes, trees, max_depth, prefix_depth(threshold, trees, max_depth, target_recall))
+    depth = max_depth
+    while True:
+        found = checkpointed(nodes.mapInArrow(_likely(size, max_depth, depth, least), "u long, v long, agree int"))
+        fewest = found.agg(F.min("agree")).first()[0]
+        alike = (size if fewest is None else fewest) / size
+        enough = prefix_depth(max(threshold, alike - 2 * spread), trees, max_depth, target_recall)
+        if enough >= depth:
+            return found.where("u is not null").select("u", "v")
+        depth = enough
+
+
 def ngram_jaccard_join(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -255,58 +327,49 @@ def ngram_jaccard_join(
     trees: int = 16,
     max_depth: int = 8,
     target_recall: float = 0.999,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Links of every document: ``doc_id, class_id, n_links``.
+    """Links of every document row: ``doc_id, class_id, n_links, kept`` and the columns in ``carry``.
 
     ``n_links`` counts the other rows whose shingle sets have a Jaccard
     similarity of ``threshold`` or more, equal texts included; ``class_id`` is
-    the smallest id that links lead to, the own id without links. Ids are
-    integers. Texts are null, empty or without words: no shingles, no links,
-    a class of their own. Rows of a null id are returned with a null class and
-    no links. Repeated rows are copies of each other; rows that share an id are
-    one document. An empty table gives an empty one; other columns are ignored,
-    whatever their names.
+    the smallest id that links lead to, the own id without links. ``kept`` marks
+    exactly one row of each class: that of the smallest id, ties by the carried
+    columns, which are integers as ids are. Null ids come last; a class of null
+    ids alone has a null ``class_id``. Texts are null, empty or without words:
+    no shingles, no links, a class of their own. Repeated rows and rows that
+    share an id are rows like others. Texts of any length are read whole. An
+    empty table gives an empty one; other columns are ignored, whatever their names.
     """
-    depth = prefix_depth(threshold, trees, max_depth, target_recall)
-    size = trees * max_depth
-    spread = (threshold * (1 - threshold) / size) ** 0.5
-    least = int(size * max(0.0, threshold - 5 * spread))
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpointed(
-        texts.mapInArrow(_signatures(width, trees, max_depth, depth), "doc_id long, h1 long, h2 long, n_shingles long, prefixes array<long>, sketch binary")
-    )
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")))
-    reps = usable.join(classes.withColumnRenamed("rep_id", "doc_id"), ["doc_id", "h1", "h2"]).withColumnRenamed("doc_id", "rep_id")
-
-    nodes = reps.select("rep_id", F.posexplode("prefixes").alias("tree", "prefix"))
-    shared = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK_CLASSES)
-    keys = ["tree", "prefix", "low", "high"]
-    meeting = _blocks(nodes.join(shared, ["tree", "prefix"]).withColumn("parts", parts).join(reps.select("rep_id", "sketch"), "rep_id"))
-    likely = meeting.select(*keys, "rep_id", "sketch").repartition(*keys).sortWithinPartitions(*keys, "rep_id").mapInArrow(_likely(size, least, max_depth), "u long, v long")
-
-    found = connected_components(likely)
-    member = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
-    member = member.withColumnRenamed("id", "rep_id").join(reps.select("rep_id", "copies", "n_shingles").dropDuplicates(["rep_id"]), "rep_id")
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts")
-    member = member.join(member.groupBy("component").agg(parts), "component").select("rep_id", "component", "copies", "parts")
-    sets = texts.join(member, F.col("doc_id") == F.col("rep_id")).select("text", "rep_id", "component", "copies", "parts")
-    sets = sets.mapInArrow(_shingle_sets(width), "rep_id long, component long, copies long, parts long, shingles binary")
+    ties = [f"c{i}" for i in range(len(carry))]
+    texts = documents.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("long").alias(t) for c, t in zip(carry, ties, strict=True)])
+    texts = texts.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "id", "text")})
+    own = "id long, " + "".join(f"{t} long, " for t in ties) + "k1 long, k2 long"
+    signed = texts.mapInArrow(_signatures(width, trees * max_depth), own + ", h1 long, h2 long, n_shingles long, label binary")
+    signed = checkpointed(signed.withColumn("row", F.monotonically_increasing_id()))
+    usable = signed.where("n_shingles > 0")
+    first = F.struct(F.col("id").isNull().alias("nul"), "id", *ties, "row", "k1", "k2")
+    classes = usable.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("label").alias("label"))
+    classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
+
+    member = connected_components(_likely_edges(classes, threshold, trees, max_depth, target_recall), roots=True)
+    member = checkpointed(member.join(classes.select(F.col("cid").alias("id"), "copies", "n_shingles", "first.k1", "first.k2"), "id").withColumnRenamed("id", "cid"))
+    sizes = member.groupBy("component").agg(F.greatest(_parts(F.count("*"), SET_BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts")).where("parts > 1")
+    member = looked_up(member, sizes, "component").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    once = [F.any_value(c).alias(c) for c in ("text", "cid", "component", "copies", "parts")]
+    sets = texts.select("k1", "k2", "text").join(member, ["k1", "k2"]).groupBy("k1", "k2").agg(*once).select("text", "cid", "component", "copies", "parts")
+    sets = sets.mapInArrow(_shingle_sets(width), "cid long, component long, copies long, parts long, shingles binary")
     keys = ["component", "low", "high"]
-    exact = _blocks(sets).repartition(*keys).sortWithinPartitions(*keys, "rep_id").mapInArrow(_exact(threshold), "rep_id long, label long, links long")
-    exact = checkpointed(exact.select("rep_id", "label", "links"))
-
-    linked = connected_components(exact.select(F.col("rep_id").alias("u"), F.col("label").alias("v"))).withColumnRenamed("id", "rep_id")
-    links = exact.groupBy("rep_id").agg(F.sum("links").alias("links"))
-    classes = classes.join(links, "rep_id", "left").join(linked, "rep_id", "left")
-    per_class = classes.select("h1", "h2", F.coalesce("component", "rep_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rest = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return usable.select("doc_id", "h1", "h2").join(per_class, ["h1", "h2"]).select("doc_id", "class_id", "n_links").unionByName(rest)
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """One copy of each row for every block that its own meets."""
-    block = F.pmod(F.xxhash64("rep_id"), F.col("parts"))
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
-    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    exact = _meeting(sets, ["component"]).select(*keys, "block", "cid", "copies", "shingles").sortWithinPartitions(*keys, "cid")
+    exact = checkpointed(exact.mapInArrow(_exact(threshold), "cid long, label long, links long"))
+
+    linked = connected_components(exact.select(F.col("cid").alias("u"), F.col("label").alias("v")), roots=True).withColumnRenamed("id", "cid")
+    heads = linked.join(classes.select("cid", "first"), "cid").groupBy("component").agg(F.min("first").alias("head"))
+    linked = linked.join(heads, "component").select("cid", "head")
+    links = exact.groupBy("cid").agg(F.sum("links").alias("links"))
+    whole = classes.select("cid", "h1", "h2", "copies", "first").join(links, "cid", "left").join(linked, "cid", "left")
+    head = F.coalesce("head", "first")
+    per_class = whole.select("h1", "h2", head["id"].alias("class_id"), head["row"].alias("head_row"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = [F.col("id").alias("doc_id"), "class_id", "n_links", (F.col("row") == F.col("head_row")).alias("kept"), *[F.col(t).alias(c) for c, t in zip(carry, ties, strict=True)]]
+    rest = signed.where("n_shingles = 0").withColumns({"class_id": F.col("id"), "n_links": F.lit(0).cast("long"), "head_row": F.col("row")})
+    return usable.select("id", *ties, "row", "h1", "h2").join(per_class, ["h1", "h2"]).select(*out).unionByName(rest.select(*out))

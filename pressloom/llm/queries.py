@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=5, threshold=0.8)
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=5, threshold=0.8).select("doc_id", "class_id", "n_links")
 
 
 @query("op2_sharding", sharding.ORACLE)

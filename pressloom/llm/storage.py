@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of two or three numbers that may be broadcast, some 16 to 32 MB.
+LOOKUP_ROWS = 500_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -35,3 +39,16 @@ def checkpointed(frame: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a few numbers for each ``key``, or nulls.
+
+    The table of ``n`` rows, or of as many as are counted, is broadcast if these
+    are ``LOOKUP_ROWS`` at most; a larger one meets the rows in a shuffled join,
+    whose large keys adaptive execution splits.
+    """
+    if n is None:
+        table = checkpointed(table)
+        n = table.count()
+    return rows.join(F.broadcast(table) if n <= LOOKUP_ROWS else table, key, "left")

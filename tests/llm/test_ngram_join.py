@@ -75,10 +75,46 @@ def test_one_large_near_group_is_whole(spark):
     assert got == dict.fromkeys(range(400), (0, 399))
 
 
+def test_blocks_of_a_group_compare_every_pair_once(spark, monkeypatch):
+    from pressloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "SIGNATURE_BLOCK", (7, 20))
+    monkeypatch.setattr(ngram_join, "SET_BLOCK", (7, 20))
+    monkeypatch.setattr(ngram_join, "SMALL_RUN", 4)
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range([5, 40, 90][g]):
+            own = list(base)
+            for _ in range(rng.choice([1, 2, 3])):
+                own[rng.randrange(120)] = f"x{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(own)))
+    assert answer(spark, rows) == brute_force(rows)
+
+
+def test_few_jobs(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(30))) for i in range(100)]
+    rows += [(1000 + i, t + " more") for i, t in rows]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "few")
+    got = answer(spark, rows)
+    jobs = len(tracker.getJobIdsForGroup("few"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute_force(rows)
+    assert jobs <= 75, jobs
+
+
 def test_nulls_repeats_and_empty(spark):
-    text = "a b c d e f g h"
-    frame = spark.createDataFrame([(None, text), (5, text), (5, text), (7, text)], "doc_id long, text string")
-    assert sorted(ngram_jaccard_join(frame).collect(), key=str) == sorted([(None, None, 0), (5, 5, 2), (5, 5, 2), (7, 5, 2)], key=str)
+    text, other = "a b c d e f g h", "one text of several words under an id that another has"
+    rows = [(None, text), (5, text), (5, text), (7, text), (7, other), (None, other), (None, "alone"), (None, "ALONE!"), (None, None), (5, "")]
+    frame = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id long, text string, row int, class_id string")
+    got = ngram_jaccard_join(frame, carry=["row"]).collect()
+    found = [(None, 5, 3), (5, 5, 3), (5, 5, 3), (7, 5, 3), (7, 7, 1), (None, 7, 1), (None, None, 1), (None, None, 1), (None, None, 0), (5, 5, 0)]
+    assert sorted([tuple(r)[:3] for r in got], key=str) == sorted(found, key=str)
+    assert sorted([(r.doc_id, r.class_id) for r in got if r.kept], key=str) == sorted([(5, 5), (7, 7), (None, None), (None, None), (5, 5)], key=str)
+    assert {r.row for r in got} == {3}
     assert ngram_jaccard_join(frame.limit(0)).count() == 0
 
 
