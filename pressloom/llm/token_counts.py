@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pressloom.llm.storage import checkpointed
 from pressloom.llm.words import row_slices, text_buffers
 
-CACHE_SCHEMA = "content_digest string, n_tokens long, tokenizer string"
+CACHE_SCHEMA = "content_digest binary, n_tokens long, tokenizer string"
 #: Part of every version: byte-level vocabularies see each byte, so null becoming empty is all that is normalised.
 NORMALISATION = "null-to-empty/1"
 _loaded: dict[str, object] = {}
@@ -60,10 +60,9 @@ def _encode(definition, version: str):
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
-    """Cached counts of one tokenizer version, each digest once; a missing cache is begun."""
+    """Cached counts of one tokenizer version, a digest twice where an append was repeated; a missing cache is begun."""
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == version)
-    return stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == version).drop("tokenizer")
 
 
 def count_tokens(documents: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 1024) -> DataFrame:
@@ -80,12 +79,13 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, cache_path: str, lim
     version = tokenizer_version(definition)
     shared = spark.sparkContext.broadcast(definition)
     texts = documents.select("doc_id", normalised(F.col("text")).alias("text"))
-    keyed = texts.withColumn("content_digest", F.sha2(F.col("text").cast("binary"), 256))
+    keyed = texts.withColumn("content_digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     distinct = keyed.groupBy("content_digest").agg(F.any_value("text").alias("text"))
     missing = distinct.join(read_cache(spark, cache_path, version), "content_digest", "left_anti")
-    counted = missing.select("content_digest", "text").mapInArrow(_encode(shared, version), "content_digest string, n_tokens long")
+    counted = missing.select("content_digest", "text").mapInArrow(_encode(shared, version), "content_digest binary, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     facts = keyed.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    known = read_cache(spark, cache_path, version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     # written apart from the join, so that a digest of very many documents can be split in it
-    done = facts.join(checkpointed(read_cache(spark, cache_path, version)), "content_digest")
+    done = facts.join(checkpointed(known), "content_digest")
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -16,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+from pressloom.llm.storage import checkpointed
+
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
+_ADDRESS = r"^(?:[0-9.]*|\[.*)$"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 REMOVE = "remove"
 
@@ -27,12 +30,15 @@ def url_host(url: Column) -> Column:
 
 
 def url_keys(url: Column) -> Column:
-    """``array<struct<rank, key>>`` that entries may name: parent domains from two labels on (their number of labels), host (100), host and first path segment (101)."""
+    """``array<struct<rank, key>>`` that entries may name: parent domains from two labels on (their number of labels), host (100), host and first path segment (101).
+
+    Hosts that are addresses, dotted numbers or in brackets, have no parent domains.
+    """
     host = url_host(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))), lambda k: F.struct(k.alias("rank"), F.concat(F.lit("."), F.array_join(F.slice(labels, n - k + 1, k), ".")).alias("key")))
-    parents = F.when(n > 2, parents).otherwise(F.array().cast("array<struct<rank:int,key:string>>"))
+    parents = F.when((n > 2) & ~host.rlike(_ADDRESS), parents).otherwise(F.array().cast("array<struct<rank:int,key:string>>"))
     segment = F.coalesce(F.regexp_extract(url, _SEGMENT, 1), F.lit(""))
     own = F.when(host != "", F.array(F.struct(F.lit(100).alias("rank"), host.alias("key")))).otherwise(F.array().cast("array<struct<rank:int,key:string>>"))
     prefix = F.when((host != "") & (segment != ""), F.array(F.struct(F.lit(101).alias("rank"), F.concat(host, F.lit("/"), segment).alias("key"))))
@@ -59,12 +65,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame, bucket_days: int = 30)
     active entry, ``none`` without one or without a fetch time. An entry is
     active from its own second on, up to but not including the next's. Repeated
     captures are judged one by one; empty tables give empty or unlisted results.
+    Other columns are ignored, whatever their names. Captures and their row
+    numbers are kept in the shared folder, so that both sides of the join see the same.
     """
     width = bucket_days * 86400
     spans = validity(entries)
-    last = captures.agg(F.max("fetched_at")).first()[0]
-    first = captures.agg(F.min("fetched_at")).first()[0]
-    asked = captures.select("page_id", "url", "fetched_at", F.monotonically_increasing_id().alias("row"))
+    asked = checkpointed(captures.select("page_id", "url", "fetched_at").withColumn("row", F.monotonically_increasing_id()))
+    first, last = asked.agg(F.min("fetched_at"), F.max("fetched_at")).first()
     keyed = asked.withColumn("k", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("rank"), F.lit(None).cast("string").alias("key"))), url_keys(F.col("url")))))
     if last is None:
         spans, first, last = spans.limit(0), 0, 0
@@ -102,13 +109,13 @@ def page_list(pages: DataFrame, versions: int = 3) -> DataFrame:
 ORACLE = r"""
 WITH p AS (
   SELECT page_id, url, 1704067200 + (page_id * 7919) % 31536000 AS fetched_at, row_number() OVER () AS row,
-    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)) AS host,
     regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment
   FROM pages
 ), keys AS (
   SELECT row, 100 AS rank, host AS key FROM p WHERE host <> ''
   UNION ALL SELECT row, 101, host || '/' || segment FROM p WHERE host <> '' AND segment <> ''
-  UNION ALL SELECT row, k, '.' || array_to_string(l[len(l) - k + 1:], '.') FROM (SELECT row, string_split(host, '.') AS l, unnest(range(2, len(string_split(host, '.')))) AS k FROM p)
+  UNION ALL SELECT row, k, '.' || array_to_string(l[len(l) - k + 1:], '.') FROM (SELECT row, string_split(host, '.') AS l, unnest(range(2, len(string_split(host, '.')))) AS k FROM p WHERE NOT regexp_matches(host, '^([0-9.]*|\[.*)$'))
 ), drawn AS (
   SELECT key, md5(key || '#' || v) AS d FROM (SELECT DISTINCT key FROM keys), range(1, 4) r(v)
 ), entries AS (

@@ -19,10 +19,20 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: What some reader takes for the end of a line, and how it is written.
+LINE_ENDS = {"\r": "%0D", "\n": "%0A", "\v": "%0B", "\f": "%0C", "\x85": "%C2%85", "\u2028": "%E2%80%A8", "\u2029": "%E2%80%A9"}
+
+
 def _line(name: str, value: Column) -> Column:
     """A header line; left out for null. Line ends in a value are percent-encoded."""
-    clean = F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    return F.coalesce(F.concat(F.lit(f"{name}: "), clean, F.lit("\r\n")), F.lit(""))
+    for end, code in LINE_ENDS.items():
+        value = F.replace(value, F.lit(end), F.lit(code))
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
+
+
+def _field(header: Column, name: str, pattern: str) -> Column:
+    """What ``pattern`` finds in a header field; lines end in CR LF only, and the first field of the name counts."""
+    return F.regexp_extract(header, rf"(?<=\r\n){name}: {pattern}\r\n", 1)
 
 
 def _urn(page: Column) -> Column:
@@ -74,36 +84,50 @@ def write_archive(pages: DataFrame, path: str, least_shared: int = LEAST_SHARED)
     stored.groupBy("digest").agg(F.any_value("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
 
+def original_records(spark: SparkSession, path: str) -> DataFrame:
+    """``digest, header, record, payload``: the exact bytes of every record, revisits without their payload, and the payload they stand for.
+
+    A record whose payload is missing has null bytes.
+    """
+    stored = spark.read.parquet(f"{path}/payloads")
+    whole = spark.read.parquet(f"{path}/headers").join(stored, "digest", "left")
+    revisit = _field(F.col("header").cast("string"), "WARC-Type", r"(\w+)") == "revisit"
+    body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
+    return whole.select("digest", "header", F.concat("header", body, F.lit("\r\n\r\n").cast("binary")).alias("record"), "payload")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records with ``header, payload`` and what the header says, as they were written.
+    """``page_id, record_type, refers_to, payload_bytes, payload_digest, record`` of every record as it was written.
 
-    ``actual`` is the digest of the payload bytes read; a record whose payload is
-    missing or whose digest differs from its header's stops the read.
+    All is read off the reconstructed record bytes: the header's fields, and the
+    block of Content-Length bytes, whose payload is a response's; a revisit's
+    is the stored one of its digest. A record whose payload is missing, or whose
+    digest differs from its header's or the store's, stops the read.
     """
-    stored = spark.read.parquet(f"{path}/payloads").withColumn("actual", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    header = F.col("header").cast("string")
-    records = spark.read.parquet(f"{path}/headers").withColumns(
-        {
-            "record_type": F.regexp_extract(header, r"(?m)^WARC-Type: (\w+)", 1),
-            "page_id": F.regexp_extract(header, r"(?m)^WARC-Record-ID: <urn:page:([^>]*)>", 1).try_cast("long"),
-            "refers_to": F.regexp_extract(header, r"(?m)^WARC-Refers-To: <urn:page:([^>]*)>", 1).try_cast("long"),
-            "claimed": F.regexp_extract(header, r"(?m)^WARC-Payload-Digest: sha256:(\w+)", 1),
-        }
+    records = original_records(spark, path)
+    # a header ends in the only empty line before the block, and the block's own header in the next
+    text = F.col("header").cast("string")
+    block = F.octet_length("header") - F.octet_length(F.substring_index(text, "\r\n\r\n", 1)) - 4
+    length = _field(text, "Content-Length", "([0-9]+)").cast("int") - block
+    kind = _field(text, "WARC-Type", r"(\w+)")
+    payload = F.when(kind == "revisit", F.col("payload")).otherwise(F.substring("record", F.octet_length("header") + 1, length))
+    found = records.select(
+        _field(text, "WARC-Record-ID", "<urn:page:([^>]*)>").try_cast("long").alias("page_id"),
+        kind.alias("record_type"),
+        _field(text, "WARC-Refers-To", "<urn:page:([^>]*)>").try_cast("long").alias("refers_to"),
+        _field(text, "WARC-Payload-Digest", r"sha256:(\w+)").alias("claimed"),
+        "digest",
+        "record",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("actual"),
     )
-    whole = records.join(stored, "digest", "left")
     intact = (F.col("actual") == F.col("digest")) & (F.col("actual") == F.col("claimed"))
-    return whole.withColumn("payload_digest", F.when(intact, F.col("actual")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("string")))
-
-
-def original_records(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, record``: the exact bytes of every record, revisits without their payload."""
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
-    record = F.concat(F.col("header"), body, F.lit("\r\n\r\n").cast("binary"))
-    return read_archive(spark, path).where(F.col("payload_digest").isNotNull()).select("page_id", record.alias("record"))
+    checked = F.when(intact, F.col("actual")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("string"))
+    return found.select("page_id", "record_type", "refers_to", "payload_bytes", checked.alias("payload_digest"), "record")
 
 
 def archive_round_trip(pages: DataFrame, path: str) -> DataFrame:
-    """Write ``pages`` below ``path`` and return what the archive holds for each."""
+    """Write ``pages`` below ``path`` and return what the archive's reconstructed records hold for each."""
     write_archive(pages, path)
     return read_archive(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -108,6 +108,8 @@ def test_token_cache_is_filled_once(spark):
 def test_archive_round_trip(spark):
     big = "<p>é</p>" * 40
     rows = [(5, "http://a/x", big), (2, "http://a/y\r\nX: 1", big), (9, None, big), (1, "u", "small"), (3, "u", "small"), (4, "u", None), (2, "http://a/y\r\nX: 1", big), (None, "n", big)]
+    # line ends of all kinds and look-alike fields within addresses
+    rows += [(20 + k, f"http://a/{end}WARC-Refers-To: <urn:page:77>{end}WARC-Payload-Digest: sha256:abc{end}{end}WARC-Type: revisit", f"long payload {k} " * 20) for k, end in enumerate(["\r\n", "\r", "\n", "\u2028", "\u2029", "\x85", "\x0b", "\x0c", ""])]
     pages = spark.createDataFrame([(i, u, h, "e") for i, u, h in rows], "page_id long, url string, html string, digest string")
     path = new_folder(spark, "archive")
     got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages, path).collect()}
@@ -115,16 +117,18 @@ def test_archive_round_trip(spark):
     size = len(big.encode())
     assert got == {(2, size, digest(big), "response", None), (1, 5, digest("small"), "response", None), (3, 5, digest("small"), "response", None), (4, 0, digest(""), "response", None)} | {
         (i, size, digest(big), "revisit", 2) for i in (5, 9, None)
-    }
-    assert spark.read.parquet(f"{path}/payloads").count() == 3
-    records = {r.page_id: bytes(r.record) for r in warc.original_records(spark, path).collect()}
+    } | {(i, len(h), digest(h), "response", None) for i, _, h in rows[8:]}
+    assert spark.read.parquet(f"{path}/payloads").count() == 12
+    read = warc.read_archive(spark, path).collect()
+    assert len(read) == len(rows) and [r.page_id for r in read].count(2) == 2
+    records = {r.page_id: bytes(r.record) for r in read}
     for page, record in records.items():
         head, _, block = record.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         assert head.startswith(b"WARC/1.1\r\n") and block.endswith(b"\r\n\r\n")
         assert int(fields["Content-Length"]) == len(block) - 4
         payload = block[:-4].partition(b"\r\n\r\n")[2]
-        assert payload == (b"" if fields["WARC-Type"] == "revisit" else {2: big, 1: "small", 3: "small", 4: ""}[page].encode())
+        assert payload == (b"" if fields["WARC-Type"] == "revisit" else dict((i, h or "") for i, _, h in rows)[page].encode())
     empty = new_folder(spark, "archive")
     assert warc.archive_round_trip(pages.limit(0), empty).count() == 0
     spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"changed")).write.parquet(f"{empty}x/payloads")
@@ -256,6 +260,15 @@ def test_digit_permutations_are_one_to_one(spark, digits):
     assert sorted(got) == [str(i).zfill(digits) for i in range(10**digits)]
 
 
+def test_list_ties_addresses_and_clashing_columns(spark):
+    entries = [("10.0.0.1", "allow", 5), ("10.0.0.1", "block", 5), (".0.1", "allow", 0), ("[::1]", "block", 0), (".b.com", "allow", 0), (".a.b.com", "block", 9)]
+    listed = spark.createDataFrame([(*e, "v") for e in entries], "key string, action string, listed_at long, rank string")
+    captures = [("http://10.0.0.1/x", 5, "block"), ("http://10.0.0.1/x", 4, "none"), ("http://[::1]:80/y", 1, "block"), ("http://x.a.b.com", 9, "block"), ("http://x.a.b.com", 8, "allow")]
+    pages = spark.createDataFrame([(1, u, t, 7, "w") for u, t, _ in captures], "page_id long, url string, fetched_at long, row int, verdict string")
+    got = url_filters.filter_urls(pages.repartition(3, "url"), listed).collect()
+    assert sorted((r.url, r.fetched_at, r.verdict) for r in got) == sorted(captures)
+
+
 def test_list_entries_hold_between_their_dates(spark):
     day = 86400
     entries = [("bad.com", "block", 10 * day), ("bad.com", "remove", 50 * day), ("bad.com", "allow", 400 * day), (".example.org", "block", 0), ("a.example.org/ok", "allow", 5 * day), ("x", None, 1)]
