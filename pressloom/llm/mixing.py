@@ -7,6 +7,11 @@ cumulative demand. A source's documents lie in a fixed shuffled order along
 its words; a document's middle word, once per pass over the source, is met at
 the time when demand reaches it, which is its training position. Passes whose
 middle lies beyond the target are not taken.
+
+A position is a time between 0, the begin of training, and 1, its end. All
+sources share this time: at time t each is drawn at its target times its rate at
+t over its whole, so that their shares at t follow from these. The sum over the
+sources need not be constant; equal spans of time hold about equal words only if it is.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql import functions as F
 
 from pressloom.llm.storage import checkpointed
 
+#: Words of a source are summed in hash ranges; while one has more rows than this, all are cut finer, up to ``MOST_DIGITS``.
+RANGE_ROWS, MOST_DIGITS = 200_000, 6
 #: (time, rate) knots of linear schedules, dealt to the sources in turn like the weights: fading, steady, growing.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 WEIGHTS = (3, 1, 2)
@@ -50,11 +57,11 @@ def source_targets(sized: DataFrame, weights: Sequence[int], budget: float, max_
     weight until none is above. Sources go by code point, null last. One row
     per source passes the window, never a document.
     """
-    sizes = sized.groupBy("_null", "_source").agg(F.sum("_size").alias("source_size"))
-    first = F.row_number().over(Window.orderBy("_null", "_source")) - 1
+    sizes = sized.groupBy("null", "source").agg(F.sum("size").alias("source_size"))
+    first = F.row_number().over(Window.orderBy("null", "source")) - 1
     turns = F.array(*[F.lit(int(w)) for w in weights])
     ranked = sizes.withColumn("turn", first % len(weights)).withColumn("weight", turns[F.col("turn")]).withColumn("cap", F.col("source_size") * max_repeat)
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), "_null", "_source")
+    fill = Window.orderBy(F.col("cap") / F.col("weight"), "null", "source")
     earlier = fill.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     left = F.lit(budget) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(earlier), F.lit(0))
@@ -63,42 +70,52 @@ def source_targets(sized: DataFrame, weights: Sequence[int], budget: float, max_
     levelled = levelled.withColumn("at", F.row_number().over(fill))
     level = F.min(F.when(~F.col("capped"), F.struct("at", "level"))).over(every)["level"]
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))
-    return levelled.select("_null", "_source", "turn", "source_size", target.alias("target"))
+    return levelled.select("null", "source", "turn", "source_size", target.alias("target"))
+
+
+def shuffle_key(seed: str, row_id: Column, text: Column) -> Column:
+    """A hash that orders rows by id and text; rows that share an id, or have none, are spread by their texts."""
+    content = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), content).cast("binary"))
 
 
 def mix_sources(
     rows: DataFrame,
     size: Column,
-    source: Column | None = None,
-    id_col: str = "doc_id",
+    source: Column,
+    order: Column,
     weights: Sequence[int] = WEIGHTS,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     budget: float = 1.5,
     max_repeat: int = 2,
-    seed: str = "mix-1",
 ) -> DataFrame:
-    """``rows`` with ``size, source_size, target, copies, positions``.
+    """``row, size, source_size, target, copies, positions``; ``row`` is a struct of all columns of a row.
 
     ``copies`` (0 to ``max_repeat``) is how often the mix takes the row and
-    ``positions`` the training time of each copy. The order within a source is
-    by hash of the id and then of the row; a source is cut into 4096 hash ranges whose sums give
-    each range its start, so no source is ever in one task. Null source is a
-    source of its own; null or empty texts have size 0. Empty in, empty out.
+    ``positions`` the training time of each copy. Rows of a source lie in the
+    order of ``order``, a hexadecimal hash such as `shuffle_key`, ties by their
+    size and a hash of the row; rows equal in all are interchangeable. A source
+    is cut into ranges of that hash, whose sums give each range its start, so
+    no source is ever in one task. Null source is a source of its own; null or
+    empty texts have size 0. Columns of ``rows`` may have any names, as they
+    stay within ``row``. Empty in, empty out.
     """
-    source = F.col("source") if source is None else source
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    keyed = rows.withColumns(
-        {"_size": size, "_null": source.isNull(), "_source": F.coalesce(source.cast("string"), F.lit("")), "_order": order, "_row": F.xxhash64(*rows.columns)}
-    ).withColumn("_range", F.substring("_order", 1, 3))
-    facts = checkpointed(keyed.groupBy("_null", "_source", "_range").agg(F.sum("_size").alias("_size")))
+    keyed = rows.select(F.struct("*").alias("row"), size.alias("size"), source.isNull().alias("null"), F.coalesce(source.cast("string"), F.lit("")).alias("source"), order.alias("order"))
+    digits = 3
+    while True:
+        ranged = keyed.withColumn("range", F.substring("order", 1, digits))
+        facts = checkpointed(ranged.groupBy("null", "source", "range").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+        if digits == MOST_DIGITS or (facts.agg(F.max("rows")).first()[0] or 0) <= RANGE_ROWS:
+            break
+        digits += 1
     targets = source_targets(facts, weights, budget, max_repeat)
-    before = Window.partitionBy("_null", "_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = facts.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size").join(targets, ["_null", "_source"])
-    key = ["_null", "_source", "_range"]
-    within = Window.partitionBy(*key).orderBy("_order", id_col, "_row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.join(starts, key).withColumn("_middle", F.col("_start") + F.sum("_size").over(within) - F.col("_size") / 2)
-    middles = F.transform(F.sequence(F.lit(0), F.lit(max_repeat - 1)), lambda k: k * F.col("source_size") + F.col("_middle"))
-    placed = placed.withColumn("_taken", F.filter(middles, lambda m: m < F.col("target")))
+    before = Window.partitionBy("null", "source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = facts.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size", "rows").join(targets, ["null", "source"])
+    key = ["null", "source", "range"]
+    within = Window.partitionBy(*key).orderBy("order", "size", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(starts, key).withColumn("middle", F.col("start") + F.sum("size").over(within) - F.col("size") / 2)
+    middles = F.transform(F.sequence(F.lit(0), F.lit(max_repeat - 1)), lambda k: k * F.col("source_size") + F.col("middle"))
+    placed = placed.withColumn("taken", F.filter(middles, lambda m: m < F.col("target")))
 
     def position(m: Column) -> Column:
         share, out = m / F.col("target"), None
@@ -107,27 +124,29 @@ def mix_sources(
             out = F.when(F.col("turn") == turn, time) if out is None else out.when(F.col("turn") == turn, time)
         return out
 
-    done = placed.withColumns({"size": F.col("_size"), "copies": F.size("_taken"), "positions": F.transform("_taken", position)})
-    return done.drop("_size", "_null", "_source", "_order", "_row", "_range", "_start", "_middle", "_taken", "turn")
+    return placed.select("row", "size", "source_size", "target", F.size("taken").alias("copies"), F.transform("taken", position).alias("positions"))
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per taken copy with its ``position``, range-sorted by it."""
-    copies = mixed.withColumn("position", F.explode("positions"))
-    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    """``row, position`` of every taken copy, range-sorted by position; ties by a hash of the row."""
+    copies = mixed.select("row", F.explode("positions").alias("position"))
+    tie = F.xxhash64("row")
+    return copies.repartitionByRange(F.col("position"), tie).sortWithinPartitions(F.col("position"), tie)
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken, first_position`` of every row, by first position."""
-    sized = checkpointed(documents.select("doc_id", "source", word_count(F.col("text")).alias("words")))
-    mixed = mix_sources(sized, F.col("words"))
-    out = mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
+    text = F.col("text")
+    sized = checkpointed(documents.select("doc_id", "source", word_count(text).alias("words"), shuffle_key("mix-1", F.col("doc_id"), text).alias("order")))
+    mixed = mix_sources(sized, F.col("words"), F.col("source"), F.col("order"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    out = mixed.select("row.doc_id", "size", "source_size", "target", taken, F.round(F.get("positions", F.lit(0)), 9).alias("first_position"))
     return out.orderBy("first_position", "doc_id")
 
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS o FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -142,7 +161,7 @@ WITH sized AS (
 ), targets AS (
   SELECT *, CASE WHEN level * weight >= cap THEN cap::DOUBLE ELSE (SELECT arg_min(level, rk) FROM levelled WHERE level * weight < cap) * weight END AS target FROM levelled
 ), placed AS (
-  SELECT doc_id, size, source_size, target, turn, sum(size) OVER (PARTITION BY s.source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+  SELECT doc_id, size, source_size, target, turn, sum(size) OVER (PARTITION BY s.source ORDER BY o, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), shared AS (
   SELECT *, CASE WHEN middle < target THEN middle / target END AS u FROM placed

@@ -4,7 +4,8 @@ Card numbers that pass the Luhn check, North American telephone numbers, IPv4
 addresses, social security numbers and calendar dates are found, validated and
 permuted under a key within their own format: the pseudonym of a card is a
 number of the same length and spacing that passes the check, that of a date is a
-date. Cards are looked for in what the other kinds leave, printed groups before
+date. Who does not have the key can neither undo nor repeat it, as the rounds are
+keyed digests (HMAC-SHA256). Cards are looked for in what the other kinds leave, printed groups before
 others and the longest first, at every border of a run of digits that spaces and hyphens divide, so that other
 numbers beside a card do not hide it. Dates are year-month-day with hyphens,
 slashes or dots, day.month.year, and month/day/year, or day/month/year where the
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.permutation import keyed, let, permuted, permuted_among
+from pressloom.llm.permutation import let, permuted, permuted_among, secret_rounds
 
 _EDGE, _END = r"(?<![0-9A-Za-z_+-])(?<![0-9]\.)", r"(?![0-9A-Za-z_]|[.-][0-9])"
 PHONE = r"\+?1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2}[ -][0-9]{4}"
@@ -65,17 +66,18 @@ def _refilled(pattern: Column, digits: Column) -> Column:
     return let(digits, lambda new: F.array_join(F.transform(F.sequence(F.lit(1), F.length(pattern)), lambda i: place(new, i)), ""))
 
 
-def permuted_digits(digits: Column, key: str) -> Column:
+def permuted_digits(digits: Column, key: bytes, purpose: str) -> Column:
     """A keyed permutation of the digit strings of each length from 2 to 30, leading zeros kept."""
     n = F.length(digits)
     left = F.floor(n / 2)
+    draw = secret_rounds(key, purpose, 14)
     scale = lambda k: F.pow(F.lit(10.0), k).cast("long")
 
     def step(state: Column, i: Column) -> Column:
         a, b = state["a"], state["b"]
         mark = lambda x: F.concat(n.cast("string"), F.lit(":"), i.cast("string"), F.lit(":"), x.cast("string"))
-        even = F.struct(F.pmod(a + keyed(key, F.lit(0), mark(b), 14), scale(left)).alias("a"), b.alias("b"))
-        odd = F.struct(a.alias("a"), F.pmod(b + keyed(key, F.lit(1), mark(a), 14), scale(n - left)).alias("b"))
+        even = F.struct(F.pmod(a + draw(F.lit(0), mark(b)), scale(left)).alias("a"), b.alias("b"))
+        odd = F.struct(a.alias("a"), F.pmod(b + draw(F.lit(1), mark(a)), scale(n - left)).alias("b"))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
     halves = F.struct(F.substring(digits, F.lit(1), left.cast("int")).cast("long").alias("a"), F.substring(digits, (left + 1).cast("int"), (n - left).cast("int")).cast("long").alias("b"))
@@ -94,38 +96,45 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
-def _card(value: Column, key: str) -> Column:
+def _card(value: Column, key: bytes) -> Column:
     digits = _digits(value)
-    body = let(F.substring(digits, F.lit(1), F.length(digits) - 1), lambda x: permuted_digits(x, key + ":card"))
+    body = let(F.substring(digits, F.lit(1), F.length(digits) - 1), lambda x: permuted_digits(x, key, "card"))
     return _refilled(value, let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(x, 1), F.lit(10)).cast("string"))))
 
 
-def _phone(value: Column, key: str) -> Column:
+def _phone(value: Column, key: bytes) -> Column:
     """Valid numbers, whose area and exchange codes begin with 2 to 9, stay valid; the others of this format stay others."""
     digits = _digits(value)
     local = F.substring(digits, F.length(digits) - 9, F.lit(10)).cast("long")
     valid = lambda x: (x >= 2_000_000_000) & (x % 10_000_000 >= 2_000_000)
-    number = permuted_among(local, 10**10, key + ":phone", lambda x: valid(x) == valid(local))
+    number = permuted_among(local, 10**10, secret_rounds(key, "phone"), lambda x: valid(x) == valid(local))
     return _refilled(value, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), F.lpad(number.cast("string"), 10, "0")))
 
 
-def _address(value: Column, key: str) -> Column:
-    number = F.aggregate(F.split(value, r"\."), F.lit(0).cast("long"), lambda total, part: total * 256 + part.cast("long"))
-    return let(permuted(number, 1 << 32, key + ":address"), lambda x: F.concat_ws(".", *[(F.shiftright(x, s) % 256).cast("string") for s in (24, 16, 8, 0)]))
+def _address(value: Column, key: bytes) -> Column:
+    """The same address becomes the same; parts written with leading zeros keep their width."""
+    parts = F.split(value, r"\.")
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda total, part: total * 256 + part.cast("long"))
+
+    def written(new: Column) -> Column:
+        plain = F.array(*[(F.shiftright(new, s) % 256).cast("string") for s in (24, 16, 8, 0)])
+        return F.array_join(F.zip_with(plain, parts, lambda x, old: F.when(old.rlike("^0."), F.lpad(x, F.greatest(F.length(x), F.length(old)), F.lit("0"))).otherwise(x)), ".")
+
+    return let(permuted(number, 1 << 32, secret_rounds(key, "address")), written)
 
 
 def _day(value: Column, form: str) -> Column:
     return F.datediff(F.try_to_date(value, form), F.lit(FIRST_DAY).cast("date")).cast("long")
 
 
-def _date(value: Column, key: str) -> Column:
+def _date(value: Column, key: bytes) -> Column:
     """The same day becomes the same day in all formats but day/month/year, whose days stay above 12."""
     written = lambda number: F.date_add(F.lit(FIRST_DAY).cast("date"), number.cast("int"))
     late = lambda number: (number < DAYS) & (F.dayofmonth(written(number)) > 12)
     out = F.when(F.lit(False), value)
     for form, pattern in DATES.items():
         day = _day(value, form)
-        new = permuted_among(day, DAYS, key + ":late", late) if form == "dd/MM/yyyy" else permuted(day, DAYS, key + ":date")
+        new = permuted_among(day, DAYS, secret_rounds(key, "late"), late) if form == "dd/MM/yyyy" else permuted(day, DAYS, secret_rounds(key, "date"))
         out = out.when(value.rlike(f"^{pattern}$"), F.date_format(written(new), form))
     return out
 
@@ -145,7 +154,7 @@ def _kind(value: Column) -> Column:
     )
 
 
-def _social(value: Column, key: str) -> Column:
+def _social(value: Column, key: bytes) -> Column:
     """Area 1-899 without 666, group 1-99 and serial 1-9999 stay in their ranges."""
     area, group, serial = (F.substring(value, a, b).cast("long") for a, b in ((1, 3), (5, 2), (8, 4)))
     area = F.when(area > 666, area - 2).otherwise(area - 1)
@@ -156,10 +165,10 @@ def _social(value: Column, key: str) -> Column:
         new = F.when(new >= 665, new + 2).otherwise(new + 1)
         return F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((rest % 99 + 1).cast("string"), 2, "0"), F.lpad((number % 9999 + 1).cast("string"), 4, "0"))
 
-    return let(permuted((area * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key + ":social"), written)
+    return let(permuted((area * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, secret_rounds(key, "social")), written)
 
 
-def _pseudonym(value: Column, kind: Column, key: str) -> Column:
+def _pseudonym(value: Column, kind: Column, key: bytes) -> Column:
     makers = {"card": _card, "phone": _phone, "address": _address, "date": _date, "social": _social}
     out = F.when(kind.isNull(), value)
     for name, make in makers.items():
@@ -188,13 +197,15 @@ def _pieces(text: Column) -> Column:
     return F.when(text.rlike(CARD), F.aggregate(shapes, whole(text), step)).otherwise(whole(text))
 
 
-def pseudonymise(documents: DataFrame, key: str = "pseudonyms-1", text_col: str = "text") -> DataFrame:
-    """``documents`` with ``text_col`` rewritten, and ``n_numbers`` and ``n_dates`` replaced in it.
+def pseudonymise(documents: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """``documents`` with ``text_col`` rewritten under the secret ``key``, and ``n_numbers`` and ``n_dates`` replaced in it.
 
-    Null and empty texts stay as they are, with zeros. Addresses with leading
-    zeros lose them. Rows are independent, so there is no shuffle; texts of any
+    Null and empty texts stay as they are, with zeros; repeated rows are
+    rewritten alike. Rows are independent, so there is no shuffle; texts of any
     length are handled whole. Existing columns of the two names are replaced.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
     text = F.col(text_col)
     hit = F.coalesce(text.rlike("[0-9]") & (text.rlike(FOUND) | text.rlike(CARD)), F.lit(False))
     match = lambda m: F.array(F.struct(m.alias("value"), _kind(m).alias("kind")))

@@ -20,15 +20,15 @@ def shard_rows(rows: DataFrame, shards: int, order: list[Column] | None = None,
     """``rows`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in every shard).
 
     ``order`` defines the row numbers, by default ``doc_id`` and then a hash of
-    all columns; rows equal in it are interchangeable. Null keys come first. An
+    all columns but maps; rows equal in it are interchangeable. Null keys come first. An
     empty table gives an empty one. Existing columns named shard or slot are replaced.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    order = order or [F.col("doc_id"), F.xxhash64(*rows.columns)]
-    placed, n = numbered(rows.drop("shard", "slot"), order, "_number")
-    place = placed.withColumn("_place", permuted(F.col("_number"), n, key))
-    return place.withColumn("shard", F.pmod("_place", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("_place") / shards).cast("long")).drop("_number", "_place")
+    rows = rows.drop("shard", "slot")
+    placed, n = numbered(rows, order or [F.col("doc_id"), F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()])])
+    place = placed.select("row", permuted(F.col("number"), n, key).alias("place"))
+    return place.select("row.*", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
 
 
 def shard_documents(documents: DataFrame, shards: int = 16, key: str = KEY) -> DataFrame:

@@ -100,3 +100,46 @@ def test_empty_tables_pass(spark, folder, stage):
     path, _, _ = folder
     none = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     assert stage[1](spark, none, path).count() == 0
+
+
+CLASHING = DOCS + ", size int, target double, position string, row string, _h1 long, _key int, mark int, kept int, score double, slot string"
+
+
+def test_null_and_repeated_ids_ties_and_clashing_columns(spark, folder):
+    """Rows are told apart by what they hold, ids or not, and other columns pass unchanged."""
+    path, rows, items = folder
+    rng = random.Random(3)
+    other = (5, 0.5, "p", "r", 9, 8, 7, 6, 0.25, "z")
+    words = [f"n{i}" for i in range(300)]
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    copy, second, third, long = plain(60), plain(60), plain(60), plain(30_000)
+    dirty = items[0][1]
+    bad = "vile nasty awful " + plain(10)
+    texts = [(None, copy), (None, copy), (3, copy), (3, copy), (3, second), (None, second), (None, third), (None, third + "!"), (4, long), (5, long + " end")]
+    texts += [(6, dirty), (6, plain(80)), (None, dirty), (7, bad), (7, plain(70)), (None, None), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "xx", "a", 1, *other) for i, t in texts], CLASHING)
+    stages = dict(corpus_pipeline.STAGES)
+    pick = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+    tail = lambda frame: {tuple(r)[5:] for r in frame.collect()}
+
+    known = spark.createDataFrame([(*r, *other) for r in rows], CLASHING)  # rows to learn from
+    kept = stages["toxicity"](spark, docs.unionByName(known), path).where("lang = 'xx'")
+    assert pick(kept) == sorted([x for x in texts if x[1] != bad], key=str) and tail(kept) == {other}
+
+    single = stages["ngram_jaccard_join"](spark, docs, path)
+    expected = [(3, copy), (3, second), (4, long), (6, dirty), texts[11], (7, bad), texts[14], (None, None), (8, "")]
+    got = pick(single)
+    assert single.columns == docs.columns and tail(single) == {other}
+    assert [x for x in got if x in expected] == sorted(expected, key=str)
+    rest = [x for x in got if x not in expected]
+    assert len(rest) == 1 and rest[0] in ((None, third), (None, third + "!"))
+
+    clean = stages["benchmark_decontamination"](spark, docs, path)
+    assert pick(clean) == sorted([x for x in texts if x[1] != dirty], key=str) and tail(clean) == {other}
+
+    mixed = stages["source_mixing"](spark, docs, path)
+    assert mixed.columns == docs.columns and tail(mixed) == {other} and not set(pick(mixed)) - set(texts)
+
+    final = stages["sharding"](spark, docs, path).collect()
+    assert len(final) == len(texts) and {(r.size, r.row, r._h1, r.score) for r in final} == {(5, "r", 9, 0.25)}
+    assert len({(r.shard, r.slot) for r in final}) == len(texts)

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pressloom.llm.mixing import SCHEDULES, demand_time, mix_documents, mix_sources, training_order, word_count
+from pressloom.llm.mixing import SCHEDULES, demand_time, mix_documents, mix_sources, shuffle_key, training_order, word_count
 from pressloom.llm.permutation import permuted
 from pressloom.llm.sharding import shard_documents, shard_rows
 
@@ -30,7 +30,8 @@ def test_shards_are_even_gapless_and_repeatable(spark):
     assert {(r.size, r.text_crc32) for r in got if r.doc_id == 3} == {(1, 0)}
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, shard_documents(frame.repartition(9)).collect()), key=str)
     whole = shard_rows(frame, 4)
-    assert whole.columns[:3] == ["doc_id", "text", "source"] and whole.count() == 103
+    assert whole.columns == ["doc_id", "text", "source", "_part", "slot", "shard"] or whole.columns == ["doc_id", "text", "source", "_part", "shard", "slot"]
+    assert whole.count() == 103 and whole.where("_part = 1").count() == 102
     assert shard_rows(frame.limit(0), 4).count() == 0
 
 
@@ -51,11 +52,35 @@ def test_mix_meets_the_targets(spark):
     for s, t in target.items():
         assert t <= 2 * size[s] + 1e-6 and abs(taken[s] - t) <= 37
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix_documents(frame.repartition(5)).collect()), key=str)
-    copies = training_order(mix_sources(frame, word_count(F.col("text")))).collect()
-    assert sum(r.size for r in copies) == sum(taken.values())
+    mixed = mix_sources(frame, word_count(F.col("text")), F.col("source"), shuffle_key("mix-1", F.col("doc_id"), F.col("text")))
+    copies = training_order(mixed).collect()
+    assert sum(len((r.row.text or "").split()) for r in copies) == sum(taken.values())
+    assert all(0 <= r.position <= 1 for r in copies)
     assert mix_documents(frame.limit(0)).count() == 0
 
 
+def test_mix_of_null_and_repeated_ids_and_clashing_columns(spark, monkeypatch):
+    from pressloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    rows = [(None, f"w{i} " * (i % 5), "a", 1.5, 2, 3, "p", "r") for i in range(200)] + [(7, "x y", "b", 1.5, 2, 3, "p", "r")] * 30
+    rows += [(8, "long " * 50_000, "b", 1.5, 2, 3, "p", "r"), (9, None, None, 1.5, 2, 3, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, target double, size int, copies int, position string, row string")
+    mixed = mix_sources(frame, word_count(F.col("text")), F.col("source"), shuffle_key("s", F.col("doc_id"), F.col("text"))).collect()
+    assert len(mixed) == len(rows) and {r.row.target for r in mixed} == {1.5} and {r.row.copies for r in mixed} == {3}
+    size, taken, target = Counter(), Counter(), {}
+    for r in mixed:
+        assert r.size == len((r.row.text or "").split()) and r.copies <= 2
+        size[r.row.source] += r.size
+        taken[r.row.source] += r.size * r.copies
+        target[r.row.source] = r.target
+    assert all(target[s] <= 2 * size[s] for s in size) and abs(taken["a"] - target["a"]) <= 4
+    # a document that is most of its source is taken as often as its middle lies below the target
+    assert taken["b"] <= 2 * size["b"] and abs(taken["b"] - target["b"]) <= 25_000
+    again = mix_sources(frame.repartition(7), word_count(F.col("text")), F.col("source"), shuffle_key("s", F.col("doc_id"), F.col("text"))).collect()
+    assert sorted((str(r.row), r.copies, str(r.positions)) for r in again) == sorted((str(r.row), r.copies, str(r.positions)) for r in mixed)
+
+
 @pytest.mark.parametrize("knots", SCHEDULES)
 def test_demand_is_inverted(spark, knots):
     shares = [i / 20 for i in range(21)]

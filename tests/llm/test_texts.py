@@ -1,4 +1,7 @@
+import datetime
 import hashlib
+import hmac
+import math
 import random
 import re
 from collections import Counter
@@ -13,6 +16,9 @@ from pressloom.llm.storage import new_folder
 from pressloom.llm.words import hash_words, text_buffers
 
 
+KEY = b"a key of the tests"
+
+
 def words(text):
     text = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
@@ -76,6 +82,48 @@ def test_toxicity_learns_words_and_keeps_held_out_labels(spark):
     assert toxicity.toxicity(docs.limit(0), known).count() == 0
 
 
+def brute_force_ftrl(texts, labels, epochs, alpha, beta, l1, l2, positive_weight):
+    """FTRL-proximal over the named features themselves, number by number."""
+
+    def features(text):
+        w = [x.decode() for x in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())]
+        return {("1", x) for x in w} | {("2", *p) for p in zip(w, w[1:])} | {("s", *p) for p in zip(w, w[2:])}
+
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        if f != "bias" and abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - math.copysign(l1 if f != "bias" else 0.0, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    rows = [(features(t) | {"bias"}, y) for t, y in zip(texts, labels)]
+    for _ in range(epochs):
+        for own, y in rows:
+            w = {f: weight(f) for f in own}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (positive_weight if y else 1)
+            for f in own:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                n[f] += g * g
+    return lambda text: 1 / (1 + math.exp(-sum(weight(f) for f in features(text) | {"bias"})))
+
+
+def test_learning_against_brute_force(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randrange(1, 30))) for _ in range(60)]
+    labels = [int("ax" in t) for t in texts]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (4, texts[4])]  # repeated rows are learnt once
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id long, label int")
+    settings = {"epochs": 3, "alpha": 0.5, "beta": 1.0, "l1": 0.4, "l2": 0.1, "positive_weight": 2.0}
+    model = toxicity.fit_toxicity(docs, known, bits=24, **settings)
+    place = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40))).collect()}
+    order = sorted(range(60), key=lambda i: (place[i], i))
+    expected = brute_force_ftrl([texts[i] for i in order], [labels[i] for i in order], **settings)
+    unseen = spark.createDataFrame([(i, t) for i, t in rows] + [(99, "ax by new"), (98, ""), (97, "ax " * 20_000)], "doc_id long, text string")
+    for r in toxicity.score_toxicity(unseen, model, 24).join(unseen.dropDuplicates(["doc_id"]), "doc_id").collect():
+        assert abs(r.score - expected(r.text)) < 1e-5
+
+
 def test_beginnings_of_words_join_inflected_forms():
     whole, counts = hash_words(*text_buffers(pa.array(["Nastily nasty nastier", "no", None, "nast"])))
     begun, same = hash_words(*text_buffers(pa.array(["Nastily nasty nastier", "no", None, "nast"])), 5)
@@ -203,7 +251,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
         (7, ("é " * 50_000) + "2000-01-01"),
     ]
     frame = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, n_dates string")
-    got = {r.doc_id: r for r in pii.pseudonymise(frame).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(frame, KEY).collect()}
     old = dict(rows)
 
     def valid(number):
@@ -218,7 +266,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
     for i in (3, 4, 5, 6):
         assert got[i].text == old[i] and got[i].n_numbers == 0
     assert got[7].n_dates == 1 and len(got[7].text) == len(old[7])
-    assert pii.pseudonymise(frame.limit(0)).count() == 0
+    assert pii.pseudonymise(frame.limit(0), KEY).count() == 0
 
 
 def test_numbers_beside_a_card_do_not_hide_it(spark):
@@ -237,7 +285,7 @@ def test_numbers_beside_a_card_do_not_hide_it(spark):
         "2024/02/29 29.02.2024 02/29/2024 29/02/2024",
     ]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [(r.text, r.n_numbers, r.n_dates) for r in pii.pseudonymise(rows).orderBy("doc_id").collect()]
+    got = [(r.text, r.n_numbers, r.n_dates) for r in pii.pseudonymise(rows, KEY).orderBy("doc_id").collect()]
     assert [g[1:] for g in got] == [(1, 0)] * 5 + [(2, 0), (3, 1), (1, 1), (2, 0), (3, 0), (0, 4)]
     new = got[0][0].removesuffix(" 12/27")
     plain = new.replace(" ", "")
@@ -253,10 +301,78 @@ def test_numbers_beside_a_card_do_not_hide_it(spark):
     assert 13 <= int(late[:2]) <= 31 and late != "29/02/2024"
 
 
+def drawn(purpose, step, value, digits=8):
+    return int(hmac.new(KEY, f"{purpose}:{step}:{value}".encode(), "sha256").hexdigest()[:digits], 16)
+
+
+def walked(x, square, purpose, accept):
+    """The permutation by numbers alone."""
+    half = math.isqrt(square - 1) + 1
+    while True:
+        left, right = divmod(x, half)
+        for i in range(1, 5):
+            left, right = right, (left + drawn(purpose, i, right)) % half
+        x = left * half + right
+        if accept(x):
+            return x
+
+
+def below(x, n, purpose):
+    return walked(x, (math.isqrt(n - 1) + 1) ** 2, purpose, lambda y: y < n)
+
+
+def rewritten(text):
+    """Brute-force rewriting of texts that hold well-formed values between spaces."""
+    first, out = datetime.date(1900, 1, 1), []
+    for token in text.split(" "):
+        digits = re.sub("[^0-9]", "", token)
+        if re.fullmatch(r"\d{4}-\d\d-\d\d", token):
+            day = (datetime.date.fromisoformat(token) - first).days
+            token = str(first + datetime.timedelta(below(day, 73049, "date")))
+        elif re.fullmatch(r"\d+\.\d+\.\d+\.\d+", token):
+            old = token.split(".")
+            new = below(int.from_bytes(bytes(map(int, old))), 1 << 32, "address").to_bytes(4)
+            token = ".".join(str(b).zfill(len(o)) if re.match("0.", o) else str(b) for b, o in zip(new, old))
+        elif re.fullmatch(r"\d{3}-\d\d-\d{4}", token):
+            area, group, serial = map(int, token.split("-"))
+            n = below(((area - (2 if area > 666 else 1)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, "social")
+            area = n // 9999 // 99
+            token = f"{area + (2 if area >= 665 else 1):03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}"
+        elif re.fullmatch(r"\d{3}-\d{3}-\d{4}", token):
+            valid = lambda x: x >= 2_000_000_000 and x % 10_000_000 >= 2_000_000
+            n = str(walked(int(digits), 10**10, "phone", lambda y: y < 10**10 and valid(y) == valid(int(digits)))).zfill(10)
+            token = f"{n[:3]}-{n[3:6]}-{n[6:]}"
+        elif re.fullmatch(r"\d{16}", token):
+            n, a, b = 15, int(digits[:7]), int(digits[7:15])
+            for i in range(1, 9):
+                if i % 2 == 0:
+                    a = (a + drawn("card", 0, f"{n}:{i}:{b}", 14)) % 10**7
+                else:
+                    b = (b + drawn("card", 1, f"{n}:{i}:{a}", 14)) % 10**8
+            body = f"{a:07}{b:08}"
+            total = sum(sum(divmod(int(c) * (2 if k % 2 == 0 else 1), 10)) for k, c in enumerate(reversed(body)))
+            token = body + str(-total % 10)
+        out.append(token)
+    return " ".join(out)
+
+
+def test_rewriting_against_brute_force(spark):
+    texts = [
+        "on 2024-02-29 from 10.0.0.255 and 010.000.000.255 by 4111111111111111",
+        "078-05-1120 called 212-555-0123 or 988-555-2485 on 1999-12-31",
+        "5500005555555559 4012888888881881 8.8.8.8 899-99-9999 001-01-0001 2099-12-31 1900-01-01",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((i, rewritten(t)) for i, t in rows), key=str)
+    other = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"another").collect()
+    assert not {r.text for r in other} & {r.text for r in got}
+
+
 @pytest.mark.parametrize("digits", [2, 3, 4])
 def test_digit_permutations_are_one_to_one(spark, digits):
     frame = spark.range(10**digits).select(F.lpad(F.col("id").cast("string"), digits, "0").alias("d"))
-    got = [r[0] for r in frame.select(pii.permuted_digits(F.col("d"), "k")).collect()]
+    got = [r[0] for r in frame.select(pii.permuted_digits(F.col("d"), KEY, "d")).collect()]
     assert sorted(got) == [str(i).zfill(digits) for i in range(10**digits)]
 
 
