@@ -1,10 +1,12 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
-A document that holds a window holds all of its words, so one necessary token
-finds every occurrence: the window's rarest word over all documents. Documents
-meet that token's windows, the token's place bounds where the window would
-start and end, and the words of just that range are compared. Windows are
-equal in all documents, so the comparison is exact containment.
+A document that holds a window holds all of its shingles of three words, so one
+necessary token finds every occurrence: the window's rarest shingle over all
+documents. Windows of fewer words are one shingle. Documents meet that token's
+windows, the token's place bounds where the window would start and end, and the
+words of just that range are compared. Windows are equal in all documents, so
+the comparison is exact containment; tokens are 64-bit hashes, so that two
+shingles of one hash cost a comparison and nothing else.
 
 Only DataFrame functions are used. The windows are broadcast while the bytes of
 their words and item ids are within a bound; beyond it, positions and windows meet in a shuffled join.
@@ -19,6 +21,7 @@ from pressloom.llm.storage import checkpointed
 
 #: Bytes of windows, with the ids of their items, that may be broadcast.
 BROADCAST_BYTES = 32 << 20
+SHINGLE = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -27,7 +30,7 @@ def contest_words(text: Column) -> Column:
     """Words of a text: runs of digits, letters and non-ASCII characters, A-Z in lower case; null has none."""
     plain = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
     words = F.split(plain, _BETWEEN)
-    return F.coalesce(F.filter(words, lambda w: w != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(words, ""), F.array().cast("array<string>"))
 
 
 def benchmark_windows(items: DataFrame, width: int = 13) -> DataFrame:
@@ -45,6 +48,11 @@ def _bytes(windows: DataFrame) -> int:
     return windows.agg(F.sum(size("words") + size("items") + 64)).first()[0] or 0
 
 
+def _token(words: Column, at: Column, size: int) -> Column:
+    """Hash of the ``size`` words from index ``at`` on."""
+    return F.xxhash64(F.slice(words, at + 1, F.lit(size)))
+
+
 def decontaminate(
     documents: DataFrame,
     items: DataFrame,
@@ -67,27 +75,37 @@ def decontaminate(
     if not small:
         texts = checkpointed(texts)  # row numbers must be the same in both scans
 
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    seen = texts.select(F.explode("w").alias("word")).join(hint(vocabulary), "word").groupBy("word").agg(F.count("*").alias("times"))
-    tokens = windows.select("window_id", "words", "n", F.posexplode("words").alias("place", "word"))
-    tokens = tokens.join(seen, "word")  # a word that no document has rules its windows out
-    rarest = F.min(F.struct("times", "place", "word")).alias("t")
-    complete = F.count("*") == F.max("n")
-    anchors = tokens.groupBy("window_id").agg(rarest, complete.alias("complete")).where("complete")
-    anchors = checkpointed(anchors.join(windows, "window_id").select("window_id", "words", "n", "items", F.col("t.place").alias("place"), F.col("t.word").alias("anchor")))
-
     # an empty first word stands for the row itself, so that every row leaves one line at least
     marked = texts.select("doc_id", "row", F.concat(F.array(F.lit("")), F.col("w")).alias("w"))
+    sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(SHINGLE))).distinct().collect())
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """``at, token`` of every shingle of ``w``, whose first word is no word; token 0 at 0."""
+        at, room = F.col("at"), F.size("w")
+        rows = rows.select("*", F.posexplode("w").alias("at", "_word")).drop("_word")
+        own = [F.when(at == 0, F.lit(0).cast("long")).when(at + k <= room, _token(F.col("w"), at, k)) for k in sizes or [SHINGLE]]
+        return rows.withColumn("token", own[0] if len(own) == 1 else F.explode(F.array_distinct(F.array(*own))))
+
+    tokens = windows.select("window_id", "words", "n", F.posexplode("words").alias("place", "_word"))
+    size = F.least("n", F.lit(SHINGLE))
+    own = F.coalesce(*[F.when(size == k, _token(F.col("words"), F.col("place"), k)) for k in sizes or [SHINGLE]])
+    tokens = checkpointed(tokens.where(F.col("place") + size <= F.col("n")).select("window_id", "n", "place", own.alias("token")))
+    vocabulary = tokens.select("token").distinct()
+    seen = placed(marked.select("w")).select("token").join(hint(vocabulary), "token").groupBy("token").agg(F.count("*").alias("times"))
+    rarest = F.min(F.struct("times", "place", "token")).alias("t")
+    complete = F.count("*") == F.max(F.col("n") - size + 1)  # a shingle that no document has rules its windows out
+    anchors = tokens.join(seen, "token").groupBy("window_id").agg(rarest, complete.alias("complete")).where("complete")
+    anchors = checkpointed(anchors.join(windows, "window_id").select("window_id", "words", "n", "items", F.col("t.place").alias("place"), F.col("t.token").alias("token")))
+
     start = F.col("at") - F.col("place")
     fits = (start >= 1) & (start + F.col("n") <= F.size("w"))
     equal = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest("n", F.lit(1))) == F.col("words")
     if small:
-        marker = anchors.sparkSession.createDataFrame([("", 0)], "anchor string, n int")
+        marker = anchors.sparkSession.createDataFrame([(0, 0)], "token long, n int")
         anchors = anchors.unionByName(marker, allowMissingColumns=True)
-        placed = marked.select("doc_id", "row", "w", F.posexplode("w").alias("at", "anchor")).join(F.broadcast(anchors), "anchor")
-        met = placed.where((F.col("n") == 0) | (fits & equal))
+        met = placed(marked).join(F.broadcast(anchors), "token").where((F.col("n") == 0) | (fits & equal))
     else:
-        keys = texts.select("row", F.posexplode("w").alias("at", "anchor")).withColumn("at", F.col("at") + 1).join(anchors, "anchor")
+        keys = placed(marked.select("row", "w")).select("row", "at", "token").join(anchors, "token")
         keys = keys.where(start >= 1).select("row", "at", "place", "n", "words", "items")
         met = keys.join(marked, "row").where(fits & equal)
         met = met.unionByName(marked.withColumn("n", F.lit(0)).withColumn("place", F.lit(0)).withColumn("at", F.lit(0)), allowMissingColumns=True)

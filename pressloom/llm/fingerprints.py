@@ -92,30 +92,6 @@ def signatures(column: pa.Array, samples: int = SAMPLES) -> tuple[np.ndarray, np
             key[repeated] = np.minimum(key[repeated], least)
         out[full, k] = mix(key[full] & _U(0xFFFFFFFF)) & _U(0xFFFF)
     return out, full
-    owner, _ = positions(sizes)
-    order = np.lexsort((items, owner))
-    items, owner = items[order], owner[order]
-    fresh = np.ones(len(items), bool)
-    fresh[1:] = (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(fresh)
-    weight = np.diff(np.append(first, len(items)))
-    items, owner = items[first], owner[first]
-    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    heavy = np.flatnonzero(weight > 1)
-    logs = np.log(weight[heavy])
-    r, c, b, single = _variates()
-    factors, masks = constants(samples, 53), constants(samples, 59)
-    for k in range(samples):
-        x = (items ^ masks[k]) * factors[k]
-        place = (x >> _U(48)).astype(np.int64)
-        key = single[place] | ((x >> _U(12)) & _U(0xFFFFFFFF))
-        if len(heavy):
-            at = place[heavy]
-            level = np.floor(logs / r[at] + b[at])
-            name = (x[heavy] >> _U(12)) + level.astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15)
-            key[heavy] = _ordered(c[at] - r[at] * (level - b[at]) - r[at]) | (name & _U(0xFFFFFFFF))
-        out[full, k] = mix(np.minimum.reduceat(key, starts) & _U(0xFFFFFFFF)) & _U(0xFFFF)
-    return out, full
 
 
 def likeness(a: np.ndarray, has_a: np.ndarray, b: np.ndarray, has_b: np.ndarray) -> np.ndarray:

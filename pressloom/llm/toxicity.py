@@ -96,7 +96,7 @@ def fit_toxicity(
     epochs: int = 12,
     alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 20.0,
+    l1: float = 40.0,
     l2: float = 0.01,
     positive_weight: float = 2.0,
     beginning: int | None = None,

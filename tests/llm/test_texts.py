@@ -43,7 +43,7 @@ def test_decontamination_against_brute_force(spark, limit):
     rng = random.Random(11)
     vocabulary = ["The", "of", "Étude", "été", "x1", "and"]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, text(rng.choice([3, 13, 20]))) for i in range(8)] + [(90, ""), (91, None), (92, "the of"), (93, "The, OF!"), (None, text(15))]
+    items = [(i, text(rng.choice([3, 13, 20]))) for i in range(8)] + [(90, ""), (91, None), (92, "the of"), (93, "The, OF!"), (94, "x1"), (None, text(15))]
     docs = [(i, text(rng.choice([0, 5, 30])) + " " + (rng.choice(items)[1] or "") + "; " + text(9)) for i in range(40)]
     docs += [(100, None), (101, ""), (102, items[1][1]), (102, items[1][1]), (103, text(20_000)), (None, "the of")]
     frame = spark.createDataFrame([(i, t, "n", 1) for i, t in docs], "doc_id long, text string, n string, row int")
