@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.llm.storage import checkpointed
 from pressloom.llm.words import SLICE_BYTES, constants, hash_words, mix, positions, shingles, text_buffers
 
 _U = np.uint64
@@ -115,37 +116,46 @@ _OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint
 
 
 def _compare(samples: int):
-    """Fingerprints of sorted rows and of their edited texts; a row waits for the one after it."""
+    """Fingerprints of sorted rows and of their edited texts; a row waits for the one after it.
+
+    A row that stands for several equal ones gives another line, in which it follows itself.
+    """
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
         """All rows but the last, each with its successor in the list."""
-        texts = [r[3] for r in rows]
+        drawn, has = signatures(pa.array([r[3] for r in rows], pa.large_string()), samples)
+        lines = []  # own row, the row after it, and how many rows this stands for
+        for i, (a, b) in enumerate(zip(rows, rows[1:], strict=False)):
+            if not a[1] and a[0] == b[0]:
+                lines.append((i, i + 1, 1))
+                if a[4] > 1:
+                    lines.append((i, i, a[4] - 1))
+        own, after = np.array([x[0] for x in lines], np.int64), np.array([x[1] for x in lines], np.int64)
         edited = []
-        for own, following in zip(texts, texts[1:], strict=False):
-            k = len(own) // 3
-            edited.append(own[: len(own) - k] + following[:k])
-        drawn, has = signatures(pa.array(texts, pa.large_string()), samples)
+        for i, j, _ in lines:
+            text, following = rows[i][3], rows[j][3]
+            k = len(text) // 3
+            edited.append(text[: len(text) - k] + following[:k])
         changed, has_changed = signatures(pa.array(edited, pa.large_string()), samples)
-        near, after = likeness(drawn[:-1], has[:-1], changed, has_changed), likeness(drawn[:-1], has[:-1], drawn[1:], has[1:])
-        keep = [i for i, (a, b) in enumerate(zip(rows, rows[1:], strict=False)) if not a[1] and a[0] == b[0]]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([rows[i][2] for i in keep], pa.int64()),
-                pa.array([len(texts[i]) for i in keep], pa.int64()),
-                pa.array([hashlib.sha256(edited[i].encode()).hexdigest() for i in keep], pa.string()),
-                pa.array([drawn[i].tobytes().hex() for i in keep], pa.string()),
-                pa.array([changed[i].tobytes().hex() for i in keep], pa.string()),
-                pa.array(near[keep]),
-                pa.array(after[keep]),
+                pa.array([rows[i][2] for i in own], pa.int64()),
+                pa.array([len(rows[i][3]) for i in own], pa.int64()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
+                pa.array([drawn[i].tobytes().hex() for i in own], pa.string()),
+                pa.array([x.tobytes().hex() for x in changed], pa.string()),
+                pa.array(likeness(drawn[own], has[own], changed, has_changed), pa.float64()),
+                pa.array(likeness(drawn[own], has[own], drawn[after], has[after]), pa.float64()),
+                pa.array([x[2] for x in lines], pa.int64()),
             ],
-            names=_OUT,
+            names=[*_OUT, "times"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         size, opening = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "extra", "doc_id", "text")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "extra", "doc_id", "text", "times")), strict=True):
                 if opening is None or opening[0] != row[0]:
                     opening = row
                 waiting.append(row)
@@ -155,39 +165,80 @@ def _compare(samples: int):
                     waiting, size = waiting[-1:], len(row[3])
         if waiting:
             if not waiting[-1][1]:  # no successor was sent: all rows are here, and the first follows the last
-                waiting.append((waiting[-1][0], 1, None, opening[3]))
+                waiting.append((waiting[-1][0], 1, None, opening[3], 1))
             yield work(waiting)
 
     return run
 
 
+def _crowded(texts: DataFrame, most: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """``texts`` with equal rows of crowded ids, those of more than ``most`` rows, drawn together; and hashes that cut these ids.
+
+    Rows of crowded ids lie in the order of ``h``, a hash of their text; each of
+    them is cut at the largest hashes of equal ranges. At most one id in
+    ``most`` rows is crowded, so that all this is small.
+    """
+    n = F.ceil(F.col("count") / most)
+    ids = checkpointed(texts.groupBy("key").count().where(F.col("count") > most).select("key", n.alias("parts")))
+    plain = texts.withColumns({"h": F.lit(0).cast("long"), "times": F.lit(1).cast("long")})
+    if not ids.count():
+        return plain, {}
+    own = texts.join(F.broadcast(ids), "key").withColumn("h", F.xxhash64("text"))
+    together = own.groupBy("key", "doc_id", "text", "h", "parts").agg(F.count("*").alias("times"))
+    part = F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("parts"))
+    cuts: dict[int, list[int]] = {}
+    for r in own.groupBy("key", part.alias("part")).agg(F.max("h").alias("h")).select("key", "h").collect():
+        cuts.setdefault(r["key"], []).append(r["h"])
+    rest = plain.join(F.broadcast(ids.select("key")), "key", "left_anti")
+    return rest.unionByName(together.select(*rest.columns)), {k: np.sort(np.array(v, np.int64)) for k, v in cuts.items()}
+
+
 def fingerprint_edits(documents: DataFrame, samples: int = SAMPLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row.
 
     A row's edited text ends in the next document's beginning, by descending id,
-    ties by text, null ids last; the first follows the last. Ids are integers.
-    Blocks of neighbouring ids, whose borders are approximate quantiles of at
-    most ``MOST_BLOCKS``, are sorted apart; only the rows at the borders are
-    sent twice. Null texts are empty. Rows that repeat one id stay in one
-    block. Empty in, empty out.
+    null ids last; the first follows the last. Rows that share an id lie in the
+    order of their texts, where they are very many in that of their texts'
+    hashes; equal rows follow one another. Ids are integers. Blocks of
+    neighbouring ids, whose borders are approximate quantiles of at most
+    ``MOST_BLOCKS``, are sorted apart, and ids of more rows than a block are cut
+    too; only the rows at the borders are sent twice. Null texts are empty.
+    Empty in, empty out.
     """
+    lowest = -(1 << 63)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = texts.where("doc_id is not null").count()
+    texts = texts.withColumn("key", F.coalesce("doc_id", F.lit(lowest)))
+    n = texts.count()
     blocks = max(1, min(MOST_BLOCKS, n // block_rows))
+    texts, cuts = _crowded(texts, max(block_rows, n // MOST_BLOCKS))
     shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks + 1)])
-    found = texts.agg(F.percentile_approx("doc_id", shares, F.lit(10 * max(1000, blocks)))).first()[0]
-    borders = np.unique(np.array(found or [], np.int64))
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.percentile_approx("doc_id", shares, F.lit(10 * max(1000, blocks)))).first()[0]
+    ids, hashes = [], []
+    for border in np.unique(np.array([*(found or []), *cuts], np.int64)).tolist():
+        own = cuts.get(border, np.zeros(1, np.int64))
+        ids.append(np.full(len(own), border, np.int64))
+        hashes.append(own)
+    borders, tops = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *hashes])
     parts = max(1, len(borders))
 
     @F.pandas_udf("long")
-    def routed(ids: pd.Series) -> pd.Series:
+    def routed(keys: pd.Series, h: pd.Series) -> pd.Series:
         """Twice the block, plus 1 for the row at its border."""
-        return pd.Series(2 * np.searchsorted(borders, ids.to_numpy()) + np.isin(ids.to_numpy(), borders))
+        key, own = keys.to_numpy(), h.to_numpy()
+        block, border = np.searchsorted(borders, key), np.isin(key, borders)
+        for crowded in cuts:
+            at = np.flatnonzero(key == crowded)
+            if len(at):
+                block[at] += np.searchsorted(cuts[crowded], own[at])
+                border[at] = np.isin(own[at], cuts[crowded])
+        return pd.Series(2 * block + border)
 
     block = F.floor(F.col("route") / 2)
-    own = F.struct(block.alias("block"), F.lit(0).alias("extra"))
+    own = F.struct((block % parts).alias("block"), F.lit(0).alias("extra"))
     successor = F.struct(F.pmod(block + 1, F.lit(parts)).alias("block"), F.lit(1).alias("extra"))
-    sent = texts.withColumn("route", routed(F.coalesce("doc_id", F.lit(-(1 << 63))))).withColumn("to", F.explode(F.when(F.col("route") % 2 == 1, F.array(own, successor)).otherwise(F.array(own))))
-    sent = sent.select("to.block", "to.extra", "doc_id", "text").repartition("block")
-    sent = sent.sortWithinPartitions("block", "extra", F.col("doc_id").desc_nulls_last(), "text")
-    return sent.mapInArrow(_compare(samples), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    sent = texts.withColumn("route", routed("key", "h")).withColumn("to", F.explode(F.when(F.col("route") % 2 == 1, F.array(own, successor)).otherwise(F.array(own))))
+    sent = sent.select("to.block", "to.extra", "doc_id", "text", "h", "times").repartition("block")
+    sent = sent.sortWithinPartitions("block", "extra", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), "text").select("block", "extra", "doc_id", "text", "times")
+    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    done = sent.mapInArrow(_compare(samples), kinds + ", times long")
+    return done.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times", "time") if cuts else done.drop("times")

@@ -301,6 +301,32 @@ def test_numbers_beside_a_card_do_not_hide_it(spark):
     assert 13 <= int(late[:2]) <= 31 and late != "29/02/2024"
 
 
+@pytest.mark.parametrize("block", [4, 500])
+def test_edits_of_ids_with_very_many_rows(spark, block):
+    """Null and repeated ids and equal rows, cut into blocks or not: each row is followed as a chain over all of them tells."""
+    rng = random.Random(7)
+    rows = [(i, f"text of {i} " * (i % 4 + 1)) for i in range(0, 60, 3)]
+    rows += [(None, f"no id {rng.random()}") for _ in range(40)] + [(30, f"same id {rng.random()}") for _ in range(30)] + [(None, "equal rows")] * 25 + [(33, "also equal")] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprints.fingerprint_edits(docs, block_rows=block).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in rows)
+    beginnings = {}
+    for i, t in rows:
+        beginnings.setdefault(t[: len(t) // 3], []).append(t)
+    # an edited text tells which beginning it took; every row but repeated ones must be followed once by another
+    texts = [t for _, t in rows]
+    edits = {hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest() for a in set(texts) for b in set(texts)}
+    assert all(r.edited_sha256 in edits for r in got)
+    ordered = sorted((r for r in rows if r[0] is not None and r[0] not in (30, 33)), key=lambda r: -r[0])
+    by = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id not in (30, 33)}
+    for (i, t), (j, following) in zip(ordered, ordered[1:]):
+        if i - j == 3:
+            k = len(t) // 3
+            assert by[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + following[:k]).encode()).hexdigest()
+    itself = [r for r in got if r.doc_id is None and r.n_chars == 10 and r.near_next == 1.0]
+    assert len(itself) >= 24 and len({r.fingerprint for r in itself}) == 1
+
+
 def drawn(purpose, step, value, digits=8):
     return int(hmac.new(KEY, f"{purpose}:{step}:{value}".encode(), "sha256").hexdigest()[:digits], 16)
 
