@@ -97,17 +97,6 @@ def covered_outlets(outlets: DataFrame, hosts: DataFrame, aliases: DataFrame) ->
     return exact.unionByName(below).distinct()
 
 
-def attribute_sources(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """The source of each article's host: by homepage or feed host, or by their root; the highest weight wins, then the smallest id."""
-    keys = sources.select("source_id", F.coalesce("weight", F.lit(0)).alias("w"), F.explode(F.array(urls.url_host(F.col("homepage_url")), urls.url_host(F.regexp_replace("feed_url", "^(web|discover)://", "http://")))).alias("host")).where("host is not null")
-    keys = keys.select("source_id", "w", F.explode(F.array_distinct(F.array(F.col("host"), urls.root_domain(F.col("host"))))).alias("host")).distinct()
-    best = keys.groupBy("host").agg(F.max_by("source_id", F.struct("w", -F.col("source_id"))).alias("found"))
-    own = articles.select("article_id", urls.url_host(F.col("canonical_url")).alias("host"))
-    exact = own.join(best, "host", "left").select("article_id", "host", F.col("found").alias("exact"))
-    root = exact.join(best.select(F.col("host").alias("root"), F.col("found").alias("by_root")), urls.root_domain(F.col("host")) == F.col("root"), "left")
-    return root.select("article_id", F.coalesce("exact", "by_root").alias("source_id"), F.when(F.coalesce("exact", "by_root").isNull(), urls.humanized_host(F.col("host"))).alias("new_name"))
-
-
 def cited_results(results: DataFrame, cited: DataFrame) -> DataFrame:
     """Results whose host the search cited; all of a search without citations."""
     hit = results.join(cited, ["search_id", "host"], "left_semi")
@@ -209,12 +198,6 @@ def gate(items: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     return items.withColumn("reason", out)
 
 
-def retention(articles: DataFrame, members: DataFrame, as_of: Column, days: int = 45) -> tuple[DataFrame, DataFrame]:
-    """Articles and memberships that are kept."""
-    kept = articles.where(F.coalesce("published_at", "fetched_at") >= hours_before(as_of, 24 * days))
-    return kept, members.join(kept.select("article_id"), "article_id", "left_semi")
-
-
 def prefetch_queue(articles: DataFrame, as_of: Column, hours: int = 24, days: int = 7, limit: int = 50) -> DataFrame:
     """Recent articles to fetch first, then never tried ones from further back, in one ordered limit."""
     usable = articles.where(scores.visible_language(F.col("language_code")) & ~urls.is_paywall_url(F.col("canonical_url")) & ~urls.is_aggregator_url(F.col("canonical_url")))

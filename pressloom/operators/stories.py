@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from math import log
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import rules, scores, texts, urls
+from pressloom.operators.storage import kept
 from pressloom.sources.model import hours_before
 
 COVERAGE_MOST = log(101) + 0.8 * log(11) + 0.4 * log(16)
@@ -259,29 +262,72 @@ def cluster_centroids(members: DataFrame, articles: DataFrame) -> DataFrame:
     rows = members.join(articles.select("article_id", "embedding", "fetched_at", "language_code"), "article_id")
     counted = rows.groupBy("cluster_id").agg(F.count("*").alias("member_count"), F.max("fetched_at").alias("last_member_at"))
     usable = rows.where(F.col("embedding").isNotNull() & scores.visible_language(F.col("language_code")))
-    means = usable.select("cluster_id", F.posexplode("embedding").alias("i", "x")).groupBy("cluster_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    vectors = means.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    means = usable.groupBy("cluster_id").agg(Summarizer.mean(array_to_vector("embedding")).alias("m"))
+    vectors = means.select("cluster_id", vector_to_array("m").alias("centroid"))
     return counted.join(vectors, "cluster_id", "left")
 
 
-def nearest_centroids(articles: DataFrame, centroids: DataFrame, k: int = 8, most_broadcast: int = 20_000) -> DataFrame:
-    """The ``k`` nearest centroids of every embedded article.
+def unit(vector: Column) -> Column:
+    """``vector`` as doubles of length 1; one of length 0 stays."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
-    Centroids are those of the recent clusters. They are broadcast in slices by
-    id hash, of about ``most_broadcast`` each, as one row with an array, so that every article finds its best ones in
-    place, without a shuffle; with several slices, their ``k`` best each are merged.
+
+def _alike(a: Column, b: Column) -> Column:
+    """Cosine of unit vectors; 0 for different lengths."""
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
+
+
+#: Bytes of vectors that are broadcast at once.
+BROADCAST_BYTES = 64 << 20
+
+
+def _slices(vectors: DataFrame, bytes_at_once: int) -> int:
+    """How many slices of ``bytes_at_once`` the ``v`` of ``vectors`` fill."""
+    return max(1, -(-(vectors.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0) // bytes_at_once))
+
+
+def nearest_centroids(articles: DataFrame, centroids: DataFrame, k: int = 8, cells: int = 0, probe: int = 8, bytes_at_once: int = BROADCAST_BYTES) -> DataFrame:
+    """``article_id, place, cluster_id, similarity``: the ``k`` nearest centroids of every embedded article.
+
+    Exact: unit vectors of the centroids, those of the recent clusters, are
+    broadcast in slices of ``bytes_at_once`` at most, as one row with an array, so that
+    every article finds its best ones in place, without a shuffle; with several
+    slices, their ``k`` best each are merged. Every slice is one pass over the
+    articles, so beyond a few, give ``cells``: so many centroids, a bounded
+    number chosen by hash, become pivots; every centroid goes to the cell of its
+    nearest pivot, every article looks into those of its ``probe`` nearest
+    ones, and what meets there is ranked exactly. Recall grows with ``probe``.
     """
-    known = centroids.where("centroid is not null")
-    slices = max(1, -(-known.count() // most_broadcast))
-    asked = articles.where("embedding is not null").select("article_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    best = None
-    for i in range(slices):
-        part = known.where(F.pmod(F.xxhash64("cluster_id"), F.lit(slices)) == i) if slices > 1 else known
-        table = part.agg(F.collect_list(F.struct("cluster_id", "centroid")).alias("cs"))
-        found = F.transform("cs", lambda c: F.struct((-scores.cosine(F.col("v"), c["centroid"])).alias("d"), c["cluster_id"].alias("cluster_id")))
-        near = asked.join(F.broadcast(table)).select("article_id", F.slice(F.sort_array(found), 1, k).alias("near"))
-        best = near if best is None else best.unionByName(near)
-    best = best.groupBy("article_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")) if slices > 1 else best
+    known = kept(centroids.where("centroid is not null").select("cluster_id", unit(F.col("centroid")).alias("v")))
+    asked = articles.where("embedding is not null").select("article_id", unit(F.col("embedding")).alias("v"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        """The nearest of each row's ``cs``."""
+        found = F.transform("cs", lambda c: F.struct((-_alike(F.col("v"), c["v"])).alias("d"), c["cluster_id"].alias("cluster_id")))
+        return rows.select("article_id", F.slice(F.sort_array(found), 1, k).alias("near"))
+
+    if cells:
+        pivots = known.orderBy(F.xxhash64("cluster_id"), "cluster_id").limit(cells).select(F.col("cluster_id").alias("pivot"), "v")
+        table = F.broadcast(pivots.agg(F.collect_list(F.struct("pivot", "v")).alias("ps")))
+
+        def routed(rows: DataFrame, n: int) -> DataFrame:
+            near = F.sort_array(F.transform("ps", lambda p: F.struct((-_alike(F.col("v"), p["v"])).alias("d"), p["pivot"].alias("cell"))))
+            return rows.join(table).select(*rows.columns, F.explode(F.slice(near, 1, n)).alias("p")).select(*rows.columns, "p.cell")
+
+        # a cell of very many centroids is cut into parts, each one row of bounded size
+        own = routed(known, 1).withColumn("part", F.floor(F.row_number().over(Window.partitionBy("cell").orderBy("cluster_id")) / 1000))
+        own = own.groupBy("cell", "part").agg(F.collect_list(F.struct("cluster_id", "v")).alias("cs"))
+        best, several = ranked(routed(asked, probe).join(own, "cell")), True
+    else:
+        slices, best = _slices(known, bytes_at_once), None
+        for i in range(slices):
+            part = known.where(F.pmod(F.xxhash64("cluster_id"), F.lit(slices)) == i) if slices > 1 else known
+            near = ranked(asked.join(F.broadcast(part.agg(F.collect_list(F.struct("cluster_id", "v")).alias("cs")))))
+            best = near if best is None else best.unionByName(near)
+        several = slices > 1
+    best = best.groupBy("article_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")) if several else best
     return best.select("article_id", F.posexplode("near").alias("place", "n")).select("article_id", "place", "n.cluster_id", (-F.col("n.d")).alias("similarity"))
 
 
@@ -292,19 +338,21 @@ def best_cluster(nearest: DataFrame, centroids: DataFrame, as_of: Column, simila
     return fit.groupBy("article_id").agg(F.min_by(F.struct("cluster_id", "similarity"), F.col("place")).alias("b")).select("article_id", "b.cluster_id", "b.similarity")
 
 
-def merge_pairs(centroids: DataFrame, as_of: Column, similarity: float = rules.MERGE_SIMILARITY, most: int = rules.MAX_CLUSTER, days: int = rules.LOOKBACK_DAYS, top: int = 10, most_broadcast: int = 20_000) -> DataFrame:
+def merge_pairs(centroids: DataFrame, as_of: Column, similarity: float = rules.MERGE_SIMILARITY, most: int = rules.MAX_CLUSTER, days: int = rules.LOOKBACK_DAYS, top: int = 10, bytes_at_once: int = BROADCAST_BYTES) -> DataFrame:
     """Pairs of recent clusters of two members or more that are similar and small enough together.
 
-    Every cluster is compared in place with broadcast slices of the others; only similar pairs become rows.
+    Every cluster is compared in place with broadcast slices of the others, each
+    of ``bytes_at_once`` at most; only similar pairs become rows.
     """
     recent = centroids.where((F.col("member_count") >= 2) & (F.col("last_member_at") >= hours_before(as_of, 24 * days)) & F.col("centroid").isNotNull())
-    own = recent.select(F.col("cluster_id").alias("c1"), F.col("centroid").alias("v1"), F.col("member_count").alias("n1"))
-    slices, found = max(1, -(-recent.count() // most_broadcast)), None
+    recent = kept(recent.select("cluster_id", "member_count", unit(F.col("centroid")).alias("v")))
+    own = recent.select(F.col("cluster_id").alias("c1"), F.col("v").alias("v1"), F.col("member_count").alias("n1"))
+    slices, found = _slices(recent, bytes_at_once), None
     for i in range(slices):
         part = recent.where(F.pmod(F.xxhash64("cluster_id"), F.lit(slices)) == i) if slices > 1 else recent
-        table = F.broadcast(part.agg(F.collect_list(F.struct("cluster_id", "member_count", "centroid")).alias("cs")))
+        table = F.broadcast(part.agg(F.collect_list(F.struct("cluster_id", "member_count", "v")).alias("cs")))
         later = F.filter("cs", lambda c: (c["cluster_id"] > F.col("c1")) & (F.col("n1") + c["member_count"] <= most))
-        near = F.transform(later, lambda c: F.struct(c["cluster_id"].alias("c2"), c["member_count"].alias("n2"), scores.cosine(F.col("v1"), c["centroid"]).alias("similarity")))
+        near = F.transform(later, lambda c: F.struct(c["cluster_id"].alias("c2"), c["member_count"].alias("n2"), _alike(F.col("v1"), c["v"]).alias("similarity")))
         pairs = own.join(table).select("c1", "n1", F.explode(F.filter(near, lambda p: p["similarity"] > similarity)).alias("p"))
         found = pairs if found is None else found.unionByName(pairs)
     rows = found.select("c1", "p.c2", "n1", "p.n2", "p.similarity")

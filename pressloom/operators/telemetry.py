@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import rules, urls
+from pressloom.functions.urls import is_fabricated_url
 from pressloom.sources.model import hours_before
 
 STALE_REASONS = ("stale", "missing_date", "invalid_date")
@@ -177,17 +180,70 @@ def job_health(runs: DataFrame, now: Column, thresholds: dict[str, float]) -> Da
     return rows.withColumn("hours_since", F.round(hours, 1)).withColumn("stale", hours > F.coalesce(F.try_element_at(limit, F.col("job_name")), F.lit(24.0)))
 
 
-def arm_summary(attempts: DataFrame) -> DataFrame:
-    """Per model: outcomes, nearest-rank latencies, tokens and a map of failures."""
-    rows = attempts.groupBy("model").agg(
+# Reasons that mean that a headline says what its source does not.
+FACTUAL = ("invented_number", "hallucinated_entity", "missing_attribution")
+# End of fixed values.
+
+
+def nearest_rank(column: str, share: float) -> Column:
+    """The value at the given share by the nearest-rank rule."""
+    return F.expr(f"percentile_disc({share}) within group (order by {column})").cast("long")
+
+
+def arm_summary(attempts: DataFrame, factual: Sequence[str] = FACTUAL) -> DataFrame:
+    """Per model: outcomes, nearest-rank latencies, cost, cost per accepted headline and the count of each failure.
+
+    ``attempts`` has tokens; prices are `model_price`'s. Failures are counted
+    per reason before they become a map, which has a key for each reason.
+    """
+    priced = call_cost(model_price(attempts.select("model").distinct()).join(attempts.withColumn("tool_calls", F.lit(0)), "model"))
+    rows = priced.groupBy("model").agg(
         F.count("*").alias("n"),
         F.count_if("accepted").alias("success"),
         F.count_if(F.col("attempt_idx") > 1).alias("retries"),
-        F.expr("percentile_disc(0.5) within group (order by latency_ms)").cast("long").alias("median_latency_ms"),
-        F.expr("percentile_disc(0.95) within group (order by latency_ms)").cast("long").alias("p95_latency_ms"),
+        F.count_if(F.col("reason").isin(*factual)).alias("factual_failures"),
+        nearest_rank("latency_ms", 0.5).alias("median_latency_ms"),
+        nearest_rank("latency_ms", 0.95).alias("p95_latency_ms"),
         F.sum("input_tokens").alias("input_tokens"),
+        F.sum("cost").alias("cost_usd"),
     )
-    return rows
+    counts = attempts.where("reason is not null").groupBy("model", "reason").agg(F.count("*").alias("c"))
+    failures = counts.groupBy("model").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "c")))).alias("failures"))
+    per = F.when(F.col("success") > 0, F.col("cost_usd") / F.col("success"))
+    return rows.withColumn("cost_per_accept", per).join(failures, "model", "left")
+
+
+def provider_run_stats(searches: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per run and provider: searches, candidates, outcomes, cost, tool calls and latency; candidates are counted per search first."""
+    found = candidates.groupBy("search_id").agg(F.count("*").alias("c"), F.count_if("accepted").alias("i"), F.count_if(~F.col("accepted")).alias("r"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return searches.join(found, "search_id", "left").groupBy("run_id", "provider").agg(
+        F.count("*").alias("searches"),
+        total("c").alias("candidates"),
+        total("i").alias("inserted"),
+        total("r").alias("rejected"),
+        F.round(total("cost_usd"), 6).alias("cost_usd"),
+        total("tool_calls").alias("tool_calls"),
+        total("latency_ms").alias("latency_ms"),
+    )
+
+
+def search_calls(searches: DataFrame, results: DataFrame, domains: Column, cutoff: Column) -> DataFrame:
+    """Per call: whether it gave results, how many fit the ``domains`` condition, are fresh, made up or all right, and what a right one cost."""
+    fine = {"domain_ok": F.coalesce(domains, F.lit(False)), "fresh_ok": F.coalesce(F.col("published_at") >= cutoff, F.lit(False)), "fabricated": is_fabricated_url(F.col("url"))}
+    valid = fine["domain_ok"] & fine["fresh_ok"] & ~fine["fabricated"]
+    counts = results.groupBy("search_id").agg(F.count("*").alias("results"), *[F.count_if(c).alias(n) for n, c in fine.items()], F.count_if(valid).alias("valid"), F.count_if(valid & F.col("reachable").isNotNull()).alias("checked"), F.count_if(valid & F.col("reachable")).alias("reachable"))
+    rows = searches.join(counts, "search_id", "left").withColumn("parsed", F.col("results").isNotNull())
+    rows = rows.fillna(0, ["results", *fine, "valid", "checked", "reachable"])
+    return rows.withColumn("cost_per_valid", F.when(F.col("valid") > 0, F.col("cost_usd") / F.col("valid")))
+
+
+def search_profiles(calls: DataFrame) -> DataFrame:
+    """Per provider the sums and rates of `search_calls`, the nearest-rank median latency and the cost of a right result."""
+    sums = {n: F.sum(n).alias(n) for n in ("results", "domain_ok", "fresh_ok", "fabricated", "valid", "checked", "reachable")}
+    rows = calls.groupBy("provider").agg(F.count("*").alias("calls"), F.count_if("parsed").alias("parsed"), *sums.values(), F.avg("tool_calls").alias("tool_calls"), nearest_rank("CASE WHEN latency_ms > 0 THEN latency_ms END", 0.5).alias("p50_latency_ms"), F.sum("cost_usd").alias("cost_usd"))
+    rate = lambda n: F.when(F.col("results") > 0, F.col(n) / F.col("results"))
+    return rows.withColumns({"domain_rate": rate("domain_ok"), "fresh_rate": rate("fresh_ok"), "cost_per_valid": F.when(F.col("valid") > 0, F.col("cost_usd") / F.col("valid"))})
 
 
 def top_failures(attempts: DataFrame, n: int = 5) -> DataFrame:

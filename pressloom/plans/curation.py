@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressloom.functions import scores, texts, urls
+from pressloom.functions import rules, scores, texts, urls
 from pressloom.operators import curation as ops
 from pressloom.operators import stories
 from pressloom.plans.registry import query
 from pressloom.plans.stories import cluster_scores
 from pressloom.sources.model import as_of, hours_before
 
+
+
+def quoted(pattern: str) -> str:
+    """A pattern as a string of SQL."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 # ---- URL and host functions over pages and articles
 
 
@@ -99,13 +106,6 @@ def domain_allowlist(m):
     return ops.in_domains(m.raw("pages"), "page_id", urls.url_host(F.col("url")), allowed)
 
 
-@query("trusted_source", f"SELECT page_id, regexp_matches({_HOST}, '(^|\\.)example\\.org$') OR regexp_matches(url, '/en/') AS trusted FROM pages", model=False)
-def trusted_source(m):
-    pages = m.raw("pages")
-    trusted = ops.in_domains(pages, "page_id", urls.url_host(F.col("url")), m.spark.createDataFrame([("example.org",)], "host string")).withColumn("hit", F.lit(True))
-    return pages.join(trusted, "page_id", "left").select("page_id", (F.coalesce("hit", F.lit(False)) | F.col("url").rlike("/en/")).alias("trusted"))
-
-
 @query("tier_suffix_lookup", f"SELECT page_id, CASE WHEN regexp_matches({_HOST}, '(^|\\.)example\\.com$') THEN 8 ELSE 4 END AS value FROM pages WHERE regexp_matches({_HOST}, '(^|\\.)example\\.(com|org)$')", model=False)
 def tier_suffix_lookup(m):
     tiers = m.spark.createDataFrame([("example.com", 8), ("example.org", 4)], "host string, value int")
@@ -147,21 +147,18 @@ def private_host_audit(m):
 # ---- text functions
 
 
-@query("slug", r"SELECT doc_id, regexp_replace(regexp_replace(translate(lower(trim(substr(text, 1, 50))), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents", model=False)
+@query("slug", r"SELECT doc_id, regexp_replace(regexp_replace(translate(lower(trim(text)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents", model=False)
 def slug(m):
-    return m.raw("documents").select("doc_id", texts.slug(F.substring("text", 1, 50)).alias("slug"))
-
-
-_FEED = "substr(regexp_replace(text, '[^a-z]', ' ', 'g'), 1, 40) || CASE doc_id % 3 WHEN 0 THEN ' - Outlet' WHEN 1 THEN ' — outlet' || doc_id || '.com' ELSE '' END"
+    return m.raw("documents").select("doc_id", texts.slug(F.col("text")).alias("slug"))
 
 
 def feed_titles(m):
     k = F.col("doc_id")
     tail = F.when(k % 3 == 0, " - Outlet").when(k % 3 == 1, F.concat(F.lit(" — outlet"), k.cast("string"), F.lit(".com"))).otherwise("")
-    return m.raw("documents").select("doc_id", F.concat(F.substring(F.regexp_replace("text", "[^a-z]", " "), 1, 40), tail).alias("title"))
+    return m.raw("documents").select("doc_id", F.concat(F.regexp_replace("text", "[^a-z]", " "), tail).alias("title"))
 
 
-@query("clean_feed_title", "SELECT doc_id, trim(substr(regexp_replace(text, '[^a-z]', ' ', 'g'), 1, 40)) AS title FROM documents", model=False)
+@query("clean_feed_title", "SELECT doc_id, trim(regexp_replace(text, '[^a-z]', ' ', 'g')) AS title FROM documents", model=False)
 def clean_feed_title(m):
     return feed_titles(m).select("doc_id", texts.clean_feed_title(F.col("title")).alias("title"))
 
@@ -188,40 +185,67 @@ def clean_summary(m):
     return m.raw("documents").select("doc_id", texts.clean_summary(F.concat(lead, F.col("text"))).alias("summary"))
 
 
-_FIGURED = "text || ' ' || (doc_id % 90) || ' percent of $' || (doc_id % 7 + 1) || ' billion and 1,' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' GW'"
+_FIGURED = "(SELECT doc_id, text || ' Twenty ' || (doc_id % 90) || ' percent of $' || (doc_id % 7 + 1) || ' billion and 1,' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' GW' AS x FROM documents)"
 
 
 def figured(m):
+    """Documents with figures appended."""
     k = F.col("doc_id")
-    return m.raw("documents").select(
-        "doc_id", F.concat(F.lit("Twenty "), (k % 90).cast("string"), F.lit(" percent of $"), (k % 7 + 1).cast("string"), F.lit(" billion and 1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" GW")).alias("text")
-    )
+    tail = F.concat(F.lit(" Twenty "), (k % 90).cast("string"), F.lit(" percent of $"), (k % 7 + 1).cast("string"), F.lit(" billion and 1,"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" GW"))
+    return m.raw("documents").select("doc_id", F.concat("text", tail).alias("text"))
+
+
+_WORDS = "[" + ", ".join(f"'{w}'" for w in rules.NUMBER_WORDS) + "]"
+_NUMBERS = "[" + ", ".join(f"'{n}'" for n in rules.NUMBER_WORDS.values()) + "]"
 
 
-@query("numeric_tokens", "SELECT doc_id, (doc_id % 90) || '%,' || (doc_id % 7 + 1) || ',1' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '|20' AS tokens FROM documents", model=False)
+@query(
+    "numeric_tokens",
+    rf"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(x, '(?i)[0-9][0-9,]*(?:\.[0-9]+)?(?:\s?(?:%|percent))?'), lambda t: regexp_replace(regexp_replace(replace(lower(t), ',', ''), 'percent$', '%'), '[^0-9.%]', '', 'g')), ',') || '|' ||
+      array_to_string(list_transform(regexp_extract_all(lower(x), '\b({"|".join(rules.NUMBER_WORDS)})\b', 1), lambda w: {_NUMBERS}[list_position({_WORDS}, w)]), ',') AS tokens FROM {_FIGURED}""",
+    model=False,
+)
 def numeric_tokens(m):
     return figured(m).select("doc_id", F.concat(F.array_join(texts.numeric_tokens(F.col("text")), ","), F.lit("|"), F.array_join(texts.spelled_numbers(F.col("text")), ",")).alias("tokens"))
 
 
-@query("measurements", "SELECT doc_id, unnest([{'v': (doc_id % 90)::DOUBLE, 'u': '%'}, {'v': (doc_id % 7 + 1) * 1e9::DOUBLE, 'u': '$'}, {'v': 1000::DOUBLE + doc_id % 1000, 'u': 'gw'}], recursive := true) FROM documents", model=False)
+def _lookup(table: dict) -> str:
+    return "MAP {" + ", ".join(f"'{k}': " + (f"{v}::DOUBLE" if isinstance(v, float) else f"'{v}'") for k, v in table.items()) + "}"
+
+
+_MEASURED = rf"""(SELECT doc_id, replace(n, ',', '')::DOUBLE * coalesce({_lookup(rules.MAGNITUDES)}[lower(u)], CASE WHEN c <> '' THEN {_lookup(rules.MONEY_MAGNITUDES)}[lower(u)] END, 1) AS v,
+    coalesce(CASE WHEN NOT (map_contains({_lookup(rules.MAGNITUDES)}, lower(u)) OR (c <> '' AND map_contains({_lookup(rules.MONEY_MAGNITUDES)}, lower(u)))) THEN {_lookup(rules.UNITS)}[lower(u)] END, CASE WHEN c <> '' THEN '$' END, '') AS u
+  FROM (SELECT doc_id, unnest(regexp_extract_all(x, '{{0}}', 1)) AS c, unnest(regexp_extract_all(x, '{{0}}', 2)) AS n, unnest(regexp_extract_all(x, '{{0}}', 3)) AS u FROM {{1}}))""".replace("{0}", r"(?i)([$€£])?\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s*([a-z%]+)?")
+
+
+@query("measurements", "SELECT doc_id, round(v, 6) AS v, u FROM " + _MEASURED.replace("{1}", _FIGURED), model=False)
 def measurements(m):
     return figured(m).select("doc_id", F.explode(texts.measurements(F.col("text"))).alias("x")).select("doc_id", F.col("x.value").alias("v"), F.col("x.unit").alias("u"))
 
 
-@query("measurement_support", "SELECT doc_id, (doc_id % 90)::DOUBLE AS dv, '%' AS du FROM documents WHERE abs(doc_id % 90 - doc_id % 88) > 0.03 * greatest(doc_id % 90, doc_id % 88)", model=False)
+_DRAFT = "(SELECT doc_id, reverse(text) || ' ' || (doc_id % 90) || ' percent' AS x FROM documents)"
+_SOURCE = "(SELECT doc_id, text || ' ' || (doc_id % 88) || '% of all' AS x FROM documents)"
+
+
+@query(
+    "measurement_support",
+    "SELECT doc_id, round(v, 6) AS dv, u AS du FROM " + _MEASURED.replace("{1}", _DRAFT) + " d WHERE NOT EXISTS (SELECT 1 FROM " + _MEASURED.replace("{1}", _SOURCE) + " s WHERE s.doc_id = d.doc_id AND (s.u = '' OR d.u = '' OR s.u = d.u) AND CASE WHEN s.u = '' AND d.u = '' THEN s.v = d.v ELSE abs(s.v - d.v) <= 0.03 * greatest(abs(s.v), abs(d.v)) END)",
+    model=False,
+)
 def measurement_support(m):
+    """The text written backwards, with a figure, as a draft, against the text with another."""
     k = F.col("doc_id")
-    source = m.raw("documents").select("doc_id", F.concat((k % 88).cast("string"), F.lit("% of all")).alias("text"))
-    draft = m.raw("documents").select("doc_id", F.concat((k % 90).cast("string"), F.lit(" percent")).alias("text"))
+    source = m.raw("documents").select("doc_id", F.concat("text", F.lit(" "), (k % 88).cast("string"), F.lit("% of all")).alias("text"))
+    draft = m.raw("documents").select("doc_id", F.concat(F.reverse("text"), F.lit(" "), (k % 90).cast("string"), F.lit(" percent")).alias("text"))
     return ops.unsupported_measurements(draft, source).select("doc_id", "dv", "du")
 
 
-_QUOTED = r"""SELECT doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(h, '^["''\s]+|["''\s]+$', '', 'g'), '\s+', ' ', 'g')), '[-.|•–—]+$', '')) AS headline FROM (SELECT doc_id, '"  ' || substr(text, 1, 70) || '.--' AS h FROM documents)"""
+_QUOTED = r"""SELECT doc_id, trim(regexp_replace(trim(regexp_replace(regexp_replace(h, '^["''\s]+|["''\s]+$', '', 'g'), '\s+', ' ', 'g')), '[-.|•–—]+$', '')) AS headline FROM (SELECT doc_id, '"  ' || text || '.--' AS h FROM documents)"""
 
 
 @query("sanitize_headline", _QUOTED, model=False)
 def sanitize_headline(m):
-    return m.raw("documents").select("doc_id", texts.sanitized_headline(F.concat(F.lit('"  '), F.substring("text", 1, 70), F.lit(".--"))).alias("headline"))
+    return m.raw("documents").select("doc_id", texts.sanitized_headline(F.concat(F.lit('"  '), "text", F.lit(".--"))).alias("headline"))
 
 
 @query("content_snippet", r"SELECT count(*) AS docs, count(*) FILTER (WHERE length(p) < 100 OR len(list_filter(string_split(p, ' '), lambda w: w <> '')) < 30 OR len(list_distinct(list_transform(list_filter(string_split(p, ' '), lambda w: w <> ''), lambda w: lower(w)))) < 0.3 * len(list_filter(string_split(p, ' '), lambda w: w <> ''))) AS rejected FROM (SELECT trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM documents)", model=False)
@@ -239,10 +263,10 @@ def valid_headline_title(m):
     return m.raw("documents").select("doc_id", texts.is_headline_title(told).alias("ok"))
 
 
-@query("apology_result", "SELECT doc_id, doc_id % 6 = 0 AS apology FROM documents", model=False)
+@query("apology_result", f"SELECT doc_id, doc_id % 6 = 0 OR regexp_matches(lower(text), {quoted(rules.APOLOGY)}) AS apology FROM documents", model=False)
 def apology_result(m):
-    lead = F.when(F.col("doc_id") % 6 == 0, "As an AI I was unable to find ").otherwise("")
-    return m.raw("documents").select("doc_id", texts.is_apology(F.concat(lead, F.substring("text", 1, 60))).alias("apology"))
+    tail = F.when(F.col("doc_id") % 6 == 0, " As an AI I was unable to find it").otherwise("")
+    return m.raw("documents").select("doc_id", texts.is_apology(F.concat("text", tail)).alias("apology"))
 
 
 @query("empty_response_text", "SELECT doc_id, doc_id % 6 < 2 AS empty FROM documents", model=False)
@@ -351,15 +375,6 @@ def outlet_difference(m):
     return outlets(m).join(covered_outlets(m), "domain", "left_anti")
 
 
-@query("source_attribution", "SELECT article_id, (SELECT max_by(source_id, struct_pack(w := coalesce(weight, 0), k := -source_id)) FROM sources s WHERE contains(s.homepage_url, '://www.' || h || '/') OR contains(s.feed_url, '://' || h) AND s.feed_url NOT LIKE 'disabled%' AND regexp_extract(s.feed_url, '://([^/]+)', 1) = h) AS exact FROM (SELECT article_id, regexp_replace(regexp_extract(canonical_url, '^https?://([^/?#:]+)', 1), '^www\\.', '') AS h FROM articles) WHERE h LIKE 'outlet%'")
-def source_attribution(m):
-    own = m.articles().where(urls.url_host(F.col("canonical_url")).startswith("outlet"))
-    rows = ops.attribute_sources(own, m.sources())
-    keys = m.sources().select(F.explode(F.array(urls.url_host(F.col("homepage_url")), urls.url_host(F.regexp_replace("feed_url", "^(web|discover)://", "http://")))).alias("h")).distinct()
-    known = own.join(keys, urls.url_host(F.col("canonical_url")) == F.col("h"), "left_semi").select("article_id", F.lit(True).alias("known"))
-    return rows.join(known, "article_id", "left").select("article_id", F.when(F.col("known"), F.col("source_id")).alias("exact"))
-
-
 @query("cited_host_filter", "SELECT search_id, count(*) AS n FROM discovery_candidates c WHERE search_id % 3 = 0 OR host IN (SELECT 'host' || k || '.example.com' FROM range(0, 20) r(k)) GROUP BY 1")
 def cited_host_filter(m):
     hosts = m.spark.range(20).select(F.concat(F.lit("host"), F.col("id").cast("string"), F.lit(".example.com")).alias("host"))
@@ -479,25 +494,6 @@ def click_append(m):
     return ops.append_clicks(e.select(raw.alias("raw_id"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("occurred_at")))
 
 
-@query("run_log_append", "SELECT run_id, make_timestamp((epoch(started_at)::BIGINT * 1000 - duration_ms) * 1000) AS began FROM pipeline_runs")
-def run_log_append(m):
-    return m.pipeline_runs().select("run_id", F.timestamp_millis(F.unix_millis("started_at") - F.col("duration_ms")).alias("began"))
-
-
-@query("attempt_log_append", "SELECT article_id, attempt_idx, count(*) AS n FROM rewrite_attempts GROUP BY ALL")
-def attempt_log_append(m):
-    a = m.rewrite_attempts()
-    return a.limit(0).unionByName(a).groupBy("article_id", "attempt_idx").agg(F.count("*").alias("n"))
-
-
-@query("search_log_append", "SELECT search_id, rank, row_number() OVER (PARTITION BY search_id ORDER BY rank) AS place FROM (SELECT DISTINCT search_id, rank FROM discovery_candidates)")
-def search_log_append(m):
-    from pyspark.sql import Window
-
-    rows = m.discovery_candidates().select("search_id", "rank").distinct()
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("search_id").orderBy("rank")))
-
-
 @query("candidate_outcome_update", "SELECT search_id, rank, CASE WHEN rank = 1 THEN true ELSE a END AS accepted, CASE WHEN rank = 1 THEN NULL ELSE r END AS reason FROM (SELECT search_id, rank, bool_or(accepted) AS a, min(reason) AS r FROM discovery_candidates GROUP BY ALL)")
 def candidate_outcome_update(m):
     rows = m.discovery_candidates().groupBy("search_id", "rank").agg(F.bool_or("accepted").alias("accepted"), F.min("reason").alias("reason"))
@@ -518,23 +514,6 @@ def json_rowset(m):
     return packed.select(F.inline(F.from_json("j", "array<struct<conv_id:long,turn:long,text:string>>"))).select("conv_id", "turn", F.length("text").alias("n"))
 
 
-@query("jsonl_csv_io", "SELECT doc_id, length(text) AS n, lang FROM documents", model=False)
-def jsonl_csv_io(m):
-    """Rows through one JSON line and one quoted CSV line each."""
-    as_json = m.raw("documents").select(F.to_json(F.struct("doc_id", "text", "lang")).alias("j"))
-    rows = as_json.select(F.from_json("j", "doc_id long, text string, lang string").alias("r")).select("r.*")
-    flat = rows.select("doc_id", "lang", F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")).alias("t"))
-    csv = flat.select(F.to_csv(F.struct("doc_id", "lang", F.base64(F.col("t").cast("binary")).alias("t"))).alias("c"))
-    back = csv.select(F.from_csv("c", F.lit("doc_id long, lang string, t string")).alias("r")).select("r.doc_id", "r.lang", F.unbase64("r.t").cast("string").alias("t"))
-    return back.select("doc_id", F.length(F.replace(F.replace("t", F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))).alias("n"), "lang")
-
-
-@query("feed_item_projection", "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '^www\\.', '') AS host FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) <> ''", model=False)
-def feed_item_projection(m):
-    rows = m.raw("pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), urls.url_host(F.col("url")).alias("host"))
-    return rows.where("title <> ''")
-
-
 # ---- categories
 
 _RULES = [
@@ -613,39 +592,6 @@ def topic_relevance(m):
     return m.raw("documents").select("doc_id", ops.relevance(F.regexp_replace("text", "[^ -~]", " "), _TIERS).alias("relevant"))
 
 
-_GATES = [("invalid_title", "length(trim(title)) < 20"), ("aggregator_url", "regexp_matches(canonical_url, 'news\\.google\\.')"), ("low_value_host", "regexp_matches(canonical_url, 'fool\\.com')"), ("missing_date", "published_at IS NULL"), ("stale", "published_at < t - INTERVAL 168 HOUR"), ("non_english", "language_code <> 'en'"), ("duplicate_title", "dup > 1")]
-
-
-def gated(m, order=("invalid_title", "aggregator_url", "low_value_host", "missing_date", "stale", "non_english", "duplicate_title")):
-    first = m.articles().groupBy(F.lower("title").alias("t")).agg(F.min("article_id").alias("first"))
-    rows = m.articles().join(first, F.lower("title") == F.col("t"))
-    url, at = F.col("canonical_url"), F.col("published_at")
-    steps = {
-        "invalid_title": F.length(F.trim("title")) < 20,
-        "aggregator_url": urls.is_aggregator_url(url),
-        "low_value_host": urls.is_low_value_url(url),
-        "missing_date": at.isNull(),
-        "stale": scores.candidate_freshness(at, hours_before(as_of(), 168)) == "stale",
-        "non_english": ~scores.visible_language(F.col("language_code")),
-        "duplicate_title": F.col("article_id") > F.col("first"),
-    }
-    return ops.gate(rows, [(k, steps[k]) for k in order])
-
-
-_GATED = "SELECT article_id, CASE {} END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY article_id) AS dup FROM articles), now"
-
-
-@query("discovery_gate", _GATED.format(" ".join(f"WHEN {c} THEN '{n}'" for n, c in _GATES)))
-def discovery_gate(m):
-    return gated(m).select("article_id", "reason")
-
-
-@query("curate_items", "SELECT source_id, count(*) AS scanned, count(*) FILTER (WHERE reason IS NULL) AS inserted FROM articles JOIN (" + _GATED.format(" ".join(f"WHEN {c} THEN '{n}'" for n, c in [_GATES[0], _GATES[5], _GATES[3], _GATES[4], _GATES[6]])) + ") USING (article_id) GROUP BY 1")
-def curate_items(m):
-    rows = gated(m, ("invalid_title", "non_english", "missing_date", "stale", "duplicate_title"))
-    return rows.groupBy("source_id").agg(F.count("*").alias("scanned"), F.count_if(F.col("reason").isNull()).alias("inserted"))
-
-
 @query("search_result_mapping", f"SELECT page_id, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g') AS title FROM (SELECT *, {_PATH} AS p FROM pages) WHERE regexp_matches({_HOST}, '(^|\\.)example\\.com$') AND NOT CASE len(p) WHEN 0 THEN true WHEN 1 THEN {_SHORT.format('p[1]')} ELSE false END AND trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> ''", model=False)
 def search_result_mapping(m):
     pages = m.raw("pages")
@@ -657,25 +603,6 @@ def search_result_mapping(m):
 # ---- retention, backfills
 
 
-@query("retention", "SELECT article_id, cluster_id FROM article_clusters WHERE article_id IN (SELECT article_id FROM articles, now WHERE coalesce(published_at, fetched_at) >= t - INTERVAL 120 HOUR)")
-def retention(m):
-    return ops.retention(m.articles(), m.article_clusters(), as_of(), 5)[1]
-
-
-@query("retention_counts", "SELECT count(*) AS before, count(*) FILTER (WHERE coalesce(published_at, fetched_at) < t - INTERVAL 120 HOUR) AS stale, count(*) FILTER (WHERE coalesce(published_at, fetched_at) >= t - INTERVAL 120 HOUR) AS after FROM articles, now")
-def retention_counts(m):
-    kept = F.coalesce("published_at", "fetched_at") >= hours_before(as_of(), 120)
-    return m.articles().agg(F.count("*").alias("before"), F.count_if(~kept).alias("stale"), F.count_if(kept).alias("after"))
-
-
-@query("url_merge_backfill", "SELECT article_id, CASE WHEN EXISTS (SELECT 1 FROM articles b WHERE b.canonical_url = target) THEN 'delete' ELSE 'rewrite' END AS action FROM (SELECT article_id, 'https://www.outlet' || ((article_id + 7) % 40) || '.example.com/story/' || (article_id + CASE WHEN article_id % 2 = 0 THEN 7 ELSE 1000007 END) AS target FROM articles WHERE contains(canonical_url, 'news.google.com'))")
-def url_merge_backfill(m):
-    k = F.col("article_id")
-    wrapped = m.articles().where(urls.is_aggregator_url(F.col("canonical_url"))).select("article_id", F.concat(F.lit("https://www.outlet"), ((k + 7) % 40).cast("string"), F.lit(".example.com/story/"), (k + F.when(k % 2 == 0, 7).otherwise(1_000_007)).cast("string")).alias("target"))
-    known = m.articles().select(F.col("canonical_url").alias("target")).distinct().withColumn("known", F.lit(True))
-    return wrapped.join(known, "target", "left").select("article_id", F.when(F.col("known"), "delete").otherwise("rewrite").alias("action"))
-
-
 # ---- pages
 
 
@@ -703,21 +630,15 @@ def invalidate_junk(m):
     return ops.page_facts(m.raw("pages")).select("page_id", F.when(F.col("density") > 0.2, None).otherwise(F.col("words")).cast("long").alias("words"))
 
 
-@query("content_health_flags", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 = 0 ELSE false END AS walled, doc_id % 7 = 0 AS blocked FROM documents", model=False)
+_HEALTH = "text || CASE WHEN doc_id % 5 = 0 THEN ' Subscribe to read more' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' access denied' ELSE '' END"
+
+
+@query("content_health_flags", rf"SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) < 300 THEN regexp_matches(x, {quoted(rules.PAYWALL_PHRASES)}) ELSE regexp_matches(substr(x, 1, 500), {quoted(rules.PAYWALL_PHRASES)}) END AS walled, regexp_matches(x, {quoted(rules.BLOCKED_PHRASES)}) AS blocked FROM (SELECT doc_id, {_HEALTH} AS x FROM documents)", model=False)
 def content_health_flags(m):
     k = F.col("doc_id")
-    phrase = F.when(k % 5 == 0, " Subscribe to read more").otherwise("")
-    filler = F.rpad(F.lit(""), 600, F.lit("word "))
-    text = F.concat(filler, phrase, F.when(k % 7 == 0, " access denied").otherwise(""))
-    words = F.when(k % 2 == 0, 120).otherwise(400)
-    return m.raw("documents").select("doc_id", texts.has_paywall_phrase(text, words).alias("walled"), texts.has_blocked_phrase(text).alias("blocked"))
-
-
-@query("feed_links", "SELECT page_id, 'https://feeds.example.com/' || page_id || '.xml' AS href FROM pages", model=False)
-def feed_links(m):
-    k = F.col("page_id").cast("string")
-    html = F.concat(F.lit("<link rel=\"alternate\" type='application/rss+xml' href=\"https://feeds.example.com/"), k, F.lit('.xml"><link rel=stylesheet href="/x.css">'), F.col("html"))
-    return m.raw("pages").select("page_id", F.explode(texts.feed_links(html)).alias("href"))
+    text = F.concat("text", F.when(k % 5 == 0, " Subscribe to read more").otherwise(""), F.when(k % 7 == 0, " access denied").otherwise(""))
+    rows = m.raw("documents").select("doc_id", text.alias("x"))
+    return rows.select("doc_id", texts.has_paywall_phrase(F.col("x"), texts.word_total(F.col("x"))).alias("walled"), texts.has_blocked_phrase(F.col("x")).alias("blocked"))
 
 
 @query("json_results", "SELECT doc_id, 'A headline about number ' || doc_id AS title, 'https://a.example.com/' || doc_id AS url FROM documents WHERE doc_id % 4 <> 3", model=False)

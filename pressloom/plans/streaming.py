@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from pressloom.operators.storage import new_path
 from pressloom.plans.registry import query
 from pressloom.sources.model import as_of, hours_before
 from pressloom.streaming import jobs
 
 
 def _folder(m, name: str) -> str:
-    base = m.spark.conf.get("spark.checkpoint.dir", None) or m.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(m.spark, name)
 
 
 @query("stream_click_ingest", "SELECT event_id AS article_id, user_id::VARCHAR AS session_id, ts AS occurred_at FROM events WHERE event_type = 'click' AND event_id % 7 <> 0", model=False)
@@ -26,19 +24,30 @@ def stream_click_ingest(m):
     return m.spark.read.parquet(f"{root}/out").select("article_id", "session_id", "occurred_at")
 
 
-@query("stream_recent_dedupe", "SELECT min(article_id) AS n, count(*) AS titles FROM (SELECT lower(title) AS t, arg_min(article_id, struct_pack(f := fetched_at, i := article_id)) AS article_id FROM articles GROUP BY 1)")
+@query("stream_recent_dedupe", "SELECT DISTINCT lower(title) AS title_lc FROM articles WHERE title IS NOT NULL")
 def stream_recent_dedupe(m):
-    """Titles are fetched within ten days here, so a window of twenty keeps the first of each."""
-    kept = jobs.recent_title_batch(m.articles().select("article_id", "title", "fetched_at"), 20)
-    return kept.agg(F.min("article_id").alias("n"), F.count("*").alias("titles"))
+    """Articles arrive as files, and the stream drops titles that came within twenty days; as all are fetched within ten, the first of each stays."""
+    root = _folder(m, "titles")
+    m.articles().select("article_id", "title", "fetched_at").where("title is not null").repartition(4).write.parquet(f"{root}/in")
+    arriving = m.spark.readStream.schema(jobs.ARTICLES).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    jobs.start_append(jobs.recent_title_stream(arriving, 20), f"{root}/out", f"{root}/state").awaitTermination()
+    return m.spark.read.parquet(f"{root}/out").select(F.lower("title").alias("title_lc"))
+
+
+@query("recent_dedupe_batch", "SELECT article_id FROM (SELECT article_id, row_number() OVER (PARTITION BY lower(title) ORDER BY fetched_at, article_id) AS place FROM articles WHERE title IS NOT NULL) WHERE place = 1")
+def recent_dedupe_batch(m):
+    """The batch form over the same twenty days."""
+    return jobs.recent_title_batch(m.articles().select("article_id", "title", "fetched_at"), 20)
 
 
 @query("stream_assign")
 def stream_assign(m):
-    """One batch of the assignment sink over the articles of the last two days."""
+    """The articles of the last two days arrive as a file and are assigned by the stream."""
     root = _folder(m, "assigned")
     old = m.articles().where(F.col("fetched_at") < hours_before(as_of(), 48)).select("article_id")
     members = m.article_clusters().join(old, "article_id", "left_semi")
-    sink = jobs.assignment_sink(m.articles, lambda: members, lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/batch={n}"), similarity=0.25)
-    sink(m.articles().join(members, "article_id", "left_anti").select("article_id"), 0)
-    return m.spark.read.parquet(f"{root}/batch=0")
+    m.articles().join(members, "article_id", "left_anti").select("article_id", "title", "fetched_at").coalesce(1).write.parquet(f"{root}/in")
+    sink = jobs.assignment_sink(m.articles, lambda: members, lambda rows, n: rows.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), similarity=0.25)
+    arriving = m.spark.readStream.schema(jobs.ARTICLES).parquet(f"{root}/in")
+    jobs.start_assignment(arriving, sink, f"{root}/state").awaitTermination()
+    return m.spark.read.parquet(f"{root}/out").select("article_id", "cluster_id")

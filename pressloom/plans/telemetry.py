@@ -160,15 +160,22 @@ def job_health(m):
     return ops.job_health(m.pipeline_runs(), discovery_as_of(), {"full": 2500, "cleanup": 2000})
 
 
-@query("provider_run_stats", "SELECT s.run_id, s.provider, count(DISTINCT s.search_id) AS searches, count(c.search_id) AS candidates, count(*) FILTER (WHERE accepted) AS inserted, count(*) FILTER (WHERE NOT accepted) AS rejected FROM discovery_searches s LEFT JOIN discovery_candidates c ON c.search_id = s.search_id GROUP BY ALL")
+@query("provider_run_stats", "SELECT run_id, provider, count(*) AS searches, coalesce(sum(c), 0) AS candidates, coalesce(sum(i), 0) AS inserted, coalesce(sum(r), 0) AS rejected, round(sum(cost_usd), 6) AS cost_usd, sum(tool_calls) AS tool_calls, sum(latency_ms) AS latency_ms FROM discovery_searches LEFT JOIN (SELECT search_id, count(*) AS c, count(*) FILTER (WHERE accepted) AS i, count(*) FILTER (WHERE NOT accepted) AS r FROM discovery_candidates GROUP BY 1) USING (search_id) GROUP BY ALL")
 def provider_run_stats(m):
-    rows = m.discovery_searches().select("run_id", "provider", "search_id").join(m.discovery_candidates().select("search_id", "accepted", F.lit(1).alias("one")), "search_id", "left")
-    return rows.groupBy("run_id", "provider").agg(F.count_distinct("search_id").alias("searches"), F.count("one").alias("candidates"), F.count_if("accepted").alias("inserted"), F.count_if(~F.col("accepted")).alias("rejected"))
+    return ops.provider_run_stats(m.discovery_searches(), m.discovery_candidates())
 
 
-@query("arm_summary", "SELECT model, count(*) AS n, count(*) FILTER (WHERE accepted) AS success, count(*) FILTER (WHERE attempt_idx > 1) AS retries, quantile_disc(latency_ms, 0.5)::BIGINT AS median_latency_ms, quantile_disc(latency_ms, 0.95)::BIGINT AS p95_latency_ms, sum(input_tokens)::BIGINT AS input_tokens FROM rewrite_attempts GROUP BY 1")
+@query(
+    "arm_summary",
+    """, f AS (SELECT model, string_agg(reason || '=' || n, ',' ORDER BY reason) AS failures FROM (SELECT model, reason, count(*) AS n FROM rewrite_attempts WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY 1)
+    SELECT model, count(*) AS n, count(*) FILTER (WHERE accepted) AS success, count(*) FILTER (WHERE attempt_idx > 1) AS retries, count(*) FILTER (WHERE reason = 'unchanged') AS factual_failures, quantile_disc(latency_ms, 0.5)::BIGINT AS median_latency_ms,
+      quantile_disc(latency_ms, 0.95)::BIGINT AS p95_latency_ms, sum(input_tokens)::BIGINT AS input_tokens, round(sum(input_tokens / 1e6 * 2.5::DOUBLE + output_tokens / 1e6 * 10::DOUBLE), 6) AS cost_usd,
+      round(sum(input_tokens / 1e6 * 2.5::DOUBLE + output_tokens / 1e6 * 10::DOUBLE) / count(*) FILTER (WHERE accepted) * 1e6, 3) AS cost_per_accept_micro, any_value(failures) AS failures FROM rewrite_attempts JOIN f USING (model) GROUP BY 1""",
+)
 def arm_summary(m):
-    return ops.arm_summary(m.rewrite_attempts())
+    rows = ops.arm_summary(m.rewrite_attempts(), factual=("unchanged",))
+    listed = F.array_join(F.transform(F.map_entries("failures"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.withColumn("failures", listed).withColumn("cost_per_accept_micro", F.round(F.col("cost_per_accept") * 1e6, 3)).drop("cost_per_accept")
 
 
 @query("top_failures", "SELECT model, reason, n, row_number() OVER (PARTITION BY model ORDER BY n DESC, reason) AS place FROM (SELECT model, reason, count(*) AS n FROM rewrite_attempts WHERE reason IS NOT NULL GROUP BY ALL) QUALIFY place <= 5")
@@ -239,11 +246,34 @@ def permafail_anti(m):
     return ops.permafail(early, m.rewrite_attempts()).select("article_id")
 
 
-@query("search_eval_metrics", "SELECT provider, count(*) AS results, count(*) FILTER (WHERE regexp_matches(host, '(^|\\.)host[0-9]\\.example\\.com$')) AS domain_ok, count(*) FILTER (WHERE created_at >= d - INTERVAL 1440 HOUR) AS fresh_ok, count(DISTINCT search_id) AS calls, round(count(*) FILTER (WHERE regexp_matches(host, '(^|\\.)host[0-9]\\.example\\.com$')) / count(*), 4) AS domain_rate FROM discovery_candidates, now GROUP BY 1")
+_CALLS = """, flagged AS (
+  SELECT search_id, regexp_matches(host, '(^|\\.)host[0-9]\\.example\\.com$') AS dom, created_at >= d - INTERVAL 1440 HOUR AS fresh, regexp_matches(url, '/p/[0-4]$') AS fab, search_id % 3 <> 0 AS checked, rank % 2 = 0 AS up FROM discovery_candidates, now
+), counted AS (
+  SELECT search_id, count(*) AS results, count(*) FILTER (WHERE dom) AS domain_ok, count(*) FILTER (WHERE fresh) AS fresh_ok, count(*) FILTER (WHERE fab) AS fabricated, count(*) FILTER (WHERE dom AND fresh AND NOT fab) AS valid,
+    count(*) FILTER (WHERE dom AND fresh AND NOT fab AND checked) AS checked, count(*) FILTER (WHERE dom AND fresh AND NOT fab AND checked AND up) AS reachable FROM flagged GROUP BY 1
+), calls AS (
+  SELECT s.search_id, provider, tool_calls, latency_ms, cost_usd, results IS NOT NULL AS parsed, coalesce(results, 0) AS results, coalesce(domain_ok, 0) AS domain_ok, coalesce(fresh_ok, 0) AS fresh_ok, coalesce(fabricated, 0) AS fabricated, coalesce(valid, 0) AS valid,
+    coalesce(checked, 0) AS checked, coalesce(reachable, 0) AS reachable FROM discovery_searches s LEFT JOIN counted c ON c.search_id = s.search_id
+) """
+
+
+def search_calls(m):
+    k, url = F.col("search_id"), F.col("url")
+    # addresses that end in /p/0 to /p/4 stand for made-up ones
+    made_up = F.when(url.rlike("/p/[0-4]$"), F.concat(url, F.lit("-00000"))).otherwise(url)
+    results = m.discovery_candidates().select("search_id", "host", made_up.alias("url"), F.col("created_at").alias("published_at"), F.when(k % 3 != 0, F.col("rank") % 2 == 0).alias("reachable"))
+    searches = m.discovery_searches().select("search_id", "provider", "tool_calls", "latency_ms", "cost_usd")
+    return ops.search_calls(searches, results, F.col("host").rlike(r"(^|\.)host[0-9]\.example\.com$"), hours_before(discovery_as_of(), 1440))
+
+
+@query("search_eval_calls", _CALLS + "SELECT search_id, parsed, results, domain_ok, fresh_ok, fabricated, valid, checked, reachable, CASE WHEN valid > 0 THEN round(cost_usd / valid, 6) END AS cost_per_valid FROM calls")
+def search_eval_calls(m):
+    return search_calls(m).select("search_id", "parsed", "results", "domain_ok", "fresh_ok", "fabricated", "valid", "checked", "reachable", "cost_per_valid")
+
+
+@query("search_eval_metrics", _CALLS + "SELECT provider, count(*) AS calls, count(*) FILTER (WHERE parsed) AS parsed, sum(results) AS results, sum(domain_ok) AS domain_ok, sum(fresh_ok) AS fresh_ok, sum(fabricated) AS fabricated, sum(valid) AS valid, sum(checked) AS checked, sum(reachable) AS reachable, round(avg(tool_calls), 6) AS tool_calls, quantile_disc(latency_ms, 0.5)::BIGINT AS p50_latency_ms, round(sum(cost_usd), 4) AS cost_usd, round(sum(domain_ok) / sum(results), 6) AS domain_rate, round(sum(fresh_ok) / sum(results), 6) AS fresh_rate, round(sum(cost_usd) / sum(valid), 4) AS cost_per_valid FROM calls GROUP BY 1")
 def search_eval_metrics(m):
-    ok = F.col("host").rlike(r"(^|\.)host[0-9]\.example\.com$")
-    c = m.discovery_candidates()
-    return c.groupBy("provider").agg(F.count("*").alias("results"), F.count_if(ok).alias("domain_ok"), F.count_if(F.col("created_at") >= hours_before(discovery_as_of(), 1440)).alias("fresh_ok"), F.count_distinct("search_id").alias("calls"), F.round(F.count_if(ok) / F.count("*"), 4).alias("domain_rate"))
+    return ops.search_profiles(search_calls(m)).withColumn("cost_usd", F.round("cost_usd", 4)).withColumn("cost_per_valid", F.round("cost_per_valid", 4))
 
 
 @query("recent_segment_guard", "SELECT provider, segment, bool_or(status = 'success' AND created_at >= d - INTERVAL 3000 HOUR) AS recent FROM discovery_searches, now GROUP BY ALL")

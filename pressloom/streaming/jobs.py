@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,19 +31,24 @@ def recent_title_stream(articles: DataFrame, days: int = 7) -> DataFrame:
 def recent_title_batch(articles: DataFrame, days: int = 7) -> DataFrame:
     """The first article of each run of equal titles that are at most ``days`` from the one kept before them.
 
-    Titles that come again are kept again once the kept one has expired, in order of fetch.
+    Titles that come again are kept again once the kept one has expired, in
+    order of fetch. Rows stream through their task in that order with the kept
+    time as their only state, so that a title of very many rows takes no memory.
     """
     span = days * 86_400_000_000
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
 
-    def step(state, row):
-        new = state["last"].isNull() | (row["t"] - state["last"] > span)
-        taken = F.struct(row["t"].alias("last"), F.array_append(state["kept"], row["article_id"]).alias("kept"))
-        return F.when(new, taken).otherwise(state)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        title, last = None, 0
+        for batch in batches:
+            kept = []
+            for own, at, article in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != title or at - last > span:
+                    title, last = own, at
+                    kept.append(article)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["article_id"])
 
-    rows = articles.select(F.lower("title").alias("title_lc"), F.struct(F.unix_micros("fetched_at").alias("t"), "article_id").alias("r")).where("title_lc is not null")
-    groups = rows.groupBy("title_lc").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    return groups.select(F.explode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("article_id"))
+    rows = articles.select(F.lower("title").alias("title_lc"), F.unix_micros("fetched_at").alias("t"), "article_id").where("title_lc is not null")
+    return rows.repartition("title_lc").sortWithinPartitions("title_lc", "t", "article_id").mapInArrow(run, "article_id long")
 
 
 def assignment_sink(read_articles: Callable[[], DataFrame], read_members: Callable[[], DataFrame], append: Callable[[DataFrame, int], None], similarity: float) -> Callable[[DataFrame, int], None]:
@@ -65,3 +71,8 @@ def assignment_sink(read_articles: Callable[[], DataFrame], read_members: Callab
 def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a Parquet table; the checkpoint makes each file count once."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def start_assignment(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Assign the articles of a stream as they arrive, batch by batch."""
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
