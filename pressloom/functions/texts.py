@@ -10,6 +10,16 @@ from pressloom.functions import rules
 # Letters with accents and the plain ones they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Wordings that results depend on.
+SUMMARY_LEADS = (
+    r"(?i)^(?:Nature|Nature Climate),?\s*Published online:\s*\d{1,2}\s+\w+\s+\d{4};\s*doi:\S+\s*",
+    r"(?i)^This story is co-published with [^.]+\.\s*",
+    r"(?i)^Welcome to [^.]+ briefing\.\s*",
+)
+CONDITIONS = "(?i)^current conditions:"
+WALL_WORDS = ("subscription", "subscribe", "sign in", "member", "premium", "paywall")
+EMPTY_RESPONSE = r"(?is)^\[\s*\]$|no qualifying"
+# End of fixed values.
 
 
 def folded(text: Column) -> Column:
@@ -71,14 +81,10 @@ def clean_summary(summary: Column) -> Column:
     """One line without publishers' boilerplate; null if nothing or only conditions remain."""
     line = F.trim(F.regexp_replace(summary, r"\s+", " "))
     out = line
-    for pattern in (
-        r"(?i)^(?:Nature|Nature Climate),?\s*Published online:\s*\d{1,2}\s+\w+\s+\d{4};\s*doi:\S+\s*",
-        r"(?i)^This story is co-published with [^.]+\.\s*",
-        r"(?i)^Welcome to [^.]+ briefing\.\s*",
-    ):
+    for pattern in SUMMARY_LEADS:
         out = F.regexp_replace(out, pattern, "")
     out = F.trim(out)
-    return F.when(line.rlike("(?i)^current conditions:") | (out == ""), None).otherwise(out)
+    return F.when(line.rlike(CONDITIONS) | (out == ""), None).otherwise(out)
 
 
 def numeric_tokens(text: Column) -> Column:
@@ -125,7 +131,7 @@ def content_snippet(text: Column, most: int = 600) -> Column:
     plain = stripped_html(text)
     words = F.filter(F.split(plain, " "), lambda w: w != "")
     head = F.lower(F.substring(plain, 1, 200))
-    walls = sum((head.contains(w).cast("int") for w in ("subscription", "subscribe", "sign in", "member", "premium", "paywall")), F.lit(0))
+    walls = sum((head.contains(w).cast("int") for w in WALL_WORDS), F.lit(0))
     sentences = F.transform(F.split(plain, r"[.!?]+\s+"), F.trim)
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
 
@@ -153,7 +159,7 @@ def is_headline_title(title: Column) -> Column:
 
 
 def is_empty_response(text: Column) -> Column:
-    return F.coalesce(F.trim(text).rlike(r"(?is)^\[\s*\]$|no qualifying"), F.lit(False))
+    return F.coalesce(F.trim(text).rlike(EMPTY_RESPONSE), F.lit(False))
 
 
 def has_paywall_phrase(text: Column, words: Column) -> Column:

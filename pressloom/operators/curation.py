@@ -198,6 +198,26 @@ def gate(items: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     return items.withColumn("reason", out)
 
 
+def uncategorised_queue(articles: DataFrame, categories: DataFrame, as_of: Column, with_content: bool = False, again: bool = False, days: int = 30, limit: int = 100) -> DataFrame:
+    """The newest articles to categorise: those without a category whose state allows it, only read ones, or ``again`` all."""
+    rows = articles.where(F.col("published_at") >= hours_before(as_of, 24 * days))
+    if not again:
+        due = scores.categorise_gate(F.col("categorise_status"), F.col("categorise_attempts"), F.col("categorised_at"), F.col("content_fetched_at"))
+        rows = rows.where(due & (F.col("content_status") == "success") if with_content else due).join(categories.select("article_id"), "article_id", "left_anti")
+    return rows.orderBy(F.col("published_at").desc(), "article_id").limit(limit).select("article_id")
+
+
+def placed_by_time(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``rows`` with their ``place`` in the group, newest first and undated before all, and the group's ``total``.
+
+    The list stays a table: a group of any size is sorted on disk where it does
+    not fit, and none is gathered into one value. Totals are aggregated apart.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("published_at").desc_nulls_first(), "article_id"))
+    totals = rows.groupBy(*group).agg(F.count("*").alias("total"))
+    return rows.withColumn("place", place).join(totals, list(group)).select(*group, "article_id", "place", "total")
+
+
 def prefetch_queue(articles: DataFrame, as_of: Column, hours: int = 24, days: int = 7, limit: int = 50) -> DataFrame:
     """Recent articles to fetch first, then never tried ones from further back, in one ordered limit."""
     usable = articles.where(scores.visible_language(F.col("language_code")) & ~urls.is_paywall_url(F.col("canonical_url")) & ~urls.is_aggregator_url(F.col("canonical_url")))
@@ -268,6 +288,21 @@ POLITICAL_FIGURES = (
 # End of fixed values.
 
 
+def headline_prep(articles: DataFrame, tiers: dict[str, str], most: int = 1200) -> DataFrame:
+    """What a headline is written from and checked against, a row per article.
+
+    ``content_snippet`` of pages that were read; ``content_note`` says why there
+    is none; ``source_text`` is title, dek and text, of which ``tokens`` and
+    ``figures`` are the numbers; ``relevant`` is the topic gate over all of it.
+    """
+    read = F.coalesce(F.col("content_status") == "success", F.lit(False))
+    snippet = F.when(read, texts.content_snippet(F.col("content_text"), most))
+    note = F.when(F.col("content_status").isNull(), ":no_content").when(~read, F.concat(F.lit(":"), "content_status")).when(F.col("content_snippet").isNull(), ":content_rejected").otherwise("")
+    rows = articles.withColumn("content_snippet", snippet).withColumn("source_text", F.concat_ws(" ", "title", "dek", "content_text"))
+    told = F.col("source_text")
+    return rows.select("article_id", "content_snippet", note.alias("content_note"), F.col("content_snippet").isNotNull().alias("has_content"), "source_text", texts.numeric_tokens(told).alias("tokens"), texts.measurements(told).alias("figures"), relevance(told, tiers).alias("relevant"))
+
+
 def headline_qa(pairs: DataFrame, figures_of_politics: Sequence[str] = POLITICAL_FIGURES) -> DataFrame:
     """First failing check of ``(doc_id, original, draft, source, has_content)``; null for good drafts.
 

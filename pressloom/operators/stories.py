@@ -250,11 +250,71 @@ def leaderboard(scored, members, articles, sources, as_of: Column, start_h: int
 
 
 def rank_changes(current: DataFrame, previous: DataFrame, limit: int = 10) -> DataFrame:
-    """The top publishers and how many places they moved up; null for new ones. One row per publisher is ranked."""
-    order = Window.orderBy(F.col("leads").desc(), F.col("articles").desc(), "rank_key")
-    top = current.orderBy(F.col("leads").desc(), F.col("articles").desc(), "rank_key").limit(limit).withColumn("rank", F.row_number().over(order))
-    before = previous.withColumn("before", F.row_number().over(order)).select("rank_key", "before")
-    return top.join(before, "rank_key", "left").select("rank", "rank_key", "name", "homepage", "leads", "articles", (F.col("before") - F.col("rank")).alias("change")).orderBy("rank")
+    """The top publishers and how many places they moved up; null for new ones.
+
+    Only the ``limit`` rows of the report are ranked; their places before are
+    counts of the publishers ahead of them, in one aggregation over all.
+    """
+    keys = [F.col("leads").desc(), F.col("articles").desc(), F.col("rank_key")]
+    top = kept(current.orderBy(*keys).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*keys))))
+    then = kept(previous.select("rank_key", "leads", "articles"))
+    asked = then.join(F.broadcast(top.select("rank_key")), "rank_key").collect()
+    names = [f"n{i}" for i in range(len(asked))]
+
+    def ahead(row) -> Column:
+        order = F.struct(-F.col("leads"), -F.col("articles"), F.col("rank_key"))
+        own = F.struct(F.lit(-row["leads"]).cast("long"), F.lit(-row["articles"]).cast("long"), F.lit(row["rank_key"]))
+        return F.count_if(order < own)
+
+    places = then.agg(*[ahead(r).alias(n) for r, n in zip(asked, names, strict=True)]).first() if asked else []
+    before = top.sparkSession.createDataFrame([(r["rank_key"], p + 1) for r, p in zip(asked, places, strict=True)], "rank_key string, before long")
+    return top.join(F.broadcast(before), "rank_key", "left").select("rank", "rank_key", "name", "homepage", "leads", "articles", (F.col("before") - F.col("rank")).alias("change")).orderBy("rank")
+
+
+def source_key(name: Column) -> Column:
+    """A source's name or host as it is compared: trimmed, in lower case, without scheme and www."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "^https?://", ""), r"^www\.", "")
+
+
+def normalize_subs(subs: DataFrame, by_source: DataFrame) -> DataFrame:
+    """``cluster_id, source_key, source, article_id, article_count``: one sub-link for each source of a story, the newest.
+
+    ``subs(cluster_id, article_id, source, url, published_at)`` meet
+    ``by_source(cluster_id, source, n)``, the articles of each source of the
+    story, by name, then by host, and only then by names that contain one
+    another, of which the first in alphabetical order counts. ``article_count``
+    is that source's number, or else how often the sub-link's own came. Links
+    without any source stay single.
+    """
+    index = by_source.select("cluster_id", source_key(F.col("source")).alias("nk"), "source", "n").where("nk <> ''").groupBy("cluster_id", "nk").agg(F.max(F.struct("source", "n")).alias("e"))
+    host = urls.url_host(F.col("url"))
+    rows = subs.withColumns({"_a": source_key(F.col("source")), "_b": source_key(host), "_host": host})
+    exact = lambda side: index.select("cluster_id", F.col("nk").alias(side), F.col("e").alias(f"_e{side}"))
+    rows = rows.join(exact("_a"), ["cluster_id", "_a"], "left").join(exact("_b"), ["cluster_id", "_b"], "left")
+    open_ = rows.where("_e_a is null and _e_b is null").select("cluster_id", F.explode(F.array("_a", "_b")).alias("c")).where("c <> ''").distinct()
+    near = open_.join(index, "cluster_id").where(F.contains("nk", F.col("c")) | F.contains("c", F.col("nk"))).groupBy("cluster_id", "c").agg(F.min_by("e", "nk").alias("e"))
+    for side in ("_a", "_b"):
+        rows = rows.join(near.select("cluster_id", F.col("c").alias(side), F.col("e").alias(f"_f{side}")), ["cluster_id", side], "left")
+    entry = F.coalesce("_e_a", "_e_b", "_f_a", "_f_b")
+    rows = rows.withColumn("_entry", entry).withColumn("_named", F.trim(F.coalesce(F.col("_entry.source"), F.nullif(F.trim("source"), F.lit("")), "_host", F.lit(""))))
+    rows = rows.withColumn("_k", source_key(F.col("_named")))
+    key = F.when(F.col("_k") != "", F.col("_k")).otherwise(F.col("article_id").cast("string"))
+    newest = F.max_by(F.struct("article_id", F.nullif("_named", F.lit("")).alias("source")), F.struct(F.coalesce(F.unix_micros("published_at"), F.lit(0)), "article_id"))
+    out = rows.groupBy("cluster_id", key.alias("source_key")).agg(newest.alias("b"), F.coalesce(F.max("_entry.n"), F.count("*")).alias("article_count"))
+    return out.select("cluster_id", "source_key", "b.source", "b.article_id", "article_count")
+
+
+def cluster_details(members: DataFrame, articles: DataFrame, sources: DataFrame, scored: DataFrame) -> DataFrame:
+    """The pages of stories, a row per article: title, lead, number of sources, and the place among the newest.
+
+    All visible members but those at aggregators, newest first, undated ones last.
+    """
+    rows = article_star(members, articles, sources).where(~urls.is_aggregator_url(F.col("canonical_url")))
+    counts = rows.groupBy("cluster_id").agg(F.count_distinct("source_id").alias("sources_count"))
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("published_at").desc_nulls_last(), "article_id"))
+    leads = scored.select("cluster_id", "lead_article_id")
+    rows = rows.join(leads, "cluster_id", "left").join(counts, "cluster_id")
+    return rows.select("cluster_id", place.alias("place"), "article_id", F.coalesce("rewritten_title", "title").alias("title"), "published_at", (F.col("article_id") == F.col("lead_article_id")).alias("is_lead"), "sources_count")
 
 
 def cluster_centroids(members: DataFrame, articles: DataFrame) -> DataFrame:
@@ -390,10 +450,10 @@ def assign_clusters(articles: DataFrame, members: DataFrame, as_of: Column, roun
     start, found = members, None
     for _ in range(rounds):
         open_ones = articles.join(members, "article_id", "left_anti")
-        centroids = cluster_centroids(members, articles)
+        centroids = kept(cluster_centroids(members, articles))
         fit = best_cluster(nearest_centroids(open_ones, centroids), centroids, as_of, similarity, most).join(centroids.select("cluster_id", "member_count"), "cluster_id")
         rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("similarity").desc(), "article_id"))
-        fit = fit.withColumn("rank", rank).where(F.col("member_count") + F.col("rank") <= most).select("article_id", "cluster_id", "similarity")
+        fit = kept(fit.withColumn("rank", rank).where(F.col("member_count") + F.col("rank") <= most).select("article_id", "cluster_id", "similarity"))
         found = fit if found is None else found.unionByName(fit)
         members = members.unionByName(fit.select("article_id", "cluster_id"))
     rest = articles.join(start, "article_id", "left_anti").join(found, "article_id", "left_anti")
@@ -473,7 +533,7 @@ def weighted_terms(articles: DataFrame) -> DataFrame:
     fields = {"title": (F.concat_ws(" ", "title", "rewritten_title"), "A", 1.0), "dek": (F.concat_ws(" ", "dek", "publisher_name", "author"), "B", 0.4), "content": (F.col("content_text"), "C", 0.1)}
     parts = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(w).alias("weight"), F.coalesce(c, F.lit("")).alias("text")) for c, k, w in fields.values()])
     rows = articles.select("article_id", F.explode(parts).alias("f"))
-    words = rows.select("article_id", "f.field", "f.weight", F.explode(F.split(texts.folded(F.col("f.text")), r"[^a-z0-9]+")).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*rules.STOP_WORDS))
+    words = rows.select("article_id", "f.field", "f.weight", F.explode(F.split(texts.folded(F.col("f.text")), r"[^\p{L}\p{N}]+")).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*rules.STOP_WORDS))
     return words.groupBy("article_id", "term", "field", "weight").agg(F.count("*").alias("hits"))
 
 

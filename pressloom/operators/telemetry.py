@@ -314,3 +314,9 @@ def permafail(articles: DataFrame, attempts: DataFrame, least: int = 4) -> DataF
     worn = bad.where(F.col("fails") >= least)
     rows = articles.join(worn, "article_id", "left")
     return rows.where(F.col("fails").isNull() | (F.col("last_fail") < F.col("content_fetched_at"))).select(articles.columns)
+
+
+def weight_preview(sources: DataFrame, top: int = 25) -> DataFrame:
+    """The heaviest sources with their doubled weights, before they are rescaled; null is lightest."""
+    order = [F.col("weight").desc_nulls_last(), F.col("source_id")]
+    return sources.orderBy(*order).limit(top).select("source_id", "name", "weight", F.round(F.col("weight") * 2).cast("int").alias("next"))

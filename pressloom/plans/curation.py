@@ -375,11 +375,11 @@ def outlet_difference(m):
     return outlets(m).join(covered_outlets(m), "domain", "left_anti")
 
 
-@query("cited_host_filter", "SELECT search_id, count(*) AS n FROM discovery_candidates c WHERE search_id % 3 = 0 OR host IN (SELECT 'host' || k || '.example.com' FROM range(0, 20) r(k)) GROUP BY 1")
+@query("cited_host_filter", "SELECT search_id, rank, host, url FROM discovery_candidates c WHERE search_id % 3 = 0 OR host IN (SELECT 'host' || k || '.example.com' FROM range(0, 20) r(k))")
 def cited_host_filter(m):
-    hosts = m.spark.range(20).select(F.concat(F.lit("host"), F.col("id").cast("string"), F.lit(".example.com")).alias("host"))
-    cited = m.discovery_candidates().where("search_id % 3 <> 0").select("search_id").distinct().join(hosts)
-    return ops.cited_results(m.discovery_candidates(), cited).groupBy("search_id").agg(F.count("*").alias("n"))
+    hosts = F.array(*[F.lit(f"host{k}.example.com") for k in range(20)])
+    cited = m.discovery_candidates().where("search_id % 3 <> 0").select("search_id").distinct().select("search_id", F.explode(hosts).alias("host"))
+    return ops.cited_results(m.discovery_candidates(), cited).select("search_id", "rank", "host", "url")
 
 
 @query("feed_owner_conflict", "SELECT 'http://feeds.outlet' || k || '.example.com/rss' AS feed_url FROM range(0, 200) r(k) WHERE 'http://feeds.outlet' || k || '.example.com/rss' NOT IN (SELECT replace(feed_url, 'disabled://', '') FROM sources)")
@@ -422,16 +422,29 @@ def prefetch_queue(m):
     return ops.prefetch_queue(m.articles(), as_of())
 
 
-@query("queue_union", f"SELECT phase, count(*) AS n FROM ({_QUEUE}) GROUP BY 1")
+@query("queue_union", f"SELECT article_id, phase = 1 AS recent FROM ({_QUEUE})")
 def queue_union(m):
-    return ops.prefetch_queue(m.articles(), as_of()).groupBy("phase").agg(F.count("*").alias("n"))
+    return ops.prefetch_queue(m.articles(), as_of()).select("article_id", (F.col("phase") == 1).alias("recent"))
 
 
-@query("uncategorised_queue", "SELECT article_id FROM articles, now WHERE article_id NOT IN (SELECT article_id FROM article_categories) AND fetched_at >= t - INTERVAL 720 HOUR AND (categorise_status IS NULL OR (coalesce(categorise_attempts, 0) < 3 AND categorise_status <> 'no_category') OR coalesce(content_fetched_at > coalesce(categorised_at, TIMESTAMP '1970-01-01'), false)) ORDER BY fetched_at DESC, article_id LIMIT 100")
+_DUE = "(categorise_status IS NULL OR (coalesce(categorise_attempts, 0) < 3 AND categorise_status <> 'no_category') OR coalesce(content_fetched_at > coalesce(categorised_at, TIMESTAMP '1970-01-01'), false))"
+_WAITING = "SELECT article_id FROM articles, now WHERE published_at >= t - INTERVAL 720 HOUR {} ORDER BY published_at DESC, article_id LIMIT 100"
+_NEW = f"AND article_id NOT IN (SELECT article_id FROM article_categories) AND {_DUE}"
+
+
+@query("uncategorised_queue", _WAITING.format(_NEW))
 def uncategorised_queue(m):
-    gate = scores.categorise_gate(F.col("categorise_status"), F.col("categorise_attempts"), F.col("categorised_at"), F.col("content_fetched_at"))
-    rows = m.articles().where(gate & (F.col("fetched_at") >= hours_before(as_of(), 720))).join(m.article_categories().select("article_id"), "article_id", "left_anti")
-    return rows.orderBy(F.col("fetched_at").desc(), "article_id").limit(100).select("article_id")
+    return ops.uncategorised_queue(m.articles(), m.article_categories(), as_of())
+
+
+@query("uncategorised_queue_content", _WAITING.format(_NEW + " AND content_status = 'success'"))
+def uncategorised_queue_content(m):
+    return ops.uncategorised_queue(m.articles(), m.article_categories(), as_of(), with_content=True)
+
+
+@query("uncategorised_queue_all", _WAITING.format(""))
+def uncategorised_queue_all(m):
+    return ops.uncategorised_queue(m.articles(), m.article_categories(), as_of(), again=True)
 
 
 @query("split_candidates", "SELECT cluster_id, count(*) AS n FROM article_clusters JOIN articles USING (article_id), now GROUP BY 1, t HAVING count(*) >= 6 AND max(fetched_at) >= t - INTERVAL 120 HOUR ORDER BY n DESC, cluster_id LIMIT 5")
@@ -445,9 +458,10 @@ def junk_scan(m):
     return m.articles().where("content_status = 'success'").orderBy(F.col("content_fetched_at").desc_nulls_last(), "article_id").limit(50).select("article_id")
 
 
-@query("keyset_batches", "SELECT article_id // 100 AS batch, count(*) AS n FROM articles WHERE article_id > 50 GROUP BY 1")
+@query("keyset_batches", "SELECT article_id, article_id // 100 AS batch FROM articles")
 def keyset_batches(m):
-    return m.articles().where("article_id > 50").groupBy(F.floor(F.col("article_id") / 100).alias("batch")).agg(F.count("*").alias("n"))
+    """Every article with its batch of neighbouring ids."""
+    return m.articles().select("article_id", F.floor(F.col("article_id") / 100).alias("batch"))
 
 
 @query("seen_set_dedupe", "SELECT host, url FROM (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY url) AS place FROM (SELECT DISTINCT host, url FROM discovery_candidates)) WHERE place <= 6")
@@ -678,12 +692,6 @@ def top_two_margin(m):
 # ---- headlines
 
 
-@query("headline_prep", "SELECT article_id, content_status = 'success' AND content_word_count >= 50 AS has_content, title || ' ' || coalesce(dek, '') AS source FROM articles")
-def headline_prep(m):
-    has = F.coalesce((F.col("content_status") == "success") & (F.col("content_word_count") >= 50), F.lit(False))
-    return m.articles().select("article_id", F.when(F.col("content_status").isNotNull() & F.col("content_status").eqNullSafe("success"), has).otherwise(F.when(F.col("content_status").isNotNull(), False)).alias("has_content"), F.concat("title", F.lit(" "), F.coalesce("dek", F.lit(""))).alias("source"))
-
-
 @query("headline_qa")
 def headline_qa(m):
     k = F.col("doc_id")
@@ -693,16 +701,17 @@ def headline_qa(m):
     return ops.headline_qa(pairs)
 
 
-@query("sub_links", "SELECT cluster_id, string_agg(article_id, ',' ORDER BY published_at DESC NULLS FIRST, article_id) AS subs, count(*) AS total FROM cluster_scores c JOIN article_clusters USING (cluster_id) JOIN articles USING (article_id) WHERE article_id <> lead_article_id AND (language_code = 'en' OR language_code IS NULL) AND NOT contains(canonical_url, 'news.google.com') GROUP BY 1")
+_BY_TIME = "row_number() OVER (PARTITION BY {} ORDER BY published_at DESC NULLS FIRST, article_id)"
+
+
+@query("sub_links", f"SELECT cluster_id, article_id, {_BY_TIME.format('cluster_id')} AS place, count(*) OVER (PARTITION BY cluster_id) AS total FROM cluster_scores c JOIN article_clusters USING (cluster_id) JOIN articles USING (article_id) WHERE article_id <> lead_article_id AND (language_code = 'en' OR language_code IS NULL) AND NOT contains(canonical_url, 'news.google.com')")
 def sub_links(m):
     rows = stories.article_star(m.article_clusters(), m.articles(), m.sources()).join(cluster_scores(m).select("cluster_id", "lead_article_id"), "cluster_id")
-    rows = rows.where((F.col("article_id") != F.col("lead_article_id")) & ~urls.is_aggregator_url(F.col("canonical_url")))
-    key = F.struct((-F.coalesce(F.unix_micros("published_at"), F.lit((1 << 63) - 1))).alias("k"), "article_id")
-    return rows.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda s: s["article_id"].cast("string")), ",").alias("subs"), F.count("*").alias("total"))
+    rows = rows.where((F.col("article_id") != F.col("lead_article_id")) & ~urls.is_aggregator_url(F.col("canonical_url"))).select("cluster_id", "article_id", "published_at")
+    return ops.placed_by_time(rows, ["cluster_id"])
 
 
-@query("articles_by_source", "SELECT cluster_id, coalesce(publisher_name, s.name) AS source, string_agg(article_id, ',' ORDER BY published_at DESC NULLS FIRST, article_id) AS ids FROM article_clusters JOIN articles USING (article_id) LEFT JOIN sources s USING (source_id) WHERE (language_code = 'en' OR language_code IS NULL) AND coalesce(publisher_name, s.name) IS NOT NULL GROUP BY ALL")
+@query("articles_by_source", f"SELECT cluster_id, coalesce(publisher_name, s.name) AS source, article_id, {_BY_TIME.format('cluster_id, coalesce(publisher_name, s.name)')} AS place, count(*) OVER (PARTITION BY cluster_id, coalesce(publisher_name, s.name)) AS total FROM article_clusters JOIN articles USING (article_id) LEFT JOIN sources s USING (source_id) WHERE (language_code = 'en' OR language_code IS NULL) AND coalesce(publisher_name, s.name) IS NOT NULL")
 def articles_by_source(m):
     rows = stories.article_star(m.article_clusters(), m.articles(), m.sources()).withColumn("source", F.coalesce("publisher_name", "source_name")).where("source is not null")
-    key = F.struct((-F.coalesce(F.unix_micros("published_at"), F.lit((1 << 63) - 1))).alias("k"), "article_id")
-    return rows.groupBy("cluster_id", "source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda s: s["article_id"].cast("string")), ",").alias("ids"))
+    return ops.placed_by_time(rows.select("cluster_id", "source", "article_id", "published_at"), ["cluster_id", "source"])

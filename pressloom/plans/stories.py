@@ -229,21 +229,33 @@ def sources_count(m):
     return rows.groupBy("cluster_id").agg(F.count_distinct(F.when(F.col("known") == 1, F.col("source_id"))).alias("sources_count"))
 
 
-_NORMAL = "lower(trim(pub))"
-
-
 @query(
     "normalize_subs",
-    """, rows AS (SELECT cluster_id, article_id, published_at, coalesce(publisher_name, s.name) AS pub FROM article_clusters JOIN articles USING (article_id) LEFT JOIN sources s USING (source_id)
-      WHERE (language_code = 'en' OR language_code IS NULL))
-    SELECT cluster_id, lower(trim(pub)) AS source_key, arg_max(article_id, struct_pack(p := coalesce(published_at, TIMESTAMP '1970-01-01'), i := article_id)) AS article_id, count(*) AS article_count FROM rows WHERE trim(coalesce(pub, '')) <> '' GROUP BY 1, 2""",
+    r""", rows AS (SELECT cluster_id, article_id, canonical_url AS url, published_at, coalesce(publisher_name, s.name) AS pub FROM article_clusters JOIN articles USING (article_id) LEFT JOIN sources s USING (source_id) WHERE (language_code = 'en' OR language_code IS NULL)
+    ), idx AS (
+      SELECT cluster_id, lower(trim(pub)) AS nk, max(pub) AS source, count(*) AS n FROM rows WHERE trim(coalesce(pub, '')) <> '' AND article_id % 5 <> 0 GROUP BY 1, 2
+    ), subs AS (
+      SELECT cluster_id, article_id, published_at, CASE article_id % 6 WHEN 0 THEN NULL WHEN 1 THEN ' WWW.' || upper(pub) WHEN 2 THEN pub || ' Daily' ELSE pub END AS source, regexp_replace(regexp_extract(lower(url), '^https?://([^/?#:]+)', 1), '^www\.', '') AS host FROM rows
+    ), keyed AS (
+      SELECT *, regexp_replace(lower(trim(coalesce(source, ''))), '^www\.', '') AS a FROM subs
+    ), found AS (
+      SELECT k.*, e.source AS s1, e.n AS n1, CASE WHEN a <> '' THEN (SELECT arg_min(struct_pack(s := f.source, n := f.n), f.nk) FROM idx f WHERE f.cluster_id = k.cluster_id AND (contains(f.nk, k.a) OR contains(k.a, f.nk))) END AS fa,
+        CASE WHEN host <> '' THEN (SELECT arg_min(struct_pack(s := f.source, n := f.n), f.nk) FROM idx f WHERE f.cluster_id = k.cluster_id AND (contains(f.nk, k.host) OR contains(k.host, f.nk))) END AS fb
+      FROM keyed k LEFT JOIN idx e ON e.cluster_id = k.cluster_id AND e.nk = k.a
+    ), named AS (
+      SELECT *, trim(coalesce(s1, fa.s, fb.s, nullif(trim(source), ''), nullif(host, ''), '')) AS named, coalesce(n1, fa.n, fb.n) AS n FROM found
+    ), final AS (
+      SELECT *, CASE WHEN regexp_replace(lower(named), '^www\.', '') <> '' THEN regexp_replace(lower(named), '^www\.', '') ELSE article_id::VARCHAR END AS source_key FROM named
+    )
+    SELECT cluster_id, source_key, arg_max(named, struct_pack(p := coalesce(published_at, TIMESTAMP '1970-01-01'), i := article_id)) AS source, arg_max(article_id, struct_pack(p := coalesce(published_at, TIMESTAMP '1970-01-01'), i := article_id)) AS article_id, coalesce(max(n), count(*)) AS article_count FROM final GROUP BY 1, 2""",
 )
 def normalize_subs(m):
-    members, articles, sources = base(m)
-    rows = ops.article_star(members, articles, sources).select("cluster_id", "article_id", "published_at", F.coalesce("publisher_name", "source_name").alias("pub"))
-    key = F.lower(F.trim("pub"))
-    newest = F.max_by("article_id", F.struct(F.coalesce("published_at", F.lit(0).cast("timestamp")), "article_id"))
-    return rows.where(F.trim(F.coalesce("pub", F.lit(""))) != "").groupBy("cluster_id", key.alias("source_key")).agg(newest.alias("article_id"), F.count("*").alias("article_count"))
+    """Sub-links under varied names against the numbers of articles by source."""
+    k = F.col("article_id")
+    rows = ops.article_star(*base(m)).select("cluster_id", "article_id", F.col("canonical_url").alias("url"), "published_at", F.coalesce("publisher_name", "source_name").alias("pub"))
+    by_source = rows.where((F.trim(F.coalesce("pub", F.lit(""))) != "") & (k % 5 != 0)).groupBy("cluster_id", F.col("pub").alias("source")).agg(F.count("*").alias("n"))
+    source = F.when(k % 6 == 0, None).when(k % 6 == 1, F.concat(F.lit(" WWW."), F.upper("pub"))).when(k % 6 == 2, F.concat("pub", F.lit(" Daily"))).otherwise(F.col("pub"))
+    return ops.normalize_subs(rows.select("cluster_id", "article_id", source.alias("source"), "url", "published_at"), by_source)
 
 
 @query("source_name_fuzzy", """, p AS (SELECT DISTINCT cluster_id, lower(trim(coalesce(publisher_name, s.name))) AS pub FROM article_clusters JOIN articles USING (article_id) LEFT JOIN sources s USING (source_id) WHERE (language_code = 'en' OR language_code IS NULL) AND coalesce(publisher_name, s.name) <> '')
@@ -255,10 +267,15 @@ def source_name_fuzzy(m):
     return p.join(q, "cluster_id").where(fuzzy).groupBy("cluster_id", "pub").agg(F.min("other").alias("matched"))
 
 
-@query("cluster_detail", "SELECT cluster_id, article_id, coalesce(rewritten_title, title) AS title, published_at FROM article_clusters JOIN articles USING (article_id) WHERE cluster_id = 3 AND (language_code = 'en' OR language_code IS NULL) AND NOT regexp_matches(canonical_url, 'news\\.google\\.|news\\.yahoo\\.com|www\\.msn\\.com')")
+@query(
+    "cluster_detail",
+    """, shown AS (SELECT cluster_id, article_id, source_id, coalesce(rewritten_title, title) AS title, published_at FROM article_clusters JOIN articles USING (article_id)
+      WHERE (language_code = 'en' OR language_code IS NULL) AND NOT regexp_matches(canonical_url, 'news\\.google\\.|news\\.yahoo\\.com|www\\.msn\\.com'))
+    SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY published_at DESC NULLS LAST, article_id) AS place, article_id, title, published_at, article_id = lead_article_id AS is_lead, sources_count
+    FROM shown JOIN (SELECT cluster_id, count(DISTINCT source_id) AS sources_count FROM shown GROUP BY 1) USING (cluster_id) LEFT JOIN (SELECT cluster_id, lead_article_id FROM cluster_scores) USING (cluster_id)""",
+)
 def cluster_detail(m):
-    rows = ops.article_star(*base(m)).where((F.col("cluster_id") == 3) & ~urls.is_aggregator_url(F.col("canonical_url")))
-    return rows.select("cluster_id", "article_id", F.coalesce("rewritten_title", "title").alias("title"), "published_at").orderBy(F.col("published_at").desc_nulls_last(), "article_id")
+    return ops.cluster_details(*base(m), cluster_scores(m))
 
 
 _LEADERS = """, eff AS (
@@ -448,7 +465,7 @@ def river_snapshot(m):
 _TERMS = r""", fields AS (
   SELECT article_id, 'A' AS field, 1.0::DOUBLE AS weight, concat_ws(' ', title, rewritten_title) AS x FROM articles UNION ALL SELECT article_id, 'B', 0.4, concat_ws(' ', dek, publisher_name, author) FROM articles UNION ALL SELECT article_id, 'C', 0.1, coalesce(content_text, '') FROM articles
 ), terms AS (
-  SELECT article_id, term, field, weight, count(*) AS hits FROM (SELECT article_id, field, weight, unnest(regexp_split_to_array(translate(lower(x), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+')) AS term FROM fields)
+  SELECT article_id, term, field, weight, count(*) AS hits FROM (SELECT article_id, field, weight, unnest(regexp_split_to_array(translate(lower(x), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+')) AS term FROM fields)
   WHERE length(term) >= 2 AND term NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'to', 'of', 'in', 'on', 'for', 'with', 'by', 'from', 'at', 'is', 'are', 'was', 'were', 'be', 'as') GROUP BY ALL
 ), kw AS (SELECT article_id, round(sum(weight), 6) AS rank FROM terms WHERE term IN ('that', 'this') GROUP BY 1 HAVING count(DISTINCT term) = 2), kwtop AS (SELECT article_id, rank, row_number() OVER (ORDER BY rank DESC, article_id) - 1 AS r FROM kw QUALIFY r < 40)
 , sem AS (SELECT article_id, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS similarity FROM articles, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7) WHERE embedding IS NOT NULL)

@@ -194,9 +194,9 @@ def article_cap(m):
     return ops.article_cap(one, 1).select("search_id", "rank", "outcome")
 
 
-@query("candidate_first_occurrence", "SELECT search_id, duplicate, count(*) AS n FROM (SELECT search_id, row_number() OVER (PARTITION BY search_id, lower(url) ORDER BY rank) > 1 AS duplicate FROM discovery_candidates) GROUP BY ALL")
+@query("candidate_first_occurrence", "SELECT search_id, rank, url, row_number() OVER (PARTITION BY search_id, lower(url) ORDER BY rank) > 1 AS duplicate FROM discovery_candidates")
 def candidate_first_occurrence(m):
-    return ops.first_occurrence(m.discovery_candidates()).groupBy("search_id", "duplicate").agg(F.count("*").alias("n"))
+    return ops.first_occurrence(m.discovery_candidates()).select("search_id", "rank", "url", "duplicate")
 
 
 _PRICED = """, models AS (SELECT search_id, tool_calls, latency_ms AS input_tokens, search_id % 700 AS output_tokens, CASE search_id % 4 WHEN 0 THEN 'gpt-4o-mini-2024' WHEN 1 THEN 'gpt-4o' WHEN 2 THEN 'gpt-4.1-mini' ELSE 'other' END AS model FROM discovery_searches), priced AS (
@@ -288,6 +288,11 @@ def weight_rescale_stats(m):
     return m.sources().agg(F.count("*").alias("n"), F.min(w).alias("low"), F.max(w).alias("high"))
 
 
+@query("weight_rescale_preview", "SELECT source_id, name, weight, (weight * 2)::INT AS next FROM sources ORDER BY weight DESC NULLS LAST, source_id LIMIT 25")
+def weight_rescale_preview(m):
+    return ops.weight_preview(m.sources())
+
+
 @query("rescale_weights", "SELECT source_id, CASE WHEN (SELECT max(weight) FROM sources) > 5 THEN weight ELSE round(weight * 2)::INT END AS weight FROM sources")
 def rescale_weights(m):
     s = m.sources()

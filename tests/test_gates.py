@@ -169,3 +169,47 @@ def test_titles_come_again_after_their_time(spark):
     frame = spark.createDataFrame([(i, t, NOW + datetime.timedelta(hours=h)) for i, t, h in rows], "article_id long, title string, fetched_at timestamp")
     assert sorted(r.article_id for r in jobs.recent_title_batch(frame, 7).collect()) == [1, 4, 6, 8]
     assert jobs.recent_title_batch(frame.limit(0), 7).count() == 0
+
+
+def test_assignment_and_merging_against_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    middles = [np.array([rng.gauss(0, 1) for _ in range(6)]) for _ in range(6)]
+    vectors = {i: middles[i % 6] + np.array([rng.gauss(0, 0.5) for _ in range(6)]) for i in range(120)}
+    owner = {i: 100 + i % 6 + 6 * (i // 30 % 2) for i in range(60)}
+    articles = spark.createDataFrame([(i, [float(x) for x in v], NOW, "en") for i, v in vectors.items()], "article_id long, embedding array<double>, fetched_at timestamp, language_code string")
+    members = spark.createDataFrame(list(owner.items()), "article_id long, cluster_id long")
+    cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    unite = lambda known: {c: (np.mean([vectors[i] for i in known if known[i] == c], 0), sum(known[i] == c for i in known)) for c in set(known.values())}
+
+    known, found = dict(owner), {}
+    for _ in range(2):
+        centres, wishes = unite(known), {}
+        for i in sorted(set(vectors) - set(owner) - set(found)):
+            order = sorted(centres, key=lambda c: (-cosine(vectors[i], centres[c][0]), c))[:8]
+            fit = [c for c in order if cosine(vectors[i], centres[c][0]) > 0.7 and centres[c][1] < 12]
+            if fit:
+                wishes.setdefault(fit[0], []).append((-cosine(vectors[i], centres[fit[0]][0]), i))
+        for c, who in wishes.items():
+            for _, i in sorted(who)[: 12 - centres[c][1]]:
+                found[i] = known[i] = c
+    got = stories.assign_clusters(articles, members, F.lit(NOW), similarity=0.7, most=12).collect()
+    assert {r.article_id: r.cluster_id for r in got if not r.is_new} == found and found
+    assert {r.article_id for r in got if r.is_new} == set(vectors) - set(owner) - set(found)
+
+    centres = unite(owner)
+    pairs = sorted((-cosine(centres[a][0], centres[b][0]), a, b) for a in centres for b in centres if a < b and cosine(centres[a][0], centres[b][0]) > 0.5 and centres[a][1] + centres[b][1] <= 12)[:10]
+    table = stories.merge_pairs(stories.cluster_centroids(members, articles), F.lit(NOW), similarity=0.5, most=12)
+    assert [(r.c1, r.c2) for r in table.orderBy(F.col("similarity").desc(), "c1", "c2").collect()] == [p[1:] for p in pairs] and pairs
+    size, into = {c: n for c, (_, n) in centres.items()}, {}
+    for _, a, b in pairs:
+        if a in into or b in into or size[a] + size[b] > 12:
+            continue
+        keep, drop = (a, b) if size[a] >= size[b] else (b, a)
+        size[keep] += size[drop]
+        into[drop] = keep
+    merged = stories.merge_clusters(members, table, 12).collect()
+    assert {r.article_id: r.cluster_id for r in merged} == {i: into.get(c, c) for i, c in owner.items()} and into
