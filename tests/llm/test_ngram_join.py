@@ -93,6 +93,20 @@ def test_blocks_of_a_group_compare_every_pair_once(spark, monkeypatch):
     assert answer(spark, rows) == brute_force(rows)
 
 
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of similarity 0.81 that share no other text: the prefixes must become short enough for nearly all."""
+    rng = random.Random(12)
+    rows = []
+    for pair in range(300):
+        own = [f"p{pair}w{rng.randrange(10**6)}" for _ in range(100)]
+        rows.append((2 * pair, " ".join(own)))
+        own[20], own[70] = "other", "words"
+        rows.append((2 * pair + 1, " ".join(own)))
+    true, got = brute_force(rows), answer(spark, rows)
+    assert all(n == 1 for _, n in true.values())
+    assert sum(n for _, n in got.values()) >= 0.99 * len(rows)
+
+
 def test_few_jobs(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(30))) for i in range(100)]
