@@ -675,8 +675,13 @@ def json_results(m):
 
 @query("language_backfill")
 def language_backfill(m):
+    """Every half of the documents is judged by what the other half teaches, so that none is judged by its own label."""
     docs = m.raw("documents").select("doc_id", "text", "lang")
-    found = ops.detect_language(docs, ops.trigram_profiles(docs.select("lang", "text")))
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    found = None
+    for own in (0, 1):
+        judged = ops.detect_language(docs.where(half == own), ops.trigram_profiles(docs.where(half != own).select("lang", "text")))
+        found = judged if found is None else found.unionByName(judged)
     rows = docs.select("doc_id", "lang").join(found.where("confident"), "doc_id", "left")
     return rows.where(~F.col("language").eqNullSafe(F.col("lang"))).select("doc_id", "lang", "language")
 
