@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressloom.llm import decontamination, filter_audit, mixing, sharding, token_counts, url_filters, warc
+from pressloom.llm import decontamination, filter_audit, mixing, sharding, token_counts, token_files, url_filters, warc
 from pressloom.llm.fingerprints import fingerprint_edits
 from pressloom.llm.ngram_join import ngram_jaccard_join
 from pressloom.llm.pii import pseudonymise
@@ -87,6 +87,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13, share=20)
 
 
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "token-files"))
+
+
 @query("op13_filter_audit", filter_audit.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
