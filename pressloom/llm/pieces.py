@@ -15,15 +15,19 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+_SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space before white space or at the end; texts without one may be cut at every space, others only where `CUT` finds a place.
-AWKWARD, CUT = re.compile(r" (?:\s|\Z)"), re.compile(r"(?<=\S)(?= \S)")
+AWKWARD, CUT = rf" {_SPACES}| \z", re.compile(r"(?<=\S)(?= \S)")
 #: Where a byte-level pre-tokenizer parts a word: after letters or digits before ASCII punctuation, and before line ends.
 BYTE_LEVEL_CUT = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])|(?<=\S)(?=[\t\n\r])")
-#: A table is emptied when it holds more words or ids.
-MOST_WORDS, MOST_IDS = 500_000, 6_000_000
+#: Bytes of texts that are split at a time; a table is emptied when it holds more words or ids.
+SPLIT_BYTES, MOST_WORDS, MOST_IDS = 4 << 20, 500_000, 6_000_000
 
 
 class _Table:
@@ -45,24 +49,31 @@ class _Table:
         self.place.update(zip(keys, range(first, last), strict=True))
         self.n_ids = end
 
-    def ids(self, keys: list, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all keys in a row and how many each has; ``learn`` gives those of unknown keys."""
+    def places(self, keys: list, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
+        """Where the ids of each key are; ``learn`` gives those of unknown keys. Former places may end."""
         if len(self.place) > most or self.n_ids > MOST_IDS:
             self.__init__()
-        places = list(map(self.place.get, keys))
-        if None in places:
-            fresh = list(dict.fromkeys(k for k, at in zip(keys, places, strict=True) if at is None))
+        index = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(index < 0)
+        if len(unknown):
+            own = list(map(keys.__getitem__, unknown.tolist()))
+            fresh = list(dict.fromkeys(own))
             self.add(fresh, *learn(fresh))
-            places = list(map(self.place.__getitem__, keys))
-        index = np.array(places, np.int64)
+            index[unknown] = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
+        return index
+
+    def ids(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at some places in a row, and how many each has."""
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[index] - ends + lengths, lengths)], lengths
+        at = np.repeat(self.starts[index] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.flat[at], lengths
 
 
-def _sums(values: np.ndarray, sizes: list[int]) -> np.ndarray:
+def _sums(values: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
     """Sums of consecutive runs of ``sizes`` >= 1."""
-    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if sizes else np.zeros(0, np.int64)
+    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.int64)
 
 
 class WordEncoder:
@@ -75,49 +86,55 @@ class WordEncoder:
     """
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], adds_space: bool = False, leading: bool = False, cut: re.Pattern | None = None, uncut: Sequence[str] = (), most: int = MOST_WORDS) -> None:
-        self.library, self.adds_space, self.leading, self.cut, self.uncut, self.most = encode, adds_space, leading, cut, tuple(uncut), most
+        self.library, self.adds_space, self.leading, self.cut, self.most = encode, adds_space, leading, cut, most
+        self.uncut = re.compile("|".join(map(re.escape, uncut))) if uncut else None
         self.words, self.parts = _Table(), _Table()
 
     def _from_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.library([t[1:] for t in texts] if self.adds_space else texts)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def _unknown(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words; a tuple holds a word without a space before it."""
         texts = [w[0] if isinstance(w, tuple) else f" {w}" for w in words]
         if self.cut is None:
             return self._from_library(texts)
-        parts, sizes = [], []
-        for text in texts:
-            own = [text] if any(s in text for s in self.uncut) else self.cut.split(text)
-            parts += own
-            sizes.append(len(own))
-        ids, lengths = self.parts.ids(parts, self._from_library, self.most)
+        own = list(map(self.cut.split, texts))
+        if self.uncut is not None:
+            own = [[t] if self.uncut.search(t) else o for t, o in zip(texts, own, strict=True)]
+        parts, sizes = list(chain.from_iterable(own)), list(map(len, own))
+        ids, lengths = self.parts.ids(self.parts.places(parts, self._from_library, self.most))
         return ids, _sums(lengths, sizes)
 
-    def words_of(self, text: str) -> list:
-        if self.leading:
-            text = " " + text
-        if AWKWARD.search(text):
-            own = CUT.split(text)
-            own[1:] = [w[1:] for w in own[1:]]
-            own[0] = own[0][1:] if self.leading else (own[0],)
-            return own
-        own = text.split(" ")
-        if self.leading:
-            return own[1:]
-        own[0] = (own[0],)
-        return own
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
-        words, sizes = [], []
-        for text in texts:
-            own = self.words_of(text)
-            words += own
-            sizes.append(len(own))
-        ids, lengths = self.words.ids(words, self._unknown, self.most)
+    def _awkward_words(self, text: str) -> list[str]:
+        own = CUT.split(f" {text}" if self.leading else text)
+        return [w[1:] if k or self.leading else w for k, w in enumerate(own)]
+
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text, one at least; all but the first without the space before them."""
+        words = pc.split_pattern(texts, " ")
+        awkward = np.flatnonzero(pc.match_substring_regex(texts, rf"^{_SPACES}|^\z|{AWKWARD}" if self.leading else AWKWARD).to_numpy(zero_copy_only=False))
+        if not len(awkward):
+            return words
+        own = pa.array(map(self._awkward_words, texts.take(pa.array(awkward)).to_pylist()), words.type)
+        order = np.arange(len(texts))
+        order[awkward] = len(texts) + np.arange(len(awkward))
+        return pa.concat_arrays([words, own]).take(pa.array(order))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all of a string array in a row, and how many each text has; null is empty."""
+        lists = self._split(pc.fill_null(texts, "").cast(pa.large_string()))
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        firsts = np.cumsum(sizes) - sizes if not self.leading else np.zeros(0, np.int64)
+        which = coded.indices.to_numpy()
+        keys = coded.dictionary.to_pylist()
+        # a first word has no space before it, so it is another key
+        places = self.words.places(keys + [(keys[k],) for k in which[firsts].tolist()], self._unknown, self.most)
+        index = places[which]
+        index[firsts] = places[len(keys) :]
+        ids, lengths = self.words.ids(index)
         return ids, _sums(lengths, sizes)
 
 

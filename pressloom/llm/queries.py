@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pressloom.llm import decontamination, filter_audit, mixing, sharding, token_counts, token_files, url_filters, warc
+from pressloom.llm.alignment import align_tokenizers
 from pressloom.llm.fingerprints import fingerprint_edits
 from pressloom.llm.ngram_join import ngram_jaccard_join
 from pressloom.llm.pii import pseudonymise
@@ -94,6 +95,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "token-files"))
 
 
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_filter_audit", filter_audit.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

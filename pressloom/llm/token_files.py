@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.llm.huffman import LONGEST, Codebook, code_lengths
-from pressloom.llm.pieces import byte_level
+from pressloom.llm.pieces import SPLIT_BYTES, byte_level
 from pressloom.llm.storage import new_folder
 from pressloom.llm.words import row_slices, text_buffers
 
@@ -36,40 +36,51 @@ _SEGMENT = "part int, start long, n_ids long, doc_ids array<long>, n_tokens arra
 _encoders: dict[str, object] = {}
 
 
-def _encode(definition, end_id: int):
-    """The ids of each text and the end id, as little-endian 32-bit numbers; the first column passes."""
+def _encode(definition, end_id: int, kind: np.dtype):
+    """The ids of each text and the end id, as little-endian numbers of ``kind``; the first column passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders.get(definition.value) or _encoders.setdefault(definition.value, byte_level(definition.value, special=True))
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for low, high in row_slices(offsets):
+            for low, high in row_slices(offsets, SPLIT_BYTES):
                 rows = batch.slice(low, high - low)
-                ids, counts = encode([t or "" for t in rows.column(1).to_pylist()])
+                ids, counts = encode(rows.column(1))
                 ends = np.cumsum(counts + 1)
-                whole = np.full(ends[-1], end_id, "<u4")
+                whole = np.full(ends[-1], end_id, kind)
                 keep = np.ones(len(whole), bool)
                 keep[ends - 1] = False
                 whole[keep] = ids
-                binary = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.append(0, ends) * 4), pa.py_buffer(whole)])
+                binary = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.append(0, ends) * kind.itemsize), pa.py_buffer(whole)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), binary.cast(pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0):
-            own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-            if len(own) > len(total):
-                total, own = own, total
-            total[: len(own)] += own
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
+def vocabulary_size(definition: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True)
+
+
+def _counts(kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            for low, high in row_slices(offsets):
+                own = np.bincount(np.frombuffer(column.buffers()[2], kind, (offsets[high] - offsets[low]) // kind.itemsize, offsets[low]))
+                if len(own) > len(total):
+                    total, own = own, total
+                total[: len(own)] += own
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
+
+    return run
 
 
-def _packed(book, segment_ids: int):
+def _packed(book, segment_ids: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         codes = Codebook(*book.value)
@@ -84,7 +95,7 @@ def _packed(book, segment_ids: int):
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 doc_ids.append(doc_id)
-                arrays.append(np.frombuffer(ids.as_buffer(), "<u4").copy())
+                arrays.append(np.frombuffer(ids.as_buffer(), kind).copy())
                 held += len(arrays[-1])
                 if held >= segment_ids:
                     yield closed()
@@ -106,11 +117,13 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, path: str, end_
     """
     spark = documents.sparkSession
     definition = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())
+    # ids wait for their code in two bytes each where the vocabulary allows it
+    kind = np.dtype("<u2" if max(vocabulary_size(definition.value) - 1, end_id) < 1 << 16 else "<u4")
     plain = new_folder(spark, "token-ids")
-    documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(definition, end_id), "doc_id long, ids binary").write.parquet(plain)
+    documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(definition, end_id, kind), "doc_id long, ids binary").write.option("compression", "zstd").parquet(plain)
     ids = spark.read.parquet(plain)
     # as many numbers as the vocabulary has at most
-    counted = ids.select("ids").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    counted = ids.select("ids").mapInArrow(_counts(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     used, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64)
     lengths = code_lengths(counts, longest)
     spark.createDataFrame([(int(i), int(n)) for i, n in zip(used, lengths, strict=True)], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
@@ -118,7 +131,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, path: str, end_
     keys = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("row")]
     ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     book = spark.sparkContext.broadcast((used, lengths))
-    ranged.mapInArrow(_packed(book, segment_ids), _SEGMENT).write.parquet(f"{path}/segments")
+    ranged.mapInArrow(_packed(book, segment_ids, kind), _SEGMENT).write.parquet(f"{path}/segments")
 
 
 def _segments(spark: SparkSession, path: str) -> tuple[DataFrame, object]:
