@@ -52,26 +52,25 @@ def discovery_gate(
     """``run_id, place, candidate_id, outcome, duplicate_article_id, article_url`` with one of ``OUTCOMES`` for every candidate.
 
     ``candidates(run_id, place, candidate_id, title, url, snippet, published_at,
-    language_code, domain, reachable, stored)`` lie in order of place within a
-    run. First an address that the run has had, one still at an aggregator or
+    language_code, domain, reachable, stored)`` come one after the other, runs
+    in order and by place within a run; ids may repeat. First an address that the run has had, one still at an aggregator or
     outside of the search's ``domain`` (null: any) leaves; then come the cap on
     inserted items of a run, freshness, title, topic or trust, aggregator,
     fabricated address, low-value host, date, language, duplicates, reach and
     storing. Duplicates are stored articles by address or recent title, and
-    earlier candidates of the batch that passed all else, by address before
-    title; these are found by aggregation and equi-joins, so that a title of
-    very many candidates is no group of its own. One run's candidates are one window.
+    candidates inserted before, in any run; one that the cap stopped is not
+    stored and blocks nothing (`inserted_in_order`). One run's candidates are one window.
     """
     real = urls.canonical_url(urls.unwrapped_redirect(F.col("url")))
-    # addresses are worked out once and written, as many steps below ask for them
-    rows = kept(candidates.withColumn("_real", real))
-    rows = rows.withColumns({"_host": F.lower(urls.url_host(F.col("_real"))), "_at": F.struct("run_id", "place", "candidate_id")})
-    again = F.row_number().over(Window.partitionBy("run_id", F.lower("url")).orderBy("place", "candidate_id")) > 1
+    # addresses are worked out once and written, as many steps below ask for them; rows get numbers of their own
+    rows = kept(candidates.withColumn("_real", real).withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_host": F.lower(urls.url_host(F.col("_real"))), "_at": F.struct("run_id", "place", "candidate_id", "_row")})
+    again = F.row_number().over(Window.partitionBy("run_id", F.lower("url")).orderBy("_at")) > 1
     searched = F.col("domain").isNotNull()
     inside = (F.col("_host") == F.lower("domain")) | F.endswith("_host", F.concat(F.lit("."), F.lower("domain")))
-    rows = with_trust(rows.withColumn("_again", again), "candidate_id", trusted_hosts, url=F.col("_real"))
-    known = candidate_duplicates(rows.select("candidate_id", "title", F.col("_real").alias("url")), articles, as_of)
-    rows = rows.join(known.select("candidate_id", F.col("reason").alias("_known"), F.col("article_id").alias("duplicate_article_id")), "candidate_id")
+    rows = with_trust(rows.withColumn("_again", again), "_row", trusted_hosts, url=F.col("_real"))
+    known = candidate_duplicates(rows.select(F.col("_row").alias("candidate_id"), "title", F.col("_real").alias("url")), articles, as_of)
+    rows = rows.join(known.select(F.col("candidate_id").alias("_row"), F.col("reason").alias("_known"), F.col("article_id").alias("duplicate_article_id")), "_row")
 
     told = F.concat_ws(" ", "title", "snippet")
     fresh = scores.candidate_freshness(F.col("published_at"), cutoff)
@@ -89,28 +88,51 @@ def discovery_gate(
         ("stale", date == "too_old"),
         ("invalid_date", date != "valid"),
         ("non_english", ~scores.visible_language(F.col("language_code"))),
-        ("duplicate_url", F.col("_known") == "duplicate_url"),
-        ("duplicate_title", F.col("_known") == "duplicate_title"),
-        ("unreachable", ~F.col("reachable")),
-        ("insert_failed", ~F.col("stored")),
     ]
-    rows = gate(gate(rows, before_cap).withColumnRenamed("reason", "_early"), steps).withColumn("_title", F.lower(F.trim("title")))
+    storing = [("unreachable", ~F.col("reachable")), ("insert_failed", ~F.col("stored"))]
+    for chain, name in ((before_cap, "_early"), (steps, "_judged"), (storing, "_late")):
+        rows = gate(rows, chain).withColumnRenamed("reason", name)
     # written once, as the look-ups below read the judged rows again
-    rows = kept(rows.select("run_id", "place", "candidate_id", "_at", "_real", "_title", "_early", "reason", "duplicate_article_id"))
-    passing = rows.where("reason is null and _early is null")
-    first_url = passing.groupBy("_real").agg(F.min("_at").alias("_first_url"))
-    rows = rows.join(first_url, "_real", "left").withColumn("_new_url", F.col("_at") == F.col("_first_url"))
-    first_title = rows.where("reason is null and _early is null and _new_url").groupBy("_title").agg(F.min("_at").alias("_first_title"))
-    rows = rows.join(first_title, "_title", "left")
-    open_ = F.col("reason").isNull() & F.col("_early").isNull()
-    reason = F.when(open_ & ~F.col("_new_url"), "duplicate_url").when(open_ & (F.col("_first_title") < F.col("_at")), "duplicate_title").otherwise(F.col("reason"))
-    rows = rows.withColumn("reason", reason)
-    taken = (F.col("reason").isNull() & F.col("_early").isNull()).cast("int")
-    earlier = Window.partitionBy("run_id").orderBy("place", "candidate_id").rowsBetween(Window.unboundedPreceding, -1)
-    full = F.coalesce(F.sum(taken).over(earlier), F.lit(0)) >= cap
-    outcome = F.coalesce(F.col("_early"), F.when(full, "article_cap_reached"), F.col("reason"), F.lit("inserted"))
-    known = F.when(F.col("outcome").isin("duplicate_url", "duplicate_title"), F.col("duplicate_article_id")).alias("duplicate_article_id")
-    return rows.withColumn("outcome", outcome).select("run_id", "place", "candidate_id", "outcome", known, F.col("_real").alias("article_url"))
+    rows = kept(rows.select("run_id", "place", "candidate_id", "_at", "_real", F.lower(F.trim("title")).alias("_title"), "_early", "_judged", "_late", "_known", "duplicate_article_id"))
+    open_ = rows.where("coalesce(_early, _judged, _known, _late) is null")
+    inserted = kept(inserted_in_order(open_, cap))
+    # an address or title is inserted once at most, so these joins add no rows
+    rows = rows.join(inserted.select("_real", F.col("_at").alias("_first_url")), "_real", "left").join(inserted.select("_title", F.col("_at").alias("_first_title")), "_title", "left")
+    rows = rows.join(inserted.select("_at", F.lit(1).alias("_in")), "_at", "left")
+    earlier = Window.partitionBy("run_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.coalesce(F.sum("_in").over(earlier), F.lit(0)) >= cap
+    by_url = (F.col("_known") == "duplicate_url") | (F.col("_first_url") < F.col("_at"))
+    by_title = (F.col("_known") == "duplicate_title") | (F.col("_first_title") < F.col("_at"))
+    duplicate = F.when(by_url, "duplicate_url").when(by_title, "duplicate_title")
+    outcome = F.coalesce(F.col("_early"), F.when(full, "article_cap_reached"), F.col("_judged"), duplicate, F.col("_late"), F.lit("inserted"))
+    rows = rows.withColumn("outcome", outcome)
+    stored = F.when(F.col("outcome") == F.col("_known"), F.col("duplicate_article_id")).alias("duplicate_article_id")
+    return rows.select("run_id", "place", "candidate_id", "outcome", stored, F.col("_real").alias("article_url"))
+
+
+def inserted_in_order(candidates: DataFrame, cap: int) -> DataFrame:
+    """Those of ``candidates(run_id, _at, _real, _title)`` that are inserted when they come in the order of ``_at``.
+
+    One is, if its run has inserted less than ``cap`` before and no inserted one
+    before it has its address or title. Rounds decide what earlier decisions
+    allow: a candidate is out once one that shares a key is in, or its run is
+    full; it is in once all before it that share a key are out and its run would
+    not be full even with all undecided ones. The earliest undecided one is
+    decided in every round, and most are in the first ones; rounds grow with the
+    longest chain of candidates that wait for each other.
+    """
+    state = kept(candidates.select("run_id", "_at", "_real", "_title", F.lit(None).cast("boolean").alias("_in")))
+    earlier = Window.partitionBy("run_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    while state.where("_in is null").limit(1).count():
+        rows = state
+        for key in ("_real", "_title"):
+            facts = state.groupBy(key).agg(F.min("_at").alias(f"{key}_first"), F.min(F.when(F.col("_in"), F.col("_at"))).alias(f"{key}_in"))
+            rows = rows.join(facts, key)
+        rows = rows.withColumn("_sure", F.coalesce(F.sum(F.col("_in").cast("int")).over(earlier), F.lit(0))).withColumn("_most", F.count("*").over(earlier))
+        blocked = F.coalesce(F.col("_real_in") < F.col("_at"), F.lit(False)) | F.coalesce(F.col("_title_in") < F.col("_at"), F.lit(False)) | (F.col("_sure") >= cap)
+        first = (F.col("_real_first") == F.col("_at")) & (F.col("_title_first") == F.col("_at")) & (F.col("_most") < cap)
+        state = kept(rows.withColumn("_in", F.coalesce("_in", F.when(blocked, False).when(first, True))).where("_in is null or _in").select("run_id", "_at", "_real", "_title", "_in"))
+    return state.drop("_in")
 
 
 def curate_items(items: DataFrame, articles: DataFrame, trusted_hosts: DataFrame, tiers: dict[str, str], as_of: Column, patterns: Sequence[str] = (), max_days: int = 30, query_feed: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import rules, scores, texts, urls
 from pressloom.operators.storage import kept
+from pressloom.operators.vectors import Cells, cell_facts, fit_pivots, nearest, similar_pairs, unit, with_cells
 from pressloom.sources.model import hours_before
 
 COVERAGE_MOST = log(101) + 0.8 * log(11) + 0.4 * log(16)
@@ -327,68 +328,22 @@ def cluster_centroids(members: DataFrame, articles: DataFrame) -> DataFrame:
     return counted.join(vectors, "cluster_id", "left")
 
 
-def unit(vector: Column) -> Column:
-    """``vector`` as doubles of length 1; one of length 0 stays."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
-
-
-def _alike(a: Column, b: Column) -> Column:
-    """Cosine of unit vectors; 0 for different lengths."""
-    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
-
-
-#: Bytes of vectors that are broadcast at once.
-BROADCAST_BYTES = 64 << 20
-
-
-def _slices(vectors: DataFrame, bytes_at_once: int) -> int:
-    """How many slices of ``bytes_at_once`` the ``v`` of ``vectors`` fill."""
-    return max(1, -(-(vectors.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0) // bytes_at_once))
-
-
-def nearest_centroids(articles: DataFrame, centroids: DataFrame, k: int = 8, cells: int = 0, probe: int = 8, bytes_at_once: int = BROADCAST_BYTES) -> DataFrame:
+def nearest_centroids(articles: DataFrame, centroids: DataFrame, k: int = 8, cells: int = 0, probe: int = 0) -> DataFrame:
     """``article_id, place, cluster_id, similarity``: the ``k`` nearest centroids of every embedded article.
 
-    Exact: unit vectors of the centroids, those of the recent clusters, are
-    broadcast in slices of ``bytes_at_once`` at most, as one row with an array, so that
-    every article finds its best ones in place, without a shuffle; with several
-    slices, their ``k`` best each are merged. Every slice is one pass over the
-    articles, so beyond a few, give ``cells``: so many centroids, a bounded
-    number chosen by hash, become pivots; every centroid goes to the cell of its
-    nearest pivot, every article looks into those of its ``probe`` nearest
-    ones, and what meets there is ranked exactly. Recall grows with ``probe``.
+    Centroids and articles meet in cells of the centroids (`vectors.nearest`),
+    which is exact; ``cells`` is their number, by default the square root of the
+    centroids'. With ``probe``, an article looks into so many cells only, and
+    recall grows with it.
     """
-    known = kept(centroids.where("centroid is not null").select("cluster_id", unit(F.col("centroid")).alias("v")))
-    asked = articles.where("embedding is not null").select("article_id", unit(F.col("embedding")).alias("v"))
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        """The nearest of each row's ``cs``."""
-        found = F.transform("cs", lambda c: F.struct((-_alike(F.col("v"), c["v"])).alias("d"), c["cluster_id"].alias("cluster_id")))
-        return rows.select("article_id", F.slice(F.sort_array(found), 1, k).alias("near"))
-
-    if cells:
-        pivots = known.orderBy(F.xxhash64("cluster_id"), "cluster_id").limit(cells).select(F.col("cluster_id").alias("pivot"), "v")
-        table = F.broadcast(pivots.agg(F.collect_list(F.struct("pivot", "v")).alias("ps")))
-
-        def routed(rows: DataFrame, n: int) -> DataFrame:
-            near = F.sort_array(F.transform("ps", lambda p: F.struct((-_alike(F.col("v"), p["v"])).alias("d"), p["pivot"].alias("cell"))))
-            return rows.join(table).select(*rows.columns, F.explode(F.slice(near, 1, n)).alias("p")).select(*rows.columns, "p.cell")
-
-        # a cell of very many centroids is cut into parts, each one row of bounded size
-        own = routed(known, 1).withColumn("part", F.floor(F.row_number().over(Window.partitionBy("cell").orderBy("cluster_id")) / 1000))
-        own = own.groupBy("cell", "part").agg(F.collect_list(F.struct("cluster_id", "v")).alias("cs"))
-        best, several = ranked(routed(asked, probe).join(own, "cell")), True
-    else:
-        slices, best = _slices(known, bytes_at_once), None
-        for i in range(slices):
-            part = known.where(F.pmod(F.xxhash64("cluster_id"), F.lit(slices)) == i) if slices > 1 else known
-            near = ranked(asked.join(F.broadcast(part.agg(F.collect_list(F.struct("cluster_id", "v")).alias("cs")))))
-            best = near if best is None else best.unionByName(near)
-        several = slices > 1
-    best = best.groupBy("article_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")) if several else best
-    return best.select("article_id", F.posexplode("near").alias("place", "n")).select("article_id", "place", "n.cluster_id", (-F.col("n.d")).alias("similarity"))
+    known = kept(centroids.where("centroid is not null").select(F.col("cluster_id").alias("id"), unit(F.col("centroid")).alias("v")))
+    pivots = fit_pivots(known, cells)
+    if not pivots.size:
+        return articles.sparkSession.createDataFrame([], "article_id long, place int, cluster_id long, similarity double")
+    placed = kept(with_cells(known, pivots))
+    asked = articles.where("embedding is not null").select(F.col("article_id").alias("id"), unit(F.col("embedding")).alias("v"))
+    found = nearest(asked, placed, Cells.of(pivots, cell_facts(placed)), k, probe)
+    return found.select(F.col("id").alias("article_id"), "place", F.col("member").alias("cluster_id"), "similarity")
 
 
 def best_cluster(nearest: DataFrame, centroids: DataFrame, as_of: Column, similarity: float = rules.JOIN_SIMILARITY, most: int = rules.MAX_CLUSTER, days: int = rules.LOOKBACK_DAYS) -> DataFrame:
@@ -398,25 +353,16 @@ def best_cluster(nearest: DataFrame, centroids: DataFrame, as_of: Column, simila
     return fit.groupBy("article_id").agg(F.min_by(F.struct("cluster_id", "similarity"), F.col("place")).alias("b")).select("article_id", "b.cluster_id", "b.similarity")
 
 
-def merge_pairs(centroids: DataFrame, as_of: Column, similarity: float = rules.MERGE_SIMILARITY, most: int = rules.MAX_CLUSTER, days: int = rules.LOOKBACK_DAYS, top: int = 10, bytes_at_once: int = BROADCAST_BYTES) -> DataFrame:
-    """Pairs of recent clusters of two members or more that are similar and small enough together.
+def merge_pairs(centroids: DataFrame, as_of: Column, similarity: float = rules.MERGE_SIMILARITY, most: int = rules.MAX_CLUSTER, days: int = rules.LOOKBACK_DAYS, top: int = 10, exact_rows: int = 100_000, probe: int = 12) -> DataFrame:
+    """Pairs of recent clusters of two members or more that are similar and small enough together, the ``top`` most similar.
 
-    Every cluster is compared in place with broadcast slices of the others, each
-    of ``bytes_at_once`` at most; only similar pairs become rows.
+    Clusters meet in cells of their centroids (`vectors.similar_pairs`): exact
+    up to ``exact_rows`` clusters, beyond in the ``probe`` nearest cells of each.
     """
     recent = centroids.where((F.col("member_count") >= 2) & (F.col("last_member_at") >= hours_before(as_of, 24 * days)) & F.col("centroid").isNotNull())
-    recent = kept(recent.select("cluster_id", "member_count", unit(F.col("centroid")).alias("v")))
-    own = recent.select(F.col("cluster_id").alias("c1"), F.col("v").alias("v1"), F.col("member_count").alias("n1"))
-    slices, found = _slices(recent, bytes_at_once), None
-    for i in range(slices):
-        part = recent.where(F.pmod(F.xxhash64("cluster_id"), F.lit(slices)) == i) if slices > 1 else recent
-        table = F.broadcast(part.agg(F.collect_list(F.struct("cluster_id", "member_count", "v")).alias("cs")))
-        later = F.filter("cs", lambda c: (c["cluster_id"] > F.col("c1")) & (F.col("n1") + c["member_count"] <= most))
-        near = F.transform(later, lambda c: F.struct(c["cluster_id"].alias("c2"), c["member_count"].alias("n2"), _alike(F.col("v1"), c["v"]).alias("similarity")))
-        pairs = own.join(table).select("c1", "n1", F.explode(F.filter(near, lambda p: p["similarity"] > similarity)).alias("p"))
-        found = pairs if found is None else found.unionByName(pairs)
-    rows = found.select("c1", "p.c2", "n1", "p.n2", "p.similarity")
-    return rows.orderBy(F.col("similarity").desc(), "c1", "c2").limit(top)
+    rows = recent.select(F.col("cluster_id").alias("id"), unit(F.col("centroid")).alias("v"), F.col("member_count").alias("n"))
+    found = similar_pairs(rows, similarity, most, top, exact_rows, probe)
+    return found.select(F.col("a").alias("c1"), F.col("b").alias("c2"), F.col("n_a").alias("n1"), F.col("n_b").alias("n2"), "similarity")
 
 
 def merge_clusters(members: DataFrame, pairs: DataFrame, most: int = rules.MAX_CLUSTER) -> DataFrame:
@@ -439,6 +385,24 @@ def merge_clusters(members: DataFrame, pairs: DataFrame, most: int = rules.MAX_C
     return members.join(F.broadcast(moved), "cluster_id", "left").select("article_id", F.coalesce("into", "cluster_id").alias("cluster_id")).distinct()
 
 
+def fitting(articles: DataFrame, centroids: DataFrame, as_of: Column, similarity: float, most: int) -> DataFrame:
+    """``article_id, cluster_id, similarity``: each article's first fitting cluster; the nearest articles fill a cluster up to its cap."""
+    fit = best_cluster(nearest_centroids(articles, centroids), centroids, as_of, similarity, most).join(centroids.select("cluster_id", "member_count"), "cluster_id")
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("similarity").desc(), "article_id"))
+    return fit.withColumn("rank", rank).where(F.col("member_count") + F.col("rank") <= most).select("article_id", "cluster_id", "similarity")
+
+
+def _alone(articles: DataFrame) -> DataFrame:
+    """Articles as clusters of their own, named by their article below zero."""
+    return articles.select("article_id", (-F.col("article_id") - 1).alias("cluster_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("is_new"))
+
+
+def assign_once(articles: DataFrame, centroids: DataFrame, as_of: Column, similarity: float = rules.JOIN_SIMILARITY, most: int = rules.MAX_CLUSTER) -> DataFrame:
+    """Memberships of ``articles`` against fixed ``centroids``; what fits none becomes a cluster of its own."""
+    found = kept(fitting(articles, centroids, as_of, similarity, most))
+    return found.withColumn("is_new", F.lit(False)).unionByName(_alone(articles.join(found, "article_id", "left_anti")))
+
+
 def assign_clusters(articles: DataFrame, members: DataFrame, as_of: Column, rounds: int = 2, similarity: float = rules.JOIN_SIMILARITY, most: int = rules.MAX_CLUSTER) -> DataFrame:
     """New memberships ``article_id, cluster_id, similarity, is_new`` of unclustered articles.
 
@@ -451,14 +415,11 @@ def assign_clusters(articles: DataFrame, members: DataFrame, as_of: Column, roun
     for _ in range(rounds):
         open_ones = articles.join(members, "article_id", "left_anti")
         centroids = kept(cluster_centroids(members, articles))
-        fit = best_cluster(nearest_centroids(open_ones, centroids), centroids, as_of, similarity, most).join(centroids.select("cluster_id", "member_count"), "cluster_id")
-        rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("similarity").desc(), "article_id"))
-        fit = kept(fit.withColumn("rank", rank).where(F.col("member_count") + F.col("rank") <= most).select("article_id", "cluster_id", "similarity"))
+        fit = kept(fitting(open_ones, centroids, as_of, similarity, most))
         found = fit if found is None else found.unionByName(fit)
         members = members.unionByName(fit.select("article_id", "cluster_id"))
     rest = articles.join(start, "article_id", "left_anti").join(found, "article_id", "left_anti")
-    single = rest.select("article_id", (-F.col("article_id") - 1).alias("cluster_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("is_new"))
-    return found.withColumn("is_new", F.lit(False)).unionByName(single)
+    return found.withColumn("is_new", F.lit(False)).unionByName(_alone(rest))
 
 
 SPLIT_ROWS, SEEDS, SEED_TURNS = 500, 16, 4

@@ -78,21 +78,29 @@ _GATE = _OFFERED + f""", cleaned AS (
       WHEN NOT (host = 'new3.example.com' OR {_relevant("told")}) THEN 'non_climate' WHEN host IN ('news.google.com', 'news.yahoo.com', 'msn.com') THEN 'aggregator_url'
       WHEN regexp_matches(real, '-0{{4,}}$|/0{{5,}}(/|$)') THEN 'fabricated_url' WHEN {_LOW.format("real")} THEN 'low_value_host'
       WHEN published_at < t - INTERVAL 168 HOUR THEN 'stale' WHEN published_at > t + INTERVAL 60 SECOND OR abs(epoch(published_at) - epoch(t)) < 30 THEN 'invalid_date'
-      WHEN language_code <> 'en' THEN 'non_english' WHEN by_url IS NOT NULL THEN 'duplicate_url' WHEN by_title IS NOT NULL THEN 'duplicate_title'
-      WHEN NOT reachable THEN 'unreachable' WHEN NOT stored THEN 'insert_failed' END AS reason
+      WHEN language_code <> 'en' THEN 'non_english' END AS reason, CASE WHEN NOT reachable THEN 'unreachable' WHEN NOT stored THEN 'insert_failed' END AS late, lower(trim(title)) AS lt
   FROM looked, now
-), once AS (
-  SELECT *, CASE WHEN early IS NULL AND reason IS NULL AND row_number() OVER (PARTITION BY early IS NULL AND reason IS NULL, real ORDER BY run_id, place, candidate_id) > 1 THEN 'duplicate_url' ELSE reason END AS r2 FROM judged
-), twice AS (
-  SELECT *, CASE WHEN early IS NULL AND r2 IS NULL AND row_number() OVER (PARTITION BY early IS NULL AND r2 IS NULL, lower(trim(title)) ORDER BY run_id, place, candidate_id) > 1 THEN 'duplicate_title' ELSE r2 END AS r3 FROM once
+), open_ AS (
+  SELECT *, row_number() OVER (ORDER BY run_id, place, candidate_id) AS i FROM judged WHERE coalesce(early, reason, late) IS NULL AND by_url IS NULL AND by_title IS NULL
+), walk AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS run_id, 0 AS n, []::VARCHAR[] AS urls, []::VARCHAR[] AS titles, false AS taken
+  UNION ALL
+  SELECT i, run_id, had + ok::INT, CASE WHEN ok THEN list_append(urls, real) ELSE urls END, CASE WHEN ok THEN list_append(titles, lt) ELSE titles END, ok
+  FROM (SELECT *, had < 3 AND NOT list_contains(urls, real) AND NOT list_contains(titles, lt) AS ok
+    FROM (SELECT o.i, o.run_id, o.real, o.lt, w.urls, w.titles, CASE WHEN o.run_id = w.run_id THEN w.n ELSE 0 END AS had FROM walk w JOIN open_ o ON o.i = w.i + 1))
+), taken AS (
+  SELECT o.* FROM open_ o JOIN walk w USING (i) WHERE w.taken
 ), capped AS (
-  SELECT *, coalesce(sum((early IS NULL AND r3 IS NULL)::INT) OVER (PARTITION BY run_id ORDER BY place, candidate_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS over FROM twice
+  SELECT j.*, (SELECT count(*) FROM taken t WHERE t.run_id = j.run_id AND (t.place, t.candidate_id) < (j.place, j.candidate_id)) >= 3 AS over,
+    by_url IS NOT NULL OR EXISTS (SELECT 1 FROM taken t WHERE t.real = j.real AND (t.run_id, t.place, t.candidate_id) < (j.run_id, j.place, j.candidate_id)) AS again_url,
+    by_title IS NOT NULL OR EXISTS (SELECT 1 FROM taken t WHERE t.lt = j.lt AND (t.run_id, t.place, t.candidate_id) < (j.run_id, j.place, j.candidate_id)) AS again_title
+  FROM judged j
 ), outcomes AS (
-  SELECT *, coalesce(early, CASE WHEN over THEN 'article_cap_reached' END, r3, 'inserted') AS outcome FROM capped
+  SELECT *, coalesce(early, CASE WHEN over THEN 'article_cap_reached' END, reason, CASE WHEN again_url THEN 'duplicate_url' WHEN again_title THEN 'duplicate_title' END, late, 'inserted') AS outcome FROM capped
 )"""
 
 
-@query("discovery_gate", _GATE + " SELECT run_id, place, candidate_id, outcome, CASE WHEN outcome LIKE 'duplicate_%' AND outcome <> 'duplicate_candidate' THEN coalesce(by_url, by_title) END AS duplicate_article_id, real AS article_url FROM outcomes")
+@query("discovery_gate", _GATE + " SELECT run_id, place, candidate_id, outcome, CASE WHEN outcome = 'duplicate_url' THEN by_url WHEN outcome = 'duplicate_title' AND by_url IS NULL THEN by_title END AS duplicate_article_id, real AS article_url FROM outcomes")
 def discovery_gate(m):
     trusted = m.spark.createDataFrame([("new3.example.com",)], "host string")
     return gates.discovery_gate(offered(m), m.articles(), trusted, TIERS, as_of(), hours_before(as_of(), 200), cap=3)

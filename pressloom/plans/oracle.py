@@ -1,7 +1,7 @@
 """SQL of the model tables, as the common head of every oracle query."""
 
 PRELUDE = r"""
-WITH now AS (SELECT TIMESTAMP '2024-01-31 00:00:00' AS t, TIMESTAMP '2001-11-05 00:00:00' AS d), sources AS (
+WITH RECURSIVE now AS (SELECT TIMESTAMP '2024-01-31 00:00:00' AS t, TIMESTAMP '2001-11-05 00:00:00' AS d), sources AS (
   SELECT s_suppkey AS source_id, s_name AS name, 'https://www.outlet' || (s_suppkey % 40) || '.example.com/' AS homepage_url,
     CASE s_suppkey % 4 WHEN 0 THEN 'http://feeds.outlet' || s_suppkey || '.example.com/rss' WHEN 1 THEN 'web://outlet' || s_suppkey || '.example.com'
       WHEN 2 THEN 'discover://outlet' || s_suppkey || '.example.com' ELSE 'disabled://http://outlet' || s_suppkey || '.example.com/rss' END AS feed_url,

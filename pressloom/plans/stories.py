@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import scores, texts, urls
 from pressloom.operators import stories as ops
+from pressloom.operators.storage import kept, new_path
+from pressloom.operators.vectors import VectorIndex, unit
 from pressloom.plans.registry import query
 from pressloom.sources.model import Model, as_of, hours_before
 
@@ -357,7 +359,12 @@ _KNN = _CENTROIDS + f""", near AS (
 
 @query("nearest_centroid_knn", _KNN + "SELECT article_id, place, cluster_id, round(similarity, 6) AS similarity FROM top")
 def nearest_centroid_knn(m):
-    return ops.nearest_centroids(m.articles(), centroids(m)).select("article_id", F.col("place").cast("long").alias("place"), "cluster_id", "similarity")
+    """Centroids are stored as an index, a third of them in a second batch, and the articles searched in it."""
+    known = kept(centroids(m).where("centroid is not null").select(F.col("cluster_id").alias("id"), unit(F.col("centroid")).alias("v")))
+    index = VectorIndex.create(known.where("id % 3 <> 0"), new_path(m.spark, "centroid-index"))
+    index.append(known.where("id % 3 = 0"), "1")
+    asked = m.articles().where("embedding is not null").select(F.col("article_id").alias("id"), unit(F.col("embedding")).alias("v"))
+    return index.nearest(asked, 8).select(F.col("id").alias("article_id"), F.col("place").cast("long").alias("place"), F.col("member").alias("cluster_id"), "similarity")
 
 
 @query("best_cluster", _KNN + "SELECT article_id, arg_min(cluster_id, place) AS cluster_id FROM top, now WHERE similarity > 0.25 AND member_count < 25 AND last_member_at >= t - INTERVAL 120 HOUR GROUP BY 1")
@@ -489,8 +496,11 @@ def keyword(m):
 
 
 def semantic(m):
-    vector = m.raw("embeddings").where("vec_id = 7").select(F.transform("embedding", lambda x: x.cast("double"))).first()[0]
-    return ops.semantic_search(m.articles(), F.array(*[F.lit(x) for x in vector]), 40, least=0.1)
+    """The articles' vectors are stored as an index, whose cells the search prunes."""
+    vectors = m.articles().where("embedding is not null").select(F.col("article_id").alias("id"), unit(F.col("embedding")).alias("v"))
+    index = VectorIndex.create(kept(vectors), new_path(m.spark, "article-index"))
+    asked = m.raw("embeddings").where("vec_id = 7").select(unit(F.col("embedding"))).first()[0]
+    return index.search(asked, 40, least=0.1).withColumnRenamed("id", "article_id")
 
 
 @query("topk_keyword", _TERMS + "SELECT article_id, round(rank, 6) AS rank FROM kwtop")

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pressloom.functions import rules
+from pressloom.operators.centroids import CentroidStore
 from pressloom.operators.curation import append_clicks
-from pressloom.operators.stories import assign_clusters
-from pressloom.sources.model import as_of
+from pressloom.operators.stories import assign_once
+from pressloom.operators.storage import kept
 
 CLICKS = "raw_id string, session_id string, occurred_at timestamp"
 ARTICLES = "article_id long, title string, fetched_at timestamp"
@@ -22,10 +26,44 @@ def click_stream(spark: SparkSession, path: str) -> DataFrame:
     return append_clicks(spark.readStream.schema(CLICKS).parquet(path))
 
 
-def recent_title_stream(articles: DataFrame, days: int = 7) -> DataFrame:
-    """Articles whose title has not come up within ``days`` before; state is dropped behind the watermark."""
-    keyed = articles.withColumn("title_lc", F.lower("title")).withWatermark("fetched_at", f"{days} days")
-    return keyed.dropDuplicatesWithinWatermark(["title_lc"]).drop("title_lc")
+def _first_titles(span: int):
+    """Rows of a title in order of time, each once no earlier one can come; keeps the time of the last row that stayed."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, times, ids = state.get if state.exists else (None, [], [])
+        waiting = list(zip(times, ids, strict=True))
+        if key[0] is not None:
+            for rows in batches:
+                waiting += [(int(t), int(i)) for t, i in zip(rows["t"], rows["article_id"], strict=True)]
+        now = state.getCurrentWatermarkMs()
+        waiting.sort()
+        done = [x for x in waiting if x[0] <= now * 1000]
+        waiting, kept = waiting[len(done) :], []
+        for t, article in done:
+            if last is None or t - last > span:
+                last = t
+                kept.append(article)
+        if waiting or (last is not None and last + span > now * 1000):
+            state.update((last, [t for t, _ in waiting], [i for _, i in waiting]))
+            # the next row that becomes due, or the end of the time in which the last one counts
+            state.setTimeoutTimestamp(max(now + 1, (waiting[0][0] if waiting else last + span) // 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"article_id": pd.Series(kept, dtype="int64")})
+
+    return run
+
+
+def recent_title_stream(articles: DataFrame, days: int = 7, late: str = "1 hour") -> DataFrame:
+    """``article_id`` of the rows that `recent_title_batch` keeps, whatever the order in which they arrive within ``late``.
+
+    A row is decided when the watermark has passed its time, as no earlier one
+    of its title can come then. State is one time for each title of the last
+    ``days``, and the rows of the last ``late``. Rows behind the watermark are
+    left out. Rows with a null title move the watermark and are dropped.
+    """
+    rows = articles.withWatermark("fetched_at", late).select(F.lower("title").alias("title_lc"), F.unix_micros("fetched_at").alias("t"), "article_id", "fetched_at")
+    return rows.groupBy("title_lc").applyInPandasWithState(_first_titles(days * 86_400_000_000), "article_id long", "last long, times array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_title_batch(articles: DataFrame, days: int = 7) -> DataFrame:
@@ -51,21 +89,46 @@ def recent_title_batch(articles: DataFrame, days: int = 7) -> DataFrame:
     return rows.repartition("title_lc").sortWithinPartitions("title_lc", "t", "article_id").mapInArrow(run, "article_id long")
 
 
-def assignment_sink(read_articles: Callable[[], DataFrame], read_members: Callable[[], DataFrame], append: Callable[[DataFrame, int], None], similarity: float) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that assigns a batch's articles to clusters and appends the memberships.
+class AssignmentJob:
+    """Assigns arriving articles to clusters, batch by batch, with all it knows in tables below ``path``.
 
-    ``append`` gets the batch number, by which a repeated batch can be recognised.
+    ``members`` holds memberships by batch and `CentroidStore` the centroids. A
+    batch reads what earlier batches have left and nothing of its own, and
+    replaces its own rows, so a batch that is repeated after a failure gives the
+    same tables. ``read_articles`` gives the rows of all articles, with vectors.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
-        known = read_articles()
-        members = read_members()
-        fresh = known.join(batch.select("article_id"), "article_id", "left_semi")
-        others = known.join(members, "article_id", "left_semi")
-        found = assign_clusters(others.unionByName(fresh.join(members, "article_id", "left_anti")), members, as_of(), rounds=1, similarity=similarity)
-        append(found.select("article_id", "cluster_id"), number)
+    MEMBERS = "article_id long, cluster_id long, similarity double, batch long"
 
-    return run
+    def __init__(self, spark: SparkSession, path: str, read_articles: Callable[[], DataFrame], as_of: Column, similarity: float = rules.JOIN_SIMILARITY, most: int = rules.MAX_CLUSTER) -> None:
+        self.spark, self.path, self.read_articles, self.as_of, self.similarity, self.most = spark, path.rstrip("/"), read_articles, as_of, similarity, most
+        spark.createDataFrame([], self.MEMBERS).write.mode("append").partitionBy("batch").parquet(f"{self.path}/members")
+        self.store = CentroidStore(spark, f"{self.path}/centroids")
+
+    def members(self, before: int | None = None) -> DataFrame:
+        """``article_id, cluster_id, similarity, batch``, of batches below ``before``."""
+        rows = self.spark.read.schema(self.MEMBERS).parquet(f"{self.path}/members")
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def begin(self, members: DataFrame) -> None:
+        """Take over known memberships ``article_id, cluster_id`` as what was before the first batch."""
+        self._commit(-1, members.select("article_id", "cluster_id", F.lit(None).cast("double").alias("similarity")))
+
+    def _commit(self, number: int, fresh: DataFrame) -> None:
+        rows = fresh.withColumn("batch", F.lit(number).cast("long")).select("article_id", "cluster_id", "similarity", "batch")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/members")
+        added = self.members().where(F.col("batch") == number).select("article_id", "cluster_id")
+        none = self.spark.createDataFrame([], "article_id long, cluster_id long")
+        self.store.write(number, added, none, self.members(number + 1).select("article_id", "cluster_id"), self.read_articles())
+
+    def run(self, batch: DataFrame, number: int) -> None:
+        """Assign the articles of micro-batch ``number``; ids that have a cluster already, or come twice, are left."""
+        known = self.members(number)
+        ids = batch.select("article_id").distinct().join(known.select("article_id"), "article_id", "left_anti")
+        fresh = kept(self.read_articles().join(ids, "article_id", "left_semi"))
+        centroids = kept(self.store.centroids(number))
+        found = assign_once(fresh, centroids, self.as_of, self.similarity, self.most)
+        self._commit(number, kept(found.select("article_id", "cluster_id", "similarity")))
 
 
 def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -73,6 +136,6 @@ def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def start_assignment(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def start_assignment(stream: DataFrame, job: AssignmentJob, checkpoint: str) -> StreamingQuery:
     """Assign the articles of a stream as they arrive, batch by batch."""
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(job.run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

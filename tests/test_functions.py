@@ -201,16 +201,3 @@ def test_feed_limits(spark):
         stories.river_clusters(None, None, None, None, None, window_h=0)
     with pytest.raises(ValueError):
         stories.river_clusters(None, None, None, None, None, limit=101)
-
-
-def test_title_stream_equals_batch(spark, tmp_path):
-    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
-    rows = [(1, "A", day(0)), (2, "a", day(3)), (3, "B", day(3)), (4, "b", day(9)), (5, "c", day(12))]
-    source = str(tmp_path / "in")
-    for i, row in enumerate(rows):
-        spark.createDataFrame([row], jobs.ARTICLES).coalesce(1).write.mode("append").parquet(source)
-    stream = jobs.recent_title_stream(spark.readStream.schema(jobs.ARTICLES).option("maxFilesPerTrigger", 1).parquet(source))
-    query = jobs.start_append(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    query.awaitTermination()
-    got = {r.article_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {r.article_id for r in jobs.recent_title_batch(spark.createDataFrame(rows, jobs.ARTICLES)).collect()} == {1, 3, 5}
