@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -422,7 +423,8 @@ def assign_clusters(articles: DataFrame, members: DataFrame, as_of: Column, roun
     return found.withColumn("is_new", F.lit(False)).unionByName(_alone(rest))
 
 
-SPLIT_ROWS, SEEDS, SEED_TURNS = 500, 16, 4
+#: Members of a cluster that one task splits exactly, in memory in proportion to them.
+SPLIT_ROWS, SEEDS, SEED_TURNS = 50_000, 16, 4
 
 
 def fitting_pieces(rows: DataFrame, most_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -449,36 +451,67 @@ def fitting_pieces(rows: DataFrame, most_rows: int = SPLIT_ROWS) -> DataFrame:
     return rows
 
 
+def agglomerated(vectors: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """The first member of each row's group after centroid-linkage agglomeration.
+
+    The most similar two groups of ``most`` members together at most, equal ones
+    by first members, become one, while their means' cosine is ``similarity``
+    or more. Every group keeps its best partner among the later ones; after a
+    merge only the rows that lost theirs are compared anew, so memory grows with
+    the rows and never with their pairs.
+    """
+    n = len(vectors)
+    unit_of = lambda v: v / max(np.linalg.norm(v), 1e-300)
+    sums, means = vectors.astype(float).copy(), np.array([unit_of(v) for v in vectors.astype(float)]).reshape(vectors.shape)
+    sizes, alive, owner = np.ones(n, np.int64), np.ones(n, bool), np.arange(n)
+    best, value = np.full(n, -1), np.full(n, -2.0)
+
+    def compare(row: int) -> None:
+        later = np.round(means[row + 1 :] @ means[row], 12)
+        later[~alive[row + 1 :] | (sizes[row + 1 :] + sizes[row] > most)] = -2
+        at = int(later.argmax()) if len(later) else -1
+        best[row], value[row] = (row + 1 + at, later[at]) if at >= 0 and later[at] > -2 else (-1, -2)
+
+    for low in range(0, n, 512):  # all rows at first, block by block
+        cos = np.round(means[low : low + 512] @ means[low:].T, 12)
+        cos[np.tri(*cos.shape, dtype=bool)] = -2
+        if most < 2:
+            cos[:] = -2
+        best[low : low + 512], value[low : low + 512] = low + cos.argmax(1), cos.max(1)
+    while n:
+        a = int(value.argmax())
+        if value[a] < similarity or value[a] <= -2:
+            break
+        b = int(best[a])
+        sums[a] += sums[b]
+        sizes[a] += sizes[b]
+        means[a] = unit_of(sums[a])
+        alive[b], value[b], owner[owner == b] = False, -2, a
+        for row in np.flatnonzero(alive & ((best == a) | (best == b))):
+            compare(int(row))
+        compare(a)
+        # earlier groups may have found a better partner in the new one
+        near = np.round(means[:a] @ means[a], 12)
+        better = alive[:a] & (sizes[:a] + sizes[a] <= most) & ((near > value[:a]) | ((near == value[:a]) & (a < best[:a])))
+        best[:a][better], value[:a][better] = a, near[better]
+    return owner
+
+
 def split_clusters(members: DataFrame, articles: DataFrame, least: int = 20, similarity: float = rules.SPLIT_SIMILARITY, most: int = rules.MAX_CLUSTER, most_rows: int = SPLIT_ROWS) -> DataFrame:
     """Memberships of the large clusters after centroid-linkage agglomeration; the largest group keeps the id.
 
-    A group of the Pandas function is one cluster, which the cap keeps small;
-    those of more than ``most_rows`` members are cut into pieces first, and no
-    group then reaches over two pieces.
+    One task splits a cluster, exactly (`agglomerated`); those of more than
+    ``most_rows`` members are cut into pieces first, and no group then reaches
+    over two pieces.
     """
     import pandas as pd
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         rows = rows.sort_values("article_id")
-        groups = [[i] for i in range(len(rows))]
-        vectors = [np.asarray(v, float) for v in rows["embedding"]]
-        means = list(vectors)
-        unit = lambda v: v / (np.linalg.norm(v) or 1.0)
-        while len(groups) > 1:
-            m = np.array([unit(v) for v in means])
-            s = m @ m.T
-            sizes = np.array([len(g) for g in groups])
-            s[(sizes[:, None] + sizes[None, :] > most) | np.tri(len(groups), dtype=bool)] = -2
-            a, b = divmod(int(s.argmax()), len(groups))
-            if s[a, b] < similarity:
-                break
-            groups[a] += groups.pop(b)
-            means.pop(b)
-            means[a] = np.mean([vectors[i] for i in groups[a]], axis=0)
-        ids, cluster = rows["article_id"].to_numpy(), int(rows["cluster_id"].iloc[0])
-        return pd.DataFrame([(int(ids[i]), cluster, int(ids[g].min()), len(g)) for g in groups for i in g], columns=["article_id", "cluster_id", "first", "n"])
+        ids = rows["article_id"].to_numpy()
+        owner = agglomerated(np.stack([np.asarray(v, float) for v in rows["embedding"]]), similarity, most)
+        n = np.bincount(owner, minlength=len(ids))
+        return pd.DataFrame({"article_id": ids, "cluster_id": rows["cluster_id"].to_numpy(), "first": ids[owner], "n": n[owner]})
 
     rows = members.join(articles.where("embedding is not null").select("article_id", "embedding"), "article_id").select("article_id", "cluster_id", "embedding")
     sizes = rows.groupBy("cluster_id").count().where(F.col("count") >= least).select("cluster_id")
