@@ -3,13 +3,13 @@
 1. Every text becomes shingles of five words and a signature of ``trees`` x
    ``max_depth`` minimum hashes; each tree's hashes are its label in a prefix
    trie. Texts of the same word sequence form one class.
-2. Classes that share a node of a trie are sorted by their labels. The search
-   begins with whole labels as the matched prefix: the classes of each run of
-   equal prefixes are compared by their whole signatures, and likely pairs leave
-   a spanning forest. The least alike pair found says how short prefixes must be
-   for the target recall (`prefix_depth`); they are shortened to that, which
-   brings further pairs and perhaps a less alike one, until they are short
-   enough for all that was found.
+2. Classes that share a node of a trie at the depth that the threshold needs for
+   the target recall (`prefix_depth`) are sorted by their labels. Within the
+   node the matched prefix begins with whole labels and is shortened: the
+   classes of each run of equal prefixes are compared by their whole signatures,
+   and likely pairs join their parts. A run whose classes are all of one part is
+   closed, as its pairs can't join anything more; every other one is shortened
+   until the target recall is reached, whatever was found elsewhere.
 3. Within a component of likely pairs, blocks of classes meet block by block;
    exact Jaccard similarities of the shingle sets decide every pair. Tasks return
    sums and spanning edges, never pairs.
@@ -146,54 +146,59 @@ def _labels(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint16), *chunks]).reshape(-1, size)
 
 
-def _likely(size: int, max_depth: int, depth: int, least: int):
-    """Spanning edges of the classes with equal prefixes of ``depth`` whose signatures agree in ``least`` places.
+def _united(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``labels``, each the smallest index of its part, after uniting the parts of the pairs."""
+    return _propagate(labels, labels[left], labels[right])
 
-    One row without an edge gives the fewest agreeing places among the likely pairs compared.
-    """
+
+def _likely(size: int, max_depth: int, least_depth: int, least: int):
+    """Spanning edges of the classes that share a prefix of ``least_depth`` and whose signatures agree in ``least`` places."""
+    depths = [*range(max_depth, least_depth, -2), least_depth]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fewest = size
         for table, bounds in _groups(batches, ["tree", "prefix", "low", "high"]):
             cid, tree = table["cid"].to_numpy(), table["tree"].to_numpy()
             sketch = _labels(table["label"], size)
-            trie = np.take_along_axis(sketch, tree[:, None] * max_depth + np.arange(depth), 1)
-            fresh = np.zeros(len(cid), bool)
-            fresh[bounds[:-1]] = True
-            fresh[1:] |= (trie[1:] != trie[:-1]).any(1)
-            starts = np.flatnonzero(fresh)
-            sizes = np.diff(np.append(starts, len(cid)))
+            trie = np.take_along_axis(sketch, tree[:, None] * max_depth + np.arange(max_depth), 1)
             labels = np.arange(len(cid))
 
             def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                nonlocal fewest
-                agree = (sketch[i] == sketch[j]).sum(1)  # noqa: B023
-                hit = agree >= least
-                fewest = min(fewest, int(agree[hit].min(initial=size)))
-                return hit
-
-            small = sizes <= SMALL_RUN
-            for i, j in _pairs_of_small(starts[small], sizes[small]):
-                hit = near(i, j)
-                labels = _propagate(labels, i[hit], j[hit])
-            for start, n in zip(starts[~small], sizes[~small], strict=True):
-                at = np.arange(start, start + n)
-                hit = near(at[:-1], at[1:])  # neighbours in the order of labels first
-                found = _propagate(np.arange(n), np.flatnonzero(hit), np.flatnonzero(hit) + 1)
-                while True:  # then members of different parts, one by one
-                    before = found
-                    for i in range(0, n, 64):
-                        left, right = np.nonzero(found[i : i + 64, None] != found[None, :])
-                        for k in range(0, len(left), 100_000):
-                            a, b = left[k : k + 100_000] + i, right[k : k + 100_000]
-                            hit = near(a + start, b + start)
-                            found = _propagate(found, a[hit], b[hit])
-                    if found is before or (found == before).all():
-                        break
-                labels[start : start + n] = start + found
+                return (sketch[i] == sketch[j]).sum(1) >= least  # noqa: B023
+
+            for depth in depths:
+                fresh = np.zeros(len(cid), bool)
+                fresh[bounds[:-1]] = True
+                fresh[1:] |= (trie[1:, :depth] != trie[:-1, :depth]).any(1)
+                starts = np.flatnonzero(fresh)
+                sizes = np.diff(np.append(starts, len(cid)))
+                parted = np.maximum.reduceat(labels, starts) != np.minimum.reduceat(labels, starts)
+                small = parted & (sizes <= SMALL_RUN)
+                for i, j in _pairs_of_small(starts[small], sizes[small]):
+                    apart = labels[i] != labels[j]
+                    i, j = i[apart], j[apart]
+                    hit = near(i, j)
+                    labels = _united(labels, i[hit], j[hit])
+                large = parted & (sizes > SMALL_RUN)
+                for start, n in zip(starts[large], sizes[large], strict=True):
+                    found = labels[start : start + n]
+                    _, first, own = np.unique(found, return_index=True, return_inverse=True)
+                    found = first[own]
+                    at = np.flatnonzero(found[1:] != found[:-1])  # neighbours in the order of labels first
+                    hit = near(start + at, start + at + 1)
+                    found = _united(found, at[hit], at[hit] + 1)
+                    while True:  # then members of different parts, one by one
+                        before = found
+                        for i in range(0, n, 64):
+                            left, right = np.nonzero(found[i : i + 64, None] != found[None, :])
+                            for k in range(0, len(left), 100_000):
+                                a, b = left[k : k + 100_000] + i, right[k : k + 100_000]
+                                hit = near(a + start, b + start)
+                                found = _united(found, a[hit], b[hit])
+                        if found is before or (found == before).all():
+                            break
+                    labels = _united(labels, start + np.arange(n), start + found)
             joined = np.flatnonzero(labels != np.arange(len(cid)))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[joined]), pa.array(cid[labels[joined]]), pa.nulls(len(joined), pa.int32())], names=["u", "v", "agree"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([fewest], pa.int32())], names=["u", "v", "agree"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid[joined]), pa.array(cid[labels[joined]])], names=["u", "v"])
 
     return run
 
@@ -298,24 +303,16 @@ def _trie_nodes(classes: DataFrame, trees: int, max_depth: int, depth: int) -> D
     shared = nodes.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
     met = nodes.join(shared, ["tree", "prefix"]).withColumn("parts", _parts(F.col("n"), SIGNATURE_BLOCK)).join(classes.select("cid", "label"), "cid")
     met = _meeting(met, ["tree", "prefix"]).withColumn("trie", F.substring(F.col("label"), F.col("tree") * width + 1, F.lit(width)))
-    return checkpointed(met.sortWithinPartitions("tree", "prefix", "low", "high", "trie", "cid").select("tree", "prefix", "low", "high", "cid", "label"))
+    return met.sortWithinPartitions("tree", "prefix", "low", "high", "trie", "cid").select("tree", "prefix", "low", "high", "cid", "label")
 
 
 def _likely_edges(classes: DataFrame, threshold: float, trees: int, max_depth: int, target_recall: float) -> DataFrame:
-    """``u, v``: spanning edges of the likely pairs, from the forest's prefixes, shortened until the recall is reached."""
+    """``u, v``: spanning edges of the likely pairs, from the forest's prefixes, shortened until a pair at the threshold meets with the target recall."""
     size = trees * max_depth
     spread = (threshold * (1 - threshold) / size) ** 0.5
-    least = int(size * max(0.0, threshold - 5 * spread))
-    nodes = _trie_nodes(classes, trees, max_depth, prefix_depth(threshold, trees, max_depth, target_recall))
-    depth = max_depth
-    while True:
-        found = checkpointed(nodes.mapInArrow(_likely(size, max_depth, depth, least), "u long, v long, agree int"))
-        fewest = found.agg(F.min("agree")).first()[0]
-        alike = (size if fewest is None else fewest) / size
-        enough = prefix_depth(max(threshold, alike - 2 * spread), trees, max_depth, target_recall)
-        if enough >= depth:
-            return found.where("u is not null").select("u", "v")
-        depth = enough
+    least_depth = prefix_depth(threshold, trees, max_depth, target_recall)
+    nodes = _trie_nodes(classes, trees, max_depth, least_depth)
+    return nodes.mapInArrow(_likely(size, max_depth, least_depth, int(size * max(0.0, threshold - 5 * spread))), "u long, v long")
 
 
 def ngram_jaccard_join(
@@ -333,7 +330,9 @@ def ngram_jaccard_join(
 
     ``n_links`` counts the other rows whose shingle sets have a Jaccard
     similarity of ``threshold`` or more, equal texts included; ``class_id`` is
-    the smallest id that links lead to, the own id without links. ``kept`` marks
+    the smallest id that links lead to, the own id without links. A pair right
+    at the threshold is found with probability ``target_recall`` at least, one
+    above more surely, independently of all other documents. ``kept`` marks
     exactly one row of each class: that of the smallest id, ties by the carried
     columns, which are integers as ids are. Null ids come last; a class of null
     ids alone has a null ``class_id``. Texts are null, empty or without words:
