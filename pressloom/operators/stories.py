@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import rules, scores, texts, urls
 from pressloom.operators.storage import kept
+from pressloom.operators.textindex import postings
 from pressloom.operators.vectors import Cells, cell_facts, fit_pivots, nearest, similar_pairs, unit, with_cells
 from pressloom.sources.model import hours_before
 
@@ -156,7 +157,12 @@ def _shown(url: Column, host: Column) -> Column:
 
 
 def river_clusters(scored, members, articles, sources, as_of: Column, latest: bool = False, window_h: int = 168, limit: int = 10, category: str | None = None, article_categories=None, categories=None) -> DataFrame:
-    """The ranked story feed. The window function after the limit sees ``limit`` rows."""
+    """The ranked story feed. The window function after the limit sees ``limit`` rows.
+
+    Scored rows of before a column was there, with a null ``first_pub`` or
+    ``strong_sources``, have these from their members: the first date of all,
+    and the hosts of strong sources among the visible ones.
+    """
     if not 1 <= window_h <= 720:
         raise ValueError("window must be 1 to 720 hours")
     if not 0 <= limit <= 100:
@@ -175,12 +181,14 @@ def river_clusters(scored, members, articles, sources, as_of: Column, latest: bo
         F.col("author").alias("lead_author"),
         F.col("content_status").alias("lead_content_status"),
         F.col("content_word_count").alias("lead_content_word_count"),
+        F.col("content_image").alias("lead_image"),
         scores.effective_weight(F.col("weight"), F.col("canonical_url")).alias("lead_weight"),
     )
     rows = scored.select("cluster_id", "size", "score", "base_score", "latest_pub", "first_pub", "strong_sources", "lead_article_id").join(lead, "lead_article_id")
     activity = F.coalesce("latest_pub", "published_at")
     served = scores.serve_score(F.col("base_score"), F.col("latest_pub"), F.col("score"), as_of)
     rows = rows.where((activity >= hours_before(as_of, window_h)) & ~urls.is_aggregator_url(F.col("lead_url")) & ~urls.is_low_value_url(F.col("lead_url")))
+    rows = _with_fallbacks(rows, members, articles, sources)
     if not latest and category is None:
         rows = rows.where(scores.top_gate(F.col("strong_sources"), F.col("lead_weight")))
     if category is not None:
@@ -209,10 +217,21 @@ def river_clusters(scored, members, articles, sources, as_of: Column, latest: bo
     return out.select(
         "rank", "cluster_id", "size", "score", "sources_count", "lead_article_id", "lead_title", "lead_was_rewritten", "lead_url", "lead_dek", "lead_source", "lead_homepage", "lead_author", "published_at",
         F.transform("subs", lambda s: s.dropFields("k")).alias("subs"), "subs_total", F.transform_values("all_articles_by_source", lambda _, v: F.transform(v, lambda s: s.dropFields("k"))).alias("all_articles_by_source"),
-        "lead_content_status", "lead_content_word_count",
+        "lead_content_status", "lead_content_word_count", "lead_image",
     ).orderBy("rank")
 
 
+def _with_fallbacks(rows: DataFrame, members: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` whose null ``first_pub`` and ``strong_sources`` are worked out from the members of those clusters."""
+    lacking = rows.where("first_pub is null or strong_sources is null").select("cluster_id")
+    own = members.join(lacking, "cluster_id", "left_semi").join(articles.select("article_id", "source_id", "published_at", "canonical_url", "language_code"), "article_id")
+    own = own.join(sources.select("source_id", F.col("weight").alias("_w")), "source_id", "left")
+    strong = scores.visible_language(F.col("language_code")) & (scores.effective_weight(F.col("_w"), F.col("canonical_url")) >= rules.STRONG_WEIGHT)
+    found = own.groupBy("cluster_id").agg(F.min("published_at").alias("_first"), F.count_distinct(F.when(strong, urls.publisher_host(F.col("canonical_url")))).alias("_strong"))
+    rows = rows.join(found, "cluster_id", "left")
+    return rows.withColumns({"first_pub": F.coalesce("first_pub", "_first"), "strong_sources": F.coalesce("strong_sources", "_strong")}).drop("_first", "_strong")
+
+
 def feed_parameter_problem(window_h: Column, limit: Column, view: Column, category: Column, views=tuple(VIEWS), categories=()) -> Column:
     """What is wrong with the parameters of a feed, null if nothing is; for columns what `river_clusters` raises for values."""
     return (
@@ -329,6 +348,18 @@ def cluster_centroids(members: DataFrame, articles: DataFrame) -> DataFrame:
     return counted.join(vectors, "cluster_id", "left")
 
 
+def refreshed_centroids(stored: DataFrame, members: DataFrame, articles: DataFrame, as_of: Column, days: int = rules.LOOKBACK_DAYS) -> DataFrame:
+    """Centroids of the clusters with a member of the last ``days`` that came after ``stored(cluster_id, updated_at)``, or that are not stored.
+
+    Dates alone decide which clusters are stale; the members of the others are not read for their vectors.
+    """
+    recent = articles.where(F.col("fetched_at") >= hours_before(as_of, 24 * days)).select("article_id", "fetched_at")
+    newest = members.join(recent, "article_id").groupBy("cluster_id").agg(F.max("fetched_at").alias("_newest"))
+    lagging = F.col("updated_at").isNull() | (F.col("updated_at") < F.col("_newest"))
+    stale = kept(newest.join(stored.select("cluster_id", "updated_at"), "cluster_id", "left").where(lagging).select("cluster_id"))
+    return cluster_centroids(members.join(stale, "cluster_id", "left_semi"), articles)
+
+
 def nearest_centroids(articles: DataFrame, centroids: DataFrame, k: int = 8, cells: int = 0, probe: int = 0) -> DataFrame:
     """``article_id, place, cluster_id, similarity``: the ``k`` nearest centroids of every embedded article.
 
@@ -524,23 +555,7 @@ def split_clusters(members: DataFrame, articles: DataFrame, least: int = 20, sim
 
 def weighted_terms(articles: DataFrame) -> DataFrame:
     """Inverted index ``article_id, term, field, weight, hits``: titles A, dek and names B, content C."""
-    fields = {"title": (F.concat_ws(" ", "title", "rewritten_title"), "A", 1.0), "dek": (F.concat_ws(" ", "dek", "publisher_name", "author"), "B", 0.4), "content": (F.col("content_text"), "C", 0.1)}
-    parts = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(w).alias("weight"), F.coalesce(c, F.lit("")).alias("text")) for c, k, w in fields.values()])
-    rows = articles.select("article_id", F.explode(parts).alias("f"))
-    words = rows.select("article_id", "f.field", "f.weight", F.explode(F.split(texts.folded(F.col("f.text")), r"[^\p{L}\p{N}]+")).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*rules.STOP_WORDS))
-    return words.groupBy("article_id", "term", "field", "weight").agg(F.count("*").alias("hits"))
-
-
-def keyword_search(index: DataFrame, query_terms: list[str], limit: int = 20) -> DataFrame:
-    """Articles that hold all terms, by the summed weights of the fields that hold them."""
-    hits = index.where(F.col("term").isin(*query_terms))
-    rows = hits.groupBy("article_id").agg(F.round(F.sum("weight"), 6).alias("rank"), F.count_distinct("term").alias("terms")).where(F.col("terms") == len(set(query_terms)))
-    return rows.select("article_id", "rank").orderBy(F.col("rank").desc(), "article_id").limit(limit)
-
-
-def semantic_search(articles: DataFrame, vector: Column, limit: int = 20, least: float = 0.3) -> DataFrame:
-    rows = articles.where("embedding is not null").select("article_id", scores.cosine(F.transform("embedding", lambda x: x.cast("double")), vector).alias("similarity"))
-    return rows.where(F.col("similarity") > least).orderBy(F.col("similarity").desc(), "article_id").limit(limit)
+    return postings(articles).select("article_id", "term", "field", "weight", "hits")
 
 
 def reciprocal_rank_fusion(keyword: DataFrame, semantic: DataFrame, limit: int = 20, k: int = 60) -> DataFrame:

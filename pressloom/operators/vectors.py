@@ -288,6 +288,17 @@ class VectorIndex:
             index.append(vectors, batch)
         return index
 
+    @staticmethod
+    def kept_up(vectors: DataFrame, path: str, there: bool) -> VectorIndex:
+        """The index at ``path``, made from ``vectors(id, v)`` or with those appended whose ids it lacks."""
+        index = VectorIndex(vectors.sparkSession, path)
+        if not there or not len(index.pivots()):
+            return VectorIndex.create(kept(vectors), path) if not there else index
+        fresh = kept(vectors.join(index.rows().select("id"), "id", "left_anti"))
+        if not fresh.isEmpty():
+            index.append(fresh, str(index.rows().select("batch").distinct().count()))
+        return index
+
     def pivots(self) -> np.ndarray:
         return np.array([r[0] for r in self.spark.read.parquet(f"{self.path}/pivots").orderBy("cell").select("v").collect()], float)
 

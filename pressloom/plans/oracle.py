@@ -19,7 +19,7 @@ WITH RECURSIVE now AS (SELECT TIMESTAMP '2024-01-31 00:00:00' AS t, TIMESTAMP '2
     CASE WHEN k % 6 = 0 THEN NULL WHEN k % 11 = 0 THEN '' ELSE 'Outlet ' || (k % 40) END AS publisher_name,
     CASE WHEN k % 2 = 0 THEN NULL WHEN k % 9 = 0 THEN '' ELSE 'https://www.outlet' || (k % 40) || '.example.com' END AS publisher_homepage,
     st AS content_status, CASE WHEN st = 'success' THEN n_chars // 6 END AS content_word_count, text AS content_text,
-    CASE WHEN st IS NOT NULL THEN make_timestamp((b + 3600) * 1000000) END AS content_fetched_at, CASE WHEN k % 11 <> 0 THEN lang END AS language_code,
+    CASE WHEN st IS NOT NULL THEN make_timestamp((b + 3600) * 1000000) END AS content_fetched_at, CASE WHEN st = 'success' AND k % 3 = 1 THEN 'https://img.example.com/' || k || '.jpg' END AS content_image, CASE WHEN k % 11 <> 0 THEN lang END AS language_code,
     CASE WHEN k % 3 = 0 THEN 'Re: ' || trim(substr(text, 1, 60)) END AS rewritten_title,
     CASE WHEN k % 10 < 3 THEN 'error' WHEN k % 10 < 5 THEN 'no_category' WHEN k % 10 < 6 THEN 'done' END AS categorise_status,
     CASE WHEN k % 10 < 6 THEN k % 5 END AS categorise_attempts, CASE WHEN k % 10 < 6 THEN make_timestamp((b + (k % 4) * 1800) * 1000000) END AS categorised_at, embedding

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import scores, texts, urls
+from pressloom.functions.stems import stem_oracle
 from pressloom.operators import stories as ops
 from pressloom.operators.storage import kept, new_path
+from pressloom.operators.textindex import TextIndex
 from pressloom.operators.vectors import VectorIndex, unit
 from pressloom.plans.registry import query
 from pressloom.sources.model import Model, as_of, hours_before
@@ -170,7 +172,7 @@ _RIVER = """, ranked AS (
   FROM member GROUP BY cluster_id
 )
 SELECT r.rank, cluster_id, size, round(served, 6) AS score, sources_count, lead_article_id, coalesce(rewritten_title, title) AS lead_title, rewritten_title IS NOT NULL AS lead_was_rewritten, a.canonical_url AS lead_url,
-  coalesce(publisher_name, s.name) AS lead_source, a.published_at, subs_total, subs, publishers, content_status AS lead_content_status, content_word_count AS lead_content_word_count
+  coalesce(publisher_name, s.name) AS lead_source, a.published_at, subs_total, subs, publishers, content_status AS lead_content_status, content_word_count AS lead_content_word_count, content_image AS lead_image
 FROM ranked r JOIN subs USING (cluster_id) JOIN articles a ON a.article_id = r.lead_article_id LEFT JOIN sources s USING (source_id) WHERE r.rank <= {limit}
 """
 
@@ -179,7 +181,7 @@ def _river(m, **kind):
     c = cluster_scores(m)
     out = ops.river_clusters(c, *base(m), as_of(), article_categories=m.article_categories(), categories=m.categories(), **kind)
     flat = F.array_join(F.transform("subs", lambda s: s["article_id"].cast("string")), ",")
-    return out.select("rank", "cluster_id", "size", "score", "sources_count", "lead_article_id", "lead_title", "lead_was_rewritten", "lead_url", "lead_source", "published_at", "subs_total", flat.alias("subs"), F.size(F.coalesce(F.map_keys("all_articles_by_source"), F.array().cast("array<string>"))).cast("long").alias("publishers"), "lead_content_status", "lead_content_word_count")
+    return out.select("rank", "cluster_id", "size", "score", "sources_count", "lead_article_id", "lead_title", "lead_was_rewritten", "lead_url", "lead_source", "published_at", "subs_total", flat.alias("subs"), F.size(F.coalesce(F.map_keys("all_articles_by_source"), F.array().cast("array<string>"))).cast("long").alias("publishers"), "lead_content_status", "lead_content_word_count", "lead_image")
 
 
 _GATE = "(strong_sources >= 2 OR lead_weight >= 8)"
@@ -335,10 +337,13 @@ def cluster_centroid(m):
     return centroids(m).select("cluster_id", "member_count", "last_member_at", F.get("centroid", F.lit(0)).alias("first"), F.get("centroid", F.lit(63)).alias("last"), F.when(F.col("centroid").isNotNull(), F.size("centroid")).cast("long").alias("n"))
 
 
-@query("stale_centroids", _CENTROIDS + "SELECT cluster_id FROM centroids, now WHERE last_member_at >= t - INTERVAL 120 HOUR AND (centroid IS NULL OR t - INTERVAL 100 HOUR < last_member_at)")
+@query("stale_centroids", _CENTROIDS + "SELECT cluster_id, member_count, round(centroid[1], 6) AS first FROM centroids, now WHERE last_member_at >= t - INTERVAL 120 HOUR AND (cluster_id % 5 = 0 OR t - to_hours((90 + cluster_id % 3 * 10)::INT) < last_member_at)")
 def stale_centroids(m):
-    stored = hours_before(as_of(), 100)
-    return centroids(m).where((F.col("last_member_at") >= hours_before(as_of(), 120)) & (F.col("centroid").isNull() | (stored < F.col("last_member_at")))).select("cluster_id")
+    """Centroids were stored at different times, a fifth never; those that lag behind are made anew."""
+    k = F.col("cluster_id")
+    stored = m.article_clusters().select("cluster_id").distinct().where(k % 5 != 0)
+    stored = stored.select("cluster_id", F.timestamp_micros(F.unix_micros(as_of()) - (90 + k % 3 * 10) * 3_600_000_000).alias("updated_at"))
+    return ops.refreshed_centroids(stored, m.article_clusters(), m.articles(), as_of()).select("cluster_id", "member_count", F.get("centroid", F.lit(0)).alias("first"))
 
 
 _COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
@@ -359,10 +364,9 @@ _KNN = _CENTROIDS + f""", near AS (
 
 @query("nearest_centroid_knn", _KNN + "SELECT article_id, place, cluster_id, round(similarity, 6) AS similarity FROM top")
 def nearest_centroid_knn(m):
-    """Centroids are stored as an index, a third of them in a second batch, and the articles searched in it."""
-    known = kept(centroids(m).where("centroid is not null").select(F.col("cluster_id").alias("id"), unit(F.col("centroid")).alias("v")))
-    index = VectorIndex.create(known.where("id % 3 <> 0"), new_path(m.spark, "centroid-index"))
-    index.append(known.where("id % 3 = 0"), "1")
+    """Centroids are stored as an index; new ones are appended, and the articles searched in it."""
+    known = centroids(m).where("centroid is not null").select(F.col("cluster_id").alias("id"), unit(F.col("centroid")).alias("v"))
+    index = VectorIndex.kept_up(known, *stored(m, "centroid-index"))
     asked = m.articles().where("embedding is not null").select(F.col("article_id").alias("id"), unit(F.col("embedding")).alias("v"))
     return index.nearest(asked, 8).select(F.col("id").alias("article_id"), F.col("place").cast("long").alias("place"), F.col("member").alias("cluster_id"), "similarity")
 
@@ -470,11 +474,28 @@ def river_snapshot(m):
 
 
 _TERMS = r""", fields AS (
-  SELECT article_id, 'A' AS field, 1.0::DOUBLE AS weight, concat_ws(' ', title, rewritten_title) AS x FROM articles UNION ALL SELECT article_id, 'B', 0.4, concat_ws(' ', dek, publisher_name, author) FROM articles UNION ALL SELECT article_id, 'C', 0.1, coalesce(content_text, '') FROM articles
+  SELECT article_id, 1 AS k, 'A' AS field, 1.0::DOUBLE AS weight, concat_ws(' ', title, rewritten_title) AS x FROM articles UNION ALL SELECT article_id, 2, 'B', 0.4, concat_ws(' ', dek, publisher_name, author) FROM articles UNION ALL SELECT article_id, 3, 'C', 0.1, coalesce(content_text, '') FROM articles
+), cut AS (
+  SELECT *, list_filter(regexp_split_to_array(translate(lower(x), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM fields
+), placed AS (
+  SELECT article_id, field, weight, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) + before AS pos FROM (SELECT *, coalesce(sum(len(ws)) OVER (PARTITION BY article_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM cut)
+), known AS (
+  SELECT * FROM placed WHERE length(term) >= 2 AND term NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'to', 'of', 'in', 'on', 'for', 'with', 'by', 'from', 'at', 'is', 'are', 'was', 'were', 'be', 'as')
 ), terms AS (
-  SELECT article_id, term, field, weight, count(*) AS hits FROM (SELECT article_id, field, weight, unnest(regexp_split_to_array(translate(lower(x), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+')) AS term FROM fields)
-  WHERE length(term) >= 2 AND term NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'to', 'of', 'in', 'on', 'for', 'with', 'by', 'from', 'at', 'is', 'are', 'was', 'were', 'be', 'as') GROUP BY ALL
-), kw AS (SELECT article_id, round(sum(weight), 6) AS rank FROM terms WHERE term IN ('that', 'this') GROUP BY 1 HAVING count(DISTINCT term) = 2), kwtop AS (SELECT article_id, rank, row_number() OVER (ORDER BY rank DESC, article_id) - 1 AS r FROM kw QUALIFY r < 40)
+  SELECT article_id, term, field, weight, count(*) AS hits FROM known GROUP BY ALL
+), stems AS (
+  """ + stem_oracle("(SELECT DISTINCT term FROM known)", "term") + r"""
+), hit AS (
+  SELECT article_id, stem, pos, sum(1 / weight) OVER o AS heavy, count(*) OVER o AS n, 1 / weight AS own FROM known JOIN stems USING (term) WHERE stem IN ('that', 'thi') WINDOW o AS (PARTITION BY article_id ORDER BY pos)
+), lasts AS (
+  SELECT *, max(pos) FILTER (WHERE stem = 'that') OVER o AS a, max(pos) FILTER (WHERE stem = 'thi') OVER o AS b FROM hit WINDOW o AS (PARTITION BY article_id ORDER BY pos)
+), ends AS (
+  SELECT article_id, least(a, b) AS p, min(pos) AS q FROM lasts WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL
+), covers AS (
+  SELECT e.article_id, e.q - e.p AS span, q.n - p.n + 1 AS n, q.heavy - p.heavy + p.own AS heavy FROM ends e JOIN hit p ON p.article_id = e.article_id AND p.pos = e.p JOIN hit q ON q.article_id = e.article_id AND q.pos = e.q
+), kw AS (
+  SELECT article_id, round(sum(n / heavy / (1 + span - (n - 1))), 9) AS rank FROM covers GROUP BY 1
+), kwtop AS (SELECT article_id, rank, row_number() OVER (ORDER BY rank DESC, article_id) - 1 AS r FROM kw QUALIFY r < 40)
 , sem AS (SELECT article_id, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS similarity FROM articles, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7) WHERE embedding IS NOT NULL)
 , semtop AS (SELECT article_id, similarity, row_number() OVER (ORDER BY similarity DESC, article_id) - 1 AS r FROM sem WHERE similarity > 0.1 QUALIFY r < 40)
 """
@@ -487,18 +508,34 @@ def weighted_terms(m):
 
 @query("build_text_index", _TERMS + "SELECT article_id, term, field, hits FROM terms WHERE article_id NOT IN (SELECT article_id FROM articles WHERE rewritten_title IS NOT NULL)")
 def build_text_index(m):
-    missing = m.articles().join(m.articles().where("rewritten_title is not null").select("article_id"), "article_id", "left_anti")
-    return ops.weighted_terms(missing).drop("weight")
+    """Articles with a rewritten title are indexed first; the update over all adds the rows of the others, which are the second batch."""
+    index = TextIndex(m.spark, new_path(m.spark, "text-index"))
+    index.update(m.articles().where("rewritten_title is not null"), 0)
+    index.update(m.articles(), 1)
+    return index.rows().where("batch = 1").select("article_id", "term", "field", "hits")
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(m: Model, name: str) -> tuple[str, bool]:
+    """Where the session keeps an index over the tables, and whether it is there already."""
+    key = (m.spark.sparkContext.applicationId, m.sf_dir, name)
+    there = key in _STORED
+    return _STORED.setdefault(key, new_path(m.spark, name)), there
 
 
 def keyword(m):
-    return ops.keyword_search(ops.weighted_terms(m.articles()), ["that", "this"], 40)
+    """The session's index is brought up to date with articles that it lacks, then searched."""
+    index = TextIndex(m.spark, stored(m, "text-index")[0])
+    index.update(m.articles(), index.next_batch())
+    return index.search("that this", 40)
 
 
 def semantic(m):
-    """The articles' vectors are stored as an index, whose cells the search prunes."""
+    """The articles' vectors are stored as an index, whose cells the search prunes; new ones are appended."""
     vectors = m.articles().where("embedding is not null").select(F.col("article_id").alias("id"), unit(F.col("embedding")).alias("v"))
-    index = VectorIndex.create(kept(vectors), new_path(m.spark, "article-index"))
+    index = VectorIndex.kept_up(vectors, *stored(m, "article-index"))
     asked = m.raw("embeddings").where("vec_id = 7").select(unit(F.col("embedding"))).first()[0]
     return index.search(asked, 40, least=0.1).withColumnRenamed("id", "article_id")
 

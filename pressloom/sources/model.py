@@ -103,6 +103,7 @@ class Model:
             F.when(status == "success", F.col("n_chars").cast("int") / 6).cast("int").alias("content_word_count"),
             text.alias("content_text"),
             F.when(status.isNotNull(), F.timestamp_seconds(base + 3600)).alias("content_fetched_at"),
+            F.when((status == "success") & (k % 3 == 1), F.concat(F.lit("https://img.example.com/"), number, F.lit(".jpg"))).alias("content_image"),
             F.when(k % 11 != 0, F.col("lang")).alias("language_code"),
             F.when(k % 3 == 0, F.concat(F.lit("Re: "), title)).alias("rewritten_title"),
             F.when(k % 10 < 6, F.when(k % 10 < 3, "error").when(k % 10 < 5, "no_category").otherwise("done")).alias("categorise_status"),
