@@ -21,19 +21,33 @@ def keyed(key: str, step: Column, value: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(whole, 1, digits), 16, 10).cast("long")
 
 
-def hmac_sha256(key: bytes, message: Column) -> Column:
-    """HMAC-SHA256 of a string as lower-case hexadecimal digits."""
+def hmac_pads(key: bytes) -> tuple[bytes, bytes]:
+    """Both pads of HMAC-SHA256 under ``key``: who has one has the key."""
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
-    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
 
 
-def secret_rounds(key: bytes, purpose: str, digits: int = 8) -> Callable[[Column, Column], Column]:
-    """A round function that only who has ``key`` can work out: ``digits`` hexadecimal digits of a keyed digest."""
+def with_secret(rows: DataFrame, key: bytes, name: str) -> DataFrame:
+    """``rows`` with the pads of ``key`` as a struct column.
+
+    They come as one row of data that is broadcast, never as literals, so query
+    plans, the user interface and event logs show the column's name only.
+    """
+    secret = rows.sparkSession.createDataFrame([hmac_pads(key)], "inner binary, outer binary")
+    return rows.join(F.broadcast(secret.select(F.struct("inner", "outer").alias(name))))
+
+
+def hmac_sha256(pads: Column, message: Column) -> Column:
+    """HMAC-SHA256 of a string, from the pads of `with_secret`, as lower-case hexadecimal digits."""
+    return F.sha2(F.concat(pads["outer"], F.unhex(F.sha2(F.concat(pads["inner"], message.cast("binary")), 256))), 256)
+
+
+def secret_rounds(pads: Column, purpose: str, digits: int = 8) -> Callable[[Column, Column], Column]:
+    """A round function that only who has the key can work out: ``digits`` hexadecimal digits of a keyed digest."""
 
     def draw(step: Column, value: Column) -> Column:
         message = F.concat(F.lit(f"{purpose}:"), step.cast("string"), F.lit(":"), value.cast("string"))
-        return F.conv(F.substring(hmac_sha256(key, message), 1, digits), 16, 10).cast("long")
+        return F.conv(F.substring(hmac_sha256(pads, message), 1, digits), 16, 10).cast("long")
 
     return draw
 

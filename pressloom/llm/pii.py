@@ -9,7 +9,7 @@ keyed digests (HMAC-SHA256). Cards are looked for in what the other kinds leave,
 others and the longest first, at every border of a run of digits that spaces and hyphens divide, so that other
 numbers beside a card do not hide it. Dates are year-month-day with hyphens,
 slashes or dots, day.month.year, and month/day/year, or day/month/year where the
-first number is above 12. The permutations are Feistel networks, so equal values become equal
+first number is above 12; the date of a timestamp such as 2024-02-29T10:00 is one. The permutations are Feistel networks, so equal values become equal
 pseudonyms in all documents, unequal ones stay apart, and nothing else changes.
 
 Only DataFrame functions are used; texts without a match pass untouched.
@@ -17,10 +17,12 @@ Only DataFrame functions are used; texts without a match pass untouched.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.llm.permutation import let, permuted, permuted_among, secret_rounds
+from pressloom.llm.permutation import let, permuted, permuted_among, secret_rounds, with_secret
 
 _EDGE, _END = r"(?<![0-9A-Za-z_+-])(?<![0-9]\.)", r"(?![0-9A-Za-z_]|[.-][0-9])"
 PHONE = r"\+?1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2}[ -][0-9]{4}"
@@ -35,7 +37,8 @@ DATES = {
     "dd/MM/yyyy": r"(?:1[3-9]|[2-9][0-9])/[0-9]{2}/[0-9]{4}",
 }
 DATE = "|".join(DATES.values())
-FOUND = f"{_EDGE}(?:{DATE}|{SOCIAL}|{ADDRESS}|{PHONE}){_END}"
+#: A date may end before the time of a timestamp.
+FOUND = f"{_EDGE}(?:(?:{DATE})(?:{_END}|(?=T[0-9]{{2}}|Z(?![0-9A-Za-z_])))|(?:{SOCIAL}|{ADDRESS}|{PHONE}){_END})"
 
 
 def _written(n: int) -> str:
@@ -66,7 +69,7 @@ def _refilled(pattern: Column, digits: Column) -> Column:
     return let(digits, lambda new: F.array_join(F.transform(F.sequence(F.lit(1), F.length(pattern)), lambda i: place(new, i)), ""))
 
 
-def permuted_digits(digits: Column, key: bytes, purpose: str) -> Column:
+def permuted_digits(digits: Column, key: Column, purpose: str) -> Column:
     """A keyed permutation of the digit strings of each length from 2 to 30, leading zeros kept."""
     n = F.length(digits)
     left = F.floor(n / 2)
@@ -96,13 +99,13 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
-def _card(value: Column, key: bytes) -> Column:
+def _card(value: Column, key: Column) -> Column:
     digits = _digits(value)
     body = let(F.substring(digits, F.lit(1), F.length(digits) - 1), lambda x: permuted_digits(x, key, "card"))
     return _refilled(value, let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(x, 1), F.lit(10)).cast("string"))))
 
 
-def _phone(value: Column, key: bytes) -> Column:
+def _phone(value: Column, key: Column) -> Column:
     """Valid numbers, whose area and exchange codes begin with 2 to 9, stay valid; the others of this format stay others."""
     digits = _digits(value)
     local = F.substring(digits, F.length(digits) - 9, F.lit(10)).cast("long")
@@ -111,7 +114,7 @@ def _phone(value: Column, key: bytes) -> Column:
     return _refilled(value, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), F.lpad(number.cast("string"), 10, "0")))
 
 
-def _address(value: Column, key: bytes) -> Column:
+def _address(value: Column, key: Column) -> Column:
     """The same address becomes the same; parts written with leading zeros keep their width."""
     parts = F.split(value, r"\.")
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda total, part: total * 256 + part.cast("long"))
@@ -127,7 +130,7 @@ def _day(value: Column, form: str) -> Column:
     return F.datediff(F.try_to_date(value, form), F.lit(FIRST_DAY).cast("date")).cast("long")
 
 
-def _date(value: Column, key: bytes) -> Column:
+def _date(value: Column, key: Column) -> Column:
     """The same day becomes the same day in all formats but day/month/year, whose days stay above 12."""
     written = lambda number: F.date_add(F.lit(FIRST_DAY).cast("date"), number.cast("int"))
     late = lambda number: (number < DAYS) & (F.dayofmonth(written(number)) > 12)
@@ -154,7 +157,7 @@ def _kind(value: Column) -> Column:
     )
 
 
-def _social(value: Column, key: bytes) -> Column:
+def _social(value: Column, key: Column) -> Column:
     """Area 1-899 without 666, group 1-99 and serial 1-9999 stay in their ranges."""
     area, group, serial = (F.substring(value, a, b).cast("long") for a, b in ((1, 3), (5, 2), (8, 4)))
     area = F.when(area > 666, area - 2).otherwise(area - 1)
@@ -168,7 +171,7 @@ def _social(value: Column, key: bytes) -> Column:
     return let(permuted((area * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, secret_rounds(key, "social")), written)
 
 
-def _pseudonym(value: Column, kind: Column, key: bytes) -> Column:
+def _pseudonym(value: Column, kind: Column, key: Column) -> Column:
     makers = {"card": _card, "phone": _phone, "address": _address, "date": _date, "social": _social}
     out = F.when(kind.isNull(), value)
     for name, make in makers.items():
@@ -202,10 +205,12 @@ def pseudonymise(documents: DataFrame, key: bytes, text_col: str = "text") -> Da
 
     Null and empty texts stay as they are, with zeros; repeated rows are
     rewritten alike. Rows are independent, so there is no shuffle; texts of any
-    length are handled whole. Existing columns of the two names are replaced.
+    length are handled whole. The key is in no query plan. Existing columns of the two names are replaced.
     """
     if not key:
         raise ValueError("a secret key is needed")
+    pads = f"_pads_{uuid.uuid4().hex}"
+    documents = with_secret(documents, key, pads)
     text = F.col(text_col)
     hit = F.coalesce(text.rlike("[0-9]") & (text.rlike(FOUND) | text.rlike(CARD)), F.lit(False))
     match = lambda m: F.array(F.struct(m.alias("value"), _kind(m).alias("kind")))
@@ -213,10 +218,11 @@ def pseudonymise(documents: DataFrame, key: bytes, text_col: str = "text") -> Da
     parts = F.zip_with(F.split(text, FOUND, -1), F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda p, m: F.concat(between(p), F.when(m.isNotNull(), match(m)).otherwise(F.array().cast("array<struct<value:string,kind:string>>"))))
 
     def rewritten(pieces: Column) -> Column:
-        whole = F.array_join(F.transform(pieces, lambda m: _pseudonym(m["value"], m["kind"], key)), "")
+        whole = F.array_join(F.transform(pieces, lambda m: _pseudonym(m["value"], m["kind"], F.col(pads))), "")
         count = lambda f: F.size(F.filter(pieces, f))
         return F.struct(whole.alias("text"), count(lambda m: m["kind"].isNotNull() & (m["kind"] != "date")).alias("numbers"), count(lambda m: m["kind"] == "date").alias("dates"))
 
     kept = F.struct(text.alias("text"), F.lit(0).alias("numbers"), F.lit(0).alias("dates"))
-    done = documents.withColumn("_done", F.when(hit, let(F.flatten(parts), rewritten)).otherwise(kept))
-    return done.withColumns({text_col: F.col("_done.text"), "n_numbers": F.col("_done.numbers"), "n_dates": F.col("_done.dates")}).drop("_done")
+    result = f"_done_{uuid.uuid4().hex}"
+    done = documents.withColumn(result, F.when(hit, let(F.flatten(parts), rewritten)).otherwise(kept))
+    return done.withColumns({text_col: F.col(result)["text"], "n_numbers": F.col(result)["numbers"], "n_dates": F.col(result)["dates"]}).drop(result, pads)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +79,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_pii")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Under the key in the session's ``spark.pseudonyms.key``; without one under a key that is public, for trials only."""
-    key = spark.conf.get("spark.pseudonyms.key", "a public key for trials")
+    """Under the key in the session's ``spark.pseudonyms.key``; without one, and with a warning, under a key that is public, for trials only."""
+    key = spark.conf.get("spark.pseudonyms.key", None)
+    if not key:
+        warnings.warn("spark.pseudonyms.key is not set: pseudonyms under a public key can be undone by anyone", stacklevel=2)
+        key = "a public key for trials"
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key.encode())
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pressloom.llm.permutation import hmac_pads, with_secret
 from pressloom.llm import decontamination, fingerprints, pii, token_counts, toxicity, url_filters, warc
 from pressloom.llm.storage import new_folder
 from pressloom.llm.words import hash_words, text_buffers
@@ -395,10 +396,33 @@ def test_rewriting_against_brute_force(spark):
     assert not {r.text for r in other} & {r.text for r in got}
 
 
+def test_timestamps_hold_dates(spark):
+    """The date of a timestamp becomes what the date alone becomes; the time and other letters behind a date change nothing."""
+    texts = ["2024-02-29T10:00:00Z", "at 2024-02-29T10, 2024/02/29T23:59", "29.02.2024Z", "2024-02-29Tuesday 2024-02-29T1 2024-02-29Zulu x2024-02-29T10:00 2024-02-30T10:00", "1999-12-31T10:00 +2024-02-29T10:00"]
+    rows = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, _done string")
+    got = [r.text for r in pii.pseudonymise(rows, KEY).orderBy("doc_id").collect()]
+    new, old = rewritten("2024-02-29"), rewritten("1999-12-31")
+    year, month, day = new.split("-")
+    assert got == [f"{new}T10:00:00Z", f"at {new}T10, {year}/{month}/{day}T23:59", f"{day}.{month}.{year}Z", texts[3], f"{old}T10:00 +2024-02-29T10:00"]
+
+
+def test_no_plan_holds_the_key(spark):
+    key = b"0123456789 a key of printable characters"
+    frame = spark.createDataFrame([(1, "on 2024-02-29 by 4111111111111111")], "doc_id long, text string")
+    done = pii.pseudonymise(frame, key)
+    done.collect()
+    plans = done._jdf.queryExecution().toString() + done._jdf.queryExecution().optimizedPlan().toJSON()
+    held = plans.lower().encode()
+    assert b"_pads_" in held
+    for secret in (key, *hmac_pads(key)):
+        assert secret.lower() not in held and secret.hex().encode() not in held and secret[:16].hex().encode() not in held
+        assert b", ".join(str(b if b < 128 else b - 256).encode() for b in secret[:8]) not in held
+
+
 @pytest.mark.parametrize("digits", [2, 3, 4])
 def test_digit_permutations_are_one_to_one(spark, digits):
     frame = spark.range(10**digits).select(F.lpad(F.col("id").cast("string"), digits, "0").alias("d"))
-    got = [r[0] for r in frame.select(pii.permuted_digits(F.col("d"), KEY, "d")).collect()]
+    got = [r[0] for r in with_secret(frame, KEY, "key").select(pii.permuted_digits(F.col("d"), F.col("key"), "d")).collect()]
     assert sorted(got) == [str(i).zfill(digits) for i in range(10**digits)]
 
 
