@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressloom.functions import rules
 
-# Letters with accents and the plain ones they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case Latin letters whose compatibility decomposition is one plain letter and marks.
+_FOLDS = {chr(c): base for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if chr(c) == chr(c).lower() and "a" <= (base := unicodedata.normalize("NFKD", chr(c))[0]) <= "z" and all(map(unicodedata.combining, unicodedata.normalize("NFKD", chr(c))[1:]))}
+ACCENTED, PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
 # Wordings that results depend on.
 SUMMARY_LEADS = (
     r"(?i)^(?:Nature|Nature Climate),?\s*Published online:\s*\d{1,2}\s+\w+\s+\d{4};\s*doi:\S+\s*",

@@ -201,3 +201,27 @@ def test_feed_limits(spark):
         stories.river_clusters(None, None, None, None, None, window_h=0)
     with pytest.raises(ValueError):
         stories.river_clusters(None, None, None, None, None, limit=101)
+
+
+def test_accents_of_all_latin_letters_fold(spark):
+    frame = spark.createDataFrame([("Škoda őŭ ăḿ ﬁ ł Ǹé",)], "t string")
+    assert frame.select(texts.folded(F.col("t"))).first()[0] == "skoda ou am ﬁ ł ne"
+    assert frame.select(texts.slug(F.col("t"))).first()[0] == "skoda-ou-am-ne"
+
+
+def test_a_hot_title_makes_no_pairs(spark):
+    now = dt.datetime(2024, 1, 31)
+    articles = spark.range(3000).selectExpr("id AS article_id", "concat('https://x/', id) AS canonical_url", "'Hot Title' AS title").withColumn("fetched_at", F.lit(now))
+    candidates = spark.range(3000).selectExpr("id AS candidate_id", "'hot title' AS title", "concat('https://x/', 2 * id) AS url")
+    found = curation.recent_duplicates(candidates, articles, F.lit(now))
+    assert {(r.candidate_id, r.article_id) for r in found.collect()} == {(i, 0) for i in range(3000)}
+    assert curation.recent_duplicates(candidates.limit(0), articles, F.lit(now)).count() == 0
+
+
+def test_rules_need_no_join(spark):
+    articles = spark.createDataFrame([(1, "A storm and a flood"), (2, "calm"), (3, None)], "article_id long, text string")
+    words = spark.createDataFrame([("weather", "keyword", "storm", r"(?i)\bstorm\b"), ("weather", "pattern", "flood", "flood"), ("calm", "keyword", "calm", "^calm$")], "slug string, kind string, rule string, pattern string")
+    out = curation.rule_categorise(articles, words)
+    assert {(r.article_id, r.slug, round(r.confidence, 6), tuple(r.reasons)) for r in out.collect()} == {(1, "weather", 0.7, ("keyword: storm", "pattern: flood")), (2, "calm", 0.3, ("keyword: calm",))}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert curation.rule_categorise(articles, words.limit(0)).count() == 0
