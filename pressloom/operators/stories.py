@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressloom.functions import rules, scores, texts, urls
+from pressloom.functions import rules, scores, urls
 from pressloom.operators.storage import kept
 from pressloom.operators.textindex import postings
 from pressloom.operators.vectors import Cells, cell_facts, fit_pivots, nearest, similar_pairs, unit, with_cells

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.functions import scores, texts, urls
+from pressloom.functions import scores, texts
 from pressloom.functions.stems import stem_oracle
 from pressloom.operators import stories as ops
 from pressloom.operators.storage import kept, new_path

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pressloom.functions import rules, scores, texts, urls
 from pressloom.operators import curation, stories, telemetry
 from pressloom.plans import catalogue
-from pressloom.streaming import jobs
 
 
 def one(spark, column):
