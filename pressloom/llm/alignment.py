@@ -21,12 +21,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.perfect_hash import BUCKET_BITS, PerfectHash, bucket_hash, build
-from pressloom.llm.pieces import SPLIT_BYTES, WordEncoder, byte_level
+from pressloom.llm.pieces import BYTE_LEVEL_CUTS, SPLIT_BYTES, WordEncoder, byte_level
 from pressloom.llm.storage import new_folder
 from pressloom.llm.words import row_slices, text_buffers
 
@@ -35,11 +36,26 @@ MOST_SHARED = 4_000_000
 #: Keys of a bucket on average, slots of a vector's piece, vectors that are added at a time, vectors for each core.
 BUCKET_KEYS, PIECE, FAN_IN, VECTORS = 32_768, 65_536, 8, 4
 #: Tokens that are aligned at a time, distinct pairs that a task holds, and words that an encoder remembers.
-SLICE_TOKENS, HELD_PAIRS, KNOWN_WORDS = 1 << 20, 2_000_000, 250_000
+SLICE_TOKENS, HELD_PAIRS, KNOWN_WORDS = 1 << 20, 2_000_000, 150_000
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _pairs: dict[bytes, TokenizerPair] = {}
 
 
+class TokenBytes:
+    """The bytes that ids stand for."""
+
+    def __init__(self, table: list[bytes]) -> None:
+        self.flat, self.lengths = np.frombuffer(b"".join(table), np.uint8), np.fromiter(map(len, table), np.int64, len(table))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and how many each has."""
+        lengths = self.lengths[ids]
+        at = np.repeat((self.starts[ids] - np.cumsum(lengths) + lengths).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], lengths
+
+
 class TokenizerPair:
     """Byte-level tokenizer A and piece tokenizer B, and the bytes that their ids stand for."""
 
@@ -59,10 +75,14 @@ class TokenizerPair:
         for i in range(pieces.vocab_size()):
             piece = pieces.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if pieces.is_byte(i) else piece.replace("▁", " ").encode())
-        self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        self.bytes_a, self.bytes_b = TokenBytes(self.bytes_a), TokenBytes(self.bytes_b)
+        self.length_a, self.length_b = self.bytes_a.lengths, self.bytes_b.lengths
         self.encode_a = byte_level(definition, special=False, leading=True, most=KNOWN_WORDS)
-        self.encode_b = WordEncoder(lambda texts: pieces.encode(texts, num_threads=1), adds_space=True, leading=True, most=KNOWN_WORDS)
-        self.sizes = len(self.bytes_a), len(self.bytes_b)
+        # words are cut before punctuation where no piece reaches over such a place
+        normal = pa.array([pieces.id_to_piece(i) for i in range(pieces.vocab_size()) if not (pieces.is_byte(i) or pieces.is_control(i) or pieces.is_unknown(i))])
+        cuts = [c for c in BYTE_LEVEL_CUTS if not pc.any(pc.match_substring_regex(normal, c)).as_py() and len(pieces.encode("a")) == 1]
+        self.encode_b = WordEncoder(lambda texts: pieces.encode(texts, num_threads=1), adds_space=True, leading=True, cuts=cuts, most=KNOWN_WORDS)
+        self.sizes = len(self.length_a), len(self.length_b)
         names = [b"%c%d" % (mark, i) for mark, n in ((59, self.sizes[0]), (44, self.sizes[0]), (124, self.sizes[1]), (44, self.sizes[1])) for i in range(n)]
         self.names = np.array(names, object)
 
@@ -87,18 +107,17 @@ def _encode(definition, model):
         pair = _pair(definition, model)
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for low, high in row_slices(offsets, SPLIT_BYTES):
+            for low, high in row_slices(offsets, SPLIT_BYTES // 4):
                 texts = batch.column(1).slice(low, high - low)
                 (a, n_a), (b, n_b) = pair.encode_a(texts), pair.encode_b(texts)
                 raw = [b" " + (t or b"") for t in texts.cast(pa.binary()).to_pylist()]
                 whole = b"".join(raw)
                 keep = np.fromiter((len(x) > 1 for x in raw), bool, len(raw))
-                for ids, counts, table, lengths in ((a, n_a, pair.bytes_a, pair.length_a), (b, n_b, pair.bytes_b, pair.length_b)):
-                    tokens = list(map(table.__getitem__, ids.tolist()))
-                    sums = np.diff(np.append(0, np.cumsum(lengths[ids]))[np.append(0, np.cumsum(counts))])
-                    if b"".join(tokens) != whole or (sums != [len(x) for x in raw]).any():
-                        ends = np.cumsum(counts)
-                        keep &= [b"".join(tokens[e - n : e]) == x for e, n, x in zip(ends, counts, raw, strict=True)]
+                for ids, counts, table in ((a, n_a, pair.bytes_a), (b, n_b, pair.bytes_b)):
+                    given, sizes = table.of(ids)
+                    at = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+                    if given.tobytes() != whole or (np.diff(at) != [len(x) for x in raw]).any():
+                        keep &= [given[i:j].tobytes() == x for i, j, x in zip(at[:-1], at[1:], raw, strict=True)]
                 a, b = packed(*_without(a, n_a, keep)), packed(*_without(b, n_b, keep))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), a, b], names=["doc_id", "a", "b"])
 

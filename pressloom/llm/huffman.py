@@ -7,9 +7,9 @@ import struct
 import numpy as np
 
 #: Longest code; decoding looks so many bits up in one table.
-LONGEST = 20
+LONGEST = 18
 #: Ids of a block, and blocks that are decoded side by side.
-BLOCK, SIDE_BY_SIDE = 512, 4096
+BLOCK, SIDE_BY_SIDE = 256, 4096
 _HEAD = struct.Struct("<4sIQ")
 _MAGIC = b"HUF1"
 
@@ -67,15 +67,15 @@ class Codebook:
         if not len(ids):
             return head
         n_bits = int(at[-1] + lengths[-1])
-        words = np.zeros(n_bits // 64 + 2, np.uint64)
-        word, codes = at >> 6, self.code_of[ids]
-        left = 64 - (at & 63) - lengths  # free bits behind the code in its word, or below 0 what goes to the next
-        inside = np.where(left >= 0, codes << np.maximum(left, 0).astype(np.uint64), codes >> np.maximum(-left, 0).astype(np.uint64))
+        # a code that begins in a word of 32 bits ends in the next one at the latest
+        word = at >> 5
+        placed = self.code_of[ids] << (64 - (at & 31) - lengths).astype(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.bitwise_or.reduceat(inside, first)
-        over = np.flatnonzero(left < 0)
-        words[word[over] + 1] |= codes[over] << (64 + left[over]).astype(np.uint64)
-        return head + words.astype(">u8").tobytes()[: -(-n_bits // 8)]
+        both, word = np.bitwise_or.reduceat(placed, first), word[first]
+        words = np.zeros(n_bits // 32 + 2, np.uint32)
+        words[word] = both >> np.uint64(32)
+        words[word + 1] |= both.astype(np.uint32)
+        return head + words.astype(">u4").tobytes()[: -(-n_bits // 8)]
 
     def decode(self, coded: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
         """The ids of blocks ``first`` to ``last`` (not included), all by default; no other block is read."""

@@ -5,9 +5,8 @@ the text: no token and no rule of the vocabularies used here reaches over such a
 place. This holds for byte-level vocabularies with the usual pre-tokenizer,
 which starts a token at a space before a character that is no white space, and
 for piece vocabularies whose pieces hold the space mark at their begin only.
-Words come again and again, so most are known; of the others, the parts before
-and after punctuation mostly are, where a vocabulary allows to cut there. The
-library encodes what is left.
+Byte-level words are cut before punctuation as well. Words come again and again,
+so most are known, and the library encodes the others.
 """
 
 from __future__ import annotations
@@ -21,19 +20,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: A mark between words; texts that hold it are cut like awkward ones.
+MARK = "\uffff"
 _SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space before white space or at the end; texts without one may be cut at every space, others only where `CUT` finds a place.
-AWKWARD, CUT = rf" {_SPACES}| \z", re.compile(r"(?<=\S)(?= \S)")
-#: Where a byte-level pre-tokenizer parts a word: after letters or digits before ASCII punctuation, and before line ends.
-BYTE_LEVEL_CUT = re.compile(r"(?<=[^\W_])(?=[!-/:-@\[-`{-~])|(?<=\S)(?=[\t\n\r])")
-#: Bytes of texts that are split at a time; a table is emptied when it holds more words or ids.
-SPLIT_BYTES, MOST_WORDS, MOST_IDS = 4 << 20, 500_000, 6_000_000
+AWKWARD, CUT = rf" {_SPACES}| \z|{MARK}", re.compile(r"(?<=\S)(?= \S)")
+#: Where a byte-level pre-tokenizer parts a word: after Latin letters or digits before ASCII punctuation, and after both before line ends.
+BYTE_LEVEL_CUTS = (r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/:-@\[-^`{-~])", r"([!-~\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([\t\n\r])")
+#: Bytes of texts that are split at a time; a table is full when it holds more words or ids.
+SPLIT_BYTES, MOST_WORDS, MOST_IDS = 8 << 20, 450_000, 6_000_000
 
 
 class _Table:
-    """Ids of known strings, in one array."""
+    """Ids of known strings, in one array. When it is full, a new one begins that takes over from the old one what comes again."""
 
-    def __init__(self) -> None:
+    def __init__(self, old: _Table | None = None) -> None:
+        self.old = old
         self.place: dict = {}
         self.n_ids, self.flat = 0, np.zeros(1 << 16, np.uint32)
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -50,14 +52,20 @@ class _Table:
         self.n_ids = end
 
     def places(self, keys: list, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
-        """Where the ids of each key are; ``learn`` gives those of unknown keys. Former places may end."""
+        """Where the ids of each key are; ``learn`` gives those of unknown keys. Places hold until the next call."""
         if len(self.place) > most or self.n_ids > MOST_IDS:
-            self.__init__()
+            old = _Table()
+            old.place, old.n_ids, old.flat, old.starts, old.lengths = self.place, self.n_ids, self.flat, self.starts, self.lengths
+            self.__init__(old)
         index = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
         unknown = np.flatnonzero(index < 0)
         if len(unknown):
             own = list(map(keys.__getitem__, unknown.tolist()))
             fresh = list(dict.fromkeys(own))
+            if self.old is not None:
+                before = np.fromiter(map(self.old.place.get, fresh, repeat(-1)), np.int64, len(fresh))
+                self.add([fresh[k] for k in np.flatnonzero(before >= 0).tolist()], *self.old.ids(before[before >= 0]))
+                fresh = [fresh[k] for k in np.flatnonzero(before < 0).tolist()]
             self.add(fresh, *learn(fresh))
             index[unknown] = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
         return index
@@ -66,58 +74,44 @@ class _Table:
         """The ids at some places in a row, and how many each has."""
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[index] - ends + lengths, lengths)
-        at += np.arange(len(at))
+        at = np.repeat((self.starts[index] - ends + lengths).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)
         return self.flat[at], lengths
 
 
-def _sums(values: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
-    """Sums of consecutive runs of ``sizes`` >= 1."""
-    return np.add.reduceat(values, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.int64)
-
-
 class WordEncoder:
     """Ids of whole texts.
 
     ``encode`` is the library's function from texts to lists of ids. It gets
-    words as they stand, with their space, or without it if ``adds_space``.
-    With ``leading``, every text has a further space at its begin. ``cut`` finds
-    places within words, but in words that hold one of ``uncut``.
+    words as they stand, with their space, or without it if ``adds_space``, which also needs a letter to be one token behind a space.
+    With ``leading``, every text has a further space at its begin. ``cuts`` are
+    patterns of two groups between which a word is cut too, but in texts that hold one of ``uncut``.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], adds_space: bool = False, leading: bool = False, cut: re.Pattern | None = None, uncut: Sequence[str] = (), most: int = MOST_WORDS) -> None:
-        self.library, self.adds_space, self.leading, self.cut, self.most = encode, adds_space, leading, cut, most
-        self.uncut = re.compile("|".join(map(re.escape, uncut))) if uncut else None
-        self.words, self.parts = _Table(), _Table()
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], adds_space: bool = False, leading: bool = False, cuts: Sequence[str] = (), uncut: Sequence[str] = (), most: int = MOST_WORDS) -> None:
+        self.library, self.adds_space, self.leading, self.cuts, self.most = encode, adds_space, leading, cuts, most
+        self.awkward = "|".join([AWKWARD, *map(re.escape, uncut)])
+        self.words = _Table()
 
-    def _from_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.library([t[1:] for t in texts] if self.adds_space else texts)
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library([w[1:] if w[:1] == " " else "a" + w for w in words] if self.adds_space else words)
+        if self.adds_space:  # what follows a cut has no space; behind a letter its ids are those after the letter's
+            found = [ids if w[:1] == " " else ids[1:] for w, ids in zip(words, found, strict=True)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
-    def _unknown(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words; a tuple holds a word without a space before it."""
-        texts = [w[0] if isinstance(w, tuple) else f" {w}" for w in words]
-        if self.cut is None:
-            return self._from_library(texts)
-        own = list(map(self.cut.split, texts))
-        if self.uncut is not None:
-            own = [[t] if self.uncut.search(t) else o for t, o in zip(texts, own, strict=True)]
-        parts, sizes = list(chain.from_iterable(own)), list(map(len, own))
-        ids, lengths = self.parts.ids(self.parts.places(parts, self._from_library, self.most))
-        return ids, _sums(lengths, sizes)
-
-    def _awkward_words(self, text: str) -> list[str]:
-        own = CUT.split(f" {text}" if self.leading else text)
-        return [w[1:] if k or self.leading else w for k, w in enumerate(own)]
-
     def _split(self, texts: pa.Array) -> pa.ListArray:
-        """The words of each text, one at least; all but the first without the space before them."""
-        words = pc.split_pattern(texts, " ")
-        awkward = np.flatnonzero(pc.match_substring_regex(texts, rf"^{_SPACES}|^\z|{AWKWARD}" if self.leading else AWKWARD).to_numpy(zero_copy_only=False))
+        """The words of each text with the spaces before them, one at least."""
+        if self.leading:
+            texts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
+        marked = pc.replace_substring(texts, " ", MARK + " ")
+        for cut in self.cuts:
+            marked = pc.replace_substring_regex(marked, cut, rf"\1{MARK}\2")
+        words = pc.split_pattern(marked, MARK)
+        awkward = np.flatnonzero(pc.match_substring_regex(texts, self.awkward).to_numpy(zero_copy_only=False))
         if not len(awkward):
             return words
-        own = pa.array(map(self._awkward_words, texts.take(pa.array(awkward)).to_pylist()), words.type)
+        own = pa.array(map(CUT.split, texts.take(pa.array(awkward)).to_pylist()), words.type)
         order = np.arange(len(texts))
         order[awkward] = len(texts) + np.arange(len(awkward))
         return pa.concat_arrays([words, own]).take(pa.array(order))
@@ -127,15 +121,9 @@ class WordEncoder:
         lists = self._split(pc.fill_null(texts, "").cast(pa.large_string()))
         sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        firsts = np.cumsum(sizes) - sizes if not self.leading else np.zeros(0, np.int64)
-        which = coded.indices.to_numpy()
-        keys = coded.dictionary.to_pylist()
-        # a first word has no space before it, so it is another key
-        places = self.words.places(keys + [(keys[k],) for k in which[firsts].tolist()], self._unknown, self.most)
-        index = places[which]
-        index[firsts] = places[len(keys) :]
-        ids, lengths = self.words.ids(index)
-        return ids, _sums(lengths, sizes)
+        places = self.words.places(coded.dictionary.to_pylist(), self._learn, self.most)
+        ids, lengths = self.words.ids(places[coded.indices.to_numpy()])
+        return ids, np.add.reduceat(lengths, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.int64)
 
 
 def byte_level(definition: str, special: bool, leading: bool = False, most: int = MOST_WORDS) -> WordEncoder:
@@ -148,4 +136,4 @@ def byte_level(definition: str, special: bool, leading: bool = False, most: int
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = not special
     strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return WordEncoder(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], leading=leading, cut=BYTE_LEVEL_CUT, uncut=strings if special else (), most=most)
+    return WordEncoder(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], leading=leading, cuts=BYTE_LEVEL_CUTS, uncut=strings if special else (), most=most)

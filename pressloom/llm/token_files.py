@@ -31,16 +31,20 @@ from pressloom.llm.storage import new_folder
 from pressloom.llm.words import row_slices, text_buffers
 
 #: Ids of a segment, from which on it is closed.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 19
 _SEGMENT = "part int, start long, n_ids long, doc_ids array<long>, n_tokens array<long>, coded binary"
 _encoders: dict[str, object] = {}
 
 
 def _encode(definition, end_id: int, kind: np.dtype):
-    """The ids of each text and the end id, as little-endian numbers of ``kind``; the first column passes."""
+    """The ids of each text and the end id, as little-endian numbers of ``kind``; the first column passes.
+
+    The last row of a task has no text, but ``counts``: how often each id is in the task's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders.get(definition.value) or _encoders.setdefault(definition.value, byte_level(definition.value, special=True))
+        total = np.zeros(0, np.int64)
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
             for low, high in row_slices(offsets, SPLIT_BYTES):
@@ -51,8 +55,13 @@ def _encode(definition, end_id: int, kind: np.dtype):
                 keep = np.ones(len(whole), bool)
                 keep[ends - 1] = False
                 whole[keep] = ids
+                own = np.bincount(whole)
+                if len(own) > len(total):
+                    total, own = own, total
+                total[: len(own)] += own
                 binary = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.append(0, ends) * kind.itemsize), pa.py_buffer(whole)])
-                yield pa.RecordBatch.from_arrays([rows.column(0), binary.cast(pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), binary.cast(pa.binary()), pa.nulls(len(rows), pa.binary())], names=["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
 
     return run
 
@@ -63,21 +72,13 @@ def vocabulary_size(definition: str) -> int:
     return Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True)
 
 
-def _counts(kind: np.dtype):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            column = batch.column(0)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-            for low, high in row_slices(offsets):
-                own = np.bincount(np.frombuffer(column.buffers()[2], kind, (offsets[high] - offsets[low]) // kind.itemsize, offsets[low]))
-                if len(own) > len(total):
-                    total, own = own, total
-                total[: len(own)] += own
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and how often they are, from dense counts of tasks."""
+    for batch in batches:
+        for counts in batch.column(0):
+            total = np.frombuffer(counts.as_buffer(), np.int64)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
 
 def _packed(book, segment_ids: int, kind: np.dtype):
@@ -120,10 +121,11 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, path: str, end_
     # ids wait for their code in two bytes each where the vocabulary allows it
     kind = np.dtype("<u2" if max(vocabulary_size(definition.value) - 1, end_id) < 1 << 16 else "<u4")
     plain = new_folder(spark, "token-ids")
-    documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(definition, end_id, kind), "doc_id long, ids binary").write.option("compression", "zstd").parquet(plain)
-    ids = spark.read.parquet(plain)
+    documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(definition, end_id, kind), "doc_id long, ids binary, counts binary").write.option("compression", "zstd").parquet(plain)
+    written = spark.read.parquet(plain)
+    ids = written.where("counts is null").select("doc_id", "ids")
     # as many numbers as the vocabulary has at most
-    counted = ids.select("ids").mapInArrow(_counts(kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    counted = written.where("counts is not null").select("counts").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     used, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.int64)
     lengths = code_lengths(counts, longest)
     spark.createDataFrame([(int(i), int(n)) for i, n in zip(used, lengths, strict=True)], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
