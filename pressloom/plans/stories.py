@@ -412,9 +412,9 @@ def split_clusters(m):
     return ops.split_clusters(members, m.articles(), least=4, similarity=0.25, most=25)
 
 
-@query("cluster_key", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(translate(lower(coalesce(trim(substr(text, 1, 60)), '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'to', 'of', 'in', 'on', 'for', 'with', 'by', 'from', 'at', 'is', 'are', 'was', 'were', 'be', 'as'))[1:8], '-') AS key FROM documents", model=False)
+@query("cluster_key", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(translate(lower(coalesce(trim(text), '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'to', 'of', 'in', 'on', 'for', 'with', 'by', 'from', 'at', 'is', 'are', 'was', 'were', 'be', 'as'))[1:8], '-') AS key FROM documents", model=False)
 def cluster_key(m):
-    return m.raw("documents").select("doc_id", texts.cluster_key(F.trim(F.substring("text", 1, 60))).alias("key"))
+    return m.raw("documents").select("doc_id", texts.cluster_key(F.trim("text")).alias("key"))
 
 
 @query("lead_and_size", "SELECT cluster_id, article_id AS lead_article_id, size FROM (SELECT cluster_id, article_id, count(*) OVER (PARTITION BY cluster_id) AS size, row_number() OVER (PARTITION BY cluster_id ORDER BY CASE WHEN regexp_matches(canonical_url, 'news\\.google\\.|news\\.yahoo\\.com|www\\.msn\\.com|^https?://([a-z0-9-]+\\.)*(fool\\.com)(/|$)') OR published_at IS NULL OR abs(epoch(published_at) - epoch(fetched_at)) <= 60 THEN 0 ELSE 1 END DESC, coalesce(s.weight, 2) DESC, published_at DESC NULLS FIRST, article_id DESC) AS rn FROM article_clusters JOIN articles USING (article_id) LEFT JOIN sources s USING (source_id) WHERE language_code = 'en' OR language_code IS NULL) WHERE rn = 1")
