@@ -32,7 +32,7 @@ from pressloom.operators.storage import kept
 SAMPLE_ROWS, TURNS, MOST_CELLS = 20_000, 4, 4096
 #: Members of a part and askers of a share of a cell, on average; askers that are multiplied at a time.
 PART_ROWS, SHARE_ROWS, BLOCK = 20_000, 5_000, 256
-#: Cosines are rounded to so many digits before they are ordered, as products differ in the last ones by the order of sums.
+#: Cosines are ordered by so many digits, as products differ in the last ones by the order of sums; those that are returned are not rounded.
 DIGITS = 12
 
 
@@ -156,7 +156,7 @@ def _met(askers: DataFrame, members: DataFrame, cells: Cells, function, schema:
 
 def _best(k: int, width: int):
     """The ``k`` nearest members of each asker, equal ones by id."""
-    schema = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("member", pa.int64())])))])
+    schema = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("member", pa.int64()), ("s", pa.float64())])))])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -165,9 +165,10 @@ def _best(k: int, width: int):
         members, ids = matrix(right["v"], width), right["id"].to_numpy()
         rows, asking, out = matrix(left["v"], width), left["id"].to_numpy(), []
         for low in range(0, len(rows), BLOCK):
-            cos = np.round(rows[low : low + BLOCK] @ members.T, DIGITS)
-            best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            near = pa.StructArray.from_arrays([pa.array(-np.take_along_axis(cos, best, 1).ravel()), pa.array(ids[best].ravel())], ["d", "member"])
+            cos = rows[low : low + BLOCK] @ members.T
+            best = np.argsort(-np.round(cos, DIGITS), axis=1, kind="stable")[:, :k]
+            found = np.take_along_axis(cos, best, 1).ravel()
+            near = pa.StructArray.from_arrays([pa.array(-np.round(found, DIGITS)), pa.array(ids[best].ravel()), pa.array(found)], ["d", "member", "s"])
             ends = np.arange(len(best) + 1, dtype=np.int32) * best.shape[1]
             out.append(pa.table([pa.array(asking[low : low + BLOCK]), pa.ListArray.from_arrays(pa.array(ends), near)], schema=schema))
         return pa.concat_tables(out)
@@ -195,7 +196,7 @@ def nearest(askers: DataFrame, members: DataFrame, cells: Cells, k: int, probe:
         routed = kept(routed)
         wanted = sorted(r[0] for r in routed.select("cell").distinct().collect())  # a row per cell at most
         own = members.where(F.col("cell").isin(wanted)).select("cell", F.col("id").cast("long").alias("id"), "v")
-        return _met(routed, own, cells, _best(k, width), "id long, near array<struct<d: double, member: long>>")
+        return _met(routed, own, cells, _best(k, width), "id long, near array<struct<d: double, member: long, s: double>>")
 
     def merged(rows: DataFrame) -> DataFrame:
         return rows.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
@@ -213,7 +214,7 @@ def nearest(askers: DataFrame, members: DataFrame, cells: Cells, k: int, probe:
     least = F.when(F.size("near") >= k, -F.get("near", F.lit(k - 1))["d"]).otherwise(-1.0)
     rest = _routed(asked.join(first.select("id", least.alias("least")), "id"), cells, others)
     found = merged(first.unionByName(looked(rest)))
-    return found.select("id", F.posexplode("near").alias("place", "n")).select("id", "place", "n.member", (-F.col("n.d")).alias("similarity"))
+    return found.select("id", F.posexplode("near").alias("place", "n")).select("id", "place", "n.member", F.col("n.s").alias("similarity"))
 
 
 def _pairs(similarity: float, most: int, top: int, width: int):
@@ -226,12 +227,12 @@ def _pairs(similarity: float, most: int, top: int, width: int):
             (ids, n, v), (ids2, n2, v2) = ((t["id"].to_numpy(), t["n"].to_numpy(), matrix(t["v"], width)) for t in (left, right))
             for low in range(0, len(ids), BLOCK):
                 own = slice(low, low + BLOCK)
-                cos = np.round(v[own] @ v2.T, DIGITS)
+                cos = v[own] @ v2.T
                 i, j = np.nonzero((cos > similarity) & (ids[own, None] != ids2[None, :]) & (n[own, None] + n2[None, :] <= most))
                 swap = ids[own][i] > ids2[j]
                 found = [np.where(swap, ids2[j], ids[own][i]), np.where(swap, ids[own][i], ids2[j]), np.where(swap, n2[j], n[own][i]), np.where(swap, n[own][i], n2[j]), cos[i, j]]
                 best = [np.concatenate(x) for x in zip(best, found, strict=True)]
-                order = np.lexsort((best[1], best[0], -best[4]))
+                order = np.lexsort((best[1], best[0], -np.round(best[4], DIGITS)))
                 best = [x[order] for x in best]
                 fresh = np.ones(len(order), bool)
                 fresh[1:] = (best[0][1:] != best[0][:-1]) | (best[1][1:] != best[1][:-1])
@@ -263,7 +264,8 @@ def similar_pairs(vectors: DataFrame, similarity: float, most: int, top: int, ex
 
     routed = kept(_routed(placed.select("id", "v", "n"), cells, choose))
     met = _met(routed, placed.select("cell", "id", "v", "n"), cells, _pairs(similarity, most, top, pivots.shape[1]), "a long, b long, n_a long, n_b long, similarity double")
-    return met.distinct().orderBy(F.col("similarity").desc(), "a", "b").limit(top)
+    once = met.groupBy("a", "b", "n_a", "n_b").agg(F.max("similarity").alias("similarity"))  # found from both ends, in other orders of sums
+    return once.orderBy(F.round("similarity", DIGITS).desc(), "a", "b").limit(top)
 
 
 class VectorIndex:
@@ -331,12 +333,12 @@ class VectorIndex:
 
         def read(mask: np.ndarray) -> DataFrame:
             some = self.rows().where(F.col("cell").isin([int(c) for c in np.flatnonzero(mask)]))
-            return some.select("id", F.round(dot, DIGITS).alias("similarity")).where(F.col("similarity") > least)
+            return some.select("id", dot.alias("similarity")).where(F.col("similarity") > least)
 
         begin, allowed = (m[0] for m in _first_look(cells, own, limit, probe))
         possible = cells.nearest_possible(own)[0]
         begin = begin & allowed & (possible <= np.arccos(np.clip(least, -1, 1)))
-        order = [F.col("similarity").desc(), "id"]
+        order = [F.round("similarity", DIGITS).desc(), "id"]
         first = kept(read(begin).orderBy(*order).limit(limit))
         n, worst = first.agg(F.count("*"), F.min("similarity")).first()
         bound = max(least, worst) if n >= limit else least

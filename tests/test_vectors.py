@@ -94,3 +94,16 @@ def test_pairs_of_five_thousand_by_cells(spark):
     sizes = Cells.of(pivots, cell_facts(placed)).members
     assert sizes.max() * 6 < 0.25 * 5000  # what a vector meets in six cells
     assert similar_pairs(table.limit(0), 0.8, 9, 5, 10, 2).count() == 0
+
+
+def test_similarities_are_not_rounded_twice(spark, tmp_path):
+    """One just below half a millionth stays there: to 12 digits first it would go up."""
+    low = 0.18935249999979822
+    table = spark.createDataFrame([(1, [low, (1 - low * low) ** 0.5]), (2, [-1.0, 0.0])], "id long, v array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "id long, v array<double>")
+    index = VectorIndex.create(table, f"{tmp_path}/index")
+    found = index.nearest(asked, 1).select(F.round("similarity", 6)).first()[0]
+    searched = index.search([1.0, 0.0], 1).select(F.round("similarity", 6)).first()[0]
+    both = table.unionByName(asked).withColumn("n", F.lit(1).cast("long"))
+    paired = similar_pairs(both, 0.1, 9, 1, 100, 1).select(F.round("similarity", 6)).first()[0]
+    assert found == searched == paired == 0.189352
