@@ -264,3 +264,13 @@ def test_assignment_and_merging_against_brute_force(spark):
         into[drop] = keep
     merged = stories.merge_clusters(members, table, 12).collect()
     assert {r.article_id: r.cluster_id for r in merged} == {i: into.get(c, c) for i, c in owner.items()} and into
+
+
+def test_cited_results_by_lists_that_are_not_broadcast(spark):
+    from pressloom.operators.curation import cited_results
+
+    results = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "a")], "search_id long, host string")
+    cited = spark.createDataFrame([(1, ["b", "x"]), (2, ["x"]), (4, [])], "search_id long, hosts array<string>")
+    got = cited_results(results, cited)
+    assert sorted(map(tuple, got.collect())) == [(1, "b"), (3, "c"), (4, "a")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
