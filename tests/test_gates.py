@@ -274,3 +274,34 @@ def test_cited_results_by_lists_that_are_not_broadcast(spark):
     got = cited_results(results, cited)
     assert sorted(map(tuple, got.collect())) == [(1, "b"), (3, "c"), (4, "a")]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def rejections(spark, tmp_path, name):
+    """A query over texts of short sentences, of walls, of few words and none, and its SQL's answer."""
+    import duckdb
+
+    from pressloom.plans.catalogue import ORACLES, QUERIES
+
+    short = " ".join(f"a{k} b{k}." for k in range(60))
+    walled = "Members subscribe for premium. " + " ".join(f"word{k}" for k in range(60))
+    rows = [(1, short), (2, walled), (3, "Too few words."), (4, None), (9, "same " * 80), (10, " ".join(f"long{k}" for k in range(50)))]
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    for table in ("supplier", "events", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{table}.parquet')")
+    expected = con.execute(ORACLES[name])
+    columns = [d[0] for d in expected.description]
+    return sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select(*columns).collect()), key=str), sorted(expected.fetchall(), key=str)
+
+
+def test_rejected_texts_are_those_of_the_sql(spark, tmp_path):
+    got, want = rejections(spark, tmp_path, "content_snippet")
+    assert got == want == [(6, 2)]
+
+
+def test_headline_notes_are_those_of_the_sql(spark, tmp_path):
+    got, want = rejections(spark, tmp_path, "headline_prep")
+    assert got == want and len(want) == 6
