@@ -93,3 +93,12 @@ def test_places_and_odd_articles(spark, tmp_path):
     assert index.search("the of").count() == 0 and index.search("").count() == 0 and index.search("storm unknown").count() == 0
     assert cover_density(index.hits(["nothing"]), ["nothing"]).count() == 0
     assert textindex.BUCKETS == 64 and "the" in rules.STOP_WORDS
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    from pressloom.operators.textindex import placed_terms
+
+    rows = spark.createDataFrame([(1, "Sun sun of wind", None, None, None, None, "the sun a wind sun"), (2, None, None, "", None, None, None)], "article_id long, title string, rewritten_title string, dek string, publisher_name string, author string, content_text string")
+    found = placed_terms(rows)
+    assert sorted(map(tuple, found.select("article_id", "term", "field", "hits", "places").collect())) == [(1, "sun", "A", 2, [1, 2]), (1, "sun", "C", 2, [6, 9]), (1, "wind", "A", 1, [4]), (1, "wind", "C", 1, [8])]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
