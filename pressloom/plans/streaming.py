@@ -47,19 +47,23 @@ def hours_after(time, hours):
     return F.timestamp_micros(F.unix_micros(time) + hours.cast("long") * 3_600_000_000)
 
 
+#: Rows of a file that arrives.
+FILE_ROWS = 1_000_000
+
+
 @query("stream_recent_dedupe", _REPEATED)
 def stream_recent_dedupe(m):
-    """Articles that come again over a month arrive as files, each file disordered within; one of a title stays in a week."""
+    """Articles that come again over a month arrive as files, each disordered within; one of a title stays in a week."""
     root = _folder(m, "titles")
-    rows = repeated(m)
+    rows = kept(repeated(m))  # short rows, written once, as every file below reads them
     day = F.floor(F.unix_seconds("fetched_at") / 86_400)
-    first = rows.agg(F.min(day)).first()[0] or 0
-    last = rows.agg(F.max("fetched_at")).first()[0]
-    for n in range(4):  # a file holds eight days; the last one also a row that moves the watermark behind all others
-        part = rows.where(F.least(F.floor((day - first) / 8), F.lit(3)) == n).orderBy(F.xxhash64("article_id"))
-        if n == 3:
-            part = part.unionByName(m.spark.createDataFrame([(None, None, last)], jobs.ARTICLES).select("article_id", "title", hours_after(F.col("fetched_at"), F.lit(24 * 60)).alias("fetched_at")))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    first, last = rows.agg(F.min(day), F.max("fetched_at")).first()
+    span = F.least(F.floor((day - (first or 0)) / 8), F.lit(3))
+    sizes = dict(rows.groupBy(span.alias("n")).count().collect())
+    for n in range(4):  # files of eight days, in order of time; then a row that moves the watermark behind all others
+        rows.where(span == n).orderBy(F.xxhash64("article_id")).coalesce(1 + sizes.get(n, 0) // FILE_ROWS).write.mode("append").parquet(f"{root}/in")
+    end = m.spark.createDataFrame([(None, None, last)], jobs.ARTICLES).select("article_id", "title", hours_after(F.col("fetched_at"), F.lit(24 * 60)).alias("fetched_at"))
+    end.coalesce(1).write.mode("append").parquet(f"{root}/in")
     arriving = m.spark.readStream.schema(jobs.ARTICLES).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     jobs.start_append(jobs.recent_title_stream(arriving, 7, "9 days"), f"{root}/out", f"{root}/state").awaitTermination()
     return m.spark.read.schema("article_id long").parquet(f"{root}/out")

@@ -49,7 +49,8 @@ def _first_titles(span: int):
             state.setTimeoutTimestamp(max(now + 1, (waiting[0][0] if waiting else last + span) // 1000))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"article_id": pd.Series(kept, dtype="int64")})
+        if kept:
+            yield pd.DataFrame({"article_id": pd.Series(kept, dtype="int64")})
 
     return run
 

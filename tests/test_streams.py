@@ -158,3 +158,15 @@ def test_centroids_from_changes_equal_full_means(spark, tmp_path, fold):
     for c, r in whole.items():
         assert (stored[c].member_count, stored[c].last_member_at) == (r.member_count, r.last_member_at)
         assert np.allclose(r.centroid, stored[c].centroid, rtol=0, atol=1e-9)
+
+
+def test_title_stream_of_several_files_a_period(spark, monkeypatch):
+    """Eight days may be any number of files; the result stays that of the batch form, and rows are written once."""
+    from pressloom.plans import streaming
+    from pressloom.plans.catalogue import QUERIES
+
+    written, keep = [], streaming.kept
+    monkeypatch.setattr(streaming, "FILE_ROWS", 150)
+    monkeypatch.setattr(streaming, "kept", lambda rows: written.append(rows.columns) or keep(rows))
+    got = [sorted(r[0] for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()) for name in ("stream_recent_dedupe", "recent_dedupe_batch")]
+    assert got[0] == got[1] and written == [["article_id", "title", "fetched_at"]]
