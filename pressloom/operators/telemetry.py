@@ -196,7 +196,7 @@ def arm_summary(attempts: DataFrame, factual: Sequence[str] = FACTUAL) -> DataFr
     ``attempts`` has tokens; prices are `model_price`'s. Failures are counted
     per reason before they become a map, which has a key for each reason.
     """
-    priced = call_cost(model_price(attempts.select("model").distinct()).join(attempts.withColumn("tool_calls", F.lit(0)), "model"))
+    priced = call_cost(model_price(attempts.where("model is not null").withColumn("tool_calls", F.lit(0))))
     rows = priced.groupBy("model").agg(
         F.count("*").alias("n"),
         F.count_if("accepted").alias("success"),
@@ -273,13 +273,20 @@ def first_occurrence(candidates: DataFrame, url: str = "url", title: str | None
 
 
 def model_price(models: DataFrame, prices=rules.MODEL_PRICES, default: str = rules.DEFAULT_MODEL) -> DataFrame:
-    """Prices of models by name or longest prefix; unknown ones at the default's. The price list is fixed and small."""
-    spark = models.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(prices), "key string, input_per_m double, output_per_m double"))
-    fits = (F.col("model") == F.col("key")) | F.col("model").startswith(F.concat("key", F.lit("-")))
-    found = models.join(table, fits, "left").groupBy(*models.columns).agg(F.max_by(F.struct("input_per_m", "output_per_m"), F.length("key")).alias("p"))
-    fallback = next(p for p in prices if p[0] == default)
-    return found.select(*models.columns, F.coalesce("p.input_per_m", F.lit(fallback[1])).alias("input_per_m"), F.coalesce("p.output_per_m", F.lit(fallback[2])).alias("output_per_m"))
+    """``models`` with the prices of each row's model by name or longest prefix; unknown ones at the default's.
+
+    The price list is fixed and small, so it is an expression of the row: a join
+    by model would bring the rows of each of the few models to one task.
+    """
+    model, fallback = F.col("model"), next(p for p in prices if p[0] == default)
+
+    def price(place: int) -> Column:
+        out = F.when(F.lit(False), F.lit(float(fallback[place])))
+        for p in sorted(prices, key=lambda p: -len(p[0])):
+            out = out.when((model == p[0]) | model.startswith(f"{p[0]}-"), float(p[place]))
+        return out.otherwise(float(fallback[place]))
+
+    return models.withColumns({"input_per_m": price(1), "output_per_m": price(2)})
 
 
 def call_cost(rows: DataFrame, call_price: float = rules.CALL_PRICE) -> DataFrame:
