@@ -265,11 +265,17 @@ def article_cap(candidates: DataFrame, cap: int) -> DataFrame:
 
 
 def first_occurrence(candidates: DataFrame, url: str = "url", title: str | None = None) -> DataFrame:
-    """The first of equal canonical URLs, or titles without one, in each search; later ones are duplicates, rows without a key are dropped."""
-    key = F.lower(urls.canonical_url(F.col(url)))
-    key = F.coalesce(F.nullif(key, F.lit("")), F.lower(F.trim(F.col(title)))) if title else F.nullif(key, F.lit(""))
+    """The first of equal canonical URLs, or titles without one, in each search; later ones are duplicates, rows without a key are dropped.
+
+    A canonical URL is empty or null only where the URL is, so rows are dropped
+    by that, and the key is worked out once, for the window.
+    """
+    key, some = F.lower(urls.canonical_url(F.col(url))), F.col(url) != ""
+    if title:
+        key = F.coalesce(F.nullif(key, F.lit("")), F.lower(F.trim(F.col(title))))
+        some = F.coalesce(some, F.lit(False)) | (F.trim(F.col(title)) != "")
     rank = F.row_number().over(Window.partitionBy("search_id", "_key").orderBy("rank"))
-    return candidates.withColumn("_key", key).where("_key is not null and _key <> ''").withColumn("duplicate", rank > 1).drop("_key")
+    return candidates.where(some).withColumn("_key", key).withColumn("duplicate", rank > 1).drop("_key")
 
 
 def model_price(models: DataFrame, prices=rules.MODEL_PRICES, default: str = rules.DEFAULT_MODEL) -> DataFrame:
