@@ -224,3 +224,8 @@ def test_rules_need_no_join(spark):
     assert {(r.article_id, r.slug, round(r.confidence, 6), tuple(r.reasons)) for r in out.collect()} == {(1, "weather", 0.7, ("keyword: storm", "pattern: flood")), (2, "calm", 0.3, ("keyword: calm",))}
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert curation.rule_categorise(articles, words.limit(0)).count() == 0
+
+
+def test_headline_checks_shuffle_no_text(spark):
+    pairs = spark.range(1).selectExpr("id AS doc_id", "'Grid' AS original", "concat(id, ' GW') AS draft", "concat('a', id) AS source", "true AS has_content")
+    assert "Join" not in curation.headline_qa(pairs)._jdf.queryExecution().optimizedPlan().toString()
