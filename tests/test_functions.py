@@ -229,3 +229,15 @@ def test_rules_need_no_join(spark):
 def test_headline_checks_shuffle_no_text(spark):
     pairs = spark.range(1).selectExpr("id AS doc_id", "'Grid' AS original", "concat(id, ' GW') AS draft", "concat('a', id) AS source", "true AS has_content")
     assert "Join" not in curation.headline_qa(pairs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deks_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    """Blank texts, white space and line ends that engines see differently, and a long text without any sentence."""
+    import duckdb
+
+    odd = [None, "", "  ", "\n", "<b> </b>", *[a + c + b for c in "\x0b\x85\u2028\xa0\u3000\x1f" for a, b in (("", ""), ("x" * 50, "y" * 50 + ". z"), ("", "x" * 50 + ". b"), ("x" * 50 + ".", "b"), ("x" * 298, "y" * 9))], "no end " * 9_000]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(map(tuple, catalogue.QUERIES["best_dek"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalogue.ORACLES["best_dek"]).fetchall())
