@@ -61,7 +61,8 @@ def stream_recent_dedupe(m):
     span = F.least(F.floor((day - (first or 0)) / 8), F.lit(3))
     sizes = dict(rows.groupBy(span.alias("n")).count().collect())
     for n in range(4):  # files of eight days, in order of time; then a row that moves the watermark behind all others
-        rows.where(span == n).orderBy(F.xxhash64("article_id")).coalesce(1 + sizes.get(n, 0) // FILE_ROWS).write.mode("append").parquet(f"{root}/in")
+        disordered = F.xxhash64("article_id")
+        rows.where(span == n).repartition(1 + sizes.get(n, 0) // FILE_ROWS, disordered).sortWithinPartitions(disordered).write.mode("append").parquet(f"{root}/in")
     end = m.spark.createDataFrame([(None, None, last)], jobs.ARTICLES).select("article_id", "title", hours_after(F.col("fetched_at"), F.lit(24 * 60)).alias("fetched_at"))
     end.coalesce(1).write.mode("append").parquet(f"{root}/in")
     arriving = m.spark.readStream.schema(jobs.ARTICLES).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")

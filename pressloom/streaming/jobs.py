@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,45 +27,65 @@ def click_stream(spark: SparkSession, path: str) -> DataFrame:
     return append_clicks(spark.readStream.schema(CLICKS).parquet(path))
 
 
+#: Titles are dealt to so many groups, whose state is one value each. A stream that goes on from a checkpoint needs the number that it began with.
+TITLE_GROUPS = 1_024
+_TITLES = pa.schema([("title", pa.string()), ("t", pa.int64()), ("article_id", pa.int64()), ("kept", pa.bool_())])
+
+
 def _first_titles(span: int):
-    """Rows of a title in order of time, each once no earlier one can come; keeps the time of the last row that stayed."""
+    """Rows of a group's titles in order of time, each once no earlier one can come.
+
+    State is one table: the rows that wait, and as ``kept`` the time of the last row of each title that stayed.
+    """
+
+    def stored(rows: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _TITLES, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+            writer.write_table(rows)
+        return sink.getvalue().to_pybytes()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, times, ids = state.get if state.exists else (None, [], [])
-        waiting = list(zip(times, ids, strict=True))
-        if key[0] is not None:
-            for rows in batches:
-                waiting += [(int(t), int(i)) for t, i in zip(rows["t"], rows["article_id"], strict=True)]
-        now = state.getCurrentWatermarkMs()
-        waiting.sort()
-        done = [x for x in waiting if x[0] <= now * 1000]
-        waiting, kept = waiting[len(done) :], []
-        for t, article in done:
-            if last is None or t - last > span:
-                last = t
-                kept.append(article)
-        if waiting or (last is not None and last + span > now * 1000):
-            state.update((last, [t for t, _ in waiting], [i for _, i in waiting]))
-            # the next row that becomes due, or the end of the time in which the last one counts
-            state.setTimeoutTimestamp(max(now + 1, (waiting[0][0] if waiting else last + span) // 1000))
+        parts = [pa.ipc.open_stream(bytes(state.get[0])).read_all()] if state.exists else []
+        for rows in batches:
+            rows = rows[rows["title_lc"].notna()]
+            parts.append(pa.table([pa.array(rows["title_lc"], pa.string()), pa.array(rows["t"], pa.int64()), pa.array(rows["article_id"], pa.int64()), pa.array([False] * len(rows), pa.bool_())], schema=_TITLES))
+        rows, now = pa.concat_tables(parts) if parts else _TITLES.empty_table(), state.getCurrentWatermarkMs()
+        due = rows.filter(pc.less_equal(rows["t"], now * 1000)).sort_by([("title", "ascending"), ("t", "ascending"), ("article_id", "ascending")])
+        title, last, times, staying = None, 0, {}, []
+        for own, t, article, kept in zip(*(c.to_pylist() for c in due.columns), strict=True):
+            if kept or own != title or t - last > span:
+                title, last = own, t
+                times[own] = t
+                if not kept:
+                    staying.append(article)
+        times = {own: t for own, t in times.items() if t + span > now * 1000}
+        waiting = rows.filter(pc.greater(rows["t"], now * 1000))
+        if len(waiting) or times:
+            known = pa.table([pa.array(times, pa.string()), pa.array(times.values(), pa.int64()), pa.nulls(len(times), pa.int64()), pa.array([True] * len(times), pa.bool_())], schema=_TITLES)
+            state.update((stored(pa.concat_tables([known, waiting])),))
+            # the next row that becomes due, or the end of the time in which the last ones count
+            state.setTimeoutTimestamp(max(now + 1, (pc.min(waiting["t"]).as_py() if len(waiting) else max(times.values()) + span) // 1000))
         elif state.exists:
             state.remove()
-        if kept:
-            yield pd.DataFrame({"article_id": pd.Series(kept, dtype="int64")})
+        if staying:
+            yield pd.DataFrame({"article_id": pd.Series(staying, dtype="int64")})
 
     return run
 
 
-def recent_title_stream(articles: DataFrame, days: int = 7, late: str = "1 hour") -> DataFrame:
+def recent_title_stream(articles: DataFrame, days: int = 7, late: str = "1 hour", groups: int = TITLE_GROUPS) -> DataFrame:
     """``article_id`` of the rows that `recent_title_batch` keeps, whatever the order in which they arrive within ``late``.
 
     A row is decided when the watermark has passed its time, as no earlier one
     of its title can come then. State is one time for each title of the last
     ``days``, and the rows of the last ``late``. Rows behind the watermark are
     left out. Rows with a null title move the watermark and are dropped.
+    Python is called for each of the ``groups`` of titles and batch, not for each title.
     """
-    rows = articles.withWatermark("fetched_at", late).select(F.lower("title").alias("title_lc"), F.unix_micros("fetched_at").alias("t"), "article_id", "fetched_at")
-    return rows.groupBy("title_lc").applyInPandasWithState(_first_titles(days * 86_400_000_000), "article_id long", "last long, times array<long>, ids array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    title = F.lower("title")
+    article = F.when(F.col("title").isNull(), 0).otherwise(F.col("article_id"))  # no nulls, which would make doubles of a group's ids
+    rows = articles.withWatermark("fetched_at", late).select(title.alias("title_lc"), F.unix_micros("fetched_at").alias("t"), article.alias("article_id"), F.pmod(F.xxhash64(title), F.lit(groups)).alias("g"), "fetched_at")
+    return rows.groupBy("g").applyInPandasWithState(_first_titles(days * 86_400_000_000), "article_id long", "rows binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_title_batch(articles: DataFrame, days: int = 7) -> DataFrame:

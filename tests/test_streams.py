@@ -170,3 +170,20 @@ def test_title_stream_of_several_files_a_period(spark, monkeypatch):
     monkeypatch.setattr(streaming, "kept", lambda rows: written.append(rows.columns) or keep(rows))
     got = [sorted(r[0] for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()) for name in ("stream_recent_dedupe", "recent_dedupe_batch")]
     assert got[0] == got[1] and written == [["article_id", "title", "fetched_at"]]
+
+
+def test_titles_share_states(spark, tmp_path):
+    """State and calls are those of the groups, not of the titles; large ids stay exact beside rows without any."""
+    rng = random.Random(6)
+    rows = [(2**60 + i, rng.choice("tT") + str(rng.randrange(150)), at(rng.random() * 30)) for i in range(400)] + [(None, None, at(d)) for d in range(30)]
+    rows.sort(key=lambda r: r[2])
+    batches = [rows[:200], rows[200:], [(None, None, at(100))]]
+    for part in batches:
+        spark.createDataFrame(part, jobs.ARTICLES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(jobs.ARTICLES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.start_append(jobs.recent_title_stream(arriving, 7, "1 day", groups=5), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    got = sorted(r[0] for r in spark.read.schema("article_id long").parquet(str(tmp_path / "out")).collect())
+    assert got == in_batch(spark, batches) and len(got) > 150
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(sizes) <= 5 and sizes[-1] == 0
