@@ -305,3 +305,8 @@ def test_rejected_texts_are_those_of_the_sql(spark, tmp_path):
 def test_headline_notes_are_those_of_the_sql(spark, tmp_path):
     got, want = rejections(spark, tmp_path, "headline_prep")
     assert got == want and len(want) == 6
+
+
+def test_walls_and_short_sentences_have_no_snippet(spark, tmp_path):
+    got, want = rejections(spark, tmp_path, "content_snippet")
+    assert got == want == [(6, 4)]
