@@ -310,3 +310,8 @@ def test_headline_notes_are_those_of_the_sql(spark, tmp_path):
 def test_walls_and_short_sentences_have_no_snippet(spark, tmp_path):
     got, want = rejections(spark, tmp_path, "content_snippet")
     assert got == want == [(6, 4)]
+
+
+def test_walled_and_short_pages_have_no_content(spark, tmp_path):
+    got, want = rejections(spark, tmp_path, "headline_prep")
+    assert got == want and {r[0]: r[1:3] for r in got} == {**{k: (":content_rejected", False) for k in (1, 2, 3, 9)}, 4: ("", False), 10: ("", True)}
